@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadloom.llm import simhash
+from spreadloom.llm import exactdedup, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op3_exact_dedup": exactdedup.op3_exact_dedup,
+        "op4_best_fit": packing.op4_best_fit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": exactdedup.OP3_SQL}
