@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadloom.llm import exactdedup, packing, simhash
+from spreadloom.llm import exactdedup, packing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.op1_simhash,
         "op3_exact_dedup": exactdedup.op3_exact_dedup,
         "op4_best_fit": packing.op4_best_fit,
+        "op7_rules": quality.op7_rules,
     }
 
 
