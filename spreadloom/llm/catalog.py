@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadloom.llm import exactdedup, packing, quality, simhash
+from spreadloom.llm import decontam, exactdedup, lengths, packing, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_lengths": lengths.op2_lengths,
         "op3_exact_dedup": exactdedup.op3_exact_dedup,
         "op4_best_fit": packing.op4_best_fit,
+        "op6_secrets": secrets.op6_secrets,
         "op7_rules": quality.op7_rules,
+        "op8_decontaminate": decontam.op8_decontaminate,
     }
 
 

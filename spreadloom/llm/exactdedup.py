@@ -121,7 +121,7 @@ def duplicate_groups(docs: DataFrame, identifiers: tuple[Callable[[bytes], bytes
     prepare(docs.sparkSession)
     own = save(recipes(docs, verified(docs, identifiers)), "recipes")
     rows = own.groupBy("recipe", "sha256", "doc_id").agg(F.count("*").alias("n"))
-    groups = own.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = save(own.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     out = rows.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("sha256").alias("text_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("turn"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)
