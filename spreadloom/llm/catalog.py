@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadloom.llm import decontam, exactdedup, lengths, packing, quality, secrets, simhash
+from spreadloom.llm import decontam, exactdedup, lengths, packing, pages, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secrets": secrets.op6_secrets,
         "op7_rules": quality.op7_rules,
         "op8_decontaminate": decontam.op8_decontaminate,
+        "op9_main_text": pages.op9_main_text,
     }
 
 
