@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadloom.llm import decontam, exactdedup, lengths, packing, pages, quality, secrets, simhash
+from spreadloom.llm import decontam, exactdedup, lengths, packing, pages, quality, repeats, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_rules": quality.op7_rules,
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_main_text": pages.op9_main_text,
+        "op10_repeats": repeats.op10_repeats,
     }
 
 
