@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadloom.llm import decontam, exactdedup, lengths, packing, pages, quality, repeats, secrets, simhash
+from spreadloom.llm import decontam, exactdedup, lengths, lines, packing, pages, quality, repeats, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lengths": lengths.op2_lengths,
         "op3_exact_dedup": exactdedup.op3_exact_dedup,
         "op4_best_fit": packing.op4_best_fit,
+        "op5_lines": lines.op5_lines,
         "op6_secrets": secrets.op6_secrets,
         "op7_rules": quality.op7_rules,
         "op8_decontaminate": decontam.op8_decontaminate,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exactdedup.OP3_SQL}
+    return {"op3_exact_dedup": exactdedup.OP3_SQL, "op5_lines": lines.OP5_SQL}
