@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadloom.plans import desk, series
+from spreadloom.plans import desk, series, trading
 
-PARTS = (series, desk)
+PARTS = (series, desk, trading)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.catalog.queries.items()}
 ORACLES: dict[str, str] = {k: v for p in PARTS for k, v in p.catalog.oracles.items()}
 

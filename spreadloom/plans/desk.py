@@ -164,8 +164,8 @@ WINDOWS = [("click", 540, 945, 5), ("error", 1080, 300, 12), ("purchase", 420, 3
 
 
 @add("g27_stale_watchdog", f"""
-WITH w AS (SELECT * FROM (VALUES {', '.join(map(str, WINDOWS))}) v(instr, opens, closes, tolerance)), a AS (SELECT max(t) AS asof FROM bars),
-x AS (SELECT b.instr, date_diff('minute', max(b.t), any_value(asof)) AS age, any_value(hour(asof) * 60 + minute(asof)) AS mins FROM bars b, a WHERE b.close > 60 GROUP BY b.instr)
+WITH w AS (SELECT * FROM (VALUES {', '.join(map(str, WINDOWS))}) v(instr, opens, closes, tolerance)), a AS (SELECT max(t) AS seen FROM bars),
+x AS (SELECT b.instr, date_diff('minute', max(b.t), any_value(seen)) AS age, any_value(hour(seen) * 60 + minute(seen)) AS mins FROM bars b, a WHERE b.close > 60 GROUP BY b.instr)
 SELECT x.instr, age, CASE WHEN NOT (CASE WHEN opens <= closes THEN mins BETWEEN opens AND closes ELSE mins >= opens OR mins <= closes END) THEN 'closed' WHEN age > tolerance THEN 'stale' ELSE 'ok' END AS state FROM x JOIN w ON x.instr = w.instr""")
 def watchdog(m: Market) -> DataFrame:
     asof = m.bars.agg(F.max("t").alias("asof"))

@@ -124,8 +124,9 @@ def sql(body: str) -> str:
     visit(body)
     parts = [f"{name} AS ({part})" for name, part in PARTS.items() if name in used]
     body = body.strip()
-    if parts and body.startswith("WITH "):
-        return "WITH " + ",\n".join(parts) + ",\n" + body.removeprefix("WITH ")
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if parts and body.startswith(start):
+            return start + ",\n".join(parts) + ",\n" + body.removeprefix(start)
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
