@@ -27,7 +27,7 @@ def book_features(m: Market) -> DataFrame:
 
 
 @add("f20_level_imbalance", """WITH w AS (SELECT instr, t, list_sum([bids[i].qty / i FOR i IN [1, 2, 3, 4, 5]]) AS b, list_sum([asks[i].qty / i FOR i IN [1, 2, 3, 4, 5]]) AS a FROM quotes)
-SELECT instr, t, round(CASE WHEN a + b = 0 THEN 0 ELSE (b - a) / (b + a) END, 5) AS obi_levels FROM w""")
+SELECT instr, t, round(CASE WHEN a + b = 0 THEN 0 ELSE (b - a) / (b + a) END, 8) AS obi_levels FROM w""")
 def level_imbalance(m: Market) -> DataFrame:
     return rounded(book.features(m.quotes, ["instr"]), ("obi_levels",), 8)
 
