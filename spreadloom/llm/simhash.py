@@ -9,6 +9,11 @@ full Hamming distance is looked at.
 A key that many fingerprints share is not paired off. Two fingerprints of such a key lie within two bits of each
 other exactly if flipping at most one bit of each gives the same word, so each emits its one-bit flips and those
 that meet on a word are linked. A word has 65 flips at most, which bounds every group at any size of the input.
+
+Texts that share four fifths of their shingles differ in more bits than a ring can be joined on. For these the ring is
+one of shingle classes: the shingles of a text fall by hash into classes of a few each, as many as the text asks for,
+and a class that no edit touched is equal on both sides. Texts that share a class are compared with its first and
+last text: by the chains of their fingerprints at a wider budget, the full Hamming distance, and the shingles.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,29 +32,41 @@ from spreadloom.llm.common import blocks, components, documents, prepare, save
 #: Words in a shingle, differing bits that still link, segments of the ring, fingerprints paired off on one key.
 WORDS, BUDGET, SEGMENTS, PAIRED = 5, 2, 5, 48
 SEED = 42
+#: Shared part of the shingles that makes two texts similar; bits and segments of the wider ring that prunes candidates.
+SIMILAR, WIDE_BUDGET, WIDE_SEGMENTS = 0.8, 18, 8
+#: Shingles in a class, classes of a text that are keys, smallest shingle hashes by which two texts are compared.
+CLASS, CLASSES, SAMPLE = 4, 24, 128
 
 
-def fingerprint(data: bytes | None, words: int = WORDS) -> int:
-    """SimHash of the lower-cased (A-Z) words of `data`; 0 without words; fewer than `words` words are one shingle."""
-    ones, total, last = np.zeros(64, np.int64), 0, []
-    hashed = xxhash.xxh64_digest
-    short: list[bytes] = []
+def shingle_hashes(data: bytes | None, words: int) -> Iterator[np.ndarray]:
+    """Big-endian XXH64 of the shingles of the lower-cased (A-Z) words, repeats included, in blocks; fewer words than
+    `words` are one shingle, none are none."""
+    hashed, last, some = xxhash.xxh64_digest, [], False
     for part in blocks(data or b""):
         w = last + part.lower().split()
         if len(w) < words:
-            last = short = w
+            last = w
             continue
         digests = b"".join([hashed(s, SEED) for s in map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))])
-        bits = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64)
-        for i in range(0, len(bits), 1 << 16):
-            ones += bits[i : i + (1 << 16)].sum(axis=0, dtype=np.int64)
-        total += len(bits)
-        last = w[-(words - 1) :] if words > 1 else []
-    if not total:
-        if not short:
-            return 0
-        return int.from_bytes(hashed(b" ".join(short), SEED), "big")
-    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
+        yield np.frombuffer(digests, np.uint8).reshape(-1, 8)
+        some, last = True, w[len(w) - words + 1 :]
+    if not some and last:
+        yield np.frombuffer(hashed(b" ".join(last), SEED), np.uint8).reshape(1, 8)
+
+
+def majority(hashes: Iterator[np.ndarray]) -> int:
+    """The word whose bits are set in over half of the hashes; 0 without any."""
+    ones, total = np.zeros(64, np.int64), 0
+    for h in hashes:
+        for i in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+        total += len(h)
+    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big") if total else 0
+
+
+def fingerprint(data: bytes | None, words: int = WORDS) -> int:
+    """SimHash of a text."""
+    return majority(shingle_hashes(data, words))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -133,13 +151,104 @@ def near_groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, segme
     return fps.join(named.join(least, "label").select("fp", "component_id"), "fp")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
-    """Rows of `docs`, of each near-duplicate group the one with the smallest doc_id.
+def class_keys(distinct: np.ndarray) -> np.ndarray:
+    """Keys of the first classes of sorted distinct shingle hashes, for each number of classes that a similar text may have."""
+    n, out = len(distinct), []
+    for c in sorted({max(0, int(np.log2(max(1.0, x / CLASS)))) for x in (n, n / SIMILAR)}):
+        place = (distinct >> np.uint64(64 - c)).astype(np.int64) if c else np.zeros(n, np.int64)
+        place = place[: np.searchsorted(place, CLASSES)]
+        if not len(place):
+            continue
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+        sums = np.add.reduceat(distinct[: len(place)], starts)
+        out.append((sums ^ (np.uint64(c) << np.uint64(32) | place[starts].astype(np.uint64))) * np.uint64(0x9E3779B97F4A7C15))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """row (a number of its own), doc_id, fp, n (distinct shingles), keys (of classes), sample (smallest hashes) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            cols: list[list] = [[] for _ in range(5)]
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                parts = list(shingle_hashes(t, words))
+                distinct = np.unique(np.concatenate(parts).view(">u8").ravel()).astype(np.uint64) if parts else np.empty(0, np.uint64)
+                for c, v in zip(cols, (row, majority(iter(parts)), len(distinct), class_keys(distinct).view(np.int64), distinct[:SAMPLE].tobytes()), strict=True):
+                    c.append(v)
+                row += 1
+            fps = pa.array(np.array(cols[1], np.uint64).view(np.int64))
+            arrays = [pa.array(cols[0], pa.int64()), b.column(0), fps, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "fp", "n", "keys", "sample"])
+
+    prepare(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "row long, doc_id long, fp long, n long, keys array<bigint>, sample binary")
+
+
+def shared_part(a: bytes, b: bytes) -> float:
+    """Jaccard similarity from the smallest hashes of two texts: exact if both have `SAMPLE` shingles at most."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = np.union1d(x, y)
+    if len(x) == SAMPLE or len(y) == SAMPLE:
+        both = both[: min(SAMPLE, len(both))]
+    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean()) if len(both) else 0.0
+
+
+def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) between rows of `own` (as `sketches`) that share a class with the first or last row of its key and
+    have the similarity. Work and links grow with the rows, whatever the groups."""
+    keys = own.select("row", F.explode("keys").alias("key"))
+    ends = keys.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
+    met = keys.join(ends, "key").select("row", F.explode(F.array("low", "high")).alias("other")).where("row <> other")
+    met = save(met.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct(), "met")
+    one = own.select(F.col("row").alias("a"), F.col("fp").alias("af"), F.col("n").alias("an"))
+    two = own.select(F.col("row").alias("b"), F.col("fp").alias("bf"), F.col("n").alias("bn"))
+    x = F.col("af").bitwiseXOR(F.col("bf"))
+    within = F.lit(False)
+    for i in range(WIDE_SEGMENTS):
+        ok = F.lit(True)
+        for mask, most in chains(i, WIDE_BUDGET, WIDE_SEGMENTS):
+            ok = ok & (differing(x, mask) <= most)
+        within = within | ok
+    close = met.join(one, "a").join(two, "b").where((F.least("an", "bn") >= similar * F.greatest("an", "bn")) & within).select("a", "b")
+    texts = own.select(F.col("row").alias("a"), F.col("sample").alias("as")), own.select(F.col("row").alias("b"), F.col("sample").alias("bs"))
+    both = save(close, "close").join(texts[0], "a").join(texts[1], "b").select("a", "b", "as", "bs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(["a", "b"]).filter(pa.array([shared_part(x, y) >= similar for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
 
-    Rows without a doc_id stay, as nothing says which of them a group would keep; a repeated doc_id stays once for
-    each of its rows' texts that lead a group.
+
+def similar_groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, similar: float = SIMILAR) -> DataFrame:
+    """One row per row of `docs`: doc_id, component_id (smallest doc_id of its group, null where none has one).
+
+    Rows are linked if their fingerprints lie within `budget` bits, or if they share `similar` of their shingles and a
+    class of them (of two such texts of 200 words or more 98 in 100 do, alone; others of the group help). Texts
+    without words are one group. Repeated rows fall into one group, nulls count as empty, no rows give no rows.
+    """
+    own = save(sketches(docs, words), "sketches")
+    reps = save(own.groupBy("fp").agg(F.min("row").alias("rep")), "reps")
+    alike = own.join(reps, "fp").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
+    near = links(reps.select("fp"), budget)
+    for side in "ab":
+        near = near.join(reps.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_")), side).drop(side).withColumnRenamed(f"{side}_", side)
+    labels = components(alike.union(near.select("a", "b")).union(similar_links(own, similar)))
+    named = save(own.select("row", "doc_id").join(labels.withColumnRenamed("node", "row"), "row", "left").select("doc_id", F.coalesce("label", "row").alias("label")), "named")
+    least = save(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+    return named.join(least, "label").select("doc_id", "component_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, words: int = WORDS, budget: int = BUDGET, similar: float = SIMILAR) -> DataFrame:
+    """Rows of `docs`, of each group of near duplicates the one with the smallest doc_id.
+
+    Rows without a doc_id stay, as nothing says which of them a group would keep; of a repeated doc_id all rows stay
+    unless one of them is in a group that another document leads.
     """
-    groups = near_groups(docs.select("doc_id", "text"), words, budget)
+    groups = similar_groups(docs.select("doc_id", "text"), words, budget, similar)
     go = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
 

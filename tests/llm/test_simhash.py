@@ -86,3 +86,34 @@ def test_query_on_small_table_matches_brute_force(spark):
     want = slow_groups(fps)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op1_simhash(spark, sf).collect()}
     assert got == {d: (f"{fps[d]:016x}", want[d]) for d in fps}
+
+
+def jaccard(a, b, words=5):
+    x, y = ({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_meet_and_others_do_not(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    rows, pairs = [], []
+    for k in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([40, 150, 600, 3000]))]
+        other = list(base)
+        for _ in range(rng.randint(0, max(1, len(base) // 40))):
+            other[rng.randrange(len(other))] = rng.choice(words)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        pairs.append(jaccard(rows[-2][1], rows[-1][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert all(got[2 * k] == 2 * k for k in range(60))
+    sure = [k for k, j in enumerate(pairs) if j >= 0.88]
+    assert len(sure) > 15 and sum(got[2 * k + 1] == 2 * k for k in sure) >= 0.95 * len(sure)
+    assert all(got[2 * k + 1] == 2 * k + 1 for k, j in enumerate(pairs) if j < 0.68)
+
+
+def test_shared_part_is_exact_for_short_texts():
+    import numpy as np
+
+    a, b = np.arange(0, 100, dtype=np.uint64), np.arange(20, 110, dtype=np.uint64)
+    assert simhash.shared_part(a.tobytes(), b.tobytes()) == 80 / 110 and simhash.shared_part(b"", b"") == 0.0
