@@ -32,9 +32,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc"), text.alias("text")).select("row", "doc", F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
 
+def words_of(text: Column) -> Column:
+    """Lower-cased words of a text, with empty strings where white space repeats."""
+    for space in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.split(F.lower(text), " ")
+
+
 def rarity(docs: DataFrame) -> Column:
     """Array with the rank of each bucket of word hashes, rarest words lowest: a literal of `BUCKETS` small numbers."""
-    word = F.explode(F.split(F.lower(F.col("text").cast("string")), r"\s+")).alias("w")
+    word = F.explode(words_of(F.col("text").cast("string"))).alias("w")
     counts = docs.select(word).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     ranks = {r["bucket"]: r["rank"] for r in counts.select("bucket", F.floor(64 * F.log2(F.col("n") + 1)).alias("rank")).collect()}
     return F.from_json(F.lit(str([min(32767, ranks.get(i, 0)) for i in range(BUCKETS)])), "array<int>")
@@ -48,8 +55,7 @@ def coded(line: Column, ranks: Column) -> Column:
         rank = F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
         return F.shiftleft(rank, BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - BITS))
 
-    found = F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
-    return F.sort_array(F.array_distinct(F.transform(found, code)))
+    return F.sort_array(F.transform(F.array_remove(F.array_distinct(words_of(line)), ""), code))
 
 
 def with_sets(lines: DataFrame, ranks: Column) -> DataFrame:
@@ -82,34 +88,47 @@ def matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def removed_classes(docs: DataFrame, lines: DataFrame, classes: DataFrame, ranks: Column, threshold: float, crowd: int) -> DataFrame:
-    """k1 of the classes that match an earlier one; `lines` has doc, no, k1, n, pairs, `classes` k1 and first."""
-    first = F.struct("doc", "no", "row")
-    lead = lines.where(F.size("pairs") > 0).join(classes, "k1").where(first == F.col("first"))
-    keys = lead.select("k1", "first", "n", F.posexplode("pairs").alias("i", "key"))
-    counts = keys.groupBy("key").agg(F.count("*").alias("classes"), F.min(F.struct("first", "k1", "n", "i")).alias("lead")).where("classes > 1")
-    shared = save(keys.join(counts, "key").select("key", "k1", "first", "n", "i", "classes", "lead"), "shared")
-
-    def paired(later: DataFrame, all_: DataFrame) -> DataFrame:
-        early = all_.select("key", F.col("k1").alias("a"), F.col("first").alias("af"), F.col("n").alias("an"), F.col("i").alias("ai"))
-        met = later.select("key", F.col("k1").alias("b"), F.col("first").alias("bf"), F.col("n").alias("bn"), F.col("i").alias("bi")).join(early, "key")
-        met = met.where("af < bf").where(possible(threshold, F.col("an"), F.col("ai"), F.col("bn"), F.col("bi")))
-        return met.groupBy("a", "b").agg(F.max("af").alias("af")).select("a", "b")
-
-    few, many = shared.where(F.col("classes") <= crowd), shared.where(F.col("classes") > crowd)
-    pairs = save(paired(few, few), "pairs")
-    leads = many.where("first > lead.first").where(possible(threshold, F.col("lead.n"), F.col("lead.i"), F.col("n"), F.col("i")))
-    leads = save(leads.select(F.col("lead.k1").alias("a"), F.col("k1").alias("b")).distinct(), "leads")
+    """k1 of the classes that match an earlier one; `lines` has doc, no, row, k1, n, pairs, `classes` k1 and first."""
+    some = lines.where(F.size("pairs") > 0)
+    # keys of single lines end here, before anything else is carried along
+    counts = some.select(F.explode("pairs").alias("key")).groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select("key")
+    lead = some.join(classes, "k1").where(F.struct("doc", "no", "row") == F.col("first"))
+    keys = lead.select("k1", "n", F.posexplode("pairs").alias("i", "key")).select("key", "k1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("at"))
+    shared = save(keys.join(counts, "key"), "shared")
+    crowds = save(shared.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1"), "crowds")
+    few = shared.join(crowds.where(F.col("classes") <= crowd), "key").select("key", "k1", "at")
+    many = shared.join(crowds.where(F.col("classes") > crowd), "key").join(classes.select("k1", "first"), "k1").select("key", "k1", "at", "first")
+    many = save(many, "many")
+
+    def met(x: str, y: str) -> Column:
+        n = lambda c: F.shiftright(F.col(c), 32)
+        i = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+        return possible(threshold, n(x), i(x), n(y), i(y))
+
+    def paired(one: DataFrame, all_: DataFrame, order: str) -> DataFrame:
+        a = all_.select("key", F.col("k1").alias("a"), F.col("at").alias("a_at"), F.col(order).alias("a_o"))
+        b = one.select("key", F.col("k1").alias("b"), F.col("at").alias("b_at"), F.col(order).alias("b_o"))
+        return b.join(a, "key").where((F.col("a_o") < F.col("b_o")) & met("a_at", "b_at")).select("a", "b").distinct()
+
+    pairs = save(paired(few, few, "k1"), "pairs")
+    heads = many.groupBy("key").agg(F.min(F.struct("first", "k1", "at")).alias("h"))
+    leads = many.join(heads, "key").withColumn("h_at", F.col("h.at")).where("first > h.first").where(met("h_at", "at"))
+    leads = save(leads.select(F.col("h.k1").alias("a"), F.col("k1").alias("b")).distinct(), "leads")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("k1")).union(many.select("k1")).distinct()
     places = classes.join(asked, "k1").groupBy("first.doc").agg(F.collect_set("first.no").alias("nos"))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     texts = docs.select(doc.alias("doc"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("all")).join(places, "doc")
     texts = texts.select(F.explode("nos").alias("no"), "all").select(F.get("all", F.col("no")).alias("line")).where("line is not null")
-    sets = with_sets(texts, ranks).join(asked, "k1").select("k1", "words").dropDuplicates(["k1"])
-    sets = save(sets, "sets")
+    sets = save(with_sets(texts, ranks).join(asked, "k1").select("k1", "words").dropDuplicates(["k1"]), "sets")
     settled = save(matching(leads, sets, threshold).select(F.col("b").alias("k1")).distinct(), "settled")
-    rest = paired(many.join(settled, "k1", "left_anti"), many)
-    gone = matching(pairs.union(rest).distinct(), sets, threshold).select(F.col("b").alias("k1"))
-    return gone.union(settled).distinct()
+    rest = paired(many.join(settled, "k1", "left_anti"), many, "first")
+    gone = matching(rest, sets, threshold).select(F.col("b").alias("k1"))
+    # pairs of uncrowded keys have no order yet: the later of the two goes
+    known = matching(pairs, sets, threshold)
+    for side in "ab":
+        known = known.join(classes.select(F.col("k1").alias(side), F.col("first").alias(f"{side}f")), side)
+    later = known.select(F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("k1"))
+    return gone.union(settled).union(later).distinct()
 
 
 def line_removals(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
