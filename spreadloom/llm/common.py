@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows handed to Python at once; whole texts can be long, so batches stay short.
 ARROW_ROWS = 500
+#: Bytes of a row group in saved tables: what a writer holds in memory.
+ROW_GROUP = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def save(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` to the shared folder and read it back: computed once, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/spreadloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

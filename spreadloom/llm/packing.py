@@ -30,7 +30,7 @@ CAPACITY, END_ID = 2048, 0
 #: Parts into which the pieces of one length are dealt for ranking.
 SALT = 256
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Characters of a text that are split into words at once.
 STRIDE = 1 << 20
 #: Punctuation that is cut off a word before it is looked up.
@@ -54,13 +54,13 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            j = json.load(f)
-        first = next(iter((j.get("pre_tokenizer") or {}).get("pretokenizers", [{}])))
+        # the parts' own JSON, not the file's, which holds the whole vocabulary
+        parts, lower = (x.__getstate__().decode() if x else "{}" for x in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer))
+        first = next(iter(json.loads(parts).get("pretokenizers", [{}])))
         self.by_word = (
             r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in json.dumps(first).replace("\\\\", "\\")
-            and j["model"].get("end_of_word_suffix") == "</w>"
-            and '"Lowercase"' in json.dumps(j["normalizer"])
+            and getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>"
+            and '"Lowercase"' in lower
         )
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
 
