@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from spreadloom.llm import decontam, exactdedup, lengths, lines, packing, pages, quality, repeats, secrets, simhash
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_main_text": pages.op9_main_text,
         "op10_repeats": repeats.op10_repeats,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -34,6 +34,8 @@ WORDS, BUDGET, SEGMENTS, PAIRED = 5, 2, 5, 48
 SEED = 42
 #: Shared part of the shingles that makes two texts similar; bits and segments of the wider ring that prunes candidates.
 SIMILAR, WIDE_BUDGET, WIDE_SEGMENTS = 0.8, 18, 8
+#: Distance from the limit at which the part estimated from samples no longer decides and all shingles are compared.
+UNSURE = 0.15
 #: Shingles in a class, classes of a text that are keys, smallest shingle hashes by which two texts are compared.
 CLASS, CLASSES, SAMPLE = 4, 24, 128
 
@@ -166,7 +168,8 @@ def class_keys(distinct: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """row (a number of its own), doc_id, fp, n (distinct shingles), keys (of classes), sample (smallest hashes) of every row."""
+    """row (a number of its own), doc_id, fp, n (distinct shingles), keys (of classes), sample (smallest hashes), data (the
+    text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -179,12 +182,12 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     c.append(v)
                 row += 1
             fps = pa.array(np.array(cols[1], np.uint64).view(np.int64))
-            arrays = [pa.array(cols[0], pa.int64()), b.column(0), fps, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "fp", "n", "keys", "sample"])
+            arrays = [pa.array(cols[0], pa.int64()), b.column(0), fps, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary()), b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "fp", "n", "keys", "sample", "data"])
 
     prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "row long, doc_id long, fp long, n long, keys array<bigint>, sample binary")
+        run, "row long, doc_id long, fp long, n long, keys array<bigint>, sample binary, data binary")
 
 
 def shared_part(a: bytes, b: bytes) -> float:
@@ -196,7 +199,12 @@ def shared_part(a: bytes, b: bytes) -> float:
     return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean()) if len(both) else 0.0
 
 
-def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def distinct_hashes(data: bytes | None, words: int) -> np.ndarray:
+    parts = list(shingle_hashes(data, words))
+    return np.unique(np.concatenate(parts).view(">u8").ravel()) if parts else np.empty(0, ">u8")
+
+
+def similar_links(own: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """Links (a, b) between rows of `own` (as `sketches`) that share a class with the first or last row of its key and
     have the similarity. Work and links grow with the rows, whatever the groups."""
     keys = own.select("row", F.explode("keys").alias("key"))
@@ -213,14 +221,31 @@ def similar_links(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
             ok = ok & (differing(x, mask) <= most)
         within = within | ok
     close = met.join(one, "a").join(two, "b").where((F.least("an", "bn") >= similar * F.greatest("an", "bn")) & within).select("a", "b")
-    texts = own.select(F.col("row").alias("a"), F.col("sample").alias("as")), own.select(F.col("row").alias("b"), F.col("sample").alias("bs"))
-    both = save(close, "close").join(texts[0], "a").join(texts[1], "b").select("a", "b", "as", "bs")
+    close = save(close, "close")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def beside(pairs: DataFrame, name: str) -> DataFrame:
+        a = own.select(F.col("row").alias("a"), F.col("n").alias("an"), F.col(name).alias("ax"))
+        return pairs.join(a, "a").join(own.select(F.col("row").alias("b"), F.col("n").alias("bn"), F.col(name).alias("bx")), "b").select("a", "b", "an", "bn", "ax", "bx")
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = np.array([shared_part(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)])
+            most = np.maximum(b.column(2).to_numpy(), b.column(3).to_numpy())
+            sure = (most <= SAMPLE) | (np.abs(part - similar) > UNSURE)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure), pa.array(part + 1e-9 >= similar)], names=["a", "b", "sure", "yes"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.select(["a", "b"]).filter(pa.array([shared_part(x, y) >= similar for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_()))
+            yes = []
+            for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                one, two = distinct_hashes(x, words), distinct_hashes(y, words)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                yes.append(both + 1e-9 >= similar * (len(one) + len(two) - both))
+            yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    told = save(beside(close, "sample").mapInArrow(estimate, "a long, b long, sure boolean, yes boolean"), "told")
+    more = beside(told.where("not sure").select("a", "b"), "data").mapInArrow(exact, "a long, b long")
+    return told.where("sure and yes").select("a", "b").union(more)
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, similar: float = SIMILAR) -> DataFrame:
@@ -236,7 +261,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, si
     near = links(reps.select("fp"), budget)
     for side in "ab":
         near = near.join(reps.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_")), side).drop(side).withColumnRenamed(f"{side}_", side)
-    labels = components(alike.union(near.select("a", "b")).union(similar_links(own, similar)))
+    labels = components(alike.union(near.select("a", "b")).union(similar_links(own, words, similar)))
     named = save(own.select("row", "doc_id").join(labels.withColumnRenamed("node", "row"), "row", "left").select("doc_id", F.coalesce("label", "row").alias("label")), "named")
     least = save(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     return named.join(least, "label").select("doc_id", "component_id")
