@@ -70,7 +70,7 @@ def later_sum(df: DataFrame, events: DataFrame, keys: list[str], t: str, at: str
     w = Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
     sums = events.select(*keys, F.col(at).alias("t"), F.sum(value).over(w).alias("done_")).distinct()
     out = carried(df.withColumnRenamed(t, "t"), sums, keys, "done_", strict=inclusive)
-    out = out.join(F.broadcast(total), keys, "left")
+    out = out.join(total, keys, "left")
     return out.withColumn("later", F.coalesce(F.col("all_"), F.lit(0.0)) - F.coalesce(F.col("done_"), F.lit(0.0))).drop("all_", "done_", "done__t").withColumnRenamed("t", t)
 
 

@@ -233,7 +233,7 @@ SELECT x.pair, x.t, round(ln(a_close) - beta * ln(b_close), 6) AS s FROM aligned
 def beta_log_spread(m: Market) -> DataFrame:
     logs = m.aligned.select("pair", "t", F.ln("a_close").alias("la"), F.ln("b_close").alias("lb"))
     fit = stats.ols(logs, "pair", "lb", "la").select("pair", "b")
-    return logs.join(F.broadcast(fit), "pair").select("pair", "t", r6(F.col("la") - F.col("b") * F.col("lb")).alias("s"))
+    return logs.join(fit, "pair").select("pair", "t", r6(F.col("la") - F.col("b") * F.col("lb")).alias("s"))
 
 
 HEDGED = """v AS (SELECT x.pair, x.t, sa.point * x.a_close * CASE sa.ccy WHEN 'USD' THEN f.rate ELSE 1 END AS va, sb.point * x.b_close * CASE sb.ccy WHEN 'USD' THEN f.rate ELSE 1 END AS vb, f.rate
@@ -263,7 +263,7 @@ def values(m: Market) -> DataFrame:
 def hedged(m: Market) -> DataFrame:
     v = contract_values(m)
     fit = stats.ols(v, "pair", "vb", "va").select("pair", "b", "r2")
-    out = v.join(F.broadcast(fit), "pair").groupBy("pair").agg(F.count("*").alias("n"), r6(F.min("b")).alias("b"), r6(F.min("r2")).alias("r2"), F.round(F.avg((F.col("va") - F.col("b") * F.col("vb")) / 1e6), 4).alias("mean"))
+    out = v.join(fit, "pair").groupBy("pair").agg(F.count("*").alias("n"), r6(F.min("b")).alias("b"), r6(F.min("r2")).alias("r2"), F.round(F.avg((F.col("va") - F.col("b") * F.col("vb")) / 1e6), 4).alias("mean"))
     return out
 
 
