@@ -282,10 +282,10 @@ def rebased(m: Market) -> DataFrame:
     return m.bars.select("instr", "t", r6(100 * F.col("close") / first).alias("level"))
 
 
-@add("a7_describe", "SELECT pair, count(s) AS n, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS sd, round(arg_max(s, t), 6) AS last, round((arg_max(s, t) - avg(s)) / stddev_pop(s), 6) AS z FROM spread GROUP BY pair")
+@add("a7_describe", "SELECT pair, count(s) AS n, round(avg(s), 9) AS mean, round(stddev_pop(s), 6) AS sd, round(arg_max(s, t), 6) AS last, round((arg_max(s, t) - avg(s)) / stddev_pop(s), 6) AS z FROM spread GROUP BY pair")
 def describe(m: Market) -> DataFrame:
     out = stats.describe(m.spread, "pair", "s")
-    return out.select("pair", "n", *[r6(x).alias(x) for x in ("mean", "sd", "last", "z")])
+    return out.select("pair", "n", F.round("mean", 9).alias("mean"), *[r6(x).alias(x) for x in ("sd", "last", "z")])
 
 
 @add("a8_sample_sd", "SELECT pair, round(stddev_samp(s), 6) AS sd FROM spread GROUP BY pair")
@@ -385,11 +385,11 @@ def correlation(m: Market) -> DataFrame:
 @add("a23_durations", """
 WITH z AS (SELECT pair, t, (s - avg(s) OVER (PARTITION BY pair)) / stddev_pop(s) OVER (PARTITION BY pair) AS z FROM spread),
 g AS (SELECT pair, CAST(date_diff('minute', lag(t) OVER (PARTITION BY pair ORDER BY t), t) AS DOUBLE) AS g FROM z WHERE abs(z) >= 1)
-SELECT pair, count(*) AS n, round(avg(g), 6) AS mean, median(g) AS median, round(stddev_pop(g) / avg(g), 6) AS cv FROM g WHERE g > 1 GROUP BY pair""")
+SELECT pair, count(*) AS n, round(avg(g), 9) AS mean, median(g) AS median, round(stddev_pop(g) / avg(g), 6) AS cv FROM g WHERE g > 1 GROUP BY pair""")
 def durations(m: Market) -> DataFrame:
     w = Window.partitionBy("pair")
     z = m.spread.withColumn("z", c.zscore(F.col("s"), F.avg("s").over(w), F.stddev_pop("s").over(w))).where(F.abs("z") >= 1)
-    return stats.durations(z, "pair", "t").select("pair", "n", r6("mean").alias("mean"), "median", r6("cv").alias("cv"))
+    return stats.durations(z, "pair", "t").select("pair", "n", F.round("mean", 9).alias("mean"), "median", r6("cv").alias("cv"))
 
 
 @add("a32_standardised", "SELECT pair, t, round((s - avg(s) OVER p) / stddev_pop(s) OVER p, 6) AS z FROM spread WINDOW p AS (PARTITION BY pair)")
@@ -469,11 +469,11 @@ def lead_lag(m: Market) -> DataFrame:
 
 
 @add("w16_inter_arrival", """
-WITH g AS (SELECT instr, date_diff('second', lag(t) OVER (PARTITION BY instr ORDER BY t), t) AS g FROM ticks) SELECT instr, count(*) AS n, round(avg(g), 6) AS mean, max(g) AS longest FROM g WHERE g > 0 AND g <= 300 GROUP BY instr""")
+WITH g AS (SELECT instr, date_diff('second', lag(t) OVER (PARTITION BY instr ORDER BY t), t) AS g FROM ticks) SELECT instr, count(*) AS n, round(avg(g), 9) AS mean, max(g) AS longest FROM g WHERE g > 0 AND g <= 300 GROUP BY instr""")
 def inter_arrival(m: Market) -> DataFrame:
     w = Window.partitionBy("instr").orderBy("t")
     g = F.timestamp_diff("SECOND", F.date_trunc("second", F.lag("t").over(w)), F.date_trunc("second", F.col("t")))
-    return m.ticks.select("instr", g.alias("g")).where("g > 0 and g <= 300").groupBy("instr").agg(F.count("*").alias("n"), r6(F.avg("g")).alias("mean"), F.max("g").alias("longest"))
+    return m.ticks.select("instr", g.alias("g")).where("g > 0 and g <= 300").groupBy("instr").agg(F.count("*").alias("n"), F.round(F.avg("g"), 9).alias("mean"), F.max("g").alias("longest"))
 
 
 @add("w24_leg_risk", "SELECT pair, round(sqrt(avg(d * d)) / sqrt(60) * sqrt(10) * sqrt(2 / pi()), 6) AS leg_sigma FROM (SELECT pair, s - lag(s) OVER (PARTITION BY pair, sid ORDER BY t) AS d FROM spread) WHERE d IS NOT NULL GROUP BY pair")
