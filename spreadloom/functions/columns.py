@@ -168,6 +168,9 @@ def krx_month(code: Column, asof: Column) -> Column:
     return F.make_date(year, F.instr(F.lit(MONTH_CHARS), F.substring(code, 5, 1)), F.lit(1))
 
 
-def us_month(code: Column) -> Column:
+def us_month(code: Column, asof: Column | None = None) -> Column:
+    """First day of the contract month; the century is that of 2000, or with `asof` the one that comes nearest to it."""
     letters = F.expr("map(" + ", ".join(f"'{c}', {m}" for m, c in QUARTER_LETTERS.items()) + ")")
-    return F.make_date(2000 + F.right(code, F.lit(2)).cast("int"), F.element_at(letters, F.substring(F.right(code, F.lit(3)), 1, 1)), F.lit(1))
+    two = F.right(code, F.lit(2)).cast("int")
+    year = 2000 + two if asof is None else two + 100 * F.round((F.year(asof) - two) / 100).cast("int")
+    return F.make_date(year, F.element_at(letters, F.substring(F.right(code, F.lit(3)), 1, 1)), F.lit(1))

@@ -18,7 +18,7 @@ def decide(held: DataFrame, market: str, days: int = DAYS) -> DataFrame:
     On KRX more volume in the next contract decides first; then, anywhere, the weekdays left to expiry (third
     Tuesday, first notice or last trading day by market).
     """
-    month = c.krx_month(F.col("code"), F.col("asof")) if market == "KRX" else c.us_month(F.col("code"))
+    month = c.krx_month(F.col("code"), F.col("asof")) if market == "KRX" else c.us_month(F.col("code"), F.col("asof"))
     expiry = {"KRX": c.third_tuesday, "CME": c.first_notice, "EUREX": c.last_trading}[market](F.col("month"))
     after = c.next_quarter(F.col("month"))
     code = c.krx_code(F.substring("code", 2, 2), after) if market == "KRX" else c.us_code(F.expr("left(code, length(code) - 3)"), after)
