@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from spreadloom.llm.common import documents, prepare
 
 #: Edits for each character of an item.
-RATE = 0.05
+RATE = 0.08
 #: Characters of items that go to the executors at once; more items take more passes.
 BLOCK = 4_000_000
 
