@@ -224,9 +224,10 @@ def similar_links(own: DataFrame, words: int = WORDS, similar: float = SIMILAR)
     close = save(close, "close")
 
     def beside(pairs: DataFrame, name: str) -> DataFrame:
-        # one pass over the wide column brings out the rows that pairs ask for; both sides then read those alone
+        # one pass over the wide column brings out the rows that pairs ask for; both sides then read those alone;
+        # the hint keeps one plan for every size
         asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        wide = save(own.select("row", "n", name).join(asked, "row", "left_semi"), "wide")
+        wide = save(own.select("row", "n", name).join(asked.hint("merge"), "row", "left_semi"), "wide")
         a = wide.select(F.col("row").alias("a"), F.col("n").alias("an"), F.col(name).alias("ax"))
         return pairs.join(a, "a").join(wide.select(F.col("row").alias("b"), F.col("n").alias("bn"), F.col(name).alias("bx")), "b").select("a", "b", "an", "bn", "ax", "bx")
 
