@@ -12,8 +12,8 @@ that meet on a word are linked. A word has 65 flips at most, which bounds every
 
 Texts that share four fifths of their shingles differ in more bits than a ring can be joined on. For these the ring is
 one of shingle classes: the shingles of a text fall by hash into classes of a few each, as many as the text asks for,
-and a class that no edit touched is equal on both sides. Texts that share a class are compared with its first and
-last text: by the chains of their fingerprints at a wider budget, the full Hamming distance, and the shingles.
+and a class that no edit touched is equal on both sides. Texts that share a class are first compared with its first and
+last text. Where a class still holds texts that no link joins by then, all of its pairs across such groups are compared.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from spreadloom.llm.common import blocks, components, documents, prepare, save
 #: Words in a shingle, differing bits that still link, segments of the ring, fingerprints paired off on one key.
 WORDS, BUDGET, SEGMENTS, PAIRED = 5, 2, 5, 48
 SEED = 42
-#: Shared part of the shingles that makes two texts similar; bits and segments of the wider ring that prunes candidates.
-SIMILAR, WIDE_BUDGET, WIDE_SEGMENTS = 0.8, 18, 8
-#: Distance from the limit at which the part estimated from samples no longer decides and all shingles are compared.
-UNSURE = 0.15
+#: Shared part of the shingles that makes two texts similar.
+SIMILAR = 0.8
+#: Distance above and below the limit within which the part estimated from samples does not decide and all shingles are compared.
+UNSURE = (0.15, 0.25)
 #: Shingles in a class, classes of a text that are keys, smallest shingle hashes by which two texts are compared.
 CLASS, CLASSES, SAMPLE = 4, 24, 128
 
@@ -204,23 +204,34 @@ def distinct_hashes(data: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(parts).view(">u8").ravel()) if parts else np.empty(0, ">u8")
 
 
-def similar_links(own: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between rows of `own` (as `sketches`) that share a class with the first or last row of its key and
-    have the similarity. Work and links grow with the rows, whatever the groups."""
-    keys = own.select("row", F.explode("keys").alias("key"))
-    ends = keys.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
-    met = keys.join(ends, "key").select("row", F.explode(F.array("low", "high")).alias("other")).where("row <> other")
-    met = save(met.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct(), "met")
-    one = own.select(F.col("row").alias("a"), F.col("fp").alias("af"), F.col("n").alias("an"))
-    two = own.select(F.col("row").alias("b"), F.col("fp").alias("bf"), F.col("n").alias("bn"))
-    x = F.col("af").bitwiseXOR(F.col("bf"))
-    within = F.lit(False)
-    for i in range(WIDE_SEGMENTS):
-        ok = F.lit(True)
-        for mask, most in chains(i, WIDE_BUDGET, WIDE_SEGMENTS):
-            ok = ok & (differing(x, mask) <= most)
-        within = within | ok
-    close = met.join(one, "a").join(two, "b").where((F.least("an", "bn") >= similar * F.greatest("an", "bn")) & within).select("a", "b")
+def class_rows(own: DataFrame) -> DataFrame:
+    """row, n, key of every key of `own` (as `sketches`)."""
+    return own.select("row", "n", F.explode("keys").alias("key"))
+
+
+def end_pairs(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of each row with the first and last row of its keys, of fitting sizes."""
+    keys = class_rows(own)
+    ends = keys.groupBy("key").agg(F.min(F.struct("row", "n")).alias("low"), F.max(F.struct("row", "n")).alias("high")).where("low.row < high.row")
+    met = keys.join(ends, "key").select("row", "n", F.explode(F.array("low", "high")).alias("other")).where("row <> other.row")
+    met = met.where(F.least("n", "other.n") >= similar * F.greatest("n", "other.n") - 1e-9)
+    return met.select(F.least("row", "other.row").alias("a"), F.greatest("row", "other.row").alias("b")).distinct()
+
+
+def open_pairs(own: DataFrame, labels: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """All pairs (a, b) of rows that share a key, of fitting sizes, but for those that `labels` (node, label) joins already."""
+    keys = class_rows(own).join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    keys = save(keys, "labelled")
+    left = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    rows = save(keys.join(left, "key"), "open")
+    a, b = rows.alias("a"), rows.alias("b")
+    fits = F.least("a.n", "b.n") >= similar * F.greatest("a.n", "b.n") - 1e-9
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row")) & (F.col("a.label") != F.col("b.label")) & fits)
+    return pairs.select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct()
+
+
+def similar_links(own: DataFrame, close: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+    """Those of the pairs `close` (a, b) of rows of `own` (as `sketches`) that have the similarity."""
     close = save(close, "close")
 
     def beside(pairs: DataFrame, name: str) -> DataFrame:
@@ -235,7 +246,7 @@ def similar_links(own: DataFrame, words: int = WORDS, similar: float = SIMILAR)
         for b in batches:
             part = np.array([shared_part(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)])
             most = np.maximum(b.column(2).to_numpy(), b.column(3).to_numpy())
-            sure = (most <= SAMPLE) | (np.abs(part - similar) > UNSURE)
+            sure = (most <= SAMPLE) | (part > similar + UNSURE[0]) | (part < similar - UNSURE[1])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure), pa.array(part + 1e-9 >= similar)], names=["a", "b", "sure", "yes"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +276,9 @@ def similar_groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, si
     near = links(reps.select("fp"), budget)
     for side in "ab":
         near = near.join(reps.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_")), side).drop(side).withColumnRenamed(f"{side}_", side)
-    labels = components(alike.union(near.select("a", "b")).union(similar_links(own, words, similar)))
+    labels = components(alike.union(near.select("a", "b")).union(similar_links(own, end_pairs(own, similar), words, similar)))
+    more = similar_links(own, open_pairs(own, labels, similar), words, similar)
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     named = save(own.select("row", "doc_id").join(labels.withColumnRenamed("node", "row"), "row", "left").select("doc_id", F.coalesce("label", "row").alias("label")), "named")
     least = save(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     return named.join(least, "label").select("doc_id", "component_id")

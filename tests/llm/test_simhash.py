@@ -117,3 +117,25 @@ def test_shared_part_is_exact_for_short_texts():
 
     a, b = np.arange(0, 100, dtype=np.uint64), np.arange(20, 110, dtype=np.uint64)
     assert simhash.shared_part(a.tobytes(), b.tobytes()) == 80 / 110 and simhash.shared_part(b"", b"") == 0.0
+
+
+def test_links_that_no_end_of_a_class_shows(spark):
+    own = spark.createDataFrame([(i, 100, [7]) for i in range(6)], "row long, n long, keys array<bigint>")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "node long, label long")
+    got = {(r.a, r.b) for r in simhash.open_pairs(own, labels).collect()}
+    assert got == {(a, b) for a in range(6) for b in range(a + 1, 6)} - {(1, 2)}
+
+
+def test_every_similar_pair_of_a_crowded_class_is_linked(spark):
+    rng = random.Random(4)
+    shared = [f"s{i}" for i in range(300)]
+    rows = []
+    for k in range(40):
+        # two thirds of each text are common to all, so that classes meet; the rest is shared by two texts
+        own = [f"o{k // 2}x{i}" for i in range(150)]
+        own[rng.randrange(150)] = f"e{k}"
+        rows.append((k, " ".join(shared + own)))
+    pairs = [(a, b) for a in range(40) for b in range(a + 1, 40) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    assert len(pairs) == 20
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[a] == got[b] for a, b in pairs) and len(set(got.values())) == 20
