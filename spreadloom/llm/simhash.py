@@ -10,14 +10,18 @@ A key that many fingerprints share is not paired off. Two fingerprints of such a
 other exactly if flipping at most one bit of each gives the same word, so each emits its one-bit flips and those
 that meet on a word are linked. A word has 65 flips at most, which bounds every group at any size of the input.
 
-Texts that share four fifths of their shingles differ in more bits than a ring can be joined on. For these the ring is
-one of shingle classes: the shingles of a text fall by hash into classes of a few each, as many as the text asks for,
-and a class that no edit touched is equal on both sides. Texts that share a class are first compared with its first and
-last text. Where a class still holds texts that no link joins by then, all of its pairs across such groups are compared.
+Texts that share four fifths of their shingles differ in more bits than a ring can be joined on. A text of up to 250
+shingles has the first fifth of them and one more as keys, frequent ones last: two such texts share one for certain,
+and the places of the first shared one bound what they can have in common. The shingles of a text of 200 or more fall
+by hash into classes of two or three, as many as the text asks for; a class that no edit touched is equal on both
+sides, and of the first 40 one is, but for a chance of some 1 in 10^10. Texts that share a key are first compared with
+its first and last text. Where a key still holds texts that no link joins by then, all of its pairs across such groups
+are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +40,12 @@ SEED = 42
 SIMILAR = 0.8
 #: Distance above and below the limit within which the part estimated from samples does not decide and all shingles are compared.
 UNSURE = (0.15, 0.25)
-#: Shingles in a class, classes of a text that are keys, smallest shingle hashes by which two texts are compared.
-CLASS, CLASSES, SAMPLE = 4, 24, 128
+#: Fewest shingles in a class, classes of a text that are keys, smallest shingle hashes by which two texts are compared.
+CLASS, CLASSES, SAMPLE = 2, 40, 128
+#: Least shingles of a text that is keyed by classes; one of up to 1 / `SIMILAR` as many is keyed by its rarest shingles.
+LONG = 200
+#: Bits of the hash by which shingles are counted, rows that are looked at, least count and number of frequent ones.
+COUNT_BITS, COUNTED, FREQUENT, MOST_FREQUENT = 22, 8192, 8, 1 << 16
 
 
 def shingle_hashes(data: bytes | None, words: int) -> Iterator[np.ndarray]:
@@ -153,11 +161,15 @@ def near_groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, segme
     return fps.join(named.join(least, "label").select("fp", "component_id"), "fp")
 
 
-def class_keys(distinct: np.ndarray) -> np.ndarray:
+def class_keys(distinct: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
     """Keys of the first classes of sorted distinct shingle hashes, for each number of classes that a similar text may have."""
     n, out = len(distinct), []
-    for c in sorted({max(0, int(np.log2(max(1.0, x / CLASS)))) for x in (n, n / SIMILAR)}):
-        place = (distinct >> np.uint64(64 - c)).astype(np.int64) if c else np.zeros(n, np.int64)
+    if n < LONG:
+        return np.empty(0, np.uint64)
+    low, high = (math.floor(2 * math.log2(x / CLASS) + e) for x, e in ((n, -1e-9), (n / similar, 1e-9)))
+    for level in range(low, high + 1):
+        c = int(2 ** (level / 2))
+        place = ((distinct >> np.uint64(32)) * np.uint64(c) >> np.uint64(32)).astype(np.int64)
         place = place[: np.searchsorted(place, CLASSES)]
         if not len(place):
             continue
@@ -167,9 +179,44 @@ def class_keys(distinct: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """row (a number of its own), doc_id, fp, n (distinct shingles), keys (of classes), sample (smallest hashes), data (the
+def prefix_size(n: int, similar: float = SIMILAR) -> int:
+    """Shingles of a text of n that are keys, so that every similar text shares one; 0 for a text keyed by classes alone."""
+    return n - math.ceil(similar * n - 1e-9) + 1 if 0 < n <= LONG / similar else 0
+
+
+def prefix_keys(distinct: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similar: float = SIMILAR) -> np.ndarray:
+    """The first of sorted distinct shingle hashes, by count (of `frequent`: sorted buckets, counts) and then by hash."""
+    size = prefix_size(len(distinct), similar)
+    if not size or not len(frequent[0]):
+        return distinct[:size]
+    bucket = (distinct >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+    at = np.minimum(np.searchsorted(frequent[0], bucket), len(frequent[0]) - 1)
+    count = np.where(frequent[0][at] == bucket, frequent[1][at], 0)
+    return distinct[np.argsort(count, kind="stable")[:size]]
+
+
+def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of frequent shingles, sorted, and their counts in a bounded part of the rows. They only order keys: any
+    order finds the same pairs, so a part does."""
+    rows = docs.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [distinct_hashes(t, words).astype(np.uint64) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            buckets, n = np.unique(np.concatenate(found) >> np.uint64(64 - COUNT_BITS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
+    part = docs.select(F.col("text").cast("string")).sample(min(1.0, COUNTED / max(1, rows)), SEED)
+    counts = part.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    got = sorted((r.bucket, r.n) for r in counts.orderBy(F.desc("n"), "bucket").limit(MOST_FREQUENT).collect())
+    return np.array([b for b, _ in got], np.int64), np.array([n for _, n in got], np.int64)
+
+
+def sketches(docs: DataFrame, words: int, similar: float = SIMILAR) -> DataFrame:
+    """row (a number of its own), doc_id, fp, n (distinct shingles), keys (of shingles, then of classes), sample (smallest hashes), data (the
     text) of every row."""
+    prepare(docs.sparkSession)
+    frequent = frequent_shingles(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -178,14 +225,14 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 parts = list(shingle_hashes(t, words))
                 distinct = np.unique(np.concatenate(parts).view(">u8").ravel()).astype(np.uint64) if parts else np.empty(0, np.uint64)
-                for c, v in zip(cols, (row, majority(iter(parts)), len(distinct), class_keys(distinct).view(np.int64), distinct[:SAMPLE].tobytes()), strict=True):
+                keys = np.concatenate([prefix_keys(distinct, frequent, similar), class_keys(distinct, similar)])
+                for c, v in zip(cols, (row, majority(iter(parts)), len(distinct), keys.view(np.int64), distinct[:SAMPLE].tobytes()), strict=True):
                     c.append(v)
                 row += 1
             fps = pa.array(np.array(cols[1], np.uint64).view(np.int64))
             arrays = [pa.array(cols[0], pa.int64()), b.column(0), fps, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary()), b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "fp", "n", "keys", "sample", "data"])
 
-    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "row long, doc_id long, fp long, n long, keys array<bigint>, sample binary, data binary")
 
@@ -204,14 +251,16 @@ def distinct_hashes(data: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(parts).view(">u8").ravel()) if parts else np.empty(0, ">u8")
 
 
-def class_rows(own: DataFrame) -> DataFrame:
-    """row, n, key of every key of `own` (as `sketches`)."""
-    return own.select("row", "n", F.explode("keys").alias("key"))
+def class_rows(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """row, n, key, place (of a shingle in the order of its text, 0 for a class) of every key of `own` (as `sketches`)."""
+    shingle = (F.col("n") <= LONG / similar) & (F.col("place") <= F.col("n") - F.ceil(similar * F.col("n") - 1e-9))
+    keys = own.select("row", "n", F.posexplode("keys").alias("place", "key"))
+    return keys.select("row", "n", "key", F.when(shingle, F.col("place")).otherwise(0).alias("place"))
 
 
 def end_pairs(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Pairs (a, b) of each row with the first and last row of its keys, of fitting sizes."""
-    keys = class_rows(own)
+    keys = class_rows(own, similar)
     ends = keys.groupBy("key").agg(F.min(F.struct("row", "n")).alias("low"), F.max(F.struct("row", "n")).alias("high")).where("low.row < high.row")
     met = keys.join(ends, "key").select("row", "n", F.explode(F.array("low", "high")).alias("other")).where("row <> other.row")
     met = met.where(F.least("n", "other.n") >= similar * F.greatest("n", "other.n") - 1e-9)
@@ -220,12 +269,14 @@ def end_pairs(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def open_pairs(own: DataFrame, labels: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """All pairs (a, b) of rows that share a key, of fitting sizes, but for those that `labels` (node, label) joins already."""
-    keys = class_rows(own).join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    keys = class_rows(own, similar).join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     keys = save(keys, "labelled")
     left = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     rows = save(keys.join(left, "key"), "open")
     a, b = rows.alias("a"), rows.alias("b")
-    fits = F.least("a.n", "b.n") >= similar * F.greatest("a.n", "b.n") - 1e-9
+    # what stands before the first shared shingle is not shared
+    most = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    fits = most >= similar / (1 + similar) * (F.col("a.n") + F.col("b.n")) - 1e-6
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row")) & (F.col("a.label") != F.col("b.label")) & fits)
     return pairs.select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct()
 
@@ -266,11 +317,10 @@ def similar_links(own: DataFrame, close: DataFrame, words: int = WORDS, similar:
 def similar_groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, similar: float = SIMILAR) -> DataFrame:
     """One row per row of `docs`: doc_id, component_id (smallest doc_id of its group, null where none has one).
 
-    Rows are linked if their fingerprints lie within `budget` bits, or if they share `similar` of their shingles and a
-    class of them (of two such texts of 200 words or more 98 in 100 do, alone; others of the group help). Texts
+    Rows are linked if their fingerprints lie within `budget` bits, or if they share `similar` of their shingles. Texts
     without words are one group. Repeated rows fall into one group, nulls count as empty, no rows give no rows.
     """
-    own = save(sketches(docs, words), "sketches")
+    own = save(sketches(docs, words, similar), "sketches")
     reps = save(own.groupBy("fp").agg(F.min("row").alias("rep")), "reps")
     alike = own.join(reps, "fp").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
     near = links(reps.select("fp"), budget)

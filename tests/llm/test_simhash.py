@@ -139,3 +139,31 @@ def test_every_similar_pair_of_a_crowded_class_is_linked(spark):
     assert len(pairs) == 20
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[a] == got[b] for a, b in pairs) and len(set(got.values())) == 20
+
+
+def test_every_pair_of_short_and_long_texts_shares_a_key():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for n in (5, 6, 7, 10, 20, 46, 100, 199, 200, 230, 250, 251, 400, 2000):
+        for _ in range(100):
+            both = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            k = int(n * 0.2) if rng.random() < 0.5 else int(n / 9)
+            other = both[k:] if k == int(n * 0.2) else np.concatenate([both[k:], rng.integers(0, 1 << 64, k, dtype=np.uint64)])
+            a, b = np.unique(both), np.unique(other)
+            if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+                continue
+            frequent = np.sort(rng.choice(a, n // 2, replace=False) >> np.uint64(64 - simhash.COUNT_BITS)).astype(np.int64)
+            counts = frequent % 5 + 8
+            x, y = (np.concatenate([simhash.prefix_keys(h, (frequent, counts)), simhash.class_keys(h)]) for h in (a, b))
+            assert len(np.intersect1d(x, y)), n
+
+
+def test_short_near_copies_are_linked(spark):
+    rows = []
+    for k in range(30):
+        words = [f"t{k}w{i}" for i in range(11)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:10]))]
+    assert all(jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8 for k in range(30))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d in range(60)}
