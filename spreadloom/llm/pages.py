@@ -23,13 +23,15 @@ from spreadloom.llm.common import prepare, save
 
 # Element names and class words as HTML pages use them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option".split())
-NEVER = RAW | frozenset("head nav header footer aside form button dialog menu label fieldset".split())
+RAW = frozenset("script style noscript template textarea title iframe object select option".split())
+NEVER = RAW | frozenset("head nav header footer aside form button dialog menu fieldset".split())
 CONTAINERS = frozenset("html body main article section div td table center".split())
 SEMANTIC = frozenset("article main".split())
+#: Elements that no class word marks: what they hold is the page or its article.
+WHOLE = SEMANTIC | frozenset("html body".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus dialog foot footer header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus dialog foot footer header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion recommended search sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 #: Elements that an opening tag of the same group ends where it stands directly in one.
 ENDS = {"p": BLOCKS - {"body", "html", "head"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"})}
@@ -40,7 +42,6 @@ SUPPORT, HOLDS, UNCHANGED = 0.5, 0.5, 8
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-PARTS = re.compile(r"[^a-z0-9]+")
 
 Block = tuple[str, bool, int, str]
 
@@ -115,7 +116,7 @@ def parsed(page: str) -> tuple[list[tuple[str, bool, bool]], list[Block]]:
         if name in VOID:
             continue
         names = sorted({w for x in NAMES.findall(m[3]) for w in "".join(x[1:]).lower().split()}) if m[3] else []
-        own = name in NEVER or any(w in WORDS or any(p in WORDS for p in PARTS.split(w)) for w in names)
+        own = name in NEVER or (name not in WHOLE and any(w in WORDS for w in names))
         _, above, never = stack[-1] if stack else ("", "", False)
         path = f"{above}/{name}{''.join('.' + w for w in names)}"
         opened.append((path, never or own, never))

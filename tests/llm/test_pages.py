@@ -39,3 +39,19 @@ def test_query_returns_the_articles_of_the_small_table(spark):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         want = [" ".join(html.unescape(re.sub(r"<(?!/?p\b|/?h1)[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
         assert got[r.page_id] == "\n".join(w for w in want if w)
+
+
+def test_class_words_drop_only_whole_names_and_never_the_article():
+    body = "<p>The article itself, with enough words to be read.</p>"
+    want = "The article itself, with enough words to be read."
+    for page in (
+        f'<body class="no-sidebar"><div>{body}</div></body>',
+        f'<body class="search"><div>{body}</div></body>',
+        f'<div class="content has-sidebar">{body}</div>',
+        f'<article class="post ad-free">{body}</article>',
+        f'<main id="search-result">{body}</main>',
+        f'<article class="post"><div class="ad"><p>Buy</p></div>{body}</article>',
+    ):
+        assert pages.main_text(page, None, frozenset()) == want, page
+    inside = '<article><p class="byline">By A</p><p class="share">a share price</p><p>one <svg><text>two</text></svg> <math>x</math> <label>three</label></p></article>'
+    assert pages.main_text(inside, None, frozenset()) == "By A\na share price\none two x three"
