@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -186,9 +187,10 @@ def strategy_metrics(m: Market) -> DataFrame:
 @add("g9_threshold_sweep")
 def threshold_sweep(m: Market) -> DataFrame:
     """Positions at three thresholds, marked to market."""
-    z = scored(m).select("pair", "sid", "t", "s", "z", F.explode(F.array(*map(F.lit, (1.0, 1.5, 2.0)))).alias("threshold"))
-    # a score of `threshold` is one of 1 after scaling, so that one state machine serves all
-    pos = signals.held(z.withColumn("z", F.col("z") / F.col("threshold")), ["pair", "sid", "threshold"], "t", "z", 1.0, 0.125)
+    thresholds = (1.0, 1.5, 2.0)
+    z = scored(m).select("pair", "sid", "t", "s", "z", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    keys = ["pair", "sid", "threshold"]
+    pos = reduce(DataFrame.unionByName, [signals.held(z.where(F.col("threshold") == v), keys, "t", "z", v, 0.25) for v in thresholds])
     w = Window.partitionBy("pair", "sid", "threshold").orderBy("t")
     r = z.join(pos, ["pair", "sid", "threshold", "t"]).withColumn("r", F.coalesce(F.lag("pos").over(w) * (F.col("s") - F.lag("s").over(w)), F.lit(0.0)))
     return r.groupBy("pair", "threshold").agg(r6(F.sum("r")).alias("net"), F.count_if(F.col("pos") != 0).alias("held"))

@@ -195,3 +195,15 @@ def test_intervals_merge_and_cover(spark):
     assert sorted((r.lo, r.hi) for r in spans.collect()) == [(at(-6), at(16)), (at(34), at(46)), (at(1494), at(1506))]
     holes = spark.createDataFrame([("a", at(1), at(3)), ("b", at(14), at(20))], "k string, lo_ timestamp_ntz, hi_ timestamp_ntz")
     assert {r.k: r.covered for r in sessions.inside(holes, spans, "lo_", "hi_").collect()} == {"a": True, "b": False}
+
+
+def test_threshold_sweep_leaves_at_one_score(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from spreadloom.plans import surface
+
+    rows = [("p", 1, at(i), float(i), z) for i, z in enumerate((2.5, 0.2, 0.2, 0.1))]
+    z = spark.createDataFrame(rows, "pair string, sid int, t timestamp_ntz, s double, z double")
+    monkeypatch.setattr(surface, "scored", lambda m: z)
+    got = {r.threshold: (r.net, r.held) for r in surface.threshold_sweep(SimpleNamespace()).collect()}
+    assert got == dict.fromkeys((1.0, 1.5, 2.0), (-1.0, 1))
