@@ -198,7 +198,7 @@ def threshold_sweep(m: Market) -> DataFrame:
 
 @add("g22_posterior_predictive")
 def posterior_predictive(m: Market) -> DataFrame:
-    draws = models.posterior(m.steps, "pair", "t", "x", "d", draws=800, burn=300, cost=5.0)
+    draws = models.posterior(m.steps, "pair", "t", "x", "d", cost=5.0)
     return draws.groupBy("pair").agg(F.avg("pnl").alias("mean"), F.percentile("pnl", 0.05).alias("low"), F.percentile("pnl", 0.95).alias("high"), F.avg((F.col("pnl") > 0).cast("double")).alias("p_over_cost"))
 
 

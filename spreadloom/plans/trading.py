@@ -260,7 +260,7 @@ def posterior(m: Market) -> DataFrame:
 
 @add("g19_trader_seeds")
 def traders(m: Market) -> DataFrame:
-    return models.seed_summary(models.train_traders(m.steps, "pair", "t", "d", rows=300), "pair")
+    return models.seed_summary(models.train_traders(m.steps, "pair", "t", "d"), "pair")
 
 
 add("x_live_board")(lambda m: pair_report(m).orderBy(F.desc(F.abs("z"))).limit(8).select(F.to_json(F.struct("pair", "z", "half_life", "t_hac")).alias("payload")))

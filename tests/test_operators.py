@@ -207,3 +207,14 @@ def test_threshold_sweep_leaves_at_one_score(spark, monkeypatch):
     monkeypatch.setattr(surface, "scored", lambda m: z)
     got = {r.threshold: (r.net, r.held) for r in surface.threshold_sweep(SimpleNamespace()).collect()}
     assert got == dict.fromkeys((1.0, 1.5, 2.0), (-1.0, 1))
+
+
+def test_traders_and_draws_take_the_whole_job(spark):
+    import inspect
+
+    steps = spark.createDataFrame([("p", at(i), math.sin(i), math.cos(i * 1.7)) for i in range(650)], "pair string, t timestamp_ntz, x double, d double")
+    assert inspect.signature(models.trader).parameters["epochs"].default == 60
+    runs = models.train_traders(steps, "pair", "t", "d").collect()
+    assert sorted(r.seed for r in runs) == list(range(20)) and {r.n for r in runs} == {650}
+    size = inspect.signature(models.posterior).parameters
+    assert (size["draws"].default, size["burn"].default) == (4000, 1000)
