@@ -1,11 +1,10 @@
-"""Main text of web pages by deducing each host's template.
-
-The structural elements of a page, told apart by their path of tags and classes, are its tokens. Over the pages of
-a host every token has an occurrence vector (how often it stands on each page); a sum of page hashes weighted by
-these counts stands for the vector, so tokens with equal vectors meet in one class without their pages being
-gathered. Classes that stand once on each of most pages and nest by their paths are the host's template, what lies
-between is its slots. The slot with the page's own text is the main one; template text inside it that never
-changes, and the parts that are never an article (menus, forms, adverts, comments and so on), are left out.
+"""Main text of web pages by what the pages of a host have in common.
+
+The structural elements of a page, told apart by their path of tags and classes, are its tokens. A container that
+stands once on at least half of a host's pages and holds at least half of its text is the main one; text inside it
+that never changes, and the parts that are never an article (menus, forms, adverts, comments and so on), are left out.
+Tokens are also grouped by occurrence vectors (sums of page hashes weighted by counts), but these classes decide
+nothing yet: they are not nested into a template, and no slots are read off one.
 """
 
 from __future__ import annotations
