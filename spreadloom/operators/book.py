@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,22 +48,39 @@ def predictive(rows: DataFrame, key: str, names: list[str], minutes: float, leas
     return long.groupBy(key, "name").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, correlation(F.col("x"), F.col("y"))).alias("corr"))
 
 
-def refills(quotes: DataFrame, key: str, share: float = 0.5, within: float = 300.0) -> DataFrame:
-    """key, t, seconds: from each drop of the best bid size by `share` or more until it is back, scanning on after it."""
-    rows = quotes.select(key, "t", F.col("bids")[0]["qty"].alias("qty"))
+def refills(quotes: DataFrame, key: str, share: float = 0.5, within: int = 300) -> DataFrame:
+    """key, side, t, seconds: from a drop of the best size by `share` or more until what stood before is back.
 
-    def scan(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t", ignore_index=True)
-        q, t, out, i = g["qty"].to_numpy(), g["t"].to_numpy(), [], 1
-        while i < len(q):
-            if q[i - 1] > 0 and q[i] <= q[i - 1] * (1 - share):
-                j = i + 1
-                while j < len(q) and (t[j] - t[i]) / pd.Timedelta(seconds=1) <= within and q[j] < q[i - 1]:
-                    j += 1
-                if j < len(q) and q[j] >= q[i - 1] and (t[j] - t[i]) / pd.Timedelta(seconds=1) <= within:
-                    out.append((g[key][0], t[i], float((t[j] - t[i]) / pd.Timedelta(seconds=1))))
-                    i = j
-            i += 1
-        return pd.DataFrame(out, columns=[key, "t", "seconds"])
+    Both sides are scanned by themselves, null sizes as 0. A drop is settled at the first later book that has the old
+    size or comes more than `within` seconds after it; drops before that book belong to the same event, and the scan
+    goes on behind it. Only sizes that are back after more than 0 and up to `within` seconds count.
 
-    return rows.groupBy(key).applyInPandas(scan, f"{key} string, t timestamp_ntz, seconds double")
+    The first book with the old size is found by a join on time buckets of `within` seconds, so a drop only meets
+    books that it can be settled by. Events follow from the drops alone: one that no earlier drop reaches begins a
+    cluster, and within a cluster each event ends where the next may begin.
+    """
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.coalesce(F.col(c)[0]["qty"], F.lit(0.0)).alias("qty")) for n, c in (("bid", "bids"), ("ask", "asks"))]))
+    w = Window.partitionBy(key, "side").orderBy("t")
+    rows = quotes.select(key, "t", sides.alias("s")).select(key, "t", "s.side", "s.qty")
+    micros = F.unix_micros(F.col("t").cast("timestamp"))
+    rows = rows.withColumn("us", micros).withColumn("k", F.row_number().over(w)).withColumn("base", F.lag("qty").over(w))
+    reach = within * 1_000_000
+    rows = rows.withColumn("late", F.col("k") + F.count("*").over(Window.partitionBy(key, "side").orderBy("us").rangeBetween(1, reach)) + 1)
+    drops = rows.where((F.col("base") > 0) & (F.col("qty") <= F.col("base") * (1 - share)))
+    bucket = F.floor(F.col("us") / reach)
+    asked = drops.select(key, "side", "k", "us", "base", F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    there = rows.select(F.col(key).alias("key2"), F.col("side").alias("side2"), bucket.alias("bucket2"), F.col("k").alias("k2"), F.col("us").alias("us2"), F.col("qty").alias("qty2"))
+    met = (F.col(key) == F.col("key2")) & (F.col("side") == F.col("side2")) & (F.col("bucket") == F.col("bucket2"))
+    met = met & (F.col("k2") > F.col("k")) & (F.col("us2") <= F.col("us") + reach) & (F.col("qty2") >= F.col("base"))
+    back = asked.join(there, met).groupBy(key, "side", "k").agg(F.min(F.struct("k2", "us2")).alias("back"))
+    drops = drops.join(back, [key, "side", "k"], "left").select(
+        key, "side", "t", "k", F.coalesce("back.k2", "late").alias("end"), ((F.col("back.us2") - F.col("us")) / 1e6).alias("seconds"))
+    order = Window.partitionBy(key, "side").orderBy("k")
+    starts = F.when(F.col("k") <= F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    drops = drops.withColumn("starts", starts).withColumn("cluster", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    one = F.struct("k", "end", "t", "seconds")
+    clusters = drops.groupBy(key, "side", "cluster").agg(F.array_sort(F.collect_list(one)).alias("v"))
+    none = F.slice("v", 1, 0)
+    taken = F.aggregate("v", none, lambda got, x: F.when((F.size(got) == 0) | (F.element_at(got, -1)["end"] < x["k"]), F.concat(got, F.array(x))).otherwise(got))
+    events = clusters.select(key, "side", F.explode(taken).alias("e")).select(key, "side", "e.t", "e.seconds")
+    return events.where("seconds > 0")

@@ -38,6 +38,6 @@ def freshness(bars: DataFrame, key: str, t: str, asof: DataFrame) -> DataFrame:
 
 def stale(ages: DataFrame, windows: DataFrame, minute: Column) -> DataFrame:
     """`ages` (instr, age) joined with trading windows (instr, opens, closes, tolerance) and state: closed, ok or stale."""
-    out = ages.join(F.broadcast(windows), "instr")
+    out = ages.join(windows, "instr")
     state = F.when(~in_window(minute, F.col("opens"), F.col("closes")), "closed").when(F.col("age") > F.col("tolerance"), "stale").otherwise("ok")
     return out.withColumn("state", state)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -136,6 +137,23 @@ def rolling_quartiles(df: DataFrame, keys: list[str], t: str, x: str, rows: int)
     return out.drop("v_")
 
 
+def ranked(df: DataFrame, key: str, x: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """key, n and the values of x at sorted places (from 0, by the number of values); nulls do not count.
+
+    Equal values merge before they are put in order, so a key sorts its distinct values and no array is built.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(key, x).agg(F.count("*").alias("c_"))
+    w = Window.partitionBy(key)
+    rows = counts.withColumn("upto_", F.sum("c_").over(w.orderBy(x).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c_").over(w))
+    here = lambda k: (k >= F.col("upto_") - F.col("c_")) & (k < F.col("upto_"))
+    return rows.groupBy(key, "n").agg(*[F.max(F.when(here(place(F.col("n"))), F.col(x))).alias(name) for name, place in places.items()])
+
+
+def index_quartiles(df: DataFrame, key: str, x: str) -> DataFrame:
+    """key, n, q1, med, q3 picked at places n/4, n/2 and 3n/4."""
+    return ranked(df, key, x, {"q1": lambda n: F.floor(n / 4), "med": lambda n: F.floor(n / 2), "q3": lambda n: F.floor(3 * n / 4)})
+
+
 def lead_lag(df: DataFrame, key: str, t: str, a: str, b: str, most: int) -> DataFrame:
     """key, lag, corr: the lag in [-most, most] with the strongest correlation of a(t) and b(t + lag); null under 3 * most
     rows. Ties go to 0, then +1, -1, +2 and so on."""

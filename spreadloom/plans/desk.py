@@ -137,9 +137,9 @@ def batch_validator(m: Market) -> DataFrame:
     return quality.batches(rows, "batch", "ts")
 
 
-@add("p17_freshness", "SELECT instr, max(t) AS last_t, date_diff('minute', max(t), (SELECT max(t) FROM bars)) AS age FROM bars WHERE close > 200 GROUP BY instr")
+@add("p17_freshness", "SELECT instr, max(t) AS last_t, date_diff('minute', max(t), (SELECT max(t) FROM bars)) AS age FROM bars GROUP BY instr")
 def freshness(m: Market) -> DataFrame:
-    return quality.freshness(m.bars.where("close > 200"), "instr", "t", m.bars.agg(F.max("t").alias("asof")))
+    return quality.freshness(m.bars, "instr", "t", m.bars.agg(F.max("t").alias("asof")))
 
 
 @add("p18_safe_numbers", "SELECT count(*) AS n, count(x) AS numbers, CAST(sum(x) AS BIGINT) AS total FROM (SELECT TRY_CAST(trim(substr(o_orderpriority, 1, CAST(1 + o_orderkey % 3 AS INTEGER))) AS DOUBLE) AS x FROM orders)")
@@ -165,11 +165,11 @@ WINDOWS = [("click", 540, 945, 5), ("error", 1080, 300, 12), ("purchase", 420, 3
 
 @add("g27_stale_watchdog", f"""
 WITH w AS (SELECT * FROM (VALUES {', '.join(map(str, WINDOWS))}) v(instr, opens, closes, tolerance)), a AS (SELECT max(t) AS seen FROM bars),
-x AS (SELECT b.instr, date_diff('minute', max(b.t), any_value(seen)) AS age, any_value(hour(seen) * 60 + minute(seen)) AS mins FROM bars b, a WHERE b.close > 60 GROUP BY b.instr)
+x AS (SELECT b.instr, date_diff('minute', max(b.t), any_value(seen)) AS age, any_value(hour(seen) * 60 + minute(seen)) AS mins FROM bars b, a GROUP BY b.instr)
 SELECT x.instr, age, CASE WHEN NOT (CASE WHEN opens <= closes THEN mins BETWEEN opens AND closes ELSE mins >= opens OR mins <= closes END) THEN 'closed' WHEN age > tolerance THEN 'stale' ELSE 'ok' END AS state FROM x JOIN w ON x.instr = w.instr""")
 def watchdog(m: Market) -> DataFrame:
     asof = m.bars.agg(F.max("t").alias("asof"))
-    ages = quality.freshness(m.bars.where("close > 60"), "instr", "t", asof).join(F.broadcast(asof))
+    ages = quality.freshness(m.bars, "instr", "t", asof).join(F.broadcast(asof))
     windows = m.spark.createDataFrame(WINDOWS, "instr string, opens int, closes int, tolerance int")
     return quality.stale(ages, windows, F.hour("asof") * 60 + F.minute("asof")).select("instr", "age", "state")
 

@@ -1,7 +1,7 @@
 """Market frames derived from the given tables, and the same frames in SQL.
 
 Event types play instruments: an event is a tick (price `value`, size the number in `props`). Order priorities are
-daily instruments. Bar width, session gap and tolerance follow the density of the tables.
+daily instruments. Bar width, session gap and widest step are the same for every folder; other widths are a parameter.
 """
 
 from __future__ import annotations
@@ -26,17 +26,15 @@ class Scale:
     step: float
 
 
-SCALES = {"sf0.001": Scale(240, 480, 360), "sf0.01": Scale(60, 120, 90)}
-DENSE = Scale(15, 60, 22.5)
+HOURLY = Scale(60, 120, 90)
 
 # Point value, currency, rank and root of each stand-in instrument.
 SPEC = [("click", 1000.0, "USD", 1, "ZN"), ("error", 2000.0, "USD", 2, "ZT"), ("purchase", 1.0, "KRW", 3, "FX"), ("signup", 1000000.0, "KRW", 4, "65"), ("view", 1000000.0, "KRW", 5, "67")]
 
 
 class Market:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir.rstrip("/")
-        self.scale = SCALES.get(self.dir.rpartition("/")[2], DENSE)
+    def __init__(self, spark: SparkSession, sf_dir: str, scale: Scale = HOURLY):
+        self.spark, self.dir, self.scale = spark, sf_dir.rstrip("/"), scale
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions import columns as c
@@ -126,8 +128,9 @@ def anti_join(m: Market) -> DataFrame:
 WITH d AS (SELECT pair, abs(a_close - b_close) AS x FROM aligned), l AS (SELECT pair, list_sort(list(x)) AS v, max(x) AS worst FROM d GROUP BY pair)
 SELECT pair, CAST(len(v) AS INTEGER) AS n, v[len(v) // 2 + 1] AS median, worst, worst > 0.05 AS blocked FROM l""")
 def overlap_comparison(m: Market) -> DataFrame:
-    v = m.aligned.select("pair", F.abs(F.col("a_close") - F.col("b_close")).alias("x")).groupBy("pair").agg(F.array_sort(F.collect_list("x")).alias("v"), F.max("x").alias("worst"))
-    return v.select("pair", F.size("v").alias("n"), F.element_at("v", F.floor(F.size("v") / 2).cast("int") + 1).alias("median"), "worst", (F.col("worst") > 0.05).alias("blocked"))
+    x = m.aligned.select("pair", F.abs(F.col("a_close") - F.col("b_close")).alias("x"))
+    out = stats.ranked(x, "pair", "x", {"median": lambda n: F.floor(n / 2), "worst": lambda n: n - 1})
+    return out.select("pair", F.col("n").cast("int").alias("n"), "median", "worst", (F.col("worst") > 0.05).alias("blocked"))
 
 
 HOLES = """h AS (SELECT instr, t0 + INTERVAL '60 minutes' AS gap_from, t - INTERVAL '60 minutes' AS gap_to, date_diff('minute', t0, t) - 60 AS minutes FROM
@@ -295,9 +298,8 @@ def sample_sd(m: Market) -> DataFrame:
 
 @add("a9_index_quartiles", "WITH l AS (SELECT pair, list_sort(list(s)) AS v FROM spread GROUP BY pair) SELECT pair, round(v[len(v) // 2 + 1], 6) AS med, round(v[3 * len(v) // 4 + 1] - v[len(v) // 4 + 1], 6) AS iqr FROM l")
 def index_quartiles(m: Market) -> DataFrame:
-    v = m.spread.groupBy("pair").agg(F.array_sort(F.collect_list("s")).alias("v"))
-    pick = lambda k: F.element_at("v", F.floor(F.size("v") * k / 4).cast("int") + 1)
-    return v.select("pair", r6(pick(2)).alias("med"), r6(pick(3) - pick(1)).alias("iqr"))
+    q = stats.index_quartiles(m.spread, "pair", "s")
+    return q.select("pair", r6("med").alias("med"), r6(F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 @add("a10_quantiles", "SELECT pair, round(quantile_cont(s, 0.25), 6) AS q25, round(median(s), 6) AS q50, round(quantile_cont(s, 0.75), 6) AS q75 FROM spread GROUP BY pair")
@@ -311,9 +313,12 @@ SELECT instr, p50, v[least(len(v) - 1, CAST(floor(len(v) * 0.9) AS BIGINT)) + 1]
 def index_percentiles(m: Market) -> DataFrame:
     w = Window.partitionBy("instr").orderBy("t")
     x = F.timestamp_diff("SECOND", F.date_trunc("second", F.lag("t").over(w)), F.date_trunc("second", F.col("t")))
-    v = m.ticks.select("instr", x.alias("x")).where("x is not null").groupBy("instr").agg(F.array_sort(F.collect_list("x")).alias("v"), F.median("x").alias("p50"))
-    pick = lambda q: F.element_at("v", F.least(F.size("v") - 1, F.floor(F.size("v") * q).cast("int")) + 1)
-    return v.select("instr", "p50", pick(0.9).alias("p90"), pick(0.99).alias("p99"))
+    def place(q: float) -> Callable[[Column], Column]:
+        return lambda n: F.least(n - 1, F.floor(n * q))
+
+    places = {"lower": lambda n: F.floor((n - 1) / 2), "upper": lambda n: F.floor(n / 2), "p90": place(0.9), "p99": place(0.99)}
+    out = stats.ranked(m.ticks.select("instr", x.alias("x")), "instr", "x", places)
+    return out.select("instr", ((F.col("lower") + F.col("upper")) / 2).alias("p50"), "p90", "p99")
 
 
 OLS = """f AS (SELECT pair, count(*) AS n, regr_slope(d, x) AS b, regr_intercept(d, x) AS a, regr_r2(d, x) AS r2, regr_sxx(d, x) AS sxx, regr_syy(d, x) AS syy, regr_sxy(d, x) AS sxy, avg(x) AS mx FROM steps GROUP BY pair),

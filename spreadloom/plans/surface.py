@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spreadloom.functions import columns as c
 from spreadloom.functions.columns import r6
-from spreadloom.operators import bars, merge, models, roll, signals, stats
+from spreadloom.operators import bars, merge, models, roll, sessions, signals, stats
 from spreadloom.plans.market import Catalog, Market
 from spreadloom.plans.series import OLS
 from spreadloom.plans.trading import LOCKS, locks, scored
@@ -31,9 +31,9 @@ def rate_scan(m: Market) -> DataFrame:
     return m.fx
 
 
-@add("s9_keyword_listing", "SELECT p_partkey, p_name, p_brand FROM part WHERE regexp_matches(concat_ws(' ', p_name, p_brand, p_type), '(?i)1[0-9]?') ORDER BY p_partkey LIMIT 40")
+@add("s9_keyword_listing", "SELECT p_partkey, p_name, p_brand FROM part WHERE regexp_matches(concat_ws(' ', p_name, p_brand, p_type), '(?i)1[0-9]?')")
 def listing(m: Market) -> DataFrame:
-    return m.table("part").where(F.concat_ws(" ", "p_name", "p_brand", "p_type").rlike("(?i)1[0-9]?")).orderBy("p_partkey").limit(40).select("p_partkey", "p_name", "p_brand")
+    return m.table("part").where(F.concat_ws(" ", "p_name", "p_brand", "p_type").rlike("(?i)1[0-9]?")).select("p_partkey", "p_name", "p_brand")
 
 
 @add("k5_rate_upsert", """
@@ -57,9 +57,14 @@ def roll_apply(m: Market) -> DataFrame:
 
 @add("k11_operation_log", "SELECT event_type AS instr, CAST(ts AS DATE) AS d, count(*) AS n_rows, CASE WHEN count(*) < 60 THEN 'stale' ELSE 'ok' END AS status, left(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts), 50) AS detail FROM events GROUP BY ALL")
 def operation_log(m: Market) -> DataFrame:
-    rows = m.table("events").groupBy(F.col("event_type").alias("instr"), F.to_date("ts").alias("d")).agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("v"))
+    rows = m.table("events").select(F.col("event_type").alias("instr"), F.to_date("ts").alias("d"), "ts", "event_id")
+    counts = rows.groupBy("instr", "d").agg(F.count("*").alias("n_rows"))
+    # an id and its comma are two characters at least, so the first 25 ids fill the 50 that are kept
+    turn = F.row_number().over(Window.partitionBy("instr", "d").orderBy("ts"))
+    first = rows.withColumn("k", turn).where("k <= 25").groupBy("instr", "d").agg(F.array_sort(F.collect_list(F.struct("k", "event_id"))).alias("v"))
     detail = F.left(F.array_join(F.transform("v", lambda x: x["event_id"].cast("string")), ","), F.lit(50))
-    return rows.select("instr", "d", "n_rows", F.when(F.col("n_rows") < 60, "stale").otherwise("ok").alias("status"), detail.alias("detail"))
+    out = counts.join(first, ["instr", "d"])
+    return out.select("instr", "d", "n_rows", F.when(F.col("n_rows") < 60, "stale").otherwise("ok").alias("status"), detail.alias("detail"))
 
 
 @add("k12_scan_log", "SELECT p_brand AS product, count(*) AS contracts, sum(p_size) >= 2000 AS passed, CAST(max(p_partkey) AS VARCHAR) AS last_scan FROM part GROUP BY p_brand")
@@ -78,9 +83,13 @@ def ranges(m: Market) -> DataFrame:
     return m.bars.where(span & F.col("instr").isin("click", "view")).groupBy("instr").agg(F.count("*").alias("n"))
 
 
-@add("a31_session_volume", "SELECT instr, sum(volume) AS volume FROM (SELECT *, row_number() OVER (PARTITION BY instr ORDER BY t DESC) AS k FROM bars) WHERE k <= 60 GROUP BY instr")
+@add("a31_session_volume", """WITH l AS (SELECT *, lag(t) OVER (PARTITION BY instr ORDER BY t) AS t0 FROM bars), s AS (SELECT *, CAST(sum(CASE WHEN t > t0 + INTERVAL '120 minutes' THEN 1 ELSE 0 END) OVER (PARTITION BY instr ORDER BY t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sid FROM l)
+SELECT instr, sid, min(t) AS first_t, count(*) AS n, sum(volume) AS volume FROM s WHERE (instr, sid) IN (SELECT (instr, max(sid)) FROM s GROUP BY instr) GROUP BY instr, sid""")
 def session_volume(m: Market) -> DataFrame:
-    return stats.tail(m.bars, ["instr"], "t", 60).groupBy("instr").agg(F.sum("volume").alias("volume"))
+    """Volume of the latest session of each instrument."""
+    each = sessions.sessionize(m.bars, ["instr"], "t", m.scale.gap).groupBy("instr", "sid").agg(F.min("t").alias("first_t"), F.count("*").alias("n"), F.sum("volume").alias("volume"))
+    last = each.groupBy("instr").agg(F.max_by(F.struct("sid", "first_t", "n", "volume"), "sid").alias("s"))
+    return last.select("instr", "s.*")
 
 
 @add("t1_recent_rows", "SELECT instr, t, close FROM bars ORDER BY t DESC, instr LIMIT 25")

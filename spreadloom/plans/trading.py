@@ -66,9 +66,17 @@ def predictive(m: Market) -> DataFrame:
     return book.predictive(rows, "instr", ["obi", "tilt"], 60).withColumn("corr", F.round("corr", 5))
 
 
-@add("w17_refill_times")
+@add("w17_refill_times", """
+WITH RECURSIVE s AS (SELECT instr, t, 'bid' AS side, coalesce(bids[1].qty, 0) AS qty FROM quotes UNION ALL SELECT instr, t, 'ask', coalesce(asks[1].qty, 0) FROM quotes),
+o AS (SELECT *, row_number() OVER w AS k, lag(qty) OVER w AS base FROM s WINDOW w AS (PARTITION BY instr, side ORDER BY t)),
+d AS (SELECT * FROM o WHERE base > 0 AND qty <= base * 0.5),
+e AS (SELECT d.instr, d.side, d.k, any_value(d.t) AS t, min(o.k) AS j, arg_min(o.t, o.k) AS back, arg_min(o.qty, o.k) >= any_value(d.base) AS full_again
+ FROM d LEFT JOIN o ON o.instr = d.instr AND o.side = d.side AND o.k > d.k AND (o.qty >= d.base OR o.t > d.t + INTERVAL '300 seconds') GROUP BY d.instr, d.side, d.k),
+w AS (SELECT e.* FROM e JOIN (SELECT instr, side, min(k) AS k FROM e GROUP BY ALL) f ON e.instr = f.instr AND e.side = f.side AND e.k = f.k
+ UNION ALL SELECT n.* FROM (SELECT w.instr, w.side, (SELECT min(x.k) FROM e x WHERE x.instr = w.instr AND x.side = w.side AND x.k > w.j) AS k FROM w) p JOIN e n ON n.instr = p.instr AND n.side = p.side AND n.k = p.k)
+SELECT instr, side, t, date_diff('microsecond', t, back) / 1e6 AS seconds FROM w WHERE full_again AND back > t AND back <= t + INTERVAL '300 seconds'""")
 def refill_times(m: Market) -> DataFrame:
-    return book.refills(m.quotes, "instr", within=86_400.0)
+    return book.refills(m.quotes, "instr")
 
 
 def scored(m: Market, rows: int = 24, least: int = 12) -> DataFrame:
@@ -162,9 +170,10 @@ def pnl_metrics(m: Market) -> DataFrame:
 @add("g10_quartile_gates", """WITH g AS (SELECT pair, quantile_cont(s, 0.25) AS q1, quantile_cont(s, 0.75) AS q3, median(s) AS med, arg_max(s, t) AS last, list_sort(list(s)) AS v FROM spread GROUP BY pair)
 SELECT pair, abs(last - v[len(v) // 2 + 1]) >= 0.5 * (v[3 * len(v) // 4 + 1] - v[len(v) // 4 + 1]) AS by_range, last < q1 - 1.5 * (q3 - q1) OR last > q3 + 1.5 * (q3 - q1) AS by_fence FROM g""")
 def quartile_gates(m: Market) -> DataFrame:
-    g = m.spread.groupBy("pair").agg(F.percentile("s", 0.25).alias("q1"), F.percentile("s", 0.75).alias("q3"), F.max_by("s", "t").alias("last"), F.array_sort(F.collect_list("s")).alias("v"))
-    pick = lambda k: F.element_at("v", F.floor(F.size("v") * k / 4).cast("int") + 1)
-    return g.select("pair", (F.abs(F.col("last") - pick(2)) >= 0.5 * (pick(3) - pick(1))).alias("by_range"), signals.tukey(F.col("last"), F.col("q1"), F.col("q3")).alias("by_fence"))
+    g = m.spread.groupBy("pair").agg(F.percentile("s", 0.25).alias("p25"), F.percentile("s", 0.75).alias("p75"), F.max_by("s", "t").alias("last"))
+    g = g.join(stats.index_quartiles(m.spread, "pair", "s"), "pair")
+    by_range = F.abs(F.col("last") - F.col("med")) >= 0.5 * (F.col("q3") - F.col("q1"))
+    return g.select("pair", by_range.alias("by_range"), signals.tukey(F.col("last"), F.col("p25"), F.col("p75")).alias("by_fence"))
 
 
 LOCKS = """g AS (SELECT pair, count(*) AS n, arg_max(s, t) AS last, (arg_max(s, t) - avg(s)) / stddev_pop(s) AS z FROM spread GROUP BY pair),
