@@ -23,6 +23,20 @@ def slow(texts, length):
     return out
 
 
+def slow_words(texts, words):
+    """Words of each text in passages of `words` words that stand in two places."""
+    own = [t.split() for t in texts]
+    counts = Counter(tuple(t[i : i + words]) for t in own for i in range(len(t) - words + 1))
+    out = []
+    for t in own:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - words + 1):
+            if counts[tuple(t[i : i + words])] > 1:
+                gone[i : i + words] = True
+        out.append(int(gone.sum()))
+    return out
+
+
 def corpus(rng, length):
     words = [f"w{i}x" for i in range(300)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n)).encode()
@@ -45,11 +59,13 @@ def test_matches_brute_force(spark, length, crowd, monkeypatch):
     docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
     want = slow(texts, length)
     assert any(0 < w[1] < w[0] for w in want)
-    got = {r.doc_id: r for r in repeats.strip_repeats(docs, length, crowd).collect()}
+    got = {r.doc_id: r for r in repeats.strip_repeats(docs, length, 20, crowd, batches=3).collect()}
+    said = slow_words(texts, 20)
     for i, w in enumerate(want):
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == w, i
-        assert r.kept_sha256 == hashlib.sha256(w[3]).hexdigest()
+        assert r.kept_sha256 == hashlib.sha256(w[3]).hexdigest() and r.n_passage_words == said[i], i
+    assert 0 < sum(0 < x < len(t.split()) for x, t in zip(said, texts, strict=True))
 
 
 def test_anchors_of_pieces_and_of_the_whole_agree(monkeypatch):
@@ -61,15 +77,17 @@ def test_anchors_of_pieces_and_of_the_whole_agree(monkeypatch):
     assert pair(got) == pair(want)
 
 
-def test_family_finds_equals_across_levels():
+def test_family_finds_equals_across_levels_and_merges_them(spark):
     rng = np.random.default_rng(0)
-    prints = rng.integers(0, 40, (200, 2)).astype(np.uint64)
-    counts = Counter(map(tuple, prints.tolist()))
-    family, hits = repeats.Family(), []
-    for k in range(0, 200, 16):
-        hits += family.add(prints[k : k + 16], np.arange(k, min(200, k + 16)))
-    assert set(np.concatenate(hits).tolist()) == {i for i, p in enumerate(prints.tolist()) if counts[tuple(p)] > 1}
-    assert len(family.levels) <= 5
+    keys = rng.integers(0, 60, 70).tolist()
+    family, hits, sizes = repeats.Family(), set(), []
+    for k in range(0, 70, 10):
+        hits |= {r.key for r in family.add(spark.createDataFrame([(x,) for x in keys[k : k + 10]], "key long")).collect()}
+        sizes.append([n for n, _ in family.levels])
+    assert hits == {k for k, n in Counter(keys).items() if n > 1}
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]]
+    assert sum(r.n for _, level in family.levels for r in level.collect()) == 70
+    family.close()
 
 
 def test_edge_cases(spark):
@@ -86,5 +104,5 @@ def test_query_matches_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = slow([(r.text or "").encode() for r in rows], 400)
-    got = {r.doc_id: tuple(r)[1:] for r in repeats.op10_repeats(spark, sf).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in repeats.op10_repeats(spark, sf).collect()}
     assert got == {r.doc_id: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for r, w in zip(rows, want, strict=True)}
