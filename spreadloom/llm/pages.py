@@ -1,10 +1,19 @@
-"""Main text of web pages by what the pages of a host have in common.
-
-The structural elements of a page, told apart by their path of tags and classes, are its tokens. A container that
-stands once on at least half of a host's pages and holds at least half of its text is the main one; text inside it
-that never changes, and the parts that are never an article (menus, forms, adverts, comments and so on), are left out.
-Tokens are also grouped by occurrence vectors (sums of page hashes weighted by counts), but these classes decide
-nothing yet: they are not nested into a template, and no slots are read off one.
+"""Main text of web pages by equivalence-class template deduction over the pages of a host.
+
+The tokens of a page are its elements, told apart by their path of tags and names, and its text blocks, told apart by
+path and text. A token's occurrence vector says how often it stands on each page of the host; it is kept as a count of
+pages, a sum and an exclusive-or of hashes of (page, times). Tokens with one vector form an equivalence class. Paths
+make the elements of a class nest by construction. The template of a host holds
+
+- the classes whose elements stand once a page on enough pages: they frame the page, and a text block that has the
+  vector of its element, where this is of such a class, is part of the frame as well (the element never says else);
+- classes of elements that repeat within a page, all inside one named element: records, such as comments.
+
+The slots are what is left between the elements of the frame. The main one is the deepest container of a class of two
+or more that holds at least half of the text of all slots of the host, outside links (widened to the article or main
+element around it, where there is one). A page's main text is its text in the main slot, without frame text, without
+records, and without elements that are never an article by their tag or by a whole class, id or role name. Pages that
+lack the main container, and hosts without a template, fall back on the container that holds half of the page's text.
 """
 
 from __future__ import annotations
@@ -18,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import prepare, save
+from spreadloom.llm.common import drop, prepare, save
 
 # Element names and class words as HTML pages use them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,13 +44,16 @@ WORDS = frozenset(
 #: Elements that an opening tag of the same group ends where it stands directly in one.
 ENDS = {"p": BLOCKS - {"body", "html", "head"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"})}
 
-#: Share of a host's pages that a template class is on; share of the text that the main slot holds; pages from which
-#: unchanging text of a container counts as template.
-SUPPORT, HOLDS, UNCHANGED = 0.5, 0.5, 8
+#: Share of a host's pages that a class of the frame is on; share of the text that the main slot holds; pages from which
+#: text and records count as template; elements of a record.
+SUPPORT, HOLDS, ENOUGH, RECORD = 0.5, 0.5, 8, 3
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
+#: Numbers in names, as of posts: they tell pages apart and not elements.
+LONG = re.compile(r"\d{3,}")
+
 Block = tuple[str, bool, int, str]
 
 
@@ -114,7 +126,7 @@ def parsed(page: str) -> tuple[list[tuple[str, bool, bool]], list[Block]]:
             stack.pop()
         if name in VOID:
             continue
-        names = sorted({w for x in NAMES.findall(m[3]) for w in "".join(x[1:]).lower().split()}) if m[3] else []
+        names = sorted({LONG.sub("#", w) for x in NAMES.findall(m[3]) for w in "".join(x[1:]).lower().split()}) if m[3] else []
         own = name in NEVER or (name not in WHOLE and any(w in WORDS for w in names))
         _, above, never = stack[-1] if stack else ("", "", False)
         path = f"{above}/{name}{''.join('.' + w for w in names)}"
@@ -130,34 +142,41 @@ def tag_of(path: str) -> str:
     return path.rpartition("/")[2].partition(".")[0]
 
 
-def tokens(page: str) -> dict[str, list[int]]:
-    """{path of a container: [times opened, characters of text in it outside links, hash of all its text]}."""
+def text_token(path: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path}\n{text}", 1) - (1 << 63)
+
+
+def tokens(page: str) -> tuple[dict[str, list[int]], dict[int, list]]:
+    """{path of an element: [times opened, characters of text in it outside links]} and {text token: [times, path,
+    characters outside links]}, without what is never part of an article."""
     opened, found = parsed(page)
-    out: dict[str, list] = {}
+    out: dict[str, list[int]] = {}
+    said: dict[int, list] = {}
     for path, never, _ in opened:
-        if not never and tag_of(path) in CONTAINERS:
-            out.setdefault(path, [0, 0, xxhash.xxh64(seed=1)])[0] += 1
+        if not never:
+            out.setdefault(path, [0, 0])[0] += 1
     for path, never, linked, text in found:
         if never:
             continue
+        said.setdefault(text_token(path, text), [0, path, max(0, len(text) - linked)])[0] += 1
         while path:
             if path in out:
                 out[path][1] += max(0, len(text) - linked)
-                out[path][2].update(text + "\n")
             path = path.rpartition("/")[0]
-    return {p: [n, chars, h.intdigest() - (1 << 63)] for p, (n, chars, h) in out.items()}
+    return out, said
 
 
 def best_alone(page: str) -> str:
     """Main container of a page by itself."""
-    got = tokens(page)
+    got = {p: v for p, v in tokens(page)[0].items() if tag_of(p) in CONTAINERS}
     total = max((v[1] for v in got.values()), default=0)
     ok = [(tag_of(p) in SEMANTIC, p.count("/"), p) for p, v in got.items() if v[0] == 1 and total and v[1] >= HOLDS * total]
     return max(ok, default=(False, 0, ""))[2]
 
 
-def main_text(page: str, main: str | None, unchanged: frozenset[str]) -> str:
-    """Text blocks of `page` inside `main` (found anew where the page has none), but for never-article parts."""
+def main_text(page: str, main: str | None, frame: frozenset[int], records: tuple[str, ...] = ()) -> str:
+    """Text blocks of `page` inside `main` (found anew where the page has none), but for never-article parts, text
+    tokens in `frame` and what is inside `records`."""
     opened, found = parsed(page)
     if not main or not any(p == main and not never for p, never, _ in opened):
         main = best_alone(page)
@@ -166,7 +185,7 @@ def main_text(page: str, main: str | None, unchanged: frozenset[str]) -> str:
     for path, never, _, text in found:
         if never or not (path == main or path.startswith(inside)):
             continue
-        if unchanged and any(path == u or path.startswith(u + "/") for u in unchanged):
+        if any(path == r or path.startswith(r + "/") for r in records) or (frame and text_token(path, text) in frame):
             continue
         out.append(text)
     return "\n".join(out)
@@ -176,39 +195,71 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, main (path of the main slot), unchanged (paths of containers in it whose text no page changes)."""
+VECTOR = ("pages", "total", "mixed")
+
+
+def occurrences(pages: DataFrame) -> DataFrame:
+    """host, token, path, text (whether the token is a text block), its vector (pages, total, mixed), most (times on a
+    page), once (whether never more than once), chars (in all) of every token of every host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mark = xxhash.xxh64_intdigest(page or "", 5)
-                for path, (n, chars, content) in tokens(page or "").items():
-                    rows.append((host, path, n, (mark * n >> 8) & ((1 << 40) - 1), chars, content))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "n", "mark", "chars", "content"])
-
-    rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string")).mapInArrow(
-        run, "host string, path string, n long, mark long, chars long, content long")
-    seen = rows.groupBy("host", "path").agg(
-        F.count("*").alias("on"), F.sum("mark").alias("vector"), F.min("n").alias("least"), F.max("n").alias("most"),
-        F.sum("chars").alias("chars"), (F.min("content") == F.max("content")).alias("same"))
-    seen = save(seen, "tokens")
-    whole = seen.groupBy("host").agg(F.max("on").alias("all_on"), F.max("chars").alias("all_chars"))
-    tag = F.regexp_extract("path", r"([^/.]+)[^/]*$", 1)
-    depth = F.size(F.split("path", "/"))
-    valid = seen.join(whole, "host").where("most = 1").where(F.col("on") >= SUPPORT * F.col("all_on"))
-    classes = valid.groupBy("host", "on", "vector").agg(F.count("*").alias("members"), F.max("chars").alias("most_chars"))
-    valid = valid.join(classes, ["host", "on", "vector"])
-    slots = valid.where(F.col("chars") >= HOLDS * F.col("all_chars")).where("all_chars > 0")
-    rank = F.struct(tag.isin(*SEMANTIC).alias("named"), "on", depth.alias("depth"), "path")
-    main = slots.groupBy("host").agg(F.max(rank).alias("r")).select("host", F.col("r.path").alias("main"))
-    fixed = valid.where("same").where(F.col("on") >= UNCHANGED).join(main, "host").where(F.col("path").startswith(F.concat("main", F.lit("/"))))
-    own = seen.where("not same").select("host", F.col("path").alias("main"))
-    fixed = fixed.join(own, ["host", "main"], "left_semi").groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("unchanged"))
-    return save(main.join(fixed, "host", "left").select("host", "main", "unchanged"), "templates")
+            for host, *own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                elements, said = tokens(own[2] or "")
+                page = repr(own).encode()
+                marks = {n: xxhash.xxh64_intdigest(page, n) - (1 << 63) for n in {v[0] for v in (*elements.values(), *said.values())}}
+                rows += [(host, xxhash.xxh64_intdigest(p, 2) - (1 << 63), p, False, n, marks[n], chars) for p, (n, chars) in elements.items()]
+                rows += [(host, k, p, True, n, marks[n], n * chars) for k, (n, p, chars) in said.items()]
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "token", "path", "text", "n", "mark", "chars"])
+
+    own = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("page_id").cast("string"), F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = own.mapInArrow(run, "host string, token long, path string, text boolean, n long, mark long, chars long")
+    low = F.col("mark").bitwiseAND(F.lit((1 << 30) - 1))
+    return rows.groupBy("host", "token", "path", "text").agg(
+        F.count("*").alias("pages"), F.sum(low).alias("total"), F.bit_xor("mark").alias("mixed"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
+
+
+def ancestors(path: Column) -> Column:
+    """The path itself and those of the elements around it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, main (path of the main slot), frame (text tokens of the template), records (paths of record elements)."""
+    seen = occurrences(pages)
+    # a text block on few pages is no template, and most are on one
+    seen = save(seen.where(~F.col("text") | (F.col("pages") >= ENOUGH)), "tokens")
+    elements = seen.where("not text").drop("text", "token")
+    whole = elements.groupBy("host").agg(F.max("pages").alias("all_pages"))
+    key = ["host", *VECTOR]
+    tag, depth = F.regexp_extract("path", r"([^/.]+)[^/]*$", 1), F.size(F.split("path", "/"))
+    once = elements.where("most = 1").join(whole, "host").where(F.col("pages") >= SUPPORT * F.col("all_pages"))
+    classes = save(once.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1"), "classes")
+    members = once.join(classes, key, "left_semi")
+    frame = seen.where("text").join(members.select(*key, "path"), [*key, "path"], "left_semi").select("host", "token", "path", "chars")
+    frame = save(frame, "frame")
+    # what a container holds in slots is its text less the frame's
+    fixed = frame.select("host", "chars", F.explode(ancestors(F.col("path"))).alias("path")).groupBy("host", "path").agg(F.sum("chars").alias("fixed"))
+    holds = members.join(fixed, ["host", "path"], "left").withColumn("free", F.col("chars") - F.coalesce("fixed", F.lit(0)))
+    top = holds.groupBy("host").agg(F.max("free").alias("all_free")).where("all_free > 0")
+    holds = save(holds.where(tag.isin(*CONTAINERS)).select("host", "path", "free"), "holds")
+    best = holds.join(top, "host").where(F.col("free") >= HOLDS * F.col("all_free")).groupBy("host").agg(F.max(F.struct(depth.alias("depth"), "path")).alias("best"))
+    around = best.select("host", F.posexplode(ancestors(F.col("best.path"))).alias("depth", "path"))
+    named = around.where(tag.isin(*SEMANTIC)).join(holds.select("host", "path"), ["host", "path"]).groupBy("host").agg(F.max(F.struct("depth", "path")).alias("named"))
+    main = best.join(named, "host", "left").select("host", F.coalesce("named.path", "best.path").alias("main"))
+    again = elements.where((F.col("most") > 1) & (F.col("pages") >= ENOUGH)).groupBy(*key).agg(F.count("*").alias("members"), F.min(F.struct(depth.alias("depth"), "path")).alias("head"), F.collect_set("path").alias("paths"))
+    head = F.col("head.path")
+    inside = F.forall("paths", lambda p: (p == head) | p.startswith(F.concat(head, F.lit("/"))))
+    records = again.where(F.col("members") >= RECORD).where(inside & head.rlike(r"/(div|li|section|article)\.[^/]*$"))
+    records = records.groupBy("host").agg(F.array_sort(F.collect_set(head)).alias("records"))
+    texts = frame.groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("frame"))
+    out = save(main.join(texts, "host", "left").join(records, "host", "left").select("host", "main", "frame", "records"), "templates")
+    drop(seen, classes, frame, holds)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -219,11 +270,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     prepare(pages.sparkSession)
     own = pages.select("page_id", "url", host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
-    both = own.join(templates(pages), "host", "left").select("page_id", "url", "html", "main", "unchanged")
+    both = own.join(templates(pages), "host", "left").select("page_id", "url", "html", "main", "frame", "records")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h or "", m, frozenset(u or ())) for h, m, u in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            columns = (b.column(k).to_pylist() for k in range(2, 6))
+            texts = [main_text(h or "", main, frozenset(frame or ()), tuple(records or ())) for h, main, frame, records in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(own.dtypes)

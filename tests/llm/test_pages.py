@@ -41,6 +41,38 @@ def test_query_returns_the_articles_of_the_small_table(spark):
         assert got[r.page_id] == "\n".join(w for w in want if w)
 
 
+WILD = """<html><body class="has-sidebar"><div class="a1"><div class="a2"><p>Start</p><p>Shop</p></div><div class="a3"><p>{teaser}</p></div>
+<div class="a4"><div class="a5"><h1>{title}</h1><div class="a9">Printed in the usual place.</div>{body}<div class="a6"><p>Read with care, dear reader.</p></div></div>
+<div class="a7">{records}</div></div><div class="a8"><p>{rotating}</p></div></div></body></html>"""
+
+
+def wild(i, words=30):
+    """A page without semantic tags or telling names, and its article."""
+    text = [f"Sentence {j} of {i} " + " ".join(f"w{i * 31 + j * 7 + k}" for k in range(words)) for j in range(2 + i % 3)]
+    record = '<div class="b1"><h4>By u{n}</h4><p>I {n} agree</p><ul class="b2"><li>{n}</li></ul></div>'
+    page = WILD.format(title=f"Title {i}", teaser=f"offer {i}", rotating=f"buy {i} now", body="".join(f"<p>{t}</p>" for t in text), records="".join(record.format(n=i * 9 + k) for k in range(i % 4)))
+    return page, "\n".join([f"Title {i}", *text])
+
+
+def test_classes_alone_find_the_article(spark, monkeypatch):
+    rows = [(i, f"http://wild.example/{i}", wild(i)[0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: wild(i)[1] for i in range(40)}
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == want
+    # records inside the main container
+    inside = df.withColumn("html", F.regexp_replace("html", "(?s)</div>\n<div class=.a7.>(.*?)</div></div><div class=.a8", r'<div class="a7">$1</div></div></div><div class="a8'))
+    assert {r.page_id: r.text for r in pages.extract(inside).collect()} == want
+    # without the class step nothing is told apart
+    assert all(pages.main_text(wild(i)[0], None, frozenset()) != want[i] for i in range(40))
+
+
+def test_very_long_page(spark):
+    body = "".join(f"<p>part {i} &amp; more</p>" for i in range(60_000))
+    df = spark.createDataFrame([(1, "http://long.example/", f"<nav>menu</nav><div>{body}</div>")], "page_id long, url string, html string")
+    (r,) = pages.extract(df).collect()
+    assert r.text == "\n".join(f"part {i} & more" for i in range(60_000)) and r.n_chars == len(r.text)
+
+
 def test_class_words_drop_only_whole_names_and_never_the_article():
     body = "<p>The article itself, with enough words to be read.</p>"
     want = "The article itself, with enough words to be read."
