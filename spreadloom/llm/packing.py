@@ -1,12 +1,15 @@
 """Best-fit packing of tokenised documents into sequences, in bulk-synchronous rounds.
 
-Documents are encoded where they lie and leave as pieces (lengths and checksums). Pieces of one length are
-interchangeable, and so are gaps of one size, so a round matches classes: lengths descend, each finds its successor
-among the gap sizes (the smallest that holds it), equal claims are settled by rank, the gaps shrink, and the
-next round follows until the class is placed; new sequences open only when no gap holds it. There are at most
-`capacity` lengths and as many gap sizes, at any size of the input: that table and the runs of ranks it yields are
-all that the driver sees. Ranks come from a two-level count over salted lengths, and every piece then finds its
-own run.
+Documents are encoded where they lie and leave as pieces (lengths and checksums). Pieces of more than half a sequence
+open one each and leave its gap. The rest follow in classes of falling length. A round of a class sorts gaps and pieces
+into ranges by size, and a sweep from the largest size down gives every piece its successor, the smallest gap not yet
+taken that holds it: gaps go on a stack, a piece takes the top. A sweep within a range leaves pieces without a gap and
+gaps without a piece; counts of these per range are carried over the ranges, and by them each such piece finds the gap
+of an earlier range at its depth of the stack. So claims on one gap cannot arise but by rank, in the order of the
+ranges. Gaps are updated, and the next round takes the pieces that are left, until the class is placed. A gap that holds
+several of the longest pieces of the class is that many gaps in a round. New sequences open where the free tokens cannot
+hold all pieces still to come, and where a round places nothing. Rounds are written to the shared folder; the driver sees
+a few totals of each.
 """
 
 from __future__ import annotations
@@ -14,21 +17,19 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import documents, prepare, save
+from spreadloom.llm.common import documents, drop, prepare, save
 
 CAPACITY, END_ID = 2048, 0
-#: Parts into which the pieces of one length are dealt for ranking.
-SALT = 256
+#: Shares of a sequence at which the classes of pieces end.
+CLASSES = (1 / 2, 1 / 3, 1 / 4, 1 / 6, 1 / 8, 1 / 16, 1 / 32, 1 / 128)
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 400_000
 #: Characters of a text that are split into words at once.
@@ -123,78 +124,123 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 
-def place(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (length, first rank, first sequence, offset): piece r of a length goes to sequence first + r - rank."""
-    sizes: list[int] = []
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    runs: list[tuple[int, int, int, int]] = []
-    opened = 0
-
-    def free(size: int, first: int, n: int) -> None:
-        if size and n:
-            if not gaps[size]:
-                insort(sizes, size)
-            gaps[size].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            i = bisect_left(sizes, length)
-            if i < len(sizes):
-                size = sizes[i]
-                first, n = gaps[size].pop()
-                if not gaps[size]:
-                    sizes.pop(i)
-            else:
-                size, first, n = capacity, opened, -(-left // (capacity // length))
-                opened += n
-            each, at = size // length, capacity - size
-            full = min(n, left // each)
-            if full:
-                for t in range(each):
-                    runs.append((length, rank, first, at + t * length))
-                    rank += full
-                left -= full * each
-                free(size - each * length, first, full)
-            if full < n and left:
-                for t in range(min(left, each)):
-                    runs.append((length, rank, first + full, at + t * length))
-                    rank += 1
-                took = min(left, each)
-                left -= took
-                free(size - took * length, first + full, 1)
-                full += 1
-            free(size, first + full, n - full)
-    a = np.array(sorted(runs), np.int64).reshape(-1, 4)
-    return a[:, 0], a[:, 1], a[:, 2], a[:, 3]
+#: Kinds of rows of a sweep: a gap or a piece that its range leaves over, and a match.
+GAP, PIECE, MATCH = 0, 1, 2
+SWEPT = "part int, kind int, turn long, row long, length long, sequence_id long"
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def sweep(gaps: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """Matches and leftovers of each range of sizes. `gaps` has sequence_id, gap; `pieces` row, length up to `longest`.
 
-    Only documents longer than `capacity` are cut. Rows repeated in `docs` are packed each for itself; null ids stay
-    null. No rows give no rows; columns other than doc_id and text are not looked at.
+    turn numbers the leftovers of a range by kind, in the order of the sweep.
     """
-    spark = docs.sparkSession
-    own = save(pieces(docs, tokenizer, capacity, end_id), "pieces").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)))
-    counts = save(own.groupBy("length", "salt").agg(F.count("*").alias("n")), "counts")
-    lengths = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # `capacity` rows at most
-    runs = place({r["length"]: r["n"] for r in lengths}, capacity)
-    shared = spark.sparkContext.broadcast(((runs[0] << 44) + runs[1], runs[1], runs[2], runs[3]))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    before = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    turn = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row"))
-    ranked = own.withColumn("turn", turn).join(before, ["length", "salt"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("turn") - 1).alias("rank"))
+    slots = F.greatest(F.lit(1), F.floor(F.col("gap") / longest)).cast("int")
+    one = gaps.select(F.least("gap", F.lit(longest)).alias("size"), F.lit(GAP).alias("kind"), F.col("gap"), F.col("sequence_id").alias("id"), F.explode(F.sequence(F.lit(1), slots)).alias("slot"))
+    two = pieces.select(F.col("length").alias("size"), F.lit(PIECE).alias("kind"), F.lit(0).cast("long").alias("gap"), F.col("row").alias("id"), F.lit(0).alias("slot"))
+    order = [F.desc("size"), F.col("kind"), F.desc("gap"), F.col("id"), F.col("slot")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ranks, firsts, offsets = shared.value
+        part, stack, alone = TaskContext.get().partitionId(), [], 0
+
+        def rows(of: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in of], k) for i, k in enumerate(kinds)], names=["part", "kind", "turn", "row", "length", "sequence_id"])
+
         for b in batches:
-            rank = b.column(5).to_numpy()
-            k = np.searchsorted(keys, (b.column(3).to_numpy() << 44) + rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(firsts[k] + rank - ranks[k]), pa.array(offsets[k])], names=[*b.schema.names[:5], "sequence_id", "offset"])
+            out = []
+            for size, kind, _, key, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind == GAP:
+                    stack.append(key)
+                elif stack:
+                    out.append((part, MATCH, 0, key, size, stack.pop()))
+                else:
+                    out.append((part, PIECE, alone, key, size, None))
+                    alone += 1
+            yield rows(out)
+        yield rows([(part, GAP, k, None, None, key) for k, key in enumerate(stack)])
+
+    return one.union(two).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, SWEPT)
+
+
+def settled(swept: DataFrame) -> DataFrame:
+    """row, length, sequence_id of all pieces of a sweep; no sequence where no gap was left."""
+    left = swept.where(F.col("kind") != MATCH)
+    # two counts per range, whatever the size of the input: the gaps on the stack before and after a range's pieces
+    sums = left.groupBy("part").agg(F.count_if(F.col("kind") == PIECE).alias("pops"), F.count_if(F.col("kind") == GAP).alias("pushes"))
+    carried, top = [], 0
+    for r in sorted(sums.collect()):
+        base = max(0, top - r["pops"])
+        carried.append((r["part"], top, base))
+        top = base + r["pushes"]
+    tops, bases = ([F.lit(x) for r in carried for x in (r[0], r[k])] for k in (1, 2))
+    look = lambda pairs: F.try_element_at(F.create_map(*pairs), F.col("part")).cast("long")
+    depth = F.when(F.col("kind") == PIECE, look(tops) - F.col("turn")).otherwise(look(bases) + 1 + F.col("turn")) if carried else F.lit(0)
+    left = left.withColumn("depth", depth).select("part", "kind", "row", "length", "sequence_id", "depth")
+    # at one depth a gap is followed by the piece that takes it; a depth has two rows per range at most
+    before = F.lag("sequence_id").over(Window.partitionBy("depth").orderBy("part", F.desc("kind")))
+    met = left.where("depth > 0").withColumn("taken", before).where(F.col("kind") == PIECE).select("row", "length", F.col("taken").alias("sequence_id"))
+    none = left.where((F.col("depth") <= 0) & (F.col("kind") == PIECE)).select("row", "length", F.lit(None).cast("long").alias("sequence_id"))
+    return swept.where(F.col("kind") == MATCH).select("row", "length", "sequence_id").union(met).union(none)
+
+
+def placed(pieces: DataFrame, capacity: int) -> DataFrame:
+    """row, sequence_id, offset of every one of `pieces` (row, length up to `capacity`), a saved table.
+
+    Sequences opened by a long piece have its row for a number, others negative numbers.
+    """
+    spark = pieces.sparkSession
+    bounds = [int(capacity * x) for x in CLASSES if capacity * x >= 1] + [0]
+    free = F.lit(capacity) - F.col("length")
+    big = pieces.where(F.col("length") > bounds[0])
+    gaps = save(big.where(free > 0).select(F.col("row").alias("sequence_id"), free.alias("gap")), "gaps")
+    band = F.lit(0)
+    for x in bounds[:-1]:
+        band = band + (F.col("length") <= x).cast("int")
+    sums = {r["band"]: r for r in pieces.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), F.sum(free).alias("free")).collect()}
+    room, waiting = sums[0]["free"] if 0 in sums else 0, sum(r["tokens"] for k, r in sums.items() if k)
+    done, opened = [], 0
+    for k, (longest, shorter) in enumerate(zip(bounds, bounds[1:], strict=False), 1):
+        if k not in sums:
+            continue
+        rest, n, tokens = pieces.where((F.col("length") <= longest) & (F.col("length") > shorter)).select("row", "length"), sums[k]["n"], sums[k]["tokens"]
+        stuck = False
+        while n:
+            new = max(-(-(waiting - room) // capacity), -(-tokens // capacity) if stuck else 0, 0)
+            if new:
+                fresh = spark.range(opened, opened + new).select((-1 - F.col("id")).alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
+                gaps, opened, room = gaps.union(fresh), opened + new, room + new * capacity
+            swept = save(sweep(gaps.where(F.col("gap") > shorter), rest, longest), "swept")
+            got = settled(swept)
+            both = gaps.select("sequence_id", "gap", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("length"))
+            both = both.union(got.where("sequence_id is not null").select("sequence_id", F.lit(None).cast("long"), "row", "length"))
+            of = Window.partitionBy("sequence_id")
+            before = F.sum("length").over(of.orderBy(F.col("row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+            whole, took = F.max("gap").over(of), F.coalesce(F.sum("length").over(of), F.lit(0))
+            both = both.select("row", "length", "sequence_id", (F.lit(capacity) - whole + F.coalesce(before, F.lit(0))).alias("offset"), (whole - took).alias("gap"))
+            seen = Observation()
+            both = both.observe(seen, F.count("row").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
+            state = save(both.union(got.where("sequence_id is null").select("row", "length", "sequence_id", F.lit(None).cast("long"), F.lit(None).cast("long"))), "round")
+            now, moved = state.where("row is not null and sequence_id is not null"), seen.get
+            drop(swept)
+            n, tokens, room, waiting, stuck = n - moved["n"], tokens - moved["tokens"], room - moved["tokens"], waiting - moved["tokens"], not moved["n"]
+            done.append(now.select("row", "sequence_id", "offset"))
+            gaps = state.where("row is null and gap > 0").select("sequence_id", "gap")
+            rest = state.where("sequence_id is null").select("row", "length")
+    out = big.select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    for now in done:
+        out = out.union(now)
+    return out
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Only documents longer than `capacity` are cut. Rows repeated in `docs` are packed each for itself; null ids stay
+    null. No rows give no rows; columns other than doc_id and text are not looked at.
+    """
+    own = save(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    out = own.join(placed(own.select("row", "length"), capacity), "row")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def word_tokenizer() -> str:

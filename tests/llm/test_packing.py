@@ -43,13 +43,40 @@ def best_fit(lengths, capacity):
     return len(gaps)
 
 
-def test_place_needs_as_few_sequences_as_best_fit():
+def test_place_needs_as_few_sequences_as_best_fit(spark):
     rng = random.Random(2)
     for capacity, most in ((10, 10), (64, 40), (100, 100), (7, 1)):
         lengths = [rng.randint(1, most) for _ in range(300)]
-        counts = {x: lengths.count(x) for x in set(lengths)}
-        length, _, first, _ = packing.place(counts, capacity)
-        assert first.max() + 1 <= best_fit(lengths, capacity) + 1
+        pieces = spark.createDataFrame(list(enumerate(lengths)), "row long, length long")
+        rows = packing.placed(pieces, capacity).collect()
+        assert sorted(r.row for r in rows) == list(range(300))
+        taken = defaultdict(list)
+        for r in rows:
+            taken[r.sequence_id].append((r.offset, lengths[r.row]))
+        for own in taken.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        assert len(taken) <= best_fit(lengths, capacity) + 1
+
+
+def test_sweep_is_a_successor_matching_over_any_ranges(spark):
+    rng = random.Random(5)
+    gaps, lengths = [rng.randint(1, 50) for _ in range(120)], [rng.randint(1, 50) for _ in range(150)]
+    want, free = {}, sorted(gaps)
+    for row in sorted(range(150), key=lambda r: -lengths[r]):
+        fit = [g for g in free if g >= lengths[row]]
+        want[row] = min(fit) if fit else None
+        if fit:
+            free.remove(min(fit))
+    for n in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        swept = packing.save(packing.sweep(spark.createDataFrame(list(enumerate(gaps)), "sequence_id long, gap long"), spark.createDataFrame(list(enumerate(lengths)), "row long, length long"), 50))
+        got = [(lengths[r.row], None if r.sequence_id is None else gaps[r.sequence_id]) for r in packing.settled(swept).collect()]
+        assert sorted(got, key=str) == sorted(((lengths[r], g) for r, g in want.items()), key=str)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def check(rows, capacity=packing.CAPACITY):
