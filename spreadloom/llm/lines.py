@@ -1,14 +1,16 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join, in DataFrame operations alone.
 
 A line is the set of its lower-cased words. Lines with the same set are one class, which its first line stands for
-(by doc_id, then place). The words of a class are ordered by rarity, counted over all lines. Two sets with a
-Jaccard similarity of `threshold` or more differ in so few words that the first part of this order, the prefix, holds
-two neighbouring words that are neighbours in the other set too: these pairs are the join key, with a filter on the
-lengths and one on the positions, which bound the overlap that is still possible. What meets is verified on the words
-themselves, and a line goes if it matches an earlier one.
-
-A key that more than `crowd` classes share is not paired off at once: its classes are first compared with the first
-class of the key, which settles those that match it, and only what is left is compared with all classes of the key.
+(by doc_id, then place). The words of a set are ordered by rarity, counted over all lines. Two sets with a Jaccard
+similarity of `threshold` or more share a word among their rarest, the prefix, so these words are the join keys. What
+meets passes a filter on lengths, one on positions, which bound the overlap that is still possible, and one on parities:
+64 bits of which each word flips one cannot differ in more places than the sets differ in words. What is left is verified
+on all words, and a line goes if it matches an earlier one.
+
+Where a word is too frequent for its prefix rows to be paired off at once, its rows are counted. Up to `crowd` classes
+are paired. Larger groups get a second word of the prefix, longer by one, into their keys: sets that are similar share
+two words of that. Groups that are crowded even so are compared with their first class, which settles what matches it, and
+what is left of them with all their classes.
 """
 
 from __future__ import annotations
@@ -16,13 +18,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import documents, save
-
-THRESHOLD, CROWD = 0.8, 64
-#: Hash buckets in which words are counted for their rarity; the bits of a word's hash that follow its rank.
-BUCKETS, BITS = 1 << 12, 48
+from spreadloom.llm.common import documents, drop, is_empty, save
+
+THRESHOLD, CROWD = 0.8, 256
+#: Hash buckets in which words are counted for their rarity; the bits of a word's hash that follow its rank; the finest
+#: step of a rank, as a part of a doubling.
+BUCKETS, BITS, STEP = 1 << 18, 53, 16
+#: A class of which this share of all lines is a copy is led to its first line before keys are built; there are at most
+#: as many such classes as the inverse says.
+HOT = 1e-3
+#: Words of 64 bits in the filter that spares lines nobody asks for.
+MASK = 1 << 16
 #: Place of rows without a doc_id: after all others.
 LAST = (1 << 63) - 1
+SET, PLACE = ["k1", "k2"], ["doc", "no", "row"]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -39,21 +48,31 @@ def words_of(text: Column) -> Column:
     return F.split(F.lower(text), " ")
 
 
+def table(df: DataFrame, place: Column, value: Column, size: int) -> Column:
+    """A literal array of `size` numbers (0 where no row has the place) from the aggregated rows of `df`."""
+    whole = df.sparkSession.range(size).select(F.col("id").cast("long").alias("p"))
+    rows = whole.join(df.select(place.cast("long").alias("p"), value.alias("v")), "p", "left").select("p", F.coalesce("v", F.lit(0)).alias("v"))
+    numbers = rows.agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("v")).select(F.to_json(F.transform("v", lambda x: x["v"])))
+    return F.from_json(F.lit(numbers.first()[0]), "array<bigint>")
+
+
+def rank_of(count: Column) -> Column:
+    return F.least(F.lit(511), F.floor(STEP * F.log2(count + 1))).cast("long")
+
+
 def rarity(docs: DataFrame) -> Column:
-    """Array with the rank of each bucket of word hashes, rarest words lowest: a literal of `BUCKETS` small numbers."""
+    """The rank of each bucket of word hashes, rarest words lowest: a literal of `BUCKETS` small numbers."""
     word = F.explode(words_of(F.col("text").cast("string"))).alias("w")
     counts = docs.select(word).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
-    ranks = {r["bucket"]: r["rank"] for r in counts.select("bucket", F.floor(64 * F.log2(F.col("n") + 1)).alias("rank")).collect()}
-    return F.from_json(F.lit(str([min(32767, ranks.get(i, 0)) for i in range(BUCKETS)])), "array<int>")
+    return table(counts, F.col("bucket"), rank_of(F.col("n")), BUCKETS)
 
 
 def coded(line: Column, ranks: Column) -> Column:
-    """The distinct words of a line as numbers in order of rarity."""
+    """The distinct words of a line as numbers in order of rarity: rank, then 53 bits of the word's hash."""
 
     def code(w: Column) -> Column:
         h = F.xxhash64(w)
-        rank = F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-        return F.shiftleft(rank, BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - BITS))
+        return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - BITS))
 
     return F.sort_array(F.transform(F.array_remove(F.array_distinct(words_of(line)), ""), code))
 
@@ -62,73 +81,109 @@ def with_sets(lines: DataFrame, ranks: Column) -> DataFrame:
     """`lines` with words (their numbers), and k1, k2 (hashes of the set; null without words)."""
     out = lines.withColumn("words", coded(F.col("line"), ranks)).drop("line")
     some = F.size("words") > 0
-    return out.withColumn("k1", F.when(some, F.xxhash64("words"))).withColumn("k2", F.when(some, F.hash("words")))
+    return out.withColumn("k1", F.when(some, F.xxhash64("words"))).withColumn("k2", F.when(some, F.xxhash64(F.lit(2), "words")))
+
 
+def prefix(words: Column, threshold: float, shared: int = 1) -> Column:
+    """The rarest words, of which any similar set has at least `shared` in its own prefix."""
+    n = F.size(words)
+    return F.slice(words, F.lit(1), F.least(n, n - F.ceil(threshold * n - 1e-9).cast("int") + shared))
 
-def prefix(words: Column, threshold: float) -> Column:
-    """Hashes of neighbouring words in the prefix: one pair more than differing words can break."""
-    pairs = F.least(F.size(words) - 1, F.floor(F.size(words) * (2 - 2 * threshold) + 1e-9).cast("int") + 1)
-    first = F.slice(words, 1, pairs)
-    return F.when(F.size(words) > 1, F.zip_with(first, F.slice(words, 2, pairs), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
 
+def parities(words: str) -> Column:
+    return F.expr(f"aggregate({words}, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 AS INT)))")
 
-def possible(threshold: float, n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length and positional filter for sets of n and m words with one pair at places i and j."""
+
+def possible(threshold: float) -> Column:
+    """Filters by length, position and parities for rows of two sets: x_at, y_at (words * 2**32 + place), x_bits, y_bits."""
+    low = F.lit((1 << 32) - 1)
+    n, m = F.shiftright("x_at", 32), F.shiftright("y_at", 32)
+    i, j = F.col("x_at").bitwiseAND(low), F.col("y_at").bitwiseAND(low)
+    needed = threshold / (1 + threshold) * (n + m)
     overlap = F.least(i, j) + F.least(n - i, m - j)
-    return (F.least(n, m) + 1e-9 >= threshold * F.greatest(n, m)) & (overlap + 1e-9 >= threshold / (1 + threshold) * (n + m))
+    apart = F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits")))
+    return (F.least(n, m) + 1e-9 >= threshold * F.greatest(n, m)) & (overlap + 1e-9 >= needed) & (apart <= n + m - 2 * needed + 1e-6)
+
+
+def met(one: DataFrame, two: DataFrame, threshold: float, order: Column) -> DataFrame:
+    """Pairs x1, x2, y1, y2 of sets of `one` and `two` (key, k1, k2, at, bits) on one key that pass the filters and `order`,
+    by which a pair stands one way round."""
+    x = one.select("key", *[F.col(c).alias("x_" + c) for c in one.columns if c != "key"])
+    y = two.select("key", *[F.col(c).alias("y_" + c) for c in two.columns if c != "key"])
+    out = x.join(y, "key").where(order & possible(threshold))
+    return out.select(F.col("x_k1").alias("x1"), F.col("x_k2").alias("x2"), F.col("y_k1").alias("y1"), F.col("y_k2").alias("y2")).distinct()
+
+
+def asked_sets(lines: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """k1, k2, words of the classes in `asked` (k1, k2), read from the first line of each."""
+    places = save(classes.join(asked, SET).select(*SET, "first.*"), "places")
+    bit = F.shiftrightunsigned("k1", 42).bitwiseAND(F.lit(63)).cast("int")
+    marks = places.groupBy(F.shiftrightunsigned("k1", 48).alias("p")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("v"))
+    mask = table(marks, F.col("p"), F.col("v"), MASK)
+    hit = F.call_function("shiftright", F.get(mask, F.shiftrightunsigned("k1", 48).cast("int")), bit).bitwiseAND(F.lit(1)) == 1
+    sets = save(lines.where(hit).select(*SET, *PLACE, "words").join(places, [*SET, *PLACE]).select(*SET, "words"), "sets")
+    drop(places)
+    return sets
 
 
 def matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets have the similarity."""
-    one = sets.select(F.col("k1").alias("a"), F.col("words").alias("aw"))
-    two = sets.select(F.col("k1").alias("b"), F.col("words").alias("bw"))
-    both = F.size(F.array_intersect("aw", "bw"))
-    close = both + 1e-9 >= threshold * (F.size("aw") + F.size("bw") - both)
-    return pairs.join(one, "a").join(two, "b").where(close).select("a", "b")
-
-
-def removed_classes(docs: DataFrame, lines: DataFrame, classes: DataFrame, ranks: Column, threshold: float, crowd: int) -> DataFrame:
-    """k1 of the classes that match an earlier one; `lines` has doc, no, row, k1, n, pairs, `classes` k1 and first."""
-    some = lines.where(F.size("pairs") > 0)
-    # keys of single lines end here, before anything else is carried along
-    counts = some.select(F.explode("pairs").alias("key")).groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select("key")
-    lead = some.join(classes, "k1").where(F.struct("doc", "no", "row") == F.col("first"))
-    keys = lead.select("k1", "n", F.posexplode("pairs").alias("i", "key")).select("key", "k1", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("at"))
-    shared = save(keys.join(counts, "key"), "shared")
-    crowds = save(shared.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1"), "crowds")
-    few = shared.join(crowds.where(F.col("classes") <= crowd), "key").select("key", "k1", "at")
-    many = shared.join(crowds.where(F.col("classes") > crowd), "key").join(classes.select("k1", "first"), "k1").select("key", "k1", "at", "first")
-    many = save(many, "many")
-
-    def met(x: str, y: str) -> Column:
-        n = lambda c: F.shiftright(F.col(c), 32)
-        i = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-        return possible(threshold, n(x), i(x), n(y), i(y))
-
-    def paired(one: DataFrame, all_: DataFrame, order: str) -> DataFrame:
-        a = all_.select("key", F.col("k1").alias("a"), F.col("at").alias("a_at"), F.col(order).alias("a_o"))
-        b = one.select("key", F.col("k1").alias("b"), F.col("at").alias("b_at"), F.col(order).alias("b_o"))
-        return b.join(a, "key").where((F.col("a_o") < F.col("b_o")) & met("a_at", "b_at")).select("a", "b").distinct()
-
-    pairs = save(paired(few, few, "k1"), "pairs")
-    heads = many.groupBy("key").agg(F.min(F.struct("first", "k1", "at")).alias("h"))
-    leads = many.join(heads, "key").withColumn("h_at", F.col("h.at")).where("first > h.first").where(met("h_at", "at"))
-    leads = save(leads.select(F.col("h.k1").alias("a"), F.col("k1").alias("b")).distinct(), "leads")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("k1")).union(many.select("k1")).distinct()
-    places = classes.join(asked, "k1").groupBy("first.doc").agg(F.collect_set("first.no").alias("nos"))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    texts = docs.select(doc.alias("doc"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("all")).join(places, "doc")
-    texts = texts.select(F.explode("nos").alias("no"), "all").select(F.get("all", F.col("no")).alias("line")).where("line is not null")
-    sets = save(with_sets(texts, ranks).join(asked, "k1").select("k1", "words").dropDuplicates(["k1"]), "sets")
-    settled = save(matching(leads, sets, threshold).select(F.col("b").alias("k1")).distinct(), "settled")
-    rest = paired(many.join(settled, "k1", "left_anti"), many, "first")
-    gone = matching(rest, sets, threshold).select(F.col("b").alias("k1"))
-    # pairs of uncrowded keys have no order yet: the later of the two goes
-    known = matching(pairs, sets, threshold)
-    for side in "ab":
-        known = known.join(classes.select(F.col("k1").alias(side), F.col("first").alias(f"{side}f")), side)
-    later = known.select(F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("k1"))
-    return gone.union(settled).union(later).distinct()
+    """Those of `pairs` whose sets have the similarity."""
+    one = sets.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("words").alias("xw"))
+    two = sets.select(F.col("k1").alias("y1"), F.col("k2").alias("y2"), F.col("words").alias("yw"))
+    both = F.size(F.array_intersect("xw", "yw"))
+    close = both + 1e-9 >= threshold * (F.size("xw") + F.size("yw") - both)
+    return pairs.join(one, ["x1", "x2"]).join(two, ["y1", "y2"]).where(close).select("x1", "x2", "y1", "y2")
+
+
+def sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array(F.struct(F.col("x1").alias("k1"), F.col("x2").alias("k2")), F.struct(F.col("y1").alias("k1"), F.col("y2").alias("k2")))).alias("k")).select("k.*")
+
+
+def removed_classes(lines: DataFrame, classes: DataFrame, hot: DataFrame, threshold: float, crowd: int) -> DataFrame:
+    """k1, k2 of the classes that match an earlier one."""
+    first = F.struct(*PLACE)
+    some = lines.where("k1 is not null").join(F.broadcast(hot), SET, "left").where(F.col("hot").isNull() | (F.col("hot") == first))
+    some = some.select(*SET, F.shiftleft(F.size("words").cast("long"), 32).alias("n"), parities("words").alias("bits"), F.posexplode(prefix(F.col("words"), threshold)).alias("i", "key"))
+    rows = some.select("key", *SET, (F.col("n") + F.col("i")).alias("at"), "bits")
+    # a word's bucket counts its lines at least, so words of a low rank are never crowded
+    rare = F.shiftright("key", BITS) <= F.floor(STEP * F.log2(F.lit(float(crowd + 1))))
+    way = F.struct("x_k1", "x_k2") < F.struct("y_k1", "y_k2")
+    few = rows.where(rare).repartition("key").distinct()
+    pairs = save(met(few, few, threshold, way), "pairs")
+    rest = save(rows.where(~rare).distinct(), "frequent")
+    counts = save(rest.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    rest = rest.join(counts, "key")
+    some = rest.where(F.col("c") <= crowd).drop("c")
+    made, settled = [pairs, save(met(some, some, threshold, way), "pairs")], None
+    many = save(rest.where(F.col("c") > crowd).drop("c"), "many")
+    if not is_empty(many):
+        sets = asked_sets(lines, classes, many.select(*SET).distinct())
+        two = F.posexplode(prefix(F.col("words"), threshold, 2)).alias("j", "other")
+        wide = many.join(sets, SET).select("key", *SET, "at", "bits", two).where("key <> other")
+        # the place of the key itself bounds the overlap as before
+        wide = save(wide.select(F.xxhash64("key", "other").alias("key"), *SET, "at", "bits"), "wide")
+        counts2 = save(wide.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+        wide2 = wide.join(counts2, "key")
+        some = wide2.where(F.col("c") <= crowd).drop("c")
+        made.append(save(met(some, some, threshold, way), "pairs"))
+        still = save(wide2.where(F.col("c") > crowd).drop("c").join(classes, SET), "crowds")
+        heads = save(still.groupBy("key").agg(F.min(F.struct("first", *SET, "at", "bits")).alias("h")).select("key", "h.*"), "heads")
+        earlier = F.col("x_first") < F.col("y_first")
+        leads = save(met(heads, still, threshold, earlier), "leads")
+        settled = save(matching(leads, sets, threshold).select(F.col("y1").alias("k1"), F.col("y2").alias("k2")).distinct(), "settled")
+        made.append(save(met(still, still.join(settled, SET, "left_anti"), threshold, earlier), "pairs"))
+    every = made[0]
+    for more in made[1:]:
+        every = every.union(more)
+    every = save(every.distinct(), "pairs")
+    drop(*made)
+    sets = asked_sets(lines, classes, sides(every).distinct())
+    known = matching(every, sets, threshold)
+    for side in "xy":
+        known = known.join(classes.select(F.col("k1").alias(side + "1"), F.col("k2").alias(side + "2"), F.col("first").alias(side + "f")), [side + "1", side + "2"])
+    later = F.when(F.col("xf") < F.col("yf"), F.struct(F.col("y1").alias("k1"), F.col("y2").alias("k2"))).otherwise(F.struct(F.col("x1").alias("k1"), F.col("x2").alias("k2")))
+    gone = known.select(later.alias("k")).select("k.*")
+    return (gone.union(settled) if settled is not None else gone).distinct()
 
 
 def line_removals(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
@@ -138,14 +193,15 @@ def line_removals(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CR
     line. Rows without a doc_id come after all others, and rows that share a doc_id in any order, so of repeated
     rows one keeps its lines. No rows give no rows; columns other than doc_id and text are not looked at.
     """
-    ranks = rarity(docs)
-    lines = with_sets(lines_of(docs), ranks)
-    lines = save(lines.select("row", "doc", "no", "k1", "k2", F.size("words").alias("n"), prefix(F.col("words"), threshold).alias("pairs")), "lines")
-    first = F.struct("doc", "no", "row")
-    classes = save(lines.where("k1 is not null").groupBy("k1", "k2").agg(F.min(first).alias("first")), "classes")
-    gone = removed_classes(docs, lines, classes, ranks, threshold, crowd).withColumn("gone", F.lit(True))
-    fate = save(classes.join(gone, "k1", "left").select("k1", "k2", "first", "gone"), "fate")
-    out = lines.select("row", "doc", "no", "k1", "k2").join(fate, ["k1", "k2"], "left")
+    lines = with_sets(lines_of(docs), rarity(docs))
+    lines = save(lines.select("row", "doc", "no", *SET, "words"), "lines")
+    first = F.struct(*PLACE)
+    classes = save(lines.where("k1 is not null").groupBy(*SET).agg(F.min(first).alias("first"), F.count("*").alias("n")), "classes")
+    often = classes.agg(F.sum("n").alias("all"))
+    hot = classes.join(often, F.col("n") >= F.greatest(F.lit(2.0), HOT * F.col("all"))).select(*SET, F.col("first").alias("hot"))
+    gone = removed_classes(lines, classes.drop("n"), hot, threshold, crowd).withColumn("gone", F.lit(True))
+    fate = save(classes.drop("n").join(gone, SET, "left").select(*SET, "first", "gone"), "fate")
+    out = lines.select("row", "doc", "no", *SET).join(fate, SET, "left")
     goes = F.coalesce((first != F.col("first")) | F.coalesce("gone", F.lit(False)), F.lit(False))
     out = out.groupBy("row", "doc").agg(F.count("*").alias("n_lines"), F.count_if(goes).alias("n_removed"), F.array_sort(F.collect_list(F.when(goes, F.col("no")))).alias("removed"))
     return out.select("row", F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_lines", "n_removed", "removed")
