@@ -24,9 +24,6 @@ THRESHOLD, CROWD = 0.8, 256
 #: Hash buckets in which words are counted for their rarity; the bits of a word's hash that follow its rank; the finest
 #: step of a rank, as a part of a doubling.
 BUCKETS, BITS, STEP = 1 << 18, 53, 16
-#: A class of which this share of all lines is a copy is led to its first line before keys are built; there are at most
-#: as many such classes as the inverse says.
-HOT = 1e-3
 #: Words of 64 bits in the filter that spares lines nobody asks for.
 MASK = 1 << 16
 #: Place of rows without a doc_id: after all others.
@@ -60,28 +57,22 @@ def rank_of(count: Column) -> Column:
     return F.least(F.lit(511), F.floor(STEP * F.log2(count + 1))).cast("long")
 
 
-def rarity(docs: DataFrame) -> Column:
-    """The rank of each bucket of word hashes, rarest words lowest: a literal of `BUCKETS` small numbers."""
-    word = F.explode(words_of(F.col("text").cast("string"))).alias("w")
-    counts = docs.select(word).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
-    return table(counts, F.col("bucket"), rank_of(F.col("n")), BUCKETS)
-
-
-def coded(line: Column, ranks: Column) -> Column:
-    """The distinct words of a line as numbers in order of rarity: rank, then 53 bits of the word's hash."""
+def hashed(text: Column) -> Column:
+    """Hashes of the distinct words of a text, in order."""
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(words_of(text), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))))
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - BITS))
 
-    return F.sort_array(F.transform(F.array_remove(F.array_distinct(words_of(line)), ""), code))
+def rarity(sets: DataFrame) -> Column:
+    """The rank of each bucket of words, rarest lowest, by the lines in `sets` (words: hashes) that hold them: a literal of
+    `BUCKETS` small numbers."""
+    counts = sets.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
+    return table(counts, F.col("bucket"), rank_of(F.col("n")), BUCKETS)
 
 
-def with_sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """`lines` with words (their numbers), and k1, k2 (hashes of the set; null without words)."""
-    out = lines.withColumn("words", coded(F.col("line"), ranks)).drop("line")
-    some = F.size("words") > 0
-    return out.withColumn("k1", F.when(some, F.xxhash64("words"))).withColumn("k2", F.when(some, F.xxhash64(F.lit(2), "words")))
+def coded(words: Column, ranks: Column) -> Column:
+    """Hashes of words as numbers in order of rarity: rank, then 53 bits of the hash."""
+    rank = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), BITS)
+    return F.sort_array(F.transform(words, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 64 - BITS))))
 
 
 def prefix(words: Column, threshold: float, shared: int = 1) -> Column:
@@ -90,10 +81,6 @@ def prefix(words: Column, threshold: float, shared: int = 1) -> Column:
     return F.slice(words, F.lit(1), F.least(n, n - F.ceil(threshold * n - 1e-9).cast("int") + shared))
 
 
-def parities(words: str) -> Column:
-    return F.expr(f"aggregate({words}, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 AS INT)))")
-
-
 def possible(threshold: float) -> Column:
     """Filters by length, position and parities for rows of two sets: x_at, y_at (words * 2**32 + place), x_bits, y_bits."""
     low = F.lit((1 << 32) - 1)
@@ -139,18 +126,26 @@ def sides(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(F.struct(F.col("x1").alias("k1"), F.col("x2").alias("k2")), F.struct(F.col("y1").alias("k1"), F.col("y2").alias("k2")))).alias("k")).select("k.*")
 
 
-def removed_classes(lines: DataFrame, classes: DataFrame, hot: DataFrame, threshold: float, crowd: int) -> DataFrame:
+def classes_of(lines: DataFrame) -> DataFrame:
+    """k1, k2, first (place of the first line), bits (of which each word flips one) of every class."""
+    each = lines.where("k1 is not null").select(*SET, *PLACE, F.explode("words").alias("w"))
+    flip = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("w").bitwiseAND(F.lit(63)).cast("int"))
+    each = each.groupBy(*SET, *PLACE).agg(F.bit_xor(flip).alias("bits"))
+    return save(each.groupBy(*SET).agg(F.min(F.struct(*PLACE)).alias("first"), F.max("bits").alias("bits")), "classes")
+
+
+def removed_classes(lines: DataFrame, classes: DataFrame, threshold: float, crowd: int) -> DataFrame:
     """k1, k2 of the classes that match an earlier one."""
-    first = F.struct(*PLACE)
-    some = lines.where("k1 is not null").join(F.broadcast(hot), SET, "left").where(F.col("hot").isNull() | (F.col("hot") == first))
-    some = some.select(*SET, F.shiftleft(F.size("words").cast("long"), 32).alias("n"), parities("words").alias("bits"), F.posexplode(prefix(F.col("words"), threshold)).alias("i", "key"))
-    rows = some.select("key", *SET, (F.col("n") + F.col("i")).alias("at"), "bits")
+    some = lines.where("k1 is not null").select(*SET, *PLACE, F.shiftleft(F.size("words").cast("long"), 32).alias("n"), prefix(F.col("words"), threshold).alias("rarest"))
+    some = some.join(classes.select(*SET, "first.*", "bits"), [*SET, *PLACE])
+    rows = some.select(*SET, "n", "bits", F.posexplode("rarest").alias("i", "key")).select("key", *SET, (F.col("n") + F.col("i")).alias("at"), "bits")
+    classes = classes.drop("bits")
     # a word's bucket counts its lines at least, so words of a low rank are never crowded
     rare = F.shiftright("key", BITS) <= F.floor(STEP * F.log2(F.lit(float(crowd + 1))))
     way = F.struct("x_k1", "x_k2") < F.struct("y_k1", "y_k2")
-    few = rows.where(rare).repartition("key").distinct()
+    few = rows.where(rare)
     pairs = save(met(few, few, threshold, way), "pairs")
-    rest = save(rows.where(~rare).distinct(), "frequent")
+    rest = save(rows.where(~rare), "frequent")
     counts = save(rest.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     rest = rest.join(counts, "key")
     some = rest.where(F.col("c") <= crowd).drop("c")
@@ -193,14 +188,14 @@ def line_removals(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CR
     line. Rows without a doc_id come after all others, and rows that share a doc_id in any order, so of repeated
     rows one keeps its lines. No rows give no rows; columns other than doc_id and text are not looked at.
     """
-    lines = with_sets(lines_of(docs), rarity(docs))
-    lines = save(lines.select("row", "doc", "no", *SET, "words"), "lines")
-    first = F.struct(*PLACE)
-    classes = save(lines.where("k1 is not null").groupBy(*SET).agg(F.min(first).alias("first"), F.count("*").alias("n")), "classes")
-    often = classes.agg(F.sum("n").alias("all"))
-    hot = classes.join(often, F.col("n") >= F.greatest(F.lit(2.0), HOT * F.col("all"))).select(*SET, F.col("first").alias("hot"))
-    gone = removed_classes(lines, classes.drop("n"), hot, threshold, crowd).withColumn("gone", F.lit(True))
-    fate = save(classes.drop("n").join(gone, SET, "left").select(*SET, "first", "gone"), "fate")
+    sets = lines_of(docs).select(*PLACE, hashed(F.col("line")).alias("words"))
+    some = F.size("words") > 0
+    sets = save(sets.withColumns({"k1": F.when(some, F.xxhash64("words")), "k2": F.when(some, F.xxhash64(F.lit(2), "words"))}), "sets")
+    lines = save(sets.withColumn("words", coded(F.col("words"), rarity(sets))), "lines")
+    drop(sets)
+    classes, first = classes_of(lines), F.struct(*PLACE)
+    gone = removed_classes(lines, classes, threshold, crowd).withColumn("gone", F.lit(True))
+    fate = save(classes.join(gone, SET, "left").select(*SET, "first", "gone"), "fate")
     out = lines.select("row", "doc", "no", *SET).join(fate, SET, "left")
     goes = F.coalesce((first != F.col("first")) | F.coalesce("gone", F.lit(False)), F.lit(False))
     out = out.groupBy("row", "doc").agg(F.count("*").alias("n_lines"), F.count_if(goes).alias("n_removed"), F.array_sort(F.collect_list(F.when(goes, F.col("no")))).alias("removed"))

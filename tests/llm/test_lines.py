@@ -51,6 +51,25 @@ def test_edge_cases(spark):
     assert kept == "alpha BETA\nx"
 
 
+def test_many_unlike_lines_on_two_common_words(spark):
+    rng = random.Random(9)
+    text = {d: "\n".join("aa bb " + " ".join(f"w{rng.randrange(900)}" for _ in range(4)) for _ in range(100)) for d in range(100)}
+    text[200] = text[7].split("\n")[3] + "\n" + "zz yy xx"
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    got = {r.doc_id: list(r.removed) for r in lines.line_removals(docs).collect()}
+    seen, want = {}, {}
+    for d, t in text.items():
+        want[d] = []
+        for no, line in enumerate(t.split("\n")):
+            s = frozenset(line.split())
+            near = {e for w in s - {"aa", "bb"} for e in seen.get(w, ())}
+            if any(len(s & e) + 1e-9 >= 0.8 * len(s | e) for e in near):
+                want[d].append(no)
+            for w in s - {"aa", "bb"}:
+                seen.setdefault(w, set()).add(s)
+    assert got == want and 0 in got[200]
+
+
 def test_query_matches_sql(spark):
     sf = "/root/testdata/sf0.001"
     duckdb.sql(f"create or replace view documents as from '{sf}/documents.parquet'")
