@@ -1,9 +1,10 @@
 """Benchmark decontamination by pigeonhole pieces and bit-parallel edit distance.
 
-Texts and test items are compared in lower case, with every run of other than letters and digits as one space. An
-item of m characters may differ in `m * RATE` edits from a stretch of a document. It is split into one piece more
-than that, so a stretch within the budget holds one piece unchanged; an automaton finds the pieces, and Myers'
-bit-parallel distance decides around each hit.
+Texts and test items are compared in lower case, with every run of other than letters and digits as one space, and a
+space before and after: an item is looked for as whole words, and a stretch that begins or ends within a word pays for
+it in edits. An item of m characters may differ in `m * RATE` edits from a stretch of a document; one of fewer than
+1 / `RATE` characters has to stand as it is. It is split into one piece more than its edits, so a stretch within the
+budget holds one piece unchanged; an automaton finds the pieces, and Myers' bit-parallel distance decides around each hit.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ class Searcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * rate)) for i, t in items]
+        self.items = [(i, f" {t} ", int(len(t) * rate)) for i, t in items]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, t, budget) in enumerate(self.items):
             for offset, piece in split(t, budget):
@@ -74,7 +75,8 @@ class Searcher:
         self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
-        """(item_id, least distance, first end) for each item within its budget."""
+        """(item_id, least distance, first end of the item's last word) for each item within its budget."""
+        text = f" {text} "
         starts: dict[int, set[int]] = defaultdict(set)
         for last, (n, places) in self.automaton.iter(text):
             for k, offset in places:
@@ -84,7 +86,7 @@ class Searcher:
             item_id, item, budget = self.items[k]
             exact = [s for s in found if s >= 0 and text.startswith(item, s)]
             if exact:
-                out.append((item_id, 0, min(exact) + len(item)))
+                out.append((item_id, 0, min(exact) + len(item) - 2))
                 continue
             best, low, high = (budget + 1, 0), None, None
             for s in [*sorted(found), None]:
@@ -97,7 +99,7 @@ class Searcher:
                     low = s
                 high = s
             if best[0] <= budget:
-                out.append((item_id, *best))
+                out.append((item_id, best[0], max(0, best[1] - 2)))
         return out
 
 
@@ -144,7 +146,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_size:
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_size: int = BLOCK) -> DataFrame:
-    """Rows of `docs` in which no item is found, with all columns."""
+    """Rows of `docs` in which no item is found, with all columns.
+
+    Null and empty texts hold no item and stay, repeated rows stay or go alike, no rows give no rows, and an empty
+    benchmark keeps all.
+    """
     prepare(spark)
     place = docs.columns.index("text")
     for block in blocks_of(benchmark, block_size):

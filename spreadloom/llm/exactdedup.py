@@ -1,10 +1,10 @@
 """Exact duplicates by content-defined chunk recipes.
 
 A text (A-Z lower-cased, UTF-8) is cut where a rolling hash of its last 32 bytes has its highest bits clear, so equal
-stretches are cut alike. The chunks of all texts are deduplicated once, by identifier and content together; an
-identifier that two contents share shows there, and then a stronger one is taken for all chunks. After that a text
-is the ordered list of its chunk identifiers, its recipe, and only recipes are grouped and joined: the long
-documents themselves move once.
+stretches are cut alike. The chunks of all texts are deduplicated once, by identifier and SHA-256 of the content
+together; an identifier that two contents share shows there, and then a stronger one is taken for all chunks. After
+that a text is the ordered list of its chunk identifiers, its recipe, and only recipes are grouped and joined: the
+documents themselves never move.
 """
 
 from __future__ import annotations
@@ -76,14 +76,14 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
 
 
 def chunks(docs: DataFrame, identify: Callable[[bytes], bytes]) -> DataFrame:
-    """id and content of every chunk of every text, each once for each batch at most."""
+    """id and witness (SHA-256 of the content) of every chunk of every text, each once for each batch at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen = {c for t in texts_of(b.column(0)) for c in chunked(t)[1]}
-            yield pa.RecordBatch.from_arrays([pa.array([identify(c) for c in seen], pa.binary()), pa.array(seen, pa.binary())], names=["id", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array([identify(c) for c in seen], pa.binary()), pa.array([hashlib.sha256(c).digest() for c in seen], pa.binary())], names=["id", "witness"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "id binary, content binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "id binary, witness binary")
 
 
 def recipes(docs: DataFrame, identify: Callable[[bytes], bytes]) -> DataFrame:
@@ -102,7 +102,7 @@ def recipes(docs: DataFrame, identify: Callable[[bytes], bytes]) -> DataFrame:
 
 
 def verified(docs: DataFrame, identifiers: tuple[Callable[[bytes], bytes], ...] = IDENTIFIERS) -> Callable[[bytes], bytes]:
-    """The first identifier under which no two chunk contents of `docs` are called the same."""
+    """The first identifier under which no two chunk contents of `docs` are called the same, as their SHA-256 tells."""
     for identify in identifiers:
         once = chunks(docs, identify).distinct()
         shared = once.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")

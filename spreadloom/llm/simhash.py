@@ -118,10 +118,10 @@ def differing(x: Column, mask: int) -> Column:
 def links(fps: DataFrame, budget: int = BUDGET, segments: int = SEGMENTS, paired: int = PAIRED) -> DataFrame:
     """Links (a, b) that join every two distinct fingerprints of `fps` (fp) within `budget` bits, directly or by a third.
 
-    `budget` is 1 or 2: the bounded way through crowded keys rests on single flips.
+    `budget` is 2: the bounded way through crowded keys rests on single flips of both sides.
     """
-    if budget not in (1, 2):
-        raise ValueError("budget is 1 or 2")
+    if budget != 2:
+        raise ValueError("budget is 2")
     rules = [chains(i, budget, segments) for i in range(segments)]
     exact = [[m for m, most in r if most == 0][-1] for r in rules]
     keys = save(fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in exact])).alias("seg", "key")), "keys")
@@ -338,7 +338,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = WORDS, budget: i
     """Rows of `docs`, of each group of near duplicates the one with the smallest doc_id.
 
     Rows without a doc_id stay, as nothing says which of them a group would keep; of a repeated doc_id all rows stay
-    unless one of them is in a group that another document leads.
+    unless one of them is in a group that another document leads. Which pairs are found is said at the head of the
+    module: all within the bits, all of up to `LONG` / `similar` shingles that are similar, and longer ones but for the
+    chance that no class is shared; pairs that samples put far from the limit are not compared on all shingles.
     """
     groups = similar_groups(docs.select("doc_id", "text"), words, budget, similar)
     go = groups.where("doc_id <> component_id").select("doc_id").distinct()

@@ -40,10 +40,29 @@ def test_search_finds_exactly_what_lies_within_the_budget():
         k, item = rng.choice(items)
         text = decontam.normal(" ".join(rng.choice(words) for _ in range(15)) + " " + edited(rng, item, rng.randint(0, 8)) + " " + " ".join(rng.choice(words) for _ in range(15)))
         got = {i: d for i, d, _ in s.find(text)}
-        want = {i: d for i, t in items if (d := slow(t, text)) <= int(len(t) * 0.08)}
+        want = {i: d for i, t in items if (d := slow(f" {t} ", f" {text} ")) <= int(len(t) * 0.08)}
         assert got == want
 
 
+def test_items_are_whole_words():
+    s = decontam.Searcher([(1, "art"), (2, "the start of it all in one line")], 0.08)
+    assert s.find("we start here") == [] and s.find("art") == [(1, 0, 3)] and s.find("modern art is") == [(1, 0, 10)]
+    assert s.find("see the start of it all in one line") == [(2, 0, 35)]
+
+
+def test_query_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id): r.distance for r in decontam.op8_decontaminate(spark, sf).collect()}
+    short = [r for r in docs if len(r.text or "") < 4000][:60]
+    for item in bench:
+        t = f" {decontam.normal(item.text)} "
+        for d in short:
+            text = f" {decontam.normal(d.text)} "
+            best = decontam.myers(t, text)[0]
+            assert got.get((d.doc_id, item.item_id)) == (best if best <= int((len(t) - 2) * decontam.RATE) else None)
+
+
 def test_edge_cases(spark):
     item = "Exactly this sentence, word for word, is in the test."
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "?!"), (None, "dropped item"), (5, item.upper()), (5, "another text for the same item id")], "item_id long, text string")
