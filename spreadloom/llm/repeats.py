@@ -36,7 +36,7 @@ LENGTH, GRAM = 400, 32
 #: Words of a passage; words of its anchor.
 WORDS, WORD_GRAM = 51, 8
 #: Contexts of one stretch that one task compares; batches in which a table of documents is added to the family.
-CROWD, BATCHES = 256, 6
+CROWD, BATCHES = 4096, 6
 #: Symbols whose anchors are found at once.
 STRIDE = 1 << 22
 
