@@ -21,6 +21,7 @@ are compared.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -42,6 +43,8 @@ SIMILAR = 0.8
 UNSURE = (0.15, 0.25)
 #: Fewest shingles in a class, classes of a text that are keys, smallest shingle hashes by which two texts are compared.
 CLASS, CLASSES, SAMPLE = 2, 40, 128
+#: Texts whose shingle hashes a task remembers while it compares pairs, which come in the order of one side.
+REMEMBERED = 256
 #: Least shingles of a text that is keyed by classes; one of up to 1 / `SIMILAR` as many is keyed by its rarest shingles.
 LONG = 200
 #: Bits of the hash by which shingles are counted, rows that are looked at, least count and number of frequent ones.
@@ -237,13 +240,26 @@ def sketches(docs: DataFrame, words: int, similar: float = SIMILAR) -> DataFrame
         run, "row long, doc_id long, fp long, n long, keys array<bigint>, sample binary, data binary")
 
 
-def shared_part(a: bytes, b: bytes) -> float:
-    """Jaccard similarity from the smallest hashes of two texts: exact if both have `SAMPLE` shingles at most."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = np.union1d(x, y)
-    if len(x) == SAMPLE or len(y) == SAMPLE:
-        both = both[: min(SAMPLE, len(both))]
-    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean()) if len(both) else 0.0
+def padded(samples: list[bytes]) -> np.ndarray:
+    """Samples as rows of `SAMPLE` hashes, short ones filled up with the largest number."""
+    out = np.full((len(samples), SAMPLE), np.iinfo(np.uint64).max, np.uint64)
+    for row, x in zip(out, samples, strict=True):
+        row[: len(x) // 8] = np.frombuffer(x, np.uint64)
+    return out
+
+
+def shared_parts(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Jaccard similarities from the smallest hashes of pairs of texts: exact if both have `SAMPLE` shingles at most."""
+    x, y = padded(a), padded(b)
+    none = np.iinfo(np.uint64).max
+    both = np.sort(np.hstack([x, y]), axis=1)
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != none)
+    rank = np.cumsum(~again & (both != none), axis=1)
+    size = rank[:, -1]
+    full = (x[:, -1] != none) | (y[:, -1] != none)
+    upto = np.where(full, np.minimum(size, SAMPLE), size)
+    return (again & (rank <= upto[:, None])).sum(axis=1) / np.maximum(upto, 1)
 
 
 def distinct_hashes(data: bytes | None, words: int) -> np.ndarray:
@@ -295,16 +311,17 @@ def similar_links(own: DataFrame, close: DataFrame, words: int = WORDS, similar:
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part = np.array([shared_part(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)])
+            part = shared_parts(b.column(4).to_pylist(), b.column(5).to_pylist())
             most = np.maximum(b.column(2).to_numpy(), b.column(3).to_numpy())
             sure = (most <= SAMPLE) | (part > similar + UNSURE[0]) | (part < similar - UNSURE[1])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure), pa.array(part + 1e-9 >= similar)], names=["a", "b", "sure", "yes"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = functools.lru_cache(REMEMBERED)(lambda data: distinct_hashes(data, words))
         for b in batches:
             yes = []
             for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                one, two = distinct_hashes(x, words), distinct_hashes(y, words)
+                one, two = hashes(x), hashes(y)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 yes.append(both + 1e-9 >= similar * (len(one) + len(two) - both))
             yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))

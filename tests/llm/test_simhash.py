@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def test_shared_part_is_exact_for_short_texts():
     import numpy as np
 
     a, b = np.arange(0, 100, dtype=np.uint64), np.arange(20, 110, dtype=np.uint64)
-    assert simhash.shared_part(a.tobytes(), b.tobytes()) == 80 / 110 and simhash.shared_part(b"", b"") == 0.0
+    assert simhash.shared_parts([a.tobytes(), b""], [b.tobytes(), b""]).tolist() == [80 / 110, 0.0]
 
 
 def test_links_that_no_end_of_a_class_shows(spark):
@@ -167,3 +168,16 @@ def test_short_near_copies_are_linked(spark):
     assert all(jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8 for k in range(30))
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d - d % 2 for d in range(60)}
+
+
+def test_shared_parts_of_samples_match_plain_sets():
+    rng = np.random.default_rng(4)
+    texts = [np.unique(rng.integers(0, 400, n).astype(np.uint64) * np.uint64(10**15)) for n in (0, 1, 30, 120, 300, 900, 900)]
+    pairs = [(x, y) for x in texts for y in texts]
+    got = simhash.shared_parts([x[: simhash.SAMPLE].tobytes() for x, _ in pairs], [y[: simhash.SAMPLE].tobytes() for _, y in pairs])
+    for (x, y), part in zip(pairs, got, strict=True):
+        x, y = x[: simhash.SAMPLE], y[: simhash.SAMPLE]
+        both = sorted({*x.tolist(), *y.tolist()})
+        if simhash.SAMPLE in (len(x), len(y)):
+            both = both[: simhash.SAMPLE]
+        assert part == (sum(v in x and v in y for v in both) / len(both) if both else 0.0)
