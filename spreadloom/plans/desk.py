@@ -291,7 +291,20 @@ def contract_codes(m: Market) -> DataFrame:
     return d.select("d", "next_quarter", c.us_code(F.lit("ZN"), F.col("next_quarter")).alias("us"), c.krx_code(F.lit("65"), F.col("next_quarter")).alias("kr"))
 
 
-@add("g25_roll_decision")
+def roll_sql(volumes: str, code: str, after: str, expiry: str, by_volume: str) -> str:
+    """Decisions for each order day; m is the month of the held contract, n that of the next."""
+    return f"""WITH a AS (SELECT CAST(o_orderdate AS DATE) AS "asof"{volumes} FROM orders GROUP BY ALL), m AS (SELECT *, CAST(date_trunc('quarter', "asof") + INTERVAL 2 MONTH AS DATE) AS m, CAST(date_trunc('quarter', "asof") + INTERVAL 5 MONTH AS DATE) AS n, last_day(CAST(date_trunc('quarter', "asof") + INTERVAL 1 MONTH AS DATE)) AS pe FROM a),
+x AS (SELECT *, {code} AS code, {after} AS next_code, {expiry} AS expiry FROM m), y AS (SELECT *, (SELECT count(*) FROM range(0, 130) r(i) WHERE "asof" + 1 + i::INTEGER <= expiry AND isodow("asof" + 1 + i::INTEGER) < 6) - (SELECT count(*) FROM range(0, 130) r(i) WHERE expiry + 1 + i::INTEGER <= "asof" AND isodow(expiry + 1 + i::INTEGER) < 6) AS days FROM x),
+z AS (SELECT *, CASE WHEN {by_volume} THEN 'volume' WHEN days <= 5 THEN 'calendar' ELSE 'none' END AS reason FROM y)
+SELECT * EXCLUDE (m, n, pe, days), CAST(days AS INTEGER) AS "left", reason <> 'none' AS roll FROM z"""
+
+
+US = "'ZN' || CASE month({0}) WHEN 3 THEN 'H' WHEN 6 THEN 'M' WHEN 9 THEN 'U' ELSE 'Z' END || strftime({0}, '%y')"
+KR = "'A65' || (year({0}) % 10) || substr('123456789ABC', month({0}), 1) || '000'"
+
+
+@add("g25_roll_decision", roll_sql(", CAST(sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS vol_now, CAST(sum(CASE WHEN o_orderkey % 2 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS vol_next",
+     KR.format("m"), KR.format("n"), "CAST(m + ((9 - isodow(m)) % 7 + 14)::INTEGER AS DATE)", "vol_next > vol_now"))
 def roll_decision(m: Market) -> DataFrame:
     days = m.table("orders").groupBy(F.to_date("o_orderdate").alias("asof")).agg(
         F.sum(F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(0)).alias("vol_now"), F.sum(F.when(F.col("o_orderkey") % 2 == 1, 1).otherwise(0)).alias("vol_next"))

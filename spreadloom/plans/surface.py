@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from spreadloom.functions import columns as c
 from spreadloom.functions.columns import r6
 from spreadloom.operators import bars, merge, models, roll, sessions, signals, stats
+from spreadloom.plans.desk import US, roll_sql
 from spreadloom.plans.market import Catalog, Market
 from spreadloom.plans.series import OLS
-from spreadloom.plans.trading import LOCKS, locks, scored
+from spreadloom.plans.trading import LOCKS, SCORED, locks, scored
 from spreadloom.streaming import live
 
 catalog = Catalog()
@@ -105,6 +107,15 @@ def ranked_by_t(m: Market) -> DataFrame:
     return fit.select("pair", F.round("t", 5).alias("t"), place.alias("place"))
 
 
+@add("t9_history_listing", """WITH h AS (SELECT pair, CAST(t AS DATE) AS d, count(*) AS n, round(arg_max(s, t), 6) AS last FROM spread GROUP BY ALL)
+SELECT CASE WHEN row_number() OVER (PARTITION BY pair ORDER BY d) = 1 THEN '=== ' || pair || ' ===' END AS header, pair, d, n, last FROM h ORDER BY pair, d""")
+def history_listing(m: Market) -> DataFrame:
+    """Daily records by pair and time; the first of each pair carries the group's header."""
+    days = m.spread.groupBy("pair", F.to_date("t").alias("d")).agg(F.count("*").alias("n"), r6(F.max_by("s", "t")).alias("last"))
+    first = F.row_number().over(Window.partitionBy("pair").orderBy("d")) == 1
+    return days.select(F.when(first, F.concat(F.lit("=== "), "pair", F.lit(" ==="))).alias("header"), "pair", "d", "n", "last").orderBy("pair", "d")
+
+
 @add("t8_fixed_display_order", "SELECT event_type AS instr, count(*) AS n, CAST(list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type) AS BIGINT) AS place FROM events GROUP BY event_type")
 def display_order(m: Market) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, ("view", "click", "signup", "purchase", "error"))), F.col("event_type"))
@@ -181,7 +192,15 @@ def probe_groups(m: Market) -> DataFrame:
         F.count_distinct("o_orderpriority").alias("tried"), F.count_distinct(F.when(F.col("o_totalprice") > 100000, F.col("o_orderpriority"))).alias("received"))
 
 
-@add("a25_strategy_metrics")
+def walk_sql(thresholds: str) -> str:
+    """Marked positions r (pair, sid, t, thr, pos, r) entered at each threshold and left at 0.25."""
+    return f"""{SCORED}, th AS (SELECT unnest({thresholds}) AS thr), w AS (SELECT pair, sid, t, k, s, z, thr, CASE WHEN abs(z) >= thr THEN -CAST(sign(z) AS INTEGER) ELSE 0 END AS pos FROM sc, th WHERE k = 1
+UNION ALL SELECT x.pair, x.sid, x.t, x.k, x.s, x.z, w.thr, CASE WHEN x.z IS NULL THEN w.pos WHEN w.pos = 0 AND abs(x.z) >= w.thr THEN -CAST(sign(x.z) AS INTEGER) WHEN w.pos <> 0 AND abs(x.z) <= 0.25 THEN 0 ELSE w.pos END FROM w JOIN sc x ON x.pair = w.pair AND x.sid = w.sid AND x.k = w.k + 1),
+r AS (SELECT *, coalesce(lag(pos) OVER o * (s - lag(s) OVER o), 0) AS r FROM w WINDOW o AS (PARTITION BY pair, sid, thr ORDER BY t))"""
+
+
+@add("a25_strategy_metrics", f"""WITH RECURSIVE {walk_sql('[2.0::DOUBLE]')}, c AS (SELECT pair, t, r, sum(r) OVER (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING) AS v FROM r), d AS (SELECT *, v - max(v) OVER (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING) AS dd FROM c)
+SELECT pair, round(sum(r), 5) AS net, count(*) FILTER (r > 0) AS wins, round(CASE WHEN sum(r * r) > 0 THEN avg(r) / sqrt(avg(r * r)) * sqrt(252.0 * 400) END, 5) AS ratio, round(min(dd), 5) AS drawdown FROM d GROUP BY pair""")
 def strategy_metrics(m: Market) -> DataFrame:
     """Per pair: net, trades, winners, drawdown of the reversion positions' own step returns."""
     z = scored(m)
@@ -190,10 +209,10 @@ def strategy_metrics(m: Market) -> DataFrame:
     steps = z.select("pair", "sid", "t", "s").join(pos, ["pair", "sid", "t"]).withColumn("r", F.coalesce(F.lag("pos").over(w) * (F.col("s") - F.lag("s").over(w)), F.lit(0.0)))
     dd = stats.drawdown(steps, ["pair"], "t", "r")
     rms = F.sqrt(F.avg(F.col("r") * F.col("r")))
-    return dd.groupBy("pair").agg(r6(F.sum("r")).alias("net"), F.count_if(F.col("r") > 0).alias("wins"), r6(F.try_divide(F.avg("r"), rms) * F.sqrt(F.lit(252.0 * 400))).alias("ratio"), r6(F.min("drawdown")).alias("drawdown"))
+    return dd.groupBy("pair").agg(F.round(F.sum("r"), 5).alias("net"), F.count_if(F.col("r") > 0).alias("wins"), F.round(F.try_divide(F.avg("r"), rms) * F.sqrt(F.lit(252.0 * 400)), 5).alias("ratio"), F.round(F.min("drawdown"), 5).alias("drawdown"))
 
 
-@add("g9_threshold_sweep")
+@add("g9_threshold_sweep", f"WITH RECURSIVE {walk_sql('[1.0::DOUBLE, 1.5, 2.0]')} SELECT pair, thr AS threshold, round(sum(r), 5) AS net, count(*) FILTER (pos <> 0) AS held FROM r GROUP BY ALL")
 def threshold_sweep(m: Market) -> DataFrame:
     """Positions at three thresholds, marked to market."""
     thresholds = (1.0, 1.5, 2.0)
@@ -202,7 +221,7 @@ def threshold_sweep(m: Market) -> DataFrame:
     pos = reduce(DataFrame.unionByName, [signals.held(z.where(F.col("threshold") == v), keys, "t", "z", v, 0.25) for v in thresholds])
     w = Window.partitionBy("pair", "sid", "threshold").orderBy("t")
     r = z.join(pos, ["pair", "sid", "threshold", "t"]).withColumn("r", F.coalesce(F.lag("pos").over(w) * (F.col("s") - F.lag("s").over(w)), F.lit(0.0)))
-    return r.groupBy("pair", "threshold").agg(r6(F.sum("r")).alias("net"), F.count_if(F.col("pos") != 0).alias("held"))
+    return r.groupBy("pair", "threshold").agg(F.round(F.sum("r"), 5).alias("net"), F.count_if(F.col("pos") != 0).alias("held"))
 
 
 @add("g22_posterior_predictive")
@@ -211,7 +230,7 @@ def posterior_predictive(m: Market) -> DataFrame:
     return draws.groupBy("pair").agg(F.avg("pnl").alias("mean"), F.percentile("pnl", 0.05).alias("low"), F.percentile("pnl", 0.95).alias("high"), F.avg((F.col("pnl") > 0).cast("double")).alias("p_over_cost"))
 
 
-@add("g25_roll_decision_cme")
+@add("g25_roll_decision_cme", roll_sql("", US.format("m"), US.format("n"), "CAST(pe - greatest(isodow(pe) - 5, 0)::INTEGER AS DATE)", "false"))
 def roll_decision_cme(m: Market) -> DataFrame:
     days = m.table("orders").select(F.to_date("o_orderdate").alias("asof")).distinct()
     return roll.decide(days.withColumn("code", c.us_code(F.lit("ZN"), F.add_months(F.trunc("asof", "quarter"), 2))), "CME")
@@ -227,6 +246,31 @@ def scratch(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def streamed(m: Market, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Rows of a stream over the event files, each batch in a folder of its own; in complete mode the last batch has all."""
+    folder = scratch(m.spark)
+    events = m.spark.readStream.schema(m.table("events").schema).parquet(f"{m.dir}/events.parque[t]")
+    ticks = events.where("value > 0").select(F.col("event_type").alias("instr"), F.col("ts").cast("timestamp").alias("t"), F.col("value").alias("px"))
+    part = (lambda k: f"{folder}/rows/batch={k}") if mode == "append" else (lambda k: f"{folder}/rows/batch=0")
+    live.run_available(build(ticks), f"{folder}/check", mode=mode, each=lambda batch, k: batch.write.mode("overwrite").parquet(part(k)))
+    return m.spark.read.parquet(f"{folder}/rows").drop("batch")
+
+
+@add("x4_activity_sessions", """WITH g AS (SELECT instr, t, CASE WHEN t < lag(t) OVER w + INTERVAL '60 minutes' THEN 0 ELSE 1 END AS new FROM ticks WINDOW w AS (PARTITION BY instr ORDER BY t)), s AS (SELECT *, sum(new) OVER (PARTITION BY instr ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT instr, min(t) AS "first", max(t) + INTERVAL '60 minutes' AS "end", count(*) AS n FROM s GROUP BY instr, k""")
+def activity_sessions(m: Market) -> DataFrame:
+    """Sessions of activity by a session window on the stream."""
+    out = streamed(m, lambda ticks: live.activity(ticks, "60 minutes", "1 day"), "complete")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "end")})
+
+
+@add("x6_once_a_second", "SELECT DISTINCT instr, date_trunc('second', t) AS t FROM ticks")
+def once_a_second(m: Market) -> DataFrame:
+    """Instruments and seconds with a tick, repeats within the watermark dropped on the stream."""
+    out = streamed(m, lambda ticks: live.once(ticks.select("instr", F.date_trunc("second", "t").alias("t")), "365 days", ["instr", "t"]), "append")
+    return out.withColumn("t", F.col("t").cast("timestamp_ntz"))
+
+
 @add("x1_streamed_bars", "SELECT instr, t, open, high, low, close, volume, n FROM bars")
 def streamed_bars(m: Market) -> DataFrame:
     """The bars by Structured Streaming over the event files, kept in a keyed sink."""

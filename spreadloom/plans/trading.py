@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,9 +91,9 @@ SCORED = """sc AS (SELECT *, round(CASE WHEN count(s) OVER w >= 12 AND stddev_po
  FROM spread WINDOW w AS (PARTITION BY pair, sid ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"""
 
 
-def path_sql(leave: str, extra: str = "") -> str:
-    return f"""WITH RECURSIVE {SCORED}, w AS (SELECT pair, sid, t, k, z, CASE WHEN abs(z) >= 2 THEN -CAST(sign(z) AS INTEGER) ELSE 0 END AS pos FROM sc WHERE k = 1
-UNION ALL SELECT x.pair, x.sid, x.t, x.k, x.z, CASE WHEN x.z IS NULL THEN w.pos WHEN w.pos = 0 AND abs(x.z) >= 2 THEN -CAST(sign(x.z) AS INTEGER) WHEN w.pos <> 0 AND {leave} THEN 0 ELSE w.pos END FROM w JOIN sc x ON x.pair = w.pair AND x.sid = w.sid AND x.k = w.k + 1)
+def path_sql(leave: str, extra: str = "", enter: str = "2") -> str:
+    return f"""WITH RECURSIVE {SCORED}, w AS (SELECT pair, sid, t, k, z, CASE WHEN abs(z) >= {enter} THEN -CAST(sign(z) AS INTEGER) ELSE 0 END AS pos FROM sc WHERE k = 1
+UNION ALL SELECT x.pair, x.sid, x.t, x.k, x.z, CASE WHEN x.z IS NULL THEN w.pos WHEN w.pos = 0 AND abs(x.z) >= {enter} THEN -CAST(sign(x.z) AS INTEGER) WHEN w.pos <> 0 AND {leave} THEN 0 ELSE w.pos END FROM w JOIN sc x ON x.pair = w.pair AND x.sid = w.sid AND x.k = w.k + 1)
 SELECT pair, sid, t, {extra or 'pos'} AS pos FROM w"""
 
 
@@ -105,6 +107,60 @@ def band_positions(m: Market) -> DataFrame:
     return signals.held(scored(m), ["pair", "sid"], "t", "z", 2.0, 0.0, cross=True)
 
 
+@add("g3_equilibrium_positions", path_sql("abs(x.z) <= 0.3", enter="1"))
+def equilibrium_positions(m: Market) -> DataFrame:
+    """Bands of one equilibrium deviation around the rolling mean, left at 0.3 of it."""
+    return signals.held(scored(m), ["pair", "sid"], "t", "z", 1.0, 0.3)
+
+
+@add("g5_hold_positions", "SELECT pair, sid, t, 1 AS pos FROM spread")
+def hold_positions(m: Market) -> DataFrame:
+    return m.spread.select("pair", "sid", "t", F.lit(1).alias("pos"))
+
+
+BACKTEST = """b AS (SELECT pair, t, ln(a_close) AS la, ln(b_close) AS lb, CASE WHEN count(*) OVER w = 60 THEN coalesce(regr_slope(ln(a_close), ln(b_close)) OVER w, 1) END AS beta FROM aligned WINDOW w AS (PARTITION BY pair ORDER BY t ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+s AS (SELECT pair, t, la - beta * lb AS s FROM b WHERE beta IS NOT NULL),
+z AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY t) AS k, round(CASE WHEN count(s) OVER w = 60 AND stddev_pop(s) OVER w > 1e-9 THEN (s - avg(s) OVER w) / stddev_pop(s) OVER w END, 6) AS z FROM s WINDOW w AS (PARTITION BY pair ORDER BY t ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))"""
+
+
+@add("g7_spread_backtest", f"""WITH RECURSIVE {BACKTEST},
+w AS (SELECT pair, t, k, s, z, CASE WHEN abs(z) >= 1.5 THEN -CAST(sign(z) AS INTEGER) ELSE 0 END AS pos, z AS entry, 0.0::DOUBLE AS pnl FROM z WHERE k = 1
+UNION ALL SELECT x.pair, x.t, x.k, x.s, x.z, CASE WHEN w.pos = 0 THEN CASE WHEN abs(x.z) >= 1.5 THEN -CAST(sign(x.z) AS INTEGER) ELSE 0 END WHEN abs(x.z) <= 0.5 OR -w.pos * (x.z - w.entry) >= 1 THEN 0 ELSE w.pos END,
+ CASE WHEN w.pos = 0 THEN x.z ELSE w.entry END, w.pnl + w.pos * (x.s - w.s) FROM w JOIN z x ON x.pair = w.pair AND x.k = w.k + 1)
+SELECT pair, t, z, round(pnl, 4) AS pnl FROM w""")
+def spread_backtest(m: Market) -> DataFrame:
+    logs = m.aligned.select("pair", "t", F.ln("a_close").alias("la"), F.ln("b_close").alias("lb"))
+    out = signals.spread_backtest(logs, "pair", "t", "la", "lb", 60, 1.5)
+    return out.select("pair", "t", "z", F.round("pnl", 4).alias("pnl"))
+
+
+@add("g18_hedge_paths")
+def hedge_paths(m: Market, rows: int = 40, tick: float = 0.02, fee: float = 0.005, lag: float = 10.0) -> DataFrame:
+    """Six strategies on the spread under the pair's own hedge ratio, by two ways to trade it: both legs (two ticks and leg
+    risk) or a listed spread (one tick). The three best of each way, with a round trip's cost."""
+    w = Window.partitionBy("pair", "sid").orderBy("t")
+    moves = m.pair_bars.select("pair", (F.col("a_close") - F.lag("a_close").over(w)).alias("da"), (F.col("b_close") - F.lag("b_close").over(w)).alias("db")).where("da is not null")
+    fit = stats.ols(moves, "pair", "db", "da").select("pair", F.col("b").alias("beta"))
+    bars = m.pair_bars.join(fit, "pair").select(
+        "pair", "sid", "t", (F.col("a_open") - F.col("beta") * F.col("b_open")).alias("open"), (F.col("a_close") - F.col("beta") * F.col("b_close")).alias("close"))
+    step = F.col("close") - F.lag("close").over(w)
+    risk = bars.select("pair", step.alias("d")).groupBy("pair").agg(
+        (F.sqrt(F.avg(F.col("d") * F.col("d"))) / F.sqrt(F.lit(m.scale.bar * 60.0)) * F.sqrt(F.lit(lag)) * F.sqrt(2 / F.pi())).alias("risk"))
+    keys = ["pair", "sid"]
+    z = stats.rolling(bars, keys, "t", "close", rows, rows // 2).withColumn("z", F.round("r_z", 6))
+    named = {"reversion 2": signals.held(z, keys, "t", "z", 2.0, 0.25), "reversion 1.5": signals.held(z, keys, "t", "z", 1.5, 0.25), "band": signals.held(z, keys, "t", "z", 2.0, 0.0, cross=True),
+             "equilibrium": signals.held(z, keys, "t", "z", 1.0, 0.3), "hold": bars.select(*keys, "t", F.lit(1).alias("pos"))}
+    named["momentum"] = named["reversion 2"].withColumn("pos", -F.col("pos"))
+    pos = reduce(DataFrame.unionByName, [p.withColumn("strategy", F.lit(n)) for n, p in named.items()])
+    ways = F.explode(F.array(F.struct(F.lit("two legs").alias("way"), F.lit(2 * tick).alias("half"), F.col("risk").alias("leg")), F.struct(F.lit("listed").alias("way"), F.lit(tick).alias("half"), F.lit(0.0).alias("leg"))))
+    each = bars.join(pos, [*keys, "t"]).join(risk, "pair").select("*", ways.alias("p")).select("strategy", "p.way", "p.half", "p.leg", "pair", "sid", "t", "open", "close", "pos")
+    trades = signals.fills(each, ["strategy", "way", "half", "leg", "pair", "sid"], "t", F.col("half"), fee, F.col("leg"))
+    out = signals.results(trades, ["pair", "way", "half", "leg", "strategy"])
+    place = F.row_number().over(Window.partitionBy("pair", "way").orderBy(F.desc("net"), "strategy")).cast("long")
+    out = out.withColumn("place", place).where("place <= 3")
+    return out.select("pair", "way", "place", "strategy", "fills", r6("gross").alias("gross"), r6("net").alias("net"), r6(2 * F.col("half") + fee + 2 * F.col("leg")).alias("round_trip"))
+
+
 @add("g4_momentum_positions", path_sql("abs(x.z) <= 0.25", "-pos"))
 def momentum_positions(m: Market) -> DataFrame:
     return reversion_positions(m).withColumn("pos", -F.col("pos"))
@@ -132,7 +188,17 @@ def run_results(m: Market) -> DataFrame:
     return out.select("pair", "fills", *[F.round(x, 4).alias(x) for x in ("gross", "cost", "leg_cost", "shortfall", "net")])
 
 
-@add("g32_strategy_table")
+@add("g32_strategy_table", f"""WITH RECURSIVE {SCORED},
+st AS (SELECT * FROM (VALUES ('reversion', 2.0, 0.25, false), ('band', 2.0, 0.0, true), ('wide', 1.0, 0.3, false)) v(strategy, enter, leaves, crosses)),
+w AS (SELECT strategy, enter, leaves, crosses, pair, sid, t, k, CASE WHEN abs(z) >= enter THEN -CAST(sign(z) AS INTEGER) ELSE 0 END AS pos FROM sc, st WHERE k = 1
+UNION ALL SELECT w.strategy, w.enter, w.leaves, w.crosses, x.pair, x.sid, x.t, x.k, CASE WHEN x.z IS NULL THEN w.pos WHEN w.pos = 0 AND abs(x.z) >= w.enter THEN -CAST(sign(x.z) AS INTEGER)
+ WHEN w.pos <> 0 AND CASE WHEN w.crosses THEN x.z * w.pos >= 0 ELSE abs(x.z) <= w.leaves END THEN 0 ELSE w.pos END FROM w JOIN sc x ON x.pair = w.pair AND x.sid = w.sid AND x.k = w.k + 1),
+po AS (SELECT strategy, pair, sid, t, pos FROM w UNION ALL SELECT 'hold', pair, sid, t, 1 FROM spread),
+l AS (SELECT po.*, b.a_open - b.b_open AS open, b.s AS close, coalesce(lag(pos) OVER o, 0) AS old, lead(b.a_open - b.b_open) OVER o AS px, row_number() OVER o AS r, count(*) OVER (PARTITION BY strategy, po.pair, po.sid) AS n
+ FROM po JOIN spread b ON b.pair = po.pair AND b.sid = po.sid AND b.t = po.t WINDOW o AS (PARTITION BY strategy, po.pair, po.sid ORDER BY po.t)),
+tr AS (SELECT strategy, pair, pos - old AS delta, px FROM l WHERE r < n AND pos <> old UNION ALL SELECT strategy, pair, -old, open FROM l WHERE r = n AND old <> 0),
+g AS (SELECT pair, profile, strategy, count(*) AS fills, -sum(px * delta) AS gross, -sum(px * delta) - sum(abs(delta) * (half + 0.004 / 2)) - sum(abs(delta) * 0.002) AS net FROM tr, (VALUES ('cheap', 0.005::DOUBLE), ('dear', 0.05::DOUBLE)) v(profile, half) GROUP BY ALL)
+SELECT pair, profile, strategy, fills, round(gross, 5) AS gross, round(net, 5) AS net, row_number() OVER (PARTITION BY pair, profile ORDER BY net DESC, strategy) AS place FROM g""")
 def strategy_table(m: Market) -> DataFrame:
     """Four signals by two cost profiles, ranked by net per pair."""
     z = scored(m)
@@ -149,7 +215,7 @@ def strategy_table(m: Market) -> DataFrame:
     rows = px.join(pos, ["pair", "sid", "t"]).select("*", costs.alias("p")).select("strategy", "p.profile", "p.half", "pair", "sid", "t", "open", "close", "pos")
     out = signals.results(signals.fills(rows, ["strategy", "profile", "half", "pair", "sid"], "t", F.col("half"), 0.004, F.lit(0.002)), ["pair", "profile", "strategy"])
     place = F.row_number().over(Window.partitionBy("pair", "profile").orderBy(F.desc("net"), "strategy"))
-    return out.select("pair", "profile", "strategy", "fills", r6("gross").alias("gross"), r6("net").alias("net"), place.alias("place"))
+    return out.select("pair", "profile", "strategy", "fills", F.round("gross", 5).alias("gross"), F.round("net", 5).alias("net"), place.cast("long").alias("place"))
 
 
 @add("g8_parameter_sweep")
@@ -267,6 +333,17 @@ def posterior(m: Market) -> DataFrame:
     return models.posterior_summary(models.posterior(m.steps, "pair", "t", "x", "d"), "pair")
 
 
+@add("g20_posterior_draws")
+def posterior_draws(m: Market) -> DataFrame:
+    """Every kept draw of intercept, slope and variance of the change on the level."""
+    return models.posterior(m.steps, "pair", "t", "x", "d").select("pair", "draw", "alpha", "gamma", "s2")
+
+
+@add("g23_walk_forward")
+def walk_forward(m: Market) -> DataFrame:
+    return models.walk_forward(m.steps, "pair", "t", "x", "d")
+
+
 @add("g19_trader_seeds")
 def traders(m: Market) -> DataFrame:
     return models.seed_summary(models.train_traders(m.steps, "pair", "t", "d"), "pair")

@@ -57,6 +57,16 @@ def append_daily(spark: SparkSession, rows: DataFrame, path: str, keys: list[str
     new.dropDuplicates(keys).write.mode("append").json(path)
 
 
+def append_orders(rows: DataFrame, path: str) -> None:
+    """Append order rows to a log of CSV files with a header; what is there stays as it is."""
+    rows.write.mode("append").option("header", True).csv(path)
+
+
+def json_report(report: DataFrame, path: str) -> None:
+    """Replace a report by the rows of `report`, one JSON object a line."""
+    report.write.mode("overwrite").json(path)
+
+
 def wide_csv(long: DataFrame, t: str, tag: str, value: str, tags: list[str], path: str) -> None:
     """One column per tag, one row per time."""
     long.groupBy(t).pivot(tag, tags).agg(F.first(value)).write.mode("overwrite").option("header", True).csv(path)

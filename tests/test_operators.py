@@ -168,8 +168,10 @@ def test_position_path_and_forced_exit(spark):
 
 def test_backtest_by_hand():
     s = np.array([0, 1, 0, 1, 0, 1, 5, 0.5, 0.5])
-    assert signals.one_backtest(s, 6, 2.0, 0.0, False) == (1, 1, pytest.approx(4.5))
-    assert signals.one_backtest(s, 6, 50.0, 0.0, False) == (0, 0, 0.0)
+    z = signals.history(s, 6)[0]
+    trips = signals.round_trips(z, lambda i: True, np.flatnonzero(np.abs(z) >= 2.0))
+    assert len(trips) == 1 and signals.gains(s[6:], trips) == pytest.approx([4.5]) and signals.running(s[6:], trips)[-1] == pytest.approx(4.5)
+    assert len(signals.round_trips(z, lambda i: True, np.flatnonzero(np.abs(z) >= 50.0))) == 0
 
 
 def test_unit_root_surface_and_power():
@@ -213,8 +215,81 @@ def test_traders_and_draws_take_the_whole_job(spark):
     import inspect
 
     steps = spark.createDataFrame([("p", at(i), math.sin(i), math.cos(i * 1.7)) for i in range(650)], "pair string, t timestamp_ntz, x double, d double")
-    assert inspect.signature(models.trader).parameters["epochs"].default == 60
+    assert inspect.signature(models.traders).parameters["epochs"].default == 60
     runs = models.train_traders(steps, "pair", "t", "d").collect()
     assert sorted(r.seed for r in runs) == list(range(20)) and {r.n for r in runs} == {650}
     size = inspect.signature(models.posterior).parameters
     assert (size["draws"].default, size["burn"].default) == (4000, 1000)
+
+
+def walked(z, threshold):
+    """(entry, exit, side) by walking the path."""
+    out, pos, entry = [], 0, 0
+    for i, v in enumerate(z):
+        if pos:
+            if abs(v) <= 0.5 or -pos * (v - z[entry]) >= 1:
+                out.append((entry, i, pos))
+                pos = 0
+        elif abs(v) >= threshold:
+            pos, entry = (-1 if v > 0 else 1), i
+    return out + ([(entry, len(z), pos)] if pos else [])
+
+
+def test_round_trips_equal_a_walk():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        z = np.round(rng.normal(0, 1.3, rng.integers(1, 60)), 2)
+        got = signals.round_trips(z, lambda i: True, np.flatnonzero(np.abs(z) >= 1.5))
+        assert [tuple(x) for x in got.tolist()] == walked(z, 1.5)
+
+
+def test_crossings_equal_a_walk(spark):
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for k in range(60):
+        pos = 0
+        for i in range(40):
+            v = None if rng.random() < 0.1 else float(rng.choice([-2.5, -2, -1, -0.2, 0, 0.2, 1, 2, 2.5]))
+            rows.append((k, i, v))
+            if v is not None:
+                if pos == 0:
+                    pos = 0 if abs(v) < 2 else -1 if v > 0 else 1
+                elif v * pos >= 0:
+                    pos = 0
+            want[k, i] = pos
+    df = spark.createDataFrame(rows, "k int, t int, z double")
+    assert {(r.k, r.t): r.pos for r in signals.held(df, ["k"], "t", "z", 2.0, 0.0, cross=True).collect()} == want
+
+
+def test_refills_of_both_sides_by_hand(spark):
+    def quote(second, bid, ask):
+        return ("a", at(0, 0) + dt.timedelta(seconds=second), [(1.0, bid)], [(1.1, ask)])
+
+    rows = [quote(0, 10.0, 8.0), quote(5, 4.0, 8.0), quote(20, 6.0, 2.0), quote(30, 11.0, 4.0), quote(40, 2.0, 7.0), quote(400, 1.0, 9.0), quote(410, 12.0, 9.0), quote(420, 6.0, None)]
+    df = spark.createDataFrame(rows, "instr string, t timestamp_ntz, bids array<struct<px: double, qty: double>>, asks array<struct<px: double, qty: double>>")
+    got = {(r.side, r.t, r.seconds) for r in book.refills(df, "instr").collect()}
+    # the bid's second drop is settled too late, and the drop at that book belongs to it; the ask never is back in time
+    assert got == {("bid", rows[1][1], 25.0)}
+    # with more time the second drop and the ask are back
+    longer = {(r.side, r.seconds) for r in book.refills(df, "instr", within=400).collect()}
+    assert longer == {("bid", 25.0), ("bid", 370.0), ("ask", 380.0)}
+
+
+def test_traders_learn_a_trend_and_pay_for_turning():
+    rng = np.random.default_rng(3)
+    r = np.repeat(rng.choice([-1.0, 1.0], 40), 12) + rng.normal(0, 0.2, 480)
+    w = models.traders(r[:300], 3, lags=4, epochs=20)
+    assert w.shape == (3, 6) and (models.profits(r[300:], w, 0.0) > 60).all()
+    assert (models.profits(r[300:], w, 0.5) < models.profits(r[300:], w, 0.0)).all()
+
+
+def test_walk_forward_rules(spark):
+    rng = np.random.default_rng(4)
+    x, rows = 0.0, []
+    for i in range(400):
+        new = 0.7 * x + rng.normal(0, 1)
+        rows.append(("p", i, x, new - x))
+        x = new
+    got = {r.rule: r for r in models.walk_forward(spark.createDataFrame(rows, "pair string, t int, x double, d double"), "pair", "t", "x", "d", cost=0.1).collect()}
+    assert set(got) == set(models.RULES) and got["z 1.5"].net > 0
+    assert got["z 1.5 and probable"].entries <= got["z 1.5"].entries

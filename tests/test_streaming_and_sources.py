@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -92,3 +93,27 @@ def test_file_sources(spark, tmp_path):
     assert sorted(r.t for r in files.paged(pages).collect()) == [0, 1, 2, 3]
     files.wide_csv(spark.createDataFrame([(1, "p", 2.0), (1, "q", 3.0)], "t int, tag string, v double"), "t", "tag", "v", ["p", "q"], str(tmp_path / "wide"))
     assert spark.read.option("header", True).csv(str(tmp_path / "wide")).columns == ["t", "p", "q"]
+
+
+def test_order_log_and_json_report(spark, tmp_path):
+    one = spark.createDataFrame([("p", 1, "buy")], "pair string, leg int, side string")
+    two = spark.createDataFrame([("p", 2, "sell")], "pair string, leg int, side string")
+    for rows in (one, two):
+        files.append_orders(rows, f"{tmp_path}/orders")
+        files.json_report(rows, f"{tmp_path}/report")
+    assert sorted(map(tuple, spark.read.option("header", True).csv(f"{tmp_path}/orders").collect())) == [("p", "1", "buy"), ("p", "2", "sell")]
+    assert [r.side for r in spark.read.json(f"{tmp_path}/report").collect()] == ["sell"]
+
+
+def test_late_tick_starts_no_bar_anew(spark, tmp_path):
+    schema = "instr string, t timestamp, px double, qty double"
+
+    def tick(k, minute, px):
+        spark.createDataFrame([("a", dt.datetime(2024, 1, 2, 9) + dt.timedelta(minutes=minute), px, 1.0)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+
+    for k, (minute, px) in enumerate([(0, 1.0), (90, 2.0), (95, 3.0), (1, 99.0), (300, 4.0)]):
+        tick(k, minute, px)
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        live.run_available(live.bars(source, "60 minutes", "10 minutes"), f"{tmp_path}/check", each=lambda batch, n: batch.write.mode("append").parquet(f"{tmp_path}/out"))
+    got = sorted((r.t.hour, r.high, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(9, 1.0, 1), (10, 3.0, 2)]
