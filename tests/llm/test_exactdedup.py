@@ -56,3 +56,10 @@ def test_query_matches_sql(spark):
     want = sorted(duckdb.sql(exactdedup.OP3_SQL).fetchall())
     got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exactdedup.op3_exact_dedup(spark, sf).collect())
     assert got == want
+
+
+def test_very_long_texts(spark):
+    long = "Some words of a long text. " * 80_000
+    docs = spark.createDataFrame([(1, long), (2, long.upper()), (3, long + "x")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.keep_id, r.group_size) for r in exactdedup.duplicate_groups(docs).collect())
+    assert got == [(1, 2, 2), (2, 2, 2), (3, 3, 1)]

@@ -87,3 +87,23 @@ def test_run_packs_exactly_what_the_stages_keep(spark, stages):
         for k in range(0, len(ids), 2048):
             want[d, k // 2048] = zlib.crc32(ids[k : k + 2048].tobytes())
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+def test_edge_rows_run_through_all_stages(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    for name in ("labels", "benchmark"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None), (None, ""), (None, "no id here"), (900_001, None), (900_002, "long words " * 60_000), (900_003, "twice"), (900_003, "twice")], "doc_id long, text string")
+    every = docs.unionByName(odd, allowMissingColumns=True).withColumns({"row": docs.doc_id, "sequence_id": docs.doc_id, "key": docs.lang})
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and all(r.offset + r.length <= 2048 for r in rows)
+    kept = every
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == every.columns
+    every.where("false").write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        (tmp_path / "none" / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
