@@ -503,19 +503,20 @@ PAIR_REPORT = f"""WITH {OLS}, u AS (SELECT s.pair, s.t, (x - mx) * (d - a - b *
 i AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY t) AS k FROM u),
 p AS (SELECT i.pair, sum(CASE WHEN j.k = i.k THEN 1 ELSE 2 * (1 - (i.k - j.k) / 11.0) END * i.u * j.u) AS s FROM i JOIN i j ON i.pair = j.pair AND j.k BETWEEN i.k - 10 AND i.k GROUP BY i.pair),
 g AS (SELECT pair, count(*) AS n_bars, count(DISTINCT sid) AS n_sessions, arg_max(s, t) AS last, avg(s) AS mean, stddev_pop(s) AS sd FROM spread GROUP BY pair)
-SELECT g.pair, n_bars, e.n AS n_steps, n_sessions, round(last, 6) AS spread_now, round((last - mean) / sd, 6) AS z, round(1 + b, 6) AS ar1, round(CASE WHEN b > -1 AND b < 0 THEN ln(2) / -ln(1 + b) END, 5) AS half_life, round(b, 6) AS gamma, round(b * sxx / sqrt(p.s), 5) AS t_hac
-FROM g JOIN e ON g.pair = e.pair JOIN p ON g.pair = p.pair"""
+SELECT g.pair, n_bars, coalesce(e.n, 0) AS n_steps, n_sessions, round(last, 6) AS spread_now, round((last - mean) / sd, 6) AS z, round(1 + b, 6) AS ar1, round(CASE WHEN b > -1 AND b < 0 THEN ln(2) / -ln(1 + b) END, 5) AS half_life, round(b, 6) AS gamma, round(b * sxx / sqrt(p.s), 5) AS t_hac
+FROM g LEFT JOIN e ON g.pair = e.pair LEFT JOIN p ON g.pair = p.pair"""
 
 
 def pair_report(m: Market) -> DataFrame:
-    """One row per pair: aligned bars, sessions, consecutive steps, spread, z, AR(1), half-life, ECM gamma and HAC t."""
+    """One row per pair: aligned bars, sessions, consecutive steps, spread, z, AR(1), half-life, ECM gamma and HAC t; the
+    estimates are null for a pair without steps."""
     spread = m.spread
     size = spread.groupBy("pair").agg(F.count("*").alias("n_bars"), F.count_distinct("sid").alias("n_sessions"), F.avg("s").alias("mean"), F.stddev_pop("s").alias("sd"), F.max_by("s", "t").alias("last"))
     fit = stats.hac(m.steps, "pair", "t", "x", "d").withColumnRenamed("n", "n_steps")
     ar1 = 1 + F.col("b")
     half = F.when((ar1 > 0) & (ar1 < 1), F.ln(F.lit(2.0)) / -F.ln(ar1))
-    return size.join(fit, "pair").select(
-        "pair", "n_bars", "n_steps", "n_sessions", r6("last").alias("spread_now"), r6(c.zscore(F.col("last"), F.col("mean"), F.col("sd"))).alias("z"),
+    return size.join(fit, "pair", "left").select(
+        "pair", "n_bars", F.coalesce("n_steps", F.lit(0)).alias("n_steps"), "n_sessions", r6("last").alias("spread_now"), r6(c.zscore(F.col("last"), F.col("mean"), F.col("sd"))).alias("z"),
         r6(ar1).alias("ar1"), F.round(half, 5).alias("half_life"), r6("b").alias("gamma"), F.round("t_hac", 5).alias("t_hac"))
 
 
