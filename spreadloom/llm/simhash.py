@@ -15,8 +15,9 @@ shingles has the first fifth of them and one more as keys, frequent ones last: t
 and the places of the first shared one bound what they can have in common. The shingles of a text of 200 or more fall
 by hash into classes of two or three, as many as the text asks for; a class that no edit touched is equal on both
 sides, and of the first 40 one is, but for a chance of some 1 in 10^10. Texts that share a key are first compared with
-its first and last text. Where a key still holds texts that no link joins by then, all of its pairs across such groups
-are compared.
+its first and last text. Where a key still holds texts that no link all of its pairs across such groups
+are compared. What meets passes a filter on parities before anything wide is looked at: 512 bits of which each shingle
+flips one cannot differ in more places than the texts differ in shingles, so it loses no pair.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ SIMILAR = 0.8
 UNSURE = (0.15, 0.25)
 #: Fewest shingles in a class, classes of a text that are keys, smallest shingle hashes by which two texts are compared.
 CLASS, CLASSES, SAMPLE = 2, 40, 128
+#: Bits of which each shingle of a text flips one.
+PARITIES = 512
 #: Texts whose shingle hashes a task remembers while it compares pairs, which come in the order of one side.
 REMEMBERED = 256
 #: Least shingles of a text that is keyed by classes; one of up to 1 / `SIMILAR` as many is keyed by its rarest shingles.
@@ -216,28 +219,34 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def sketches(docs: DataFrame, words: int, similar: float = SIMILAR) -> DataFrame:
-    """row (a number of its own), doc_id, fp, n (distinct shingles), keys (of shingles, then of classes), sample (smallest hashes), data (the
-    text) of every row."""
+    """row (a number of its own), doc_id, fp, n (distinct shingles), keys (of shingles, then of classes), sample (smallest hashes), bits (parities
+    of the shingles, in longs), data (the text) of every row."""
     prepare(docs.sparkSession)
     frequent = frequent_shingles(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 parts = list(shingle_hashes(t, words))
                 distinct = np.unique(np.concatenate(parts).view(">u8").ravel()).astype(np.uint64) if parts else np.empty(0, np.uint64)
                 keys = np.concatenate([prefix_keys(distinct, frequent, similar), class_keys(distinct, similar)])
-                for c, v in zip(cols, (row, majority(iter(parts)), len(distinct), keys.view(np.int64), distinct[:SAMPLE].tobytes()), strict=True):
+                for c, v in zip(cols, (row, majority(iter(parts)), len(distinct), keys.view(np.int64), distinct[:SAMPLE].tobytes(), parities(distinct)), strict=True):
                     c.append(v)
                 row += 1
             fps = pa.array(np.array(cols[1], np.uint64).view(np.int64))
-            arrays = [pa.array(cols[0], pa.int64()), b.column(0), fps, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary()), b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "fp", "n", "keys", "sample", "data"])
+            arrays = [pa.array(cols[0], pa.int64()), b.column(0), fps, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.list_(pa.int64())), b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "fp", "n", "keys", "sample", "bits", "data"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "row long, doc_id long, fp long, n long, keys array<bigint>, sample binary, data binary")
+        run, "row long, doc_id long, fp long, n long, keys array<bigint>, sample binary, bits array<bigint>, data binary")
+
+
+def parities(distinct: np.ndarray) -> np.ndarray:
+    """`PARITIES` bits, as longs, of which each of the hashes flips one."""
+    odd = np.bincount((distinct % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def padded(samples: list[bytes]) -> np.ndarray:
@@ -297,9 +306,18 @@ def open_pairs(own: DataFrame, labels: DataFrame, similar: float = SIMILAR) -> D
     return pairs.select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct()
 
 
+def possible(own: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Those of `pairs` (a, b) of rows of `own` (as `sketches`) whose parities allow the similarity."""
+    x = own.select(F.col("row").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ax"))
+    y = own.select(F.col("row").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bx"))
+    apart = functools.reduce(Column.__add__, [F.bit_count(F.get("ax", F.lit(i)).bitwiseXOR(F.get("bx", F.lit(i)))) for i in range(PARITIES // 64)])
+    most = (1 - similar) / (1 + similar) * (F.col("an") + F.col("bn")) + 1e-6
+    return pairs.join(x, "a").join(y, "b").where(apart <= most).select("a", "b")
+
+
 def similar_links(own: DataFrame, close: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """Those of the pairs `close` (a, b) of rows of `own` (as `sketches`) that have the similarity."""
-    close = save(close, "close")
+    close = save(possible(own, close, similar), "close")
 
     def beside(pairs: DataFrame, name: str) -> DataFrame:
         # one pass over the wide column brings out the rows that pairs ask for; both sides then read those alone;

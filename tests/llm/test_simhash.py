@@ -181,3 +181,20 @@ def test_shared_parts_of_samples_match_plain_sets():
         if simhash.SAMPLE in (len(x), len(y)):
             both = both[: simhash.SAMPLE]
         assert part == (sum(v in x and v in y for v in both) / len(both) if both else 0.0)
+
+
+def test_parities_lose_no_similar_pair_and_drop_far_ones(spark):
+    rng = np.random.default_rng(3)
+    rows, want, far = [], set(), set()
+    for k in range(200):
+        n = int(rng.integers(1, 600))
+        base = rng.integers(1, 1 << 63, n, dtype=np.uint64)
+        swap = int(rng.integers(0, n // 3 + 1))
+        other = np.concatenate([base[swap:], rng.integers(1, 1 << 63, swap, dtype=np.uint64)])
+        part = (n - swap) / (n + swap)
+        (want if part >= 0.8 else far).add((2 * k, 2 * k + 1))
+        rows += [(2 * k + i, n, simhash.parities(x).tolist()) for i, x in enumerate((base, other))]
+    own = spark.createDataFrame([*rows, (1000, 0, simhash.parities(base[:0]).tolist())], "row long, n long, bits array<bigint>")
+    pairs = spark.createDataFrame(sorted(want | far), "a long, b long")
+    got = {(r.a, r.b) for r in simhash.possible(own, pairs).collect()}
+    assert want <= got and len(got & far) < len(far) / 2
