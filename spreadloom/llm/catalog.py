@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from spreadloom.llm import decontam, exactdedup, lengths, lines, packing, pages, phrases, quality, repeats, secrets, simhash
+from spreadloom.llm import decontam, exactdedup, lengths, lines, packing, pages, phrases, quality, repeats, secrets, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_main_text": pages.op9_main_text,
         "op10_repeats": repeats.op10_repeats,
+        "op12_warc": warc.op12_warc,
         "op13_phrases": phrases.op13_phrases,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exactdedup.OP3_SQL, "op5_lines": lines.OP5_SQL, "op13_phrases": phrases.OP13_SQL}
+    return {"op3_exact_dedup": exactdedup.OP3_SQL, "op5_lines": lines.OP5_SQL, "op12_warc": warc.OP12_SQL, "op13_phrases": phrases.OP13_SQL}

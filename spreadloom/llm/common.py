@@ -36,11 +36,16 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/spreadloom/{name}-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
     """Write `df` to the shared folder, in folders per value of the column `by`, and read it back: computed once, safe
     from lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/spreadloom/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,10 +53,14 @@ def save(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
 def drop(*saved: DataFrame) -> None:
     """Delete what `save` has written, once nothing reads it any more."""
     for df in saved:
-        spark = df.sparkSession
         for path in {f.partition("/spreadloom/")[0] + "/spreadloom/" + f.partition("/spreadloom/")[2].partition("/")[0] for f in df.inputFiles()}:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def is_empty(df: DataFrame) -> bool:
