@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from spreadloom.llm import decontam, exactdedup, lengths, lines, packing, pages, phrases, quality, repeats, secrets, simhash, warc
+from spreadloom.llm import decontam, exactdedup, lengths, lines, packing, pages, phrases, quality, repair, repeats, secrets, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_main_text": pages.op9_main_text,
         "op10_repeats": repeats.op10_repeats,
+        "op11_repair": repair.op11_repair,
         "op12_warc": warc.op12_warc,
         "op13_phrases": phrases.op13_phrases,
         "pipeline": corpus_pipeline.run,
