@@ -71,7 +71,7 @@ def search(rows: list[Row], state: str = START, to_come: dict[str, int] | None =
     failed: dict[tuple[int, str], int] = {}
     bound = least[0] + last
     while True:
-        over, path = FAR, []
+        over, path = ends.get(state, FAR) if not n else FAR, []
         # a frame: place, state, cost so far, edits yet to be tried
         stack = [(0, state, 0, iter(moves(rows[0] if n else None, state)))]
         if not n and ends.get(state, FAR) <= bound:
@@ -92,8 +92,10 @@ def search(rows: list[Row], state: str = START, to_come: dict[str, int] | None =
             if total + need > bound:
                 over = min(over, total + need)
                 continue
-            if place == n and ends.get(then, FAR) + total <= bound:
-                return ends[then] + total, "".join(path) + letter, then
+            if place == n and then in ends:
+                if ends[then] + total <= bound:
+                    return ends[then] + total, "".join(path) + letter, then
+                over = min(over, ends[then] + total)
             path.append(letter)
             stack.append((place, then, total, iter(moves(rows[place] if place < n else None, then))))
         bound = over
