@@ -11,9 +11,11 @@ the limit of a candidate go there: no part of a phrase can be rarer than the phr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,11 +24,11 @@ from pyspark.sql import functions as F
 from spreadloom.llm.common import documents, drop, prepare, save
 
 #: Bytes of text that are counted at once; entries of a trie before subtrees leave it, and of a container before it bursts.
-CHUNK, ENTRIES, BURST = 2 << 20, 600_000, 4096
-#: Bits of a word's number in a packed phrase, and words after which a trie leaves whole and starts again. A chunk has
-#: fewer words than lie between the two.
-BITS, WORDS = 21, 400_000
-MASK = (1 << BITS) - 1
+CHUNK, ENTRIES, BURST = 2 << 20, 1_000_000, 4096
+#: Bits of a word's number in a packed phrase, and words after which a trie leaves whole and starts again. Two
+#: chunks have fewer distinct words than lie between the two.
+BITS, WORDS = 21, 500_000
+MASK, LOW = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 #: Bytes of input, as stored, for each prefix partition, and the most partitions.
 PART_BYTES, MOST_PARTS = 1 << 20, 1 << 20
 #: What ends a piece of text, as "."; a tab is a space.
@@ -68,7 +70,7 @@ class Trie:
             return
         first = keys >> (2 * BITS)
         cuts = np.flatnonzero(np.diff(first, prepend=-1))
-        rest = (keys & ((1 << 2 * BITS) - 1)).tolist()
+        rest = (keys & LOW).tolist()
         n = counts.tolist()
         for a, b, w in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rest)], first[cuts].tolist(), strict=True):
             box = self.roots.get(w)
@@ -102,21 +104,24 @@ class Trie:
 
     def take(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """Packed phrases and counts of the largest subtrees, taken out until at most `keep` entries stay."""
-        keys, counts = [], []
+        heads, boxes, sizes = [], [], []
         for w in sorted(self.sizes, key=self.sizes.__getitem__, reverse=True):
             if self.total <= keep:
                 break
-            box, self.total = self.roots.pop(w), self.total - self.sizes.pop(w)
+            box, size = self.roots.pop(w), self.sizes.pop(w)
+            self.total -= size
             if w in self.burst:
                 self.burst.discard(w)
-                for second, under in box.items():
-                    keys.append(np.fromiter(under, np.int64, len(under)) | (w << 2 * BITS | second << BITS))
-                    counts.append(np.fromiter(under.values(), np.int64, len(under)))
+                heads += [w << 2 * BITS | second << BITS for second in box]
+                boxes += box.values()
+                sizes += map(len, box.values())
             else:
-                keys.append(np.fromiter(box, np.int64, len(box)) | (w << 2 * BITS))
-                counts.append(np.fromiter(box.values(), np.int64, len(box)))
-        none = np.zeros(0, np.int64)
-        return np.concatenate(keys or [none]), np.concatenate(counts or [none])
+                heads.append(w << 2 * BITS)
+                boxes.append(box)
+                sizes.append(size)
+        total = sum(sizes)
+        keys = np.fromiter(chain.from_iterable(boxes), np.int64, total) | np.repeat(np.array(heads, np.int64), sizes)
+        return keys, np.fromiter(chain.from_iterable(box.values() for box in boxes), np.int64, total)
 
 
 def packed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,29 +136,30 @@ def packed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(trie: Trie, keep: int, parts: int, lang: str) -> Iterator[tuple[int, str, int, bytes, bytes]]:
     """(prefix partition, language, occurrences of single words, phrases in the order of their words, counts) of what
-    leaves the trie, the last two compressed."""
+    leaves the trie, the last two compressed. Phrases are lines of three words, of which the last can be empty."""
     keys, counts = trie.take(keep)
     if not len(keys):
         return
     words = list(trie.words)
-    order = sorted(range(1, len(words)), key=words.__getitem__)
-    rank = np.zeros(len(words), np.int64)
-    rank[order] = np.arange(1, len(words))
+    words[0] = b""
+    first, second, third = keys >> 2 * BITS, keys >> BITS & MASK, keys & MASK
+    used = np.unique(np.concatenate([first, second, third])).tolist()
     seed = xxhash.xxh64_intdigest(lang)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    rank, hashes = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
+    rank[sorted(used, key=words.__getitem__)] = np.arange(len(used)) + (used[0] > 0)
+    hashes[used] = [xxhash.xxh64_intdigest(words[k], seed) for k in used]
     hashes[0] = 0
-    first, second, third = keys >> 2 * BITS, keys >> BITS & MASK, keys & MASK
     part = ((hashes[first] * np.uint64(0x9E3779B97F4A7C15) + hashes[second]) % np.uint64(parts)).astype(np.int64)
     place = np.lexsort((rank[first] << 2 * BITS | rank[second] << BITS | rank[third], part))
     part, counts, alone = part[place], counts[place], np.where(second[place] == 0, counts[place], 0)
-    first, second, third = first[place].tolist(), second[place].tolist(), third[place].tolist()
+    plain, ended = pa.array(words, pa.large_binary()), pa.array([w + b"\n" for w in words], pa.large_binary())
+    text = pc.binary_join_element_wise(plain.take(first[place]), plain.take(second[place]), ended.take(third[place]), pa.scalar(b" ", pa.large_binary()))
+    offsets, data = np.frombuffer(text.buffers()[1], np.int64), memoryview(text.buffers()[2])
     cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
     squeeze = zstandard.ZstdCompressor(level=3)
-    for a, b in zip(cuts, [*cuts[1:], len(first)], strict=True):
-        text = b"\n".join(
-            b"%b %b %b" % (words[x], words[y], words[z]) if z else b"%b %b" % (words[x], words[y]) if y else words[x]
-            for x, y, z in zip(first[a:b], second[a:b], third[a:b], strict=True))
-        yield int(part[a]), lang, int(alone[a:b].sum()), squeeze.compress(text), squeeze.compress(counts[a:b].astype("<i8").tobytes())
+    for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+        phrases = squeeze.compress(data[offsets[a] : offsets[b] - 1])
+        yield int(part[a]), lang, int(alone[a:b].sum()), phrases, squeeze.compress(counts[a:b].astype("<i8").tobytes())
 
 
 RUNS = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("total", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary())])
@@ -189,7 +195,7 @@ def task_runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple]:
             tries.pop(lang)
         elif sum(t.total for t in tries.values()) > ENTRIES:
             large = max(tries, key=lambda k: tries[k].total)
-            yield from runs(tries[large], tries[large].total // 2, parts, large)
+            yield from runs(tries[large], tries[large].total // 4, parts, large)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -224,7 +230,7 @@ def task_merges(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple
         starts = [k for k in range(len(order)) if not k or phrases[order[k]] != phrases[order[k - 1]]]
         sums = np.add.reduceat(counts[order], starts)
         for k in np.flatnonzero(sums >= least).tolist():
-            phrase = phrases[order[starts[k]]]
+            phrase = phrases[order[starts[k]]].rstrip(b" ")
             yield lang, phrase.count(b" ") + 1, phrase.decode(), int(sums[k])
 
     now, total, of = None, 0, []
