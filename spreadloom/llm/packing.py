@@ -69,7 +69,8 @@ class Encoder(dict):
         if len(self) > REMEMBERED:
             self.clear()
         stem = word.rstrip(TRAILING)
-        if stem and len(stem) < len(word) and stem[-1].isalpha():
+        # a capital whose lower case ends in a mark, as of I with a dot, stands with the punctuation after it
+        if stem and len(stem) < len(word) and unicodedata.normalize("NFC", stem).lower()[-1].isalpha():
             ids = self[stem] + self[word[len(stem) :]]
         elif word.isalpha() and not ("İ" in word or "Σ" in word):
             low = unicodedata.normalize("NFC", word).lower().encode().decode("latin-1")

@@ -32,7 +32,9 @@ from spreadloom.llm.common import drop, prepare, save
 # Element names and class words as HTML pages use them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object select option".split())
-NEVER = RAW | frozenset("head nav header footer aside form button dialog menu fieldset".split())
+NEVER = RAW | frozenset("head nav header footer aside button menu".split())
+#: Elements that are never part of an article unless they hold it, and those that are not while they are outside one.
+WRAPS, HEADS = frozenset("form fieldset dialog".split()), frozenset({"header"})
 CONTAINERS = frozenset("html body main article section div td table center".split())
 SEMANTIC = frozenset("article main".split())
 #: Elements that no class word marks: what they hold is the page or its article.
@@ -41,6 +43,11 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus dialog foot footer header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion recommended search sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that say what a container is for, and nothing of a paragraph, a title or a quotation with such a name.
+CONTAINER_WORDS = frozenset("dialog foot footer header login masthead menu modal notice notices overlay search social widget".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address caption".split())
+#: Levels of elements that are told apart, as in browsers: deeper ones count for the last.
+DEEPEST = 512
 #: Elements that an opening tag of the same group ends where it stands directly in one.
 ENDS = {"p": BLOCKS - {"body", "html", "head"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"})}
 
@@ -48,7 +55,8 @@ ENDS = {"p": BLOCKS - {"body", "html", "head"}, "li": frozenset({"li"}), "dt": f
 #: text and records count as template; elements of a record.
 SUPPORT, HOLDS, ENOUGH, RECORD = 0.5, 0.5, 8, 3
 
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+#: What begins a tag, and what matters within one.
+OPENING, WITHIN = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))"), re.compile("[>\"']")
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 #: Numbers in names, as of posts: they tell pages apart and not elements.
@@ -57,12 +65,73 @@ LONG = re.compile(r"\d{3,}")
 Block = tuple[str, bool, int, str]
 
 
+class Tags:
+    """Tags of a page from left to right. What has no end is text; no place is looked at again for an end in vain, so the
+    work grows with the page, whatever stands in it."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.vain, self.endless = page, page.rfind(">"), set(), set()
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """Place after the ">" of a tag whose attributes begin at `at`; 0 if it has none."""
+        seen = []
+        while at <= self.last:
+            m = WITHIN.search(self.page, at)
+            if m[0] == ">":
+                return m.end()
+            if m.start() in self.vain or m.start() == self.quotes[m[0]]:
+                break
+            seen.append(m.start())
+            at = self.page.find(m[0], m.end()) + 1
+        self.vain.update(seen)
+        return 0
+
+    def find(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it closes, attributes) of the next tag; comments have no name."""
+        while m := OPENING.search(self.page, at):
+            if m[0] == "<!--":
+                end = self.page.find("-->", m.end())
+                return m.start(), end + 3 if end >= 0 else len(self.page), "", False, ""
+            if m[2] is None:
+                end = self.page.find(">", m.end()) + 1 if m.end() <= self.last else 0
+            else:
+                end = self.end(m.end())
+            if end:
+                return m.start(), end, (m[2] or "").lower(), bool(m[1]), self.page[m.end() : end - 1]
+            at = m.start() + 1
+        return None
+
+    def after_raw(self, name: str, at: int) -> int:
+        """Place after the closing tag of raw text; 0 if there is none."""
+        if name not in self.endless and (m := re.compile(rf"</{re.escape(name)}\b", re.I).search(self.page, at)) and m.end() <= self.last:
+            return self.page.find(">", m.end()) + 1
+        self.endless.add(name)
+        return 0
+
+
+class Open:
+    """An open element: its tag, path, whether it or one around it is never part of an article, the elements around it
+    that may yet turn out to wrap the article, and whether it lies in an article."""
+
+    def __init__(self, name: str, path: str, never: bool, wraps: tuple[int, ...], inside: bool):
+        self.name, self.path, self.never, self.wraps, self.inside = name, path, never, wraps, inside
+
+
 def parsed(page: str) -> tuple[list[tuple[str, bool, bool]], list[Block]]:
     """Structural elements opened (path, never part of an article, directly above it the same), and the text blocks
-    (path of the innermost structural element, never part of an article, characters in links, text)."""
-    stack: list[tuple[str, str, bool]] = []
-    opened: list[tuple[str, bool, bool]] = []
-    found: list[Block] = []
+    (path of the innermost structural element, never part of an article, characters in links, text).
+
+    A form, a set of fields or a dialog holds the article, and is none of the parts to drop, if an article or main
+    element is in it, or two paragraphs and half of the text that may be the article's.
+    """
+    root = Open("", "", False, (), False)
+    stack: list[Open] = []
+    beyond: dict[str, int] = {}
+    opened: list[tuple[Open, Open]] = []
+    found: list[tuple[Open, int, str]] = []
+    # of every form, field set and dialog: articles and paragraphs in it, characters
+    held: list[list[int]] = []
     words: list[str] = []
     linked, link = 0, 0
     at = 0
@@ -71,8 +140,11 @@ def parsed(page: str) -> tuple[list[tuple[str, bool, bool]], list[Block]]:
         nonlocal linked
         text = " ".join("".join(words).split())
         if text:
-            _, path, never = stack[-1] if stack else ("", "", False)
-            found.append((path, never, linked, text))
+            here = stack[-1] if stack else root
+            found.append((here, linked, text))
+            if not here.never:
+                for k in here.wraps:
+                    held[k][2] += len(text)
         words.clear()
         linked = 0
 
@@ -89,23 +161,23 @@ def parsed(page: str) -> tuple[list[tuple[str, bool, bool]], list[Block]]:
             take(entities.unescape("".join(pieces)))
             pieces.clear()
 
+    tags = Tags(page)
     while True:
-        m = TAG.search(page, at)
-        pieces.append(page[at : m.start() if m else len(page)])
-        if not m:
+        tag = tags.find(at)
+        pieces.append(page[at : tag[0] if tag else len(page)])
+        if not tag:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
+        _, at, name, closes, attributes = tag
+        alone = attributes.rstrip().endswith("/")
         if not name:
             continue
         if name == "a":
             spill()
-            link = 0 if m[1] else 1
+            link = 0 if closes else 1
             continue
-        if name in RAW and not m[1]:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page) if name in ("script", "style") else at
+        if name in RAW and not closes:
+            if not alone:
+                at = tags.after_raw(name, at) or (len(page) if name in ("script", "style") else at)
             pieces.append(" ")
             continue
         if name == "br":
@@ -116,26 +188,45 @@ def parsed(page: str) -> tuple[list[tuple[str, bool, bool]], list[Block]]:
         spill()
         flush()
         link = 0
-        if m[1]:
+        if closes:
+            if beyond.get(name):
+                beyond[name] -= 1
+                continue
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k].name == name:
                     del stack[k:]
+                    beyond.clear()
                     break
             continue
-        while stack and name in ENDS.get(stack[-1][0], ()):
+        while stack and name in ENDS.get(stack[-1].name, ()):
             stack.pop()
         if name in VOID:
             continue
-        names = sorted({LONG.sub("#", w) for x in NAMES.findall(m[3]) for w in "".join(x[1:]).lower().split()}) if m[3] else []
-        own = name in NEVER or (name not in WHOLE and any(w in WORDS for w in names))
-        _, above, never = stack[-1] if stack else ("", "", False)
-        path = f"{above}/{name}{''.join('.' + w for w in names)}"
-        opened.append((path, never or own, never))
-        if not m[3].rstrip().endswith("/"):
-            stack.append((name, path, never or own))
+        above = stack[-1] if stack else root
+        if len(stack) == DEEPEST:
+            if not alone:
+                beyond[name] = beyond.get(name, 0) + 1
+            continue
+        names = sorted({LONG.sub("#", w) for x in NAMES.findall(attributes) for w in "".join(x[1:]).lower().split()}) if attributes else []
+        telling = WORDS - CONTAINER_WORDS if name in TEXTUAL or (name in HEADS and above.inside) else WORDS
+        own = (name in NEVER and not (name in HEADS and above.inside)) or (name not in WHOLE and any(w in telling for w in names))
+        wraps = above.wraps
+        if name in WRAPS:
+            wraps = (*wraps, len(held))
+            held.append([0, 0, 0])
+        elif (name in SEMANTIC or name == "p") and not (above.never or own):
+            for k in wraps:
+                held[k][name == "p"] += 1
+        here = Open(name, f"{above.path}/{name}{''.join('.' + w for w in names)}", above.never or own, wraps, above.inside or name in SEMANTIC)
+        opened.append((here, above))
+        if not alone:
+            stack.append(here)
     spill()
     flush()
-    return opened, found
+    total = sum(len(text) for here, _, text in found if not here.never)
+    holds = [bool(articles) or (paragraphs >= 2 and chars >= HOLDS * total) for articles, paragraphs, chars in held]
+    never = lambda e: e.never or not all(holds[k] for k in e.wraps)
+    return [(here.path, never(here), never(above)) for here, above in opened], [(here.path, never(here), n, text) for here, n, text in found]
 
 
 def tag_of(path: str) -> str:

@@ -22,6 +22,21 @@ def test_words_encode_as_the_whole_text_does():
         assert np.frombuffer(own.ids(x or ""), "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, x
 
 
+def test_words_of_all_cased_letters_before_punctuation():
+    import sys
+    import unicodedata
+
+    t = Tokenizer.from_file(packing.word_tokenizer())
+    own = packing.Encoder(packing.word_tokenizer())
+    cased = [chr(c) for c in range(sys.maxunicode) if unicodedata.category(chr(c)) in ("Lu", "Lt") or len(chr(c).lower()) > 1]
+    rng = random.Random(8)
+    alphabet = [*"aeİİİΣΣéßı", *"\u0301\u0307", *cased]
+    words = [c + "," for c in cased] + ["".join(rng.choice(alphabet[: rng.choice([12, len(alphabet)])]) for _ in range(rng.randrange(1, 5))) + "".join(rng.choice(".,;:!?|*#%$&'-İ") for _ in range(rng.randrange(1, 4))) for _ in range(100_000)]
+    texts = [" ".join(words[k : k + 20]) for k in range(0, len(words), 20)] + ["BELEDİYESİ, İ. İ"]
+    for x, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.ids(x), "<u4").tolist() == want.ids, x
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
 

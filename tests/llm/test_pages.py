@@ -87,3 +87,29 @@ def test_class_words_drop_only_whole_names_and_never_the_article():
         assert pages.main_text(page, None, frozenset()) == want, page
     inside = '<article><p class="byline">By A</p><p class="share">a share price</p><p>one <svg><text>two</text></svg> <math>x</math> <label>three</label></p></article>'
     assert pages.main_text(inside, None, frozenset()) == "By A\na share price\none two x three"
+
+
+def alone(page):
+    return pages.main_text(page, None, frozenset())
+
+
+def test_forms_dialogs_and_headers_that_hold_the_article():
+    body = "<p>one two three four.</p><p>five six seven eight.</p>"
+    assert alone(f'<body><form id="aspnetForm"><nav>menu</nav><article>{body}</article></form></body>') == "one two three four.\nfive six seven eight."
+    assert alone(f"<body><form><div>{body}</div></form></body>") == "one two three four.\nfive six seven eight."
+    assert alone(f"<body><div>{body}</div><form><p>Mail</p><fieldset>us</fieldset></form><dialog><p>Accept?</p></dialog></body>") == "one two three four.\nfive six seven eight."
+    assert alone("<article><header><h1>Title</h1></header>" + body + "<form>reply</form></article>") == "Title\none two three four.\nfive six seven eight."
+    assert alone(f'<header><h1>Site</h1></header><article>{body}<p class="dialog">- Who? - Me.</p></article>').endswith("- Who? - Me.")
+    assert alone(f'<article>{body}<div class="dialog">Sign in</div><p class="ad">Buy</p></article>') == "one two three four.\nfive six seven eight."
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    for page in ('<a "' * 250_000, "<a '\"" * 200_000, '<a "' * 150_000 + ">\"" + "<b '" * 150_000, "<textarea>" * 100_000, "</script" * 100_000 + "<script>", "<div>" * 200_000 + "x" + "</p>" * 50_000, "<" * 1_000_000, "<!" * 500_000, "<!--" * 250_000, "<form>" * 100_000 + "y", "<script></script" * 60_000):
+        began = time.time()
+        pages.parsed(page)
+        assert time.time() - began < 4, page[:20]
+    assert pages.parsed("<p>a <b c")[1][0][3] == "a <b c"
+    deep = pages.parsed("<div>" * 600 + "<p>in</p>" + "</div>" * 600 + "<p>out</p>")
+    assert [b[3] for b in deep[1]] == ["in", "out"] and deep[1][1][0] == "/p"
