@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from spreadloom.llm.common import documents, drop, prepare, save
 
 #: Bytes of text that are counted at once; entries of a trie before subtrees leave it, and of a container before it bursts.
-CHUNK, ENTRIES, BURST = 2 << 20, 1_000_000, 4096
+CHUNK, ENTRIES, BURST = 2 << 20, 1_300_000, 4096
 #: Bits of a word's number in a packed phrase, and words after which a trie leaves whole and starts again. Two
 #: chunks have fewer distinct words than lie between the two.
 BITS, WORDS = 21, 500_000
@@ -227,10 +228,11 @@ def task_merges(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple
         counts = np.concatenate([np.frombuffer(opened.decompress(c), "<i8") for _, c in of])
         # sorting finds the sorted runs and merges them
         order = sorted(range(len(phrases)), key=phrases.__getitem__)
-        starts = [k for k in range(len(order)) if not k or phrases[order[k]] != phrases[order[k - 1]]]
+        merged = list(map(phrases.__getitem__, order))
+        starts = np.flatnonzero(np.fromiter(chain((True,), map(ne, merged[1:], merged)), bool, len(merged)))
         sums = np.add.reduceat(counts[order], starts)
         for k in np.flatnonzero(sums >= least).tolist():
-            phrase = phrases[order[starts[k]]].rstrip(b" ")
+            phrase = merged[starts[k]].rstrip(b" ")
             yield lang, phrase.count(b" ") + 1, phrase.decode(), int(sums[k])
 
     now, total, of = None, 0, []
