@@ -46,11 +46,14 @@ def tick_bars(m: Market) -> DataFrame:
     return m.bars
 
 
-@add("a4_counter_bars", """
+COUNTER_BARS = """
 WITH c AS (SELECT *, (event_id * 7 % 1000)::DOUBLE AS totq FROM ticks),
 d AS (SELECT *, lag(totq) OVER (PARTITION BY instr ORDER BY t) AS p FROM c),
 q AS (SELECT instr, t, px, CASE WHEN p IS NULL THEN 0 WHEN totq < p THEN totq ELSE totq - p END AS step FROM d)
-SELECT instr, time_bucket(INTERVAL '1 hour', t) AS t, arg_max(px, t) AS close, CAST(sum(step) AS DOUBLE) AS volume FROM q GROUP BY ALL""")
+SELECT instr, time_bucket(INTERVAL '1 hour', t) AS t, arg_max(px, t) AS close, CAST(sum(step) AS DOUBLE) AS volume FROM q GROUP BY ALL"""
+
+
+@add("a4_counter_bars", COUNTER_BARS)
 def counter_bars(m: Market) -> DataFrame:
     sized = bars.counter_sizes(m.ticks.withColumn("totq", (F.col("event_id") * 7 % 1000).cast("double")), "totq")
     return bars.tick_bars(sized, f"{m.scale.bar} minutes").select("instr", "t", "close", "volume")

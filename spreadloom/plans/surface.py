@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from spreadloom.functions import columns as c
 from spreadloom.functions.columns import r6
 from spreadloom.operators import bars, merge, models, roll, sessions, signals, stats
+from spreadloom.plans import series
 from spreadloom.plans.desk import US, roll_sql
 from spreadloom.plans.market import Catalog, Market
 from spreadloom.plans.series import OLS
 from spreadloom.plans.trading import LOCKS, SCORED, locks, scored
+from spreadloom.sources.store import KeyedStore
 from spreadloom.streaming import live
 
 catalog = Catalog()
@@ -267,17 +269,68 @@ def activity_sessions(m: Market) -> DataFrame:
 @add("x6_once_a_second", "SELECT DISTINCT instr, date_trunc('second', t) AS t FROM ticks")
 def once_a_second(m: Market) -> DataFrame:
     """Instruments and seconds with a tick, repeats within the watermark dropped on the stream."""
-    out = streamed(m, lambda ticks: live.once(ticks.select("instr", F.date_trunc("second", "t").alias("t")), "365 days", ["instr", "t"]), "append")
+    out = streamed(m, lambda ticks: live.once(ticks.select("instr", F.date_trunc("second", "t").alias("t")), "1 hour", ["instr", "t"]), "append")
     return out.withColumn("t", F.col("t").cast("timestamp_ntz"))
 
 
 @add("x1_streamed_bars", "SELECT instr, t, open, high, low, close, volume, n FROM bars")
 def streamed_bars(m: Market) -> DataFrame:
-    """The bars by Structured Streaming over the event files, kept in a keyed sink."""
+    """The bars by Structured Streaming over the event files: what a batch changes goes to a keyed store."""
     folder = scratch(m.spark)
-    kind = m.table("events").schema
-    events = m.spark.readStream.schema(kind).parquet(f"{m.dir}/events.parque[t]")
+    events = m.spark.readStream.schema(m.table("events").schema).parquet(f"{m.dir}/events.parque[t]")
     ticks = events.where("value > 0").select(F.col("event_type").alias("instr"), F.col("ts").cast("timestamp").alias("t"), F.col("value").alias("px"), F.get_json_object("props", "$.k").cast("double").alias("qty"))
-    out = live.bars(ticks, f"{m.scale.bar} minutes", "1 hour")
-    live.run_available(out, f"{folder}/check", mode="complete", each=lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/bars"))
-    return m.spark.read.parquet(f"{folder}/bars").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    keys = ["instr", "t"]
+    live.run_available(live.bars(ticks, f"{m.scale.bar} minutes", "1 hour"), f"{folder}/check", mode="update", each=live.keyed_sink(f"{folder}/bars", keys, 8))
+    return KeyedStore(m.spark, f"{folder}/bars", keys).read().withColumn("t", F.col("t").cast("timestamp_ntz"))
+
+
+def replayed(m: Market, rows: DataFrame, key: str, build: Callable[[DataFrame], DataFrame], minutes: int = 240, batches: int = 4) -> DataFrame:
+    """What a stream makes of `rows` (with `key` and t) that come in `batches`, up to 80 % of `minutes` late and in no
+    order, and of a heartbeat at the end that lets the watermark pass them all."""
+    folder = scratch(m.spark)
+    m.spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    own = rows.withColumn("t", F.col("t").cast("timestamp"))
+    us = F.unix_micros("t")
+    low, high = own.agg(F.min(us), F.max(us)).first()
+    width = (high - low + minutes * 60_000_000) // batches + 1
+    drift = F.pmod(F.xxhash64(key, "t"), F.lit(minutes * 48_000_000))
+    own = own.withColumn("batch", F.floor((us + drift - low) / width)).repartition(4)
+    for k in range(batches):
+        own.where(F.col("batch") == k).drop("batch").write.mode("append").parquet(f"{folder}/in")
+    last = own.drop("batch").limit(1)
+    beat = last.select(*[F.lit("").alias(c) if c == key else F.timestamp_micros(F.lit(high + 3 * minutes * 60_000_000)).alias(c) if c == "t" else F.lit(None).cast(k).alias(c) for c, k in last.dtypes])
+    beat.write.mode("append").parquet(f"{folder}/in")
+    stream = live.ticks_from(m.spark, f"{folder}/in", own.drop("batch").schema, files=4)
+    live.run_available(build(stream), f"{folder}/check", each=lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}"))
+    return m.spark.read.parquet(f"{folder}/out").drop("batch").where(F.col(key) != "").withColumn("t", F.col("t").cast("timestamp_ntz"))
+
+
+@add("x2_late_counter_bars", series.COUNTER_BARS)
+def late_counter_bars(m: Market) -> DataFrame:
+    """Bars of counter sizes, from ticks that come late and in no order."""
+    ticks = m.ticks.select("instr", "t", "px", (F.col("event_id") * 7 % 1000).cast("double").alias("totq"))
+    sized = replayed(m, ticks, "instr", lambda rows: live.counter_sizes(rows, "240 minutes"))
+    return bars.tick_bars(sized, f"{m.scale.bar} minutes").select("instr", "t", "close", "volume")
+
+
+@add("x5_streamed_scores", series.rolling_sql("pair, sid", "119 PRECEDING AND CURRENT ROW", 30))
+def streamed_scores(m: Market) -> DataFrame:
+    """Rolling scores of spreads within sessions, from values that come late and in no order."""
+    values = m.spread.select(F.col("pair").alias("key"), "t", F.col("s").alias("x"))
+    out = replayed(m, values, "key", lambda rows: live.rolling_scores(rows, 120, 30, m.scale.gap, "240 minutes"))
+    return series.rolled(out.withColumnRenamed("key", "pair"))
+
+
+@add("x8_keyed_store", """
+WITH k AS (SELECT *, (event_id % 4) * 1000000000000 + event_id AS place FROM ticks)
+SELECT instr, time_bucket(INTERVAL '1 hour', t) AS t, arg_max(px, place) AS px, max(px) AS high, arg_min(px, place) AS first_px,
+ coalesce(arg_max(CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) END, CASE WHEN event_id % 3 = 0 THEN place END), '') AS note FROM k GROUP BY ALL""")
+def keyed_store(m: Market) -> DataFrame:
+    """Four batches of ticks, each written twice, in a keyed store: last price, highest, first, last note that says anything."""
+    store = KeyedStore(m.spark, f"{scratch(m.spark)}/store", ["instr", "t"], 8, ("event_id",), keep=("first_px",), largest=("high",), guard=("note",))
+    note = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).otherwise("")
+    rows = m.ticks.select("instr", F.window("t", f"{m.scale.bar} minutes").start.alias("t"), "px", F.col("px").alias("high"), F.col("px").alias("first_px"), note.alias("note"), "event_id")
+    for k in range(4):
+        for _ in range(2):
+            store.write(rows.where(F.col("event_id") % 4 == k), k)
+    return store.read().drop("event_id")

@@ -1,16 +1,20 @@
-"""Structured Streaming twins of the batch frames: bars, counter sizes, sessions, last quotes, keyed sinks."""
+"""Structured Streaming twins of the batch frames: bars, counter sizes, rolling scores, sessions, last quotes, keyed sinks."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import StructType
 
-from spreadloom.operators import merge
+from spreadloom.functions.columns import FLOOR
+from spreadloom.sources.store import KeyedStore
 
 
 def ticks_from(spark: SparkSession, folder: str, schema: str | StructType, files: int = 1) -> DataFrame:
@@ -42,48 +46,157 @@ def once(ticks: DataFrame, late: str, keys: list[str]) -> DataFrame:
     return ticks.withWatermark("t", late).dropDuplicatesWithinWatermark(keys)
 
 
-class CounterSizes(StatefulProcessor):
-    """Sizes from a running counter per instrument: its rise, the whole of it after a reset, 0 for the first tick."""
+class InOrder(StatefulProcessor):
+    """Rows of a key in the order of their time, once the watermark has passed them.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "totq double")
+    Rows that came before their turn are held, and a timer at the first of them brings them up: what is held of a key is
+    what lies within the watermark's delay, and one batch. A row not later than one already passed on is dropped, as is one
+    that the watermark has passed. Subclasses say which `columns` they read and what becomes of a sorted frame.
+    """
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        g = pd.concat(list(rows)).sort_values("t", ignore_index=True)
-        before = self.last.get()[0] if self.last.exists() else None
-        old = g["totq"].shift(1)
-        if before is not None and len(g):
-            old.iloc[0] = before
-        step = g["totq"] - old
-        g["qty"] = step.where(step >= 0, g["totq"]).where(old.notna(), 0.0)
-        self.last.update((float(g["totq"].iloc[-1]),))
-        yield g[["instr", "t", "px", "qty"]]
+    columns: dict[str, str] = {}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "t long, " + ", ".join(f"{c} {k}" for c, k in self.columns.items()))
+        self.marks = handle.getValueState("marks", "done long, due long")
+
+    def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def idle(self, watermark: int) -> int | None:
+        """Called when nothing is held: a time (in microseconds) to be woken at again."""
+        return None
+
+    def _wake(self, done: int, due: int | None, at: int | None) -> None:
+        """Move the timer of the key from `due` to `at`."""
+        if due is not None and due != at:
+            self.handle.deleteTimer(due // 1000 + 1)
+        if at is not None and due != at:
+            self.handle.registerTimer(at // 1000 + 1)
+        self.marks.update((done, -1 if at is None else at))
+
+    def _marks(self) -> tuple[int, int | None]:
+        done, due = self.marks.get() if self.marks.exists() else (-(1 << 62), -1)
+        return done, None if due == -1 else due
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        done, due = self._marks()
+        first = due
+        for part in rows:
+            part = part.assign(t=part["t"].astype("datetime64[us]").astype("int64"))
+            part = part[part["t"] > done]
+            if len(part):
+                self.held.appendList(list(part[["t", *self.columns]].itertuples(index=False, name=None)))
+                first = int(part["t"].min()) if first is None else min(first, int(part["t"].min()))
+        self._wake(done, due, first)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        done, _ = self._marks()
+        held = list(self.held.get()) if self.held.exists() else []
+        ready = sorted(r for r in held if r[0] <= watermark)
+        later = [r for r in held if r[0] > watermark]
+        if later:
+            self.held.put(later)
+        else:
+            self.held.clear()
+        if ready:
+            frame = pd.DataFrame(ready, columns=["t", *self.columns])
+            done = ready[-1][0]
+            yield self.step(key, frame).assign(t=pd.to_datetime(frame["t"], unit="us"))
+        # the timer that fired is gone
+        self._wake(done, None, min(r[0] for r in later) if later else self.idle(watermark))
 
     def close(self) -> None:
         pass
 
 
-def counter_sizes(ticks: DataFrame) -> DataFrame:
-    """Stream of ticks (instr, t, px, totq) with qty from the counter, its last value kept as state per instrument.
+class CounterSizes(InOrder):
+    """Sizes from a running counter per instrument: its rise, the whole of it after a reset, 0 for the first tick."""
+
+    columns = {"px": "double", "totq": "double"}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "totq double")
+
+    def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        old = rows["totq"].shift(1)
+        if self.last.exists():
+            old.iloc[0] = self.last.get()[0]
+        step = rows["totq"] - old
+        self.last.update((float(rows["totq"].iloc[-1]),))
+        return rows.assign(instr=key[0], qty=step.where(step >= 0, rows["totq"]).where(old.notna(), 0.0))[["instr", "t", "px", "qty"]]
+
+
+class RollingScores(InOrder):
+    """Mean, deviation and score of each value over the last `rows` of its session, itself included, from `least` on.
 
-    Needs `spark.sql.streaming.stateStore.providerClass` set to the RocksDB provider.
+    A key's state is a ring of the session's last values. A step of more than `gap` minutes starts a new session, and a
+    ring whose session the watermark has left behind is given up.
     """
-    return ticks.groupBy("instr").transformWithStateInPandas(
-        statefulProcessor=CounterSizes(), outputStructType="instr string, t timestamp, px double, qty double", outputMode="Append", timeMode="None")
 
+    columns = {"x": "double"}
 
-def keyed_sink(folder: str, keys: list[str], **policy: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
-    """Batch writer that upserts into versioned parquet under `folder`; a batch that is written again changes nothing."""
+    def __init__(self, rows: int, least: int, gap: float):
+        self.rows, self.least, self.gap = rows, least, int(gap * 60_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.ring = handle.getValueState("ring", "last array<double>, at long")
+
+    def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ring, at = self.ring.get() if self.ring.exists() else ([], None)
+        ring, out = deque(ring, self.rows), []
+        for t, x in zip(rows["t"].tolist(), rows["x"].tolist(), strict=True):
+            if at is not None and t - at > self.gap:
+                ring.clear()
+            ring.append(x)
+            at = t
+            if len(ring) < self.least:
+                out.append((len(ring), None, None, None))
+                continue
+            own = np.array(ring)
+            mean, sd = float(own.mean()), float(own.std())
+            out.append((len(ring), mean, sd, (x - mean) / sd if sd > FLOOR else None))
+        self.ring.update((list(ring), at))
+        return rows.assign(key=key[0]).join(pd.DataFrame(out, columns=["r_n", "r_mean", "r_sd", "r_z"]))[["key", "t", "x", "r_n", "r_mean", "r_sd", "r_z"]]
+
+    def idle(self, watermark: int) -> int | None:
+        if not self.ring.exists():
+            return None
+        due = self.ring.get()[1] + self.gap
+        if due > watermark:
+            return due
+        self.ring.clear()
+        return None
+
+
+#: State with timers needs this provider in `spark.sql.streaming.stateStore.providerClass`.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def counter_sizes(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Stream of ticks (instr, t, px, totq) with qty from the counter, in the order of time whatever the order they come
+    in, as far as they come at most `late`. Needs the provider `ROCKSDB`."""
+    return ticks.withWatermark("t", late).groupBy("instr").transformWithStateInPandas(
+        statefulProcessor=CounterSizes(), outputStructType="instr string, t timestamp, px double, qty double", outputMode="Append", timeMode="EventTime")
+
+
+def rolling_scores(values: DataFrame, rows: int, least: int, gap: float, late: str = "1 hour") -> DataFrame:
+    """Stream of values (key, t, x) with r_n, r_mean, r_sd, r_z of the last `rows` within sessions that `gap` minutes
+    without a value end; null before `least`. Needs the provider `ROCKSDB`."""
+    return values.withWatermark("t", late).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=RollingScores(rows, least, gap), outputStructType="key string, t timestamp, x double, r_n int, r_mean double, r_sd double, r_z double", outputMode="Append", timeMode="EventTime")
+
+
+def keyed_sink(folder: str, keys: list[str], buckets: int = 64, writer: str = "stream", **policy: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
+    """Batch writer that upserts into the keyed store under `folder`; a batch that is written again changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{folder}/v{number - 1}") if number else None
-        except Exception as e:  # the first batch of a restarted query may have no version before it
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        (batch if old is None else merge.upsert(old, batch, keys, **policy)).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        KeyedStore(batch.sparkSession, folder, keys, buckets, **policy).write(batch, number, writer)
 
     return write
 
