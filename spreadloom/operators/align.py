@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spreadloom.operators.scans import carried
+
 
 def pair_up(bars: DataFrame) -> DataFrame:
     """All pairs of instruments on common times: pair, a, b, t, opens and closes of both; a sorts before b.
@@ -22,29 +24,6 @@ def enough(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def carried(left: DataFrame, right: DataFrame, keys: list[str], value: str, forward: bool = False, strict: bool = False) -> DataFrame:
-    """As-of join: `left` (keys, t, ...) with `value` and `value_t` of the last `right` row at or before t; with
-    `forward` of the first at or after it. `strict` leaves out equal times. Rows without a match have nulls.
-
-    Both sides are stacked and one window pass fills the value in, so no left row meets more than one right row.
-    """
-    rest = [c for c in left.columns if c not in (*keys, "t")]
-    mine = left.select(*keys, "t", F.struct(*rest).alias("row_") if rest else F.struct(F.lit(1)).alias("row_"), F.lit(None).cast(dict(right.dtypes)[value]).alias("v_"), F.lit(True).alias("left_"))
-    kind = dict(mine.dtypes)["row_"]
-    theirs = right.select(*keys, "t", F.lit(None).cast(kind).alias("row_"), F.col(value).alias("v_"), F.lit(False).alias("left_"))
-    # at equal times: backward the right row comes first, forward last; strict turns that around
-    mine_at = int(strict == forward)
-    side = F.when(F.col("left_"), mine_at).otherwise(1 - mine_at)
-    seen = F.when(~F.col("left_"), F.struct("v_", F.col("t").alias("t_")))
-    w = Window.partitionBy(*keys).orderBy("t", side)
-    if forward:
-        got = F.first(seen, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        got = F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = mine.unionByName(theirs).withColumn("got_", got).where("left_")
-    return out.select(*keys, "t", *[F.col(f"row_.{c}").alias(c) for c in rest], F.col("got_.v_").alias(value), F.col("got_.t_").alias(f"{value}_t"))
-
-
 def last_seen(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
     """`left` with `value` of the `right` row at exactly t, else the last such value on an earlier left row of the keys."""
     both = left.join(right, "t", "left")

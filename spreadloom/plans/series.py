@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from spreadloom.functions import columns as c
 from spreadloom.functions.columns import r6
-from spreadloom.operators import align, bars, sessions, stats
-from spreadloom.plans.market import SPEC, Catalog, Market
+from spreadloom.operators import align, bars, scans, sessions, stats
+from spreadloom.plans.market import Catalog, Market
 
 catalog = Catalog()
 add = catalog.add
@@ -95,11 +95,9 @@ def three_way(m: Market) -> DataFrame:
 
 
 @add("j4_asof_backward", """
-SELECT x.pair, x.t, x.a_close, f.rate, f.t AS rate_t FROM aligned x ASOF JOIN fx f ON x.t >= f.t WHERE x.pair = 'click-view'""")
+SELECT x.pair, x.t, x.a_close, f.rate, f.t AS rate_t FROM aligned x ASOF JOIN fx f ON x.t >= f.t """)
 def asof_backward(m: Market) -> DataFrame:
-    rows = m.aligned.where("pair = 'click-view'").select("pair", "t", "a_close")
-    rates = m.fx.withColumn("pair", F.lit("click-view"))
-    return align.carried(rows, rates, ["pair"], "rate").where("rate is not null")
+    return scans.carried(m.aligned.select("pair", "t", "a_close"), m.fx, [], "rate").select("pair", "t", "a_close", "rate", "rate_t").where("rate is not null")
 
 
 @add("j5_carry_forward_rate", """
@@ -199,7 +197,7 @@ def global_counts(m: Market) -> DataFrame:
 
 @add("w1_sessionize", "SELECT pair, t, sid FROM pair_bars")
 def sessionize(m: Market) -> DataFrame:
-    return m.pair_bars.select("pair", "t", "sid")
+    return scans.sessionize(m.aligned, ["pair"], "t", m.scale.gap).select("pair", "t", "sid")
 
 
 @add("w2_consecutive_steps", "SELECT pair, sid, t, round(x, 6) AS x, round(d, 6) AS d FROM steps")
@@ -249,9 +247,7 @@ HEDGED = """v AS (SELECT x.pair, x.t, sa.point * x.a_close * CASE sa.ccy WHEN 'U
 def contract_values(m: Market) -> DataFrame:
     """Legs in one currency: contract value, times the last rate for those in another."""
     pairs = m.aligned
-    names = [f"{a[0]}-{b[0]}" for a in SPEC for b in SPEC if a[0] < b[0]]
-    rates = m.fx.withColumn("pair", F.explode(F.array(*map(F.lit, names))))
-    rows = align.carried(pairs.select("pair", "t", "a", "b", "a_close", "b_close"), rates, ["pair"], "rate").where("rate is not null")
+    rows = scans.carried(pairs.select("pair", "t", "a", "b", "a_close", "b_close"), m.fx, [], "rate").where("rate is not null")
     spec = F.broadcast(m.spec.select("instr", "point", "ccy"))
     for side in "ab":
         leg = spec.select(F.col("instr").alias(side), F.col("point").alias(f"{side}_point"), F.col("ccy").alias(f"{side}_ccy"))
@@ -273,11 +269,12 @@ def hedged(m: Market) -> DataFrame:
     return out
 
 
-@add("p7_rate_contribution", f"""WITH {HEDGED}, w AS (SELECT *, first_value(rate) OVER (PARTITION BY pair ORDER BY t) AS rate0 FROM v WHERE pair = 'click-view')
+@add("p7_rate_contribution", f"""WITH {HEDGED}, w AS (SELECT *, first_value(rate) OVER (PARTITION BY pair ORDER BY t) AS rate0 FROM v)
 SELECT pair, round(stddev_pop(va / 1e6), 4) AS sd_all, round(stddev_pop((va - va / rate * rate0) / 1e6), 4) AS sd_rate FROM w GROUP BY pair""")
 def rate_contribution(m: Market) -> DataFrame:
-    first = F.first("rate").over(Window.partitionBy("pair").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
-    v = contract_values(m).where("pair = 'click-view'").withColumn("rate0", first)
+    v = contract_values(m)
+    first = v.groupBy("pair").agg(F.min_by("rate", "t").alias("rate0"))
+    v = v.join(first, "pair")
     fixed = F.col("va") / F.col("rate") * F.col("rate0")
     return v.groupBy("pair").agg(F.round(F.stddev_pop(F.col("va") / 1e6), 4).alias("sd_all"), F.round(F.stddev_pop((F.col("va") - fixed) / 1e6), 4).alias("sd_rate"))
 
@@ -449,6 +446,15 @@ def rolling_quartiles(m: Market) -> DataFrame:
     return stats.rolling_quartiles(m.spread, ["pair"], "t", "s", 60).select("pair", "t", r6("r_med").alias("med"), r6("r_iqr").alias("iqr"))
 
 
+@add("w9_long_quartiles", """
+WITH l AS (SELECT instr, t, list_sort(list(px) OVER (PARTITION BY instr ORDER BY t ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING)) AS v FROM ticks)
+SELECT instr, t, round(CASE WHEN len(v) = 1000 THEN v[501] END, 6) AS med, round(CASE WHEN len(v) = 1000 THEN v[751] - v[251] END, 6) AS iqr FROM l""")
+def long_quartiles(m: Market) -> DataFrame:
+    """Quartiles of the thousand prices before each tick, from values kept in order."""
+    out = scans.rolling_quartiles(m.ticks.select("instr", "t", "px"), ["instr"], "t", "px", 1000)
+    return out.select("instr", "t", r6("r_med").alias("med"), r6("r_iqr").alias("iqr"))
+
+
 @add("w11_average_cross", """
 SELECT pair, t, CASE WHEN count(*) OVER l < 60 THEN 0 ELSE CAST(sign(round(avg(s) OVER k - avg(s) OVER l, 9)) AS INTEGER) END AS pos FROM spread
 WINDOW l AS (PARTITION BY pair, sid ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), k AS (PARTITION BY pair, sid ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
@@ -462,7 +468,7 @@ def average_cross(m: Market) -> DataFrame:
 WITH c AS (SELECT pair, t, sum(d) OVER (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING) AS total FROM steps)
 SELECT pair, t, round(total, 5) AS total, round(total - max(total) OVER (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING), 5) AS drawdown FROM c""")
 def drawdown(m: Market) -> DataFrame:
-    return stats.drawdown(m.steps, ["pair"], "t", "d").select("pair", "t", F.round("total", 5).alias("total"), F.round("drawdown", 5).alias("drawdown"))
+    return scans.drawdown(m.steps, ["pair"], "t", "d").select("pair", "t", F.round("total", 5).alias("total"), F.round("drawdown", 5).alias("drawdown"))
 
 
 @add("w15_lead_lag", """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadloom.functions.columns import r6
-from spreadloom.operators import book, models, sessions, signals, stats
+from spreadloom.operators import book, models, scans, sessions, signals, stats
 from spreadloom.plans.market import Catalog, Market
 from spreadloom.plans.series import OLS, pair_report
 
@@ -99,7 +99,7 @@ SELECT pair, sid, t, {extra or 'pos'} AS pos FROM w"""
 
 @add("g1_reversion_positions", path_sql("abs(x.z) <= 0.25"))
 def reversion_positions(m: Market) -> DataFrame:
-    return signals.held(scored(m), ["pair", "sid"], "t", "z", 2.0, 0.25)
+    return scans.held(scored(m), ["pair", "sid"], "t", "z", 2.0, 0.25)
 
 
 @add("g2_band_positions", path_sql("x.z * w.pos >= 0"))
