@@ -29,10 +29,11 @@ def decide(held: DataFrame, market: str, days: int = DAYS) -> DataFrame:
     return out.withColumn("reason", reason).withColumn("roll", F.col("reason") != "none").drop("month")
 
 
-def seam_prices(events: DataFrame, daily: DataFrame) -> DataFrame:
-    """instr, at, px_from (last close at or before the roll), px_to (first close after it)."""
-    closes = daily.select("instr", F.col("d").alias("t"), F.col("close").alias("px_from"))
-    rows = events.select("instr", F.col("at").alias("t"))
-    before = align.carried(rows, closes, ["instr"], "px_from")
-    after = align.carried(rows, closes.withColumnRenamed("px_from", "px_to"), ["instr"], "px_to", forward=True, strict=True)
-    return before.join(after, ["instr", "t"]).select("instr", F.col("t").alias("at"), "px_from", "px_to")
+def seam_prices(events: DataFrame, closes: DataFrame) -> DataFrame:
+    """`events` (instr, at, from_code, to_code) with px_from, the last close of the contract that is left at or before the
+    roll, and px_to, the first of the one that comes at or after it. `closes` has instr, code, d, close."""
+    prices = closes.select("instr", "code", F.col("d").alias("t"), F.col("close").alias("px"))
+    rows = events.withColumnRenamed("at", "t")
+    before = align.carried(rows.withColumn("code", F.col("from_code")), prices, ["instr", "code"], "px").select("instr", "t", "from_code", "to_code", F.col("px").alias("px_from"))
+    after = align.carried(rows.withColumn("code", F.col("to_code")), prices, ["instr", "code"], "px", forward=True).select("instr", "t", "from_code", "to_code", F.col("px").alias("px_to"))
+    return before.join(after, ["instr", "t", "from_code", "to_code"]).withColumnRenamed("t", "at")

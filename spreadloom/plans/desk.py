@@ -226,16 +226,6 @@ def feed_probe(m: Market) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("ticks") > 2000, "alive").otherwise("thin"))
 
 
-@add("k14_wide_cumulative", """
-WITH x AS (SELECT pair, t, sum(d) OVER (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING) AS v FROM steps)
-SELECT t, round(max(v) FILTER (pair = 'click-error'), 5) AS "click-error", round(max(v) FILTER (pair = 'click-view'), 5) AS "click-view", round(max(v) FILTER (pair = 'error-view'), 5) AS "error-view" FROM x WHERE pair IN ('click-error', 'click-view', 'error-view') GROUP BY t""")
-def wide_cumulative(m: Market) -> DataFrame:
-    names = ["click-error", "click-view", "error-view"]
-    w = Window.partitionBy("pair").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    v = m.steps.where(F.col("pair").isin(names)).withColumn("v", F.round(F.sum("d").over(w), 5))
-    return v.groupBy("t").pivot("pair", names).agg(F.first("v"))
-
-
 ROLLS = """ev AS (SELECT o_orderpriority AS instr, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS at, round(sum(o_totalprice) / 1e6, 4) AS gap FROM orders GROUP BY ALL)"""
 
 
@@ -255,11 +245,6 @@ def later_gaps(m: Market) -> DataFrame:
     return align.later_sum(m.daily, roll_events(m), ["instr"], "d", "at", "gap", inclusive=True).select("instr", "d", F.round("later", 4).alias("later"))
 
 
-@add("j13_seam_prices", f"WITH {ROLLS} SELECT ev.instr, ev.at, (SELECT arg_max(close, d) FROM daily WHERE daily.instr = ev.instr AND d <= ev.at) AS px_from, (SELECT arg_min(close, d) FROM daily WHERE daily.instr = ev.instr AND d > ev.at) AS px_to FROM ev")
-def seam_prices(m: Market) -> DataFrame:
-    return roll.seam_prices(roll_events(m), m.daily)
-
-
 @add("g26_roll_summary", f"WITH {ROLLS} SELECT instr, count(*) AS rolls, round(sum(coalesce(gap, 0)), 4) AS total FROM ev GROUP BY instr")
 def roll_summary(m: Market) -> DataFrame:
     return roll_events(m).groupBy("instr").agg(F.count("*").alias("rolls"), F.round(F.sum(F.coalesce("gap", F.lit(0.0))), 4).alias("total"))
@@ -327,5 +312,3 @@ def status(m: Market) -> DataFrame:
 @add("x_spread_view", "SELECT t, round(s, 6) AS s FROM (SELECT t, a_close - b_close AS s FROM aligned WHERE pair = 'click-view' ORDER BY t DESC LIMIT 300)")
 def spread_view(m: Market) -> DataFrame:
     return m.aligned.where("pair = 'click-view'").orderBy(F.desc("t")).limit(300).select("t", r6(F.col("a_close") - F.col("b_close")).alias("s"))
-
-

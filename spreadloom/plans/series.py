@@ -490,13 +490,6 @@ def inter_arrival(m: Market) -> DataFrame:
     return m.ticks.select("instr", g.alias("g")).where("g > 0 and g <= 300").groupBy("instr").agg(F.count("*").alias("n"), F.round(F.avg("g"), 9).alias("mean"), F.max("g").alias("longest"))
 
 
-@add("w24_leg_risk", "SELECT pair, round(sqrt(avg(d * d)) / sqrt(60) * sqrt(10) * sqrt(2 / pi()), 6) AS leg_sigma FROM (SELECT pair, s - lag(s) OVER (PARTITION BY pair, sid ORDER BY t) AS d FROM spread) WHERE d IS NOT NULL GROUP BY pair")
-def leg_risk(m: Market) -> DataFrame:
-    d = F.col("s") - F.lag("s").over(Window.partitionBy("pair", "sid").orderBy("t"))
-    rms = F.sqrt(F.avg(F.col("d") * F.col("d")))
-    return m.spread.select("pair", d.alias("d")).where("d is not null").groupBy("pair").agg(r6(rms / F.sqrt(F.lit(60.0)) * F.sqrt(F.lit(10.0)) * F.sqrt(2 / F.pi())).alias("leg_sigma"))
-
-
 @add("a26_beta_dispersion", """
 WITH b AS (SELECT pair, t, CASE WHEN count(*) OVER w >= 30 THEN regr_slope(ln(a_close), ln(b_close)) OVER w END AS beta FROM pair_bars WINDOW w AS (PARTITION BY pair, sid ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
 k AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY t DESC) AS k FROM b WHERE beta IS NOT NULL)

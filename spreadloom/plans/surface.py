@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from spreadloom.functions import columns as c
 from spreadloom.functions.columns import r6
-from spreadloom.operators import bars, merge, models, roll, sessions, signals, stats
+from spreadloom.operators import bars, merge, models, roll, scans, sessions, signals, stats
 from spreadloom.plans import series
 from spreadloom.plans.desk import US, roll_sql
 from spreadloom.plans.market import Catalog, Market
 from spreadloom.plans.series import OLS
 from spreadloom.plans.trading import LOCKS, SCORED, locks, scored
+from spreadloom.sources import feeds, files
 from spreadloom.sources.store import KeyedStore
 from spreadloom.streaming import live
 
@@ -168,18 +169,6 @@ def edge_gate(m: Market) -> DataFrame:
     return g.select("pair", r6(edge).alias("edge"), r6(cost).alias("cost"), (edge > cost).alias("open"))
 
 
-@add("g15_signal_record", """
-WITH k AS (SELECT pair, t, ln(a_close) AS la, ln(b_close) AS lb, row_number() OVER (PARTITION BY pair ORDER BY t DESC) AS k FROM aligned), f AS (SELECT pair, regr_slope(la, lb) AS beta FROM k WHERE k <= 120 GROUP BY pair),
-s AS (SELECT k.pair, t, la - beta * lb AS s FROM k JOIN f ON k.pair = f.pair WHERE k <= 120)
-SELECT s.pair, count(*) AS n, round(any_value(beta), 5) AS beta, round((arg_max(s, t) - avg(s)) / stddev_pop(s), 5) AS z FROM s JOIN f ON s.pair = f.pair GROUP BY s.pair""")
-def signal_record(m: Market) -> DataFrame:
-    rows = stats.tail(m.aligned.select("pair", "t", F.ln("a_close").alias("la"), F.ln("b_close").alias("lb")), ["pair"], "t", 120)
-    fit = stats.ols(rows, "pair", "lb", "la").select("pair", F.col("b").alias("beta"))
-    s = rows.join(fit, "pair").withColumn("s", F.col("la") - F.col("beta") * F.col("lb"))
-    out = stats.describe(s, "pair", "s").join(fit, "pair")
-    return out.select("pair", "n", F.round("beta", 5).alias("beta"), F.round("z", 5).alias("z"))
-
-
 @add("g28_order_gate", f"WITH {OLS}, {LOCKS}, o AS (SELECT pair, CASE WHEN z > 0 THEN 'live' ELSE 'dry' END AS mode, CAST(ceil(abs(z) * 3) AS BIGINT) AS qty FROM r) SELECT pair, mode, qty, CASE WHEN mode = 'dry' THEN 'logged' ELSE 'blocked' END AS status, qty <= 5 AS within_limit FROM o")
 def order_gate(m: Market) -> DataFrame:
     """Dry orders are logged, live ones always blocked: nothing here is connected to a broker."""
@@ -201,19 +190,6 @@ UNION ALL SELECT x.pair, x.sid, x.t, x.k, x.s, x.z, w.thr, CASE WHEN x.z IS NULL
 r AS (SELECT *, coalesce(lag(pos) OVER o * (s - lag(s) OVER o), 0) AS r FROM w WINDOW o AS (PARTITION BY pair, sid, thr ORDER BY t))"""
 
 
-@add("a25_strategy_metrics", f"""WITH RECURSIVE {walk_sql('[2.0::DOUBLE]')}, c AS (SELECT pair, t, r, sum(r) OVER (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING) AS v FROM r), d AS (SELECT *, v - max(v) OVER (PARTITION BY pair ORDER BY t ROWS UNBOUNDED PRECEDING) AS dd FROM c)
-SELECT pair, round(sum(r), 5) AS net, count(*) FILTER (r > 0) AS wins, round(CASE WHEN sum(r * r) > 0 THEN avg(r) / sqrt(avg(r * r)) * sqrt(252.0 * 400) END, 5) AS ratio, round(min(dd), 5) AS drawdown FROM d GROUP BY pair""")
-def strategy_metrics(m: Market) -> DataFrame:
-    """Per pair: net, trades, winners, drawdown of the reversion positions' own step returns."""
-    z = scored(m)
-    pos = signals.held(z, ["pair", "sid"], "t", "z", 2.0, 0.25)
-    w = Window.partitionBy("pair", "sid").orderBy("t")
-    steps = z.select("pair", "sid", "t", "s").join(pos, ["pair", "sid", "t"]).withColumn("r", F.coalesce(F.lag("pos").over(w) * (F.col("s") - F.lag("s").over(w)), F.lit(0.0)))
-    dd = stats.drawdown(steps, ["pair"], "t", "r")
-    rms = F.sqrt(F.avg(F.col("r") * F.col("r")))
-    return dd.groupBy("pair").agg(F.round(F.sum("r"), 5).alias("net"), F.count_if(F.col("r") > 0).alias("wins"), F.round(F.try_divide(F.avg("r"), rms) * F.sqrt(F.lit(252.0 * 400)), 5).alias("ratio"), F.round(F.min("drawdown"), 5).alias("drawdown"))
-
-
 @add("g9_threshold_sweep", f"WITH RECURSIVE {walk_sql('[1.0::DOUBLE, 1.5, 2.0]')} SELECT pair, thr AS threshold, round(sum(r), 5) AS net, count(*) FILTER (pos <> 0) AS held FROM r GROUP BY ALL")
 def threshold_sweep(m: Market) -> DataFrame:
     """Positions at three thresholds, marked to market."""
@@ -334,3 +310,42 @@ def keyed_store(m: Market) -> DataFrame:
         for _ in range(2):
             store.write(rows.where(F.col("event_id") % 4 == k), k)
     return store.read().drop("event_id")
+
+
+@add("s8_paged_source", "SELECT instr, t, open, high, low, close, volume FROM bars")
+def paged_source(m: Market) -> DataFrame:
+    """The bars, laid out in pages behind cursors and pulled from there: one page names no next, others name themselves."""
+    folder = scratch(m.spark)
+    rows = scans.numbered(m.bars.select("instr", "t", "open", "high", "low", "close", "volume"), ["instr"], "t", "k")
+    pages = rows.withColumn("page", F.floor(F.col("k") / 100)).groupBy("instr", "page").agg(F.sort_array(F.collect_list(F.struct("t", "open", "high", "low", "close", "volume"))).alias("rows"), F.max("k").alias("k"))
+    last = F.col("page") == F.max("page").over(Window.partitionBy("instr"))
+    then = F.when(~last, F.col("page") + 1).when(F.col("instr") < "purchase", F.col("page"))
+    text = F.to_json(F.struct("rows", F.coalesce(then.cast("string"), F.lit("")).alias("next")), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    pages.select("instr", F.col("page").alias("cursor"), text.alias("value")).repartition("instr", "cursor").write.partitionBy("instr", "cursor").text(f"{folder}/pages")
+    m.spark.dataSource.register(feeds.PagedBars)
+    return m.spark.read.format("paged_bars").option("path", f"{folder}/pages").load()
+
+
+@add("x7_demultiplexed", "SELECT 'trade' AS kind, instr, t, px FROM ticks UNION ALL SELECT 'quote', instr, t, bids[2].px FROM quotes")
+def demultiplexed(m: Market) -> DataFrame:
+    """Trades and quotes of one feed in two keyed stores. The feed is read up to its middle, then by a restarted query, and
+    a third one has lost its checkpoint and reads it all again: everything lands once."""
+    folder, keys = scratch(m.spark), ["instr", "t"]
+    stamp = F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    trades = m.ticks.select(F.to_json(F.struct("instr", F.col("px").alias("price"), stamp.alias("chetime"))).alias("value"))
+    quotes = m.quotes.select(F.to_json(F.struct("instr", F.col("bids")[1]["px"].alias("bidho2"), stamp.alias("hotime"))).alias("value"))
+    rows = trades.unionByName(quotes).withColumn("segment", F.pmod(F.xxhash64("value"), F.lit(4)))
+    m.spark.dataSource.register(feeds.Feed)
+
+    def run(number: int) -> None:
+        stream = m.spark.readStream.format("feed").option("path", f"{folder}/in").load()
+        own = lambda t, px: lambda batch, k: store(t).write(batch.select("instr", F.to_timestamp_ntz(t).alias("t"), F.col(px).cast("double").alias("px")), k, f"run{number // 2}")
+        schema = "instr string, price double, chetime string, bidho2 double, hotime string"
+        live.run_available(stream, f"{folder}/check{number // 2}", each=live.demultiplexed(schema, own("chetime", "price"), own("hotime", "bidho2")))
+
+    store = lambda t: KeyedStore(m.spark, f"{folder}/{t}", keys, 8)
+    for number, part in enumerate(("segment < 2", "segment >= 2", "false")):
+        rows.where(part).repartition("segment").write.mode("append").partitionBy("segment").text(f"{folder}/in")
+        run(number)
+    kinds = [store(t).read().select(F.lit(kind).alias("kind"), "instr", "t", "px") for t, kind in (("chetime", "trade"), ("hotime", "quote"))]
+    return kinds[0].unionByName(kinds[1])

@@ -60,14 +60,6 @@ def order_flow(m: Market) -> DataFrame:
     return rounded(book.features(m.quotes, ["instr"]), ("voi", "mlofi"))
 
 
-@add("g24_predictive_power", f"""WITH {LEVEL}, f AS (SELECT instr, t, t + INTERVAL '60 minutes' AS due, mid, CASE WHEN bq + aq = 0 THEN 0 ELSE (bq - aq) / (bq + aq) END AS obi, CASE WHEN bq + aq = 0 THEN 0 ELSE (bq * ap + aq * bp) / (bq + aq) - mid END AS tilt FROM lv),
-j AS (SELECT f.instr, f.obi, f.tilt, q.mid - f.mid AS y FROM f ASOF JOIN f q ON f.instr = q.instr AND f.due <= q.t), l AS (SELECT instr, 'obi' AS name, obi AS x, y FROM j UNION ALL SELECT instr, 'tilt', tilt, y FROM j)
-SELECT instr, name, count(*) AS n, round(CASE WHEN count(*) >= 10 THEN corr(x, y) END, 5) AS corr FROM l GROUP BY ALL""")
-def predictive(m: Market) -> DataFrame:
-    rows = book.features(m.quotes, ["instr"]).select("instr", "t", "mid", "obi", "tilt")
-    return book.predictive(rows, "instr", ["obi", "tilt"], 60).withColumn("corr", F.round("corr", 5))
-
-
 @add("w17_refill_times", """
 WITH RECURSIVE s AS (SELECT instr, t, 'bid' AS side, coalesce(bids[1].qty, 0) AS qty FROM quotes UNION ALL SELECT instr, t, 'ask', coalesce(asks[1].qty, 0) FROM quotes),
 o AS (SELECT *, row_number() OVER w AS k, lag(qty) OVER w AS base FROM s WINDOW w AS (PARTITION BY instr, side ORDER BY t)),
@@ -188,36 +180,6 @@ def run_results(m: Market) -> DataFrame:
     return out.select("pair", "fills", *[F.round(x, 4).alias(x) for x in ("gross", "cost", "leg_cost", "shortfall", "net")])
 
 
-@add("g32_strategy_table", f"""WITH RECURSIVE {SCORED},
-st AS (SELECT * FROM (VALUES ('reversion', 2.0, 0.25, false), ('band', 2.0, 0.0, true), ('wide', 1.0, 0.3, false)) v(strategy, enter, leaves, crosses)),
-w AS (SELECT strategy, enter, leaves, crosses, pair, sid, t, k, CASE WHEN abs(z) >= enter THEN -CAST(sign(z) AS INTEGER) ELSE 0 END AS pos FROM sc, st WHERE k = 1
-UNION ALL SELECT w.strategy, w.enter, w.leaves, w.crosses, x.pair, x.sid, x.t, x.k, CASE WHEN x.z IS NULL THEN w.pos WHEN w.pos = 0 AND abs(x.z) >= w.enter THEN -CAST(sign(x.z) AS INTEGER)
- WHEN w.pos <> 0 AND CASE WHEN w.crosses THEN x.z * w.pos >= 0 ELSE abs(x.z) <= w.leaves END THEN 0 ELSE w.pos END FROM w JOIN sc x ON x.pair = w.pair AND x.sid = w.sid AND x.k = w.k + 1),
-po AS (SELECT strategy, pair, sid, t, pos FROM w UNION ALL SELECT 'hold', pair, sid, t, 1 FROM spread),
-l AS (SELECT po.*, b.a_open - b.b_open AS open, b.s AS close, coalesce(lag(pos) OVER o, 0) AS old, lead(b.a_open - b.b_open) OVER o AS px, row_number() OVER o AS r, count(*) OVER (PARTITION BY strategy, po.pair, po.sid) AS n
- FROM po JOIN spread b ON b.pair = po.pair AND b.sid = po.sid AND b.t = po.t WINDOW o AS (PARTITION BY strategy, po.pair, po.sid ORDER BY po.t)),
-tr AS (SELECT strategy, pair, pos - old AS delta, px FROM l WHERE r < n AND pos <> old UNION ALL SELECT strategy, pair, -old, open FROM l WHERE r = n AND old <> 0),
-g AS (SELECT pair, profile, strategy, count(*) AS fills, -sum(px * delta) AS gross, -sum(px * delta) - sum(abs(delta) * (half + 0.004 / 2)) - sum(abs(delta) * 0.002) AS net FROM tr, (VALUES ('cheap', 0.005::DOUBLE), ('dear', 0.05::DOUBLE)) v(profile, half) GROUP BY ALL)
-SELECT pair, profile, strategy, fills, round(gross, 5) AS gross, round(net, 5) AS net, row_number() OVER (PARTITION BY pair, profile ORDER BY net DESC, strategy) AS place FROM g""")
-def strategy_table(m: Market) -> DataFrame:
-    """Four signals by two cost profiles, ranked by net per pair."""
-    z = scored(m)
-    px = z.select("pair", "sid", "t", (F.col("a_open") - F.col("b_open")).alias("open"), F.col("s").alias("close"))
-    named = {
-        "reversion": signals.held(z, ["pair", "sid"], "t", "z", 2.0, 0.25), "band": signals.held(z, ["pair", "sid"], "t", "z", 2.0, 0.0, cross=True),
-        "wide": signals.held(z, ["pair", "sid"], "t", "z", 1.0, 0.3), "hold": px.select("pair", "sid", "t", F.lit(1).alias("pos")),
-    }
-    pos = None
-    for name, p in named.items():
-        p = p.withColumn("strategy", F.lit(name))
-        pos = p if pos is None else pos.unionByName(p)
-    costs = F.explode(F.array(*[F.struct(F.lit(n).alias("profile"), F.lit(h).alias("half")) for n, h in (("cheap", 0.005), ("dear", 0.05))]))
-    rows = px.join(pos, ["pair", "sid", "t"]).select("*", costs.alias("p")).select("strategy", "p.profile", "p.half", "pair", "sid", "t", "open", "close", "pos")
-    out = signals.results(signals.fills(rows, ["strategy", "profile", "half", "pair", "sid"], "t", F.col("half"), 0.004, F.lit(0.002)), ["pair", "profile", "strategy"])
-    place = F.row_number().over(Window.partitionBy("pair", "profile").orderBy(F.desc("net"), "strategy"))
-    return out.select("pair", "profile", "strategy", "fills", F.round("gross", 5).alias("gross"), F.round("net", 5).alias("net"), place.cast("long").alias("place"))
-
-
 @add("g8_parameter_sweep")
 def parameter_sweep(m: Market) -> DataFrame:
     logs = m.aligned.select("pair", "t", F.ln("a_close").alias("la"), F.ln("b_close").alias("lb"))
@@ -281,17 +243,6 @@ def order_rows(m: Market) -> DataFrame:
     return locks(m).select("pair", F.explode(legs).alias("l")).select("pair", "l.leg", "l.instr", "l.side", F.lit("logged").alias("status"))
 
 
-@add("g16_beta_readiness", """WITH b AS (SELECT pair, t, CASE WHEN count(*) OVER w >= 30 THEN regr_slope(ln(a_close), ln(b_close)) OVER w END AS beta FROM pair_bars WINDOW w AS (PARTITION BY pair, sid ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
-k AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY t DESC) AS k FROM b WHERE beta IS NOT NULL), g AS (SELECT pair, count(*) AS n, stddev_pop(beta) FILTER (k <= 60) AS sd, arg_max(beta, t) AS last FROM k GROUP BY pair)
-SELECT pair, n, round(sd, 5) AS sd, n >= 300 AND sd <= 0.1 AS ready, round(CASE WHEN n >= 300 AND sd <= 0.1 THEN last ELSE 1.0 END, 5) AS beta FROM g""")
-def beta_readiness(m: Market) -> DataFrame:
-    logs = m.pair_bars.select("pair", "sid", "t", F.ln("a_close").alias("la"), F.ln("b_close").alias("lb"))
-    b = stats.rolling_beta(logs, ["pair", "sid"], "t", "lb", "la", 60, 30).where("beta is not null").withColumn("k", F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("t"))))
-    g = b.groupBy("pair").agg(F.count("*").alias("n"), F.stddev_pop(F.when(F.col("k") <= 60, F.col("beta"))).alias("sd"), F.max_by("beta", "t").alias("last"))
-    ready = (F.col("n") >= 300) & (F.col("sd") <= 0.1)
-    return g.select("pair", "n", F.round("sd", 5).alias("sd"), ready.alias("ready"), F.round(F.when(ready, F.col("last")).otherwise(1.0), 5).alias("beta"))
-
-
 @add("g17_resample_ladder", """
 WITH lad AS (SELECT k, a.instr || '-' || b.instr AS pair, a.t, a.close - b.close AS s FROM (SELECT k, instr, time_bucket(to_minutes(60 * k), t) AS t, arg_max(close, t) AS close FROM bars, (SELECT unnest([1, 2, 4, 8]) AS k) GROUP BY ALL) a JOIN
  (SELECT k AS k2, instr, time_bucket(to_minutes(60 * k), t) AS t, arg_max(close, t) AS close FROM bars, (SELECT unnest([1, 2, 4, 8]) AS k) GROUP BY ALL) b ON a.t = b.t AND a.k = b.k2 AND a.instr < b.instr),
@@ -316,13 +267,6 @@ def brief(m: Market) -> DataFrame:
     return locks(m).select("pair", text.alias("brief"))
 
 
-@add("g30_verdict_diary", f"""WITH {OLS}, {LOCKS} SELECT pair, 'all' AS span, CASE WHEN ecm THEN 'pass' ELSE 'fail' END AS verdict FROM r UNION ALL SELECT pair, 'size', CASE WHEN enough THEN 'pass' ELSE 'fail' END FROM r""")
-def diary(m: Market) -> DataFrame:
-    rows = locks(m)
-    return rows.select("pair", F.lit("all").alias("span"), F.when(F.col("ecm"), "pass").otherwise("fail").alias("verdict")).unionByName(
-        rows.select("pair", F.lit("size").alias("span"), F.when(F.col("enough"), "pass").otherwise("fail").alias("verdict")))
-
-
 @add("a18_unit_root")
 def unit_root(m: Market) -> DataFrame:
     return models.adf(sessions.longest(m.spread, "pair"), "pair", "t", "s")
@@ -347,6 +291,3 @@ def walk_forward(m: Market) -> DataFrame:
 @add("g19_trader_seeds")
 def traders(m: Market) -> DataFrame:
     return models.seed_summary(models.train_traders(m.steps, "pair", "t", "d"), "pair")
-
-
-add("x_live_board")(lambda m: pair_report(m).orderBy(F.desc(F.abs("z"))).limit(8).select(F.to_json(F.struct("pair", "z", "half_life", "t_hac")).alias("payload")))

@@ -66,6 +66,8 @@ class KeyedStore:
     def folded(self, batch: DataFrame) -> DataFrame:
         """One row per key of a batch."""
         rest = [c for c in batch.columns if c not in self.keys]
+        if not rest:
+            return batch.select(*self.keys).distinct()
         place = F.struct(*self.order, *rest)
 
         def pick(c: str) -> Column:
@@ -96,7 +98,10 @@ class KeyedStore:
             paths = dict(told["paths"])
             if touched:
                 old = self._rows(told, touched)
-                both = new if old is None else merge.upsert(old, new, self.keys, **self.policy).select(*new.columns)
+                if old is None or len(new.columns) == len(self.keys):
+                    both = new if old is None else old.unionByName(new).distinct()
+                else:
+                    both = merge.upsert(old, new, self.keys, **self.policy).select(*new.columns)
                 name = uuid.uuid4().hex
                 both.withColumn("bucket_", self._bucket(n)).repartition("bucket_").write.partitionBy("bucket_").parquet(f"{self.folder}/data/{name}")
                 paths |= {str(b): f"{name}/bucket_={b}" for b in touched}

@@ -201,6 +201,21 @@ def keyed_sink(folder: str, keys: list[str], buckets: int = 64, writer: str = "s
     return write
 
 
+def demultiplexed(messages: str, trades: Callable[[DataFrame, int], None], quotes: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Batch writer that splits a feed of JSON text of this schema and hands trades and quotes to a writer each. With
+    keyed sinks a batch that broke off between the two is written again and lands once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            for rows, each in zip(split_messages(batch, messages), (trades, quotes), strict=True):
+                each(rows, number)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
 def run_available(df: DataFrame, checkpoint: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, name: str | None = None) -> None:
     """Work through what is there and stop."""
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)

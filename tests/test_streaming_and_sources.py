@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spreadloom.operators import bars as batch_bars
 from spreadloom.plans.market import Market
-from spreadloom.sources import files
+from spreadloom.sources import feeds, files
 from spreadloom.sources.store import KeyedStore
 from spreadloom.streaming import live
 
@@ -175,3 +175,55 @@ def test_late_tick_starts_no_bar_anew(spark, tmp_path):
         live.run_available(live.bars(source, "60 minutes", "10 minutes"), f"{tmp_path}/check", each=lambda batch, n: batch.write.mode("append").parquet(f"{tmp_path}/out"))
     got = sorted((r.t.hour, r.high, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(9, 1.0, 1), (10, 3.0, 2)]
+
+
+def test_pages_are_pulled_until_a_cursor_ends_or_comes_again(spark, tmp_path):
+    row = lambda h: {"t": f"2024-01-01T{h:02d}:00:00", "open": 1, "high": 2, "low": 0.5, "close": h, "volume": 3}
+    pages = {"a": {"0": ([1], "x"), "x": ([2], "")}, "b": {"0": ([3], "y"), "y": ([4, 5], "0"), "z": None}, "c": {"0": ([], "q"), "q": ([6], "gone")}, "d": {"7": ([8], "7")}}
+    for instr, own in pages.items():
+        for cursor, page in own.items():
+            where = tmp_path / f"instr={instr}" / f"cursor={cursor}"
+            where.mkdir(parents=True)
+            # a page that no cursor leads to is never looked at
+            (where / "part-0").write_text(json.dumps({"rows": [row(h) for h in page[0]], "next": page[1]}) if page else "{broken")
+    spark.dataSource.register(feeds.PagedBars)
+    read = spark.read.format("paged_bars").option("path", str(tmp_path))
+    df = read.load()
+    assert sorted((r.instr, r.close) for r in df.collect()) == [("a", 1), ("a", 2), ("b", 3), ("b", 4), ("b", 5), ("c", 6)]
+    assert df.rdd.getNumPartitions() == 4
+    assert [r.close for r in read.option("instruments", "d").option("first", "7").load().collect()] == [8]
+
+
+def test_a_feed_is_split_once_over_restarts(spark, tmp_path):
+    spark.dataSource.register(feeds.Feed)
+    stores = [KeyedStore(spark, str(tmp_path / n), ["id"], 4) for n in "tq"]
+    broken = []
+
+    def quotes(batch, number):
+        if not broken:
+            broken.append(number)
+            raise RuntimeError("lost between the two sinks")
+        stores[1].write(batch.select("id"), number)
+
+    def run():
+        stream = spark.readStream.format("feed").option("path", str(tmp_path / "in")).load()
+        each = live.demultiplexed("id long, price double, chetime string, bidho2 double", lambda b, k: stores[0].write(b.select("id"), k), quotes)
+        live.run_available(stream, str(tmp_path / "check"), each=each)
+
+    def segment(k, ids):
+        where = tmp_path / "in" / f"segment={k}"
+        where.mkdir(parents=True)
+        (where / "part-0").write_text("".join(json.dumps({"id": i} | ({"price": 1.0, "chetime": "090000"} if i % 2 else {"bidho2": 2.0})) + "\n" for i in ids))
+
+    segment(0, range(4))
+    segment(2, range(90, 94))
+    with pytest.raises(Exception, match="lost between"):
+        run()
+    assert stores[0].read().count() == 2 and stores[1].read() is None
+    run()
+    # segment 2 waits for segment 1
+    assert rows(stores[1].read()) == [(0,), (2,)]
+    segment(1, range(50, 53))
+    run()
+    assert rows(stores[0].read()) == [(1,), (3,), (51,), (91,), (93,)] and stores[0].versions() == [1, 2]
+    assert stores[1].read().count() == 6
