@@ -32,6 +32,8 @@ BITS, WORDS = 21, 500_000
 MASK, LOW = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 #: Bytes of input, as stored, for each prefix partition, and the most partitions.
 PART_BYTES, MOST_PARTS = 1 << 20, 1 << 20
+#: Parts of a language whose candidates are ranked by themselves.
+RANK_PARTS = 64
 #: What ends a piece of text, as "."; a tab is a space.
 PLAIN = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"......... ")
 UNKNOWN = "und"
@@ -291,8 +293,12 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     inner = found.where("words > 2").select("lang", F.col("a").alias("longer"), F.explode(F.array(joined(F.lit(1), F.lit(2)), joined(F.lit(2), F.lit(2)))).alias("phrase"))
     inner = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     best = best.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("b.score"), F.desc("a"), "phrase")
-    first = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # a language may hold most candidates: the first of each part of it are ranked again together
+    parts = best.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+    order = [F.desc("b.score"), F.desc("a"), "phrase"]
+    for keys in (["lang", "part"], ["lang"]):
+        parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
+    first = parts
     totals = known.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "b.l", "b.r", "n", "b.score")
 
