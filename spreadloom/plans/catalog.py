@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadloom.plans import desk, records, series, surface, trading
+from spreadloom.plans import desk, outside, records, series, surface, trading
 
-PARTS = (series, desk, trading, surface, records)
+PARTS = (series, desk, trading, surface, records, outside)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in PARTS for k, v in p.catalog.queries.items()}
 ORACLES: dict[str, str] = {k: v for p in PARTS for k, v in p.catalog.oracles.items()}
 

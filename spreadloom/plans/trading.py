@@ -126,7 +126,27 @@ def spread_backtest(m: Market) -> DataFrame:
     return out.select("pair", "t", "z", F.round("pnl", 4).alias("pnl"))
 
 
-@add("g18_hedge_paths")
+HEDGE_PATHS = """WITH RECURSIVE dm AS (SELECT pair, a_close - lag(a_close) OVER w AS da, b_close - lag(b_close) OVER w AS db FROM pair_bars WINDOW w AS (PARTITION BY pair, sid ORDER BY t)),
+fb AS (SELECT pair, regr_slope(da, db) AS beta FROM dm WHERE da IS NOT NULL GROUP BY pair),
+hb AS (SELECT p.pair, sid, t, a_open - beta * b_open AS open, a_close - beta * b_close AS close FROM pair_bars p JOIN fb ON fb.pair = p.pair),
+rk AS (SELECT pair, sqrt(avg(d * d)) / sqrt(3600) * sqrt(10) * sqrt(2 / pi()) AS risk FROM (SELECT pair, close - lag(close) OVER (PARTITION BY pair, sid ORDER BY t) AS d FROM hb) GROUP BY pair),
+sc AS (SELECT *, round(CASE WHEN count(close) OVER w >= 20 AND stddev_pop(close) OVER w > 1e-9 THEN (close - avg(close) OVER w) / stddev_pop(close) OVER w END, 6) AS z, row_number() OVER (PARTITION BY pair, sid ORDER BY t) AS k
+ FROM hb WINDOW w AS (PARTITION BY pair, sid ORDER BY t ROWS BETWEEN 39 PRECEDING AND CURRENT ROW)),
+st AS (SELECT * FROM (VALUES ('reversion 2', 2.0, 0.25, false), ('reversion 1.5', 1.5, 0.25, false), ('band', 2.0, 0.0, true), ('equilibrium', 1.0, 0.3, false)) v(strategy, enter, leaves, crosses)),
+w AS (SELECT strategy, enter, leaves, crosses, pair, sid, t, k, CASE WHEN abs(z) >= enter THEN -CAST(sign(z) AS INTEGER) ELSE 0 END AS pos FROM sc, st WHERE k = 1
+UNION ALL SELECT w.strategy, w.enter, w.leaves, w.crosses, x.pair, x.sid, x.t, x.k, CASE WHEN x.z IS NULL THEN w.pos WHEN w.pos = 0 AND abs(x.z) >= w.enter THEN -CAST(sign(x.z) AS INTEGER)
+ WHEN w.pos <> 0 AND CASE WHEN w.crosses THEN x.z * w.pos >= 0 ELSE abs(x.z) <= w.leaves END THEN 0 ELSE w.pos END FROM w JOIN sc x ON x.pair = w.pair AND x.sid = w.sid AND x.k = w.k + 1),
+po AS (SELECT strategy, pair, sid, t, pos FROM w UNION ALL SELECT 'momentum', pair, sid, t, -pos FROM w WHERE strategy = 'reversion 2' UNION ALL SELECT 'hold', pair, sid, t, 1 FROM hb),
+l AS (SELECT po.*, b.open, coalesce(lag(pos) OVER o, 0) AS old, lead(b.open) OVER o AS px, row_number() OVER o AS r, count(*) OVER (PARTITION BY strategy, po.pair, po.sid) AS n
+ FROM po JOIN hb b ON b.pair = po.pair AND b.sid = po.sid AND b.t = po.t WINDOW o AS (PARTITION BY strategy, po.pair, po.sid ORDER BY po.t)),
+tr AS (SELECT strategy, pair, pos - old AS delta, px FROM l WHERE r < n AND pos <> old UNION ALL SELECT strategy, pair, -old, open FROM l WHERE r = n AND old <> 0),
+wy AS (SELECT pair, 'two legs' AS way, 0.04::DOUBLE AS half, risk AS leg FROM rk UNION ALL SELECT pair, 'listed', 0.02, 0.0 FROM rk),
+g AS (SELECT tr.pair, way, half, leg, strategy, count(*) AS fills, -sum(px * delta) AS gross, -sum(px * delta) - sum(abs(delta) * (half + 0.0025 + leg)) AS net FROM tr JOIN wy ON wy.pair = tr.pair GROUP BY ALL),
+x AS (SELECT *, row_number() OVER (PARTITION BY pair, way ORDER BY net DESC, strategy) AS place FROM g)
+SELECT pair, way, place, strategy, fills, round(gross, 6) AS gross, round(net, 6) AS net, round(2 * half + 0.005 + 2 * leg, 6) AS round_trip FROM x WHERE place <= 3"""
+
+
+@add("g18_hedge_paths", HEDGE_PATHS)
 def hedge_paths(m: Market, rows: int = 40, tick: float = 0.02, fee: float = 0.005, lag: float = 10.0) -> DataFrame:
     """Six strategies on the spread under the pair's own hedge ratio, by two ways to trade it: both legs (two ticks and leg
     risk) or a listed spread (one tick). The three best of each way, with a round trip's cost."""

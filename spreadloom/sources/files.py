@@ -45,16 +45,19 @@ def settings(spark: SparkSession, path: str, defaults: dict[str, str]) -> dict[s
     return defaults | found
 
 
-def append_daily(spark: SparkSession, rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Append JSON lines whose keys the log does not have yet."""
+def append_daily(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], asof: str = "asof", hour: int = 15) -> None:
+    """Append JSON lines whose keys the log does not have yet, the first by `asof` of each key; rows before `hour` of their
+    day are no closing records and stay out."""
+    rows = rows.where(F.hour(asof) >= hour)
     try:
-        known = spark.read.json(path).select(*keys).distinct()
+        known = spark.read.schema(rows.select(*keys).schema).json(path).distinct()
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         known = None
     new = rows if known is None else rows.join(known, keys, "left_anti")
-    new.dropDuplicates(keys).write.mode("append").json(path)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(asof, *[c for c in rows.columns if c not in (*keys, asof)]))
+    new.withColumn("rn_", place).where("rn_ = 1").drop("rn_").write.mode("append").json(path)
 
 
 def append_orders(rows: DataFrame, path: str) -> None:

@@ -221,3 +221,14 @@ def run_available(df: DataFrame, checkpoint: str, mode: str = "append", each: Ca
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     w = w.foreachBatch(each) if each else w.format("memory").queryName(name or "live")
     w.start().awaitTermination()
+
+
+def run_periodic(df: DataFrame, checkpoint: str, every: str, each: Callable[[DataFrame, int], None], mode: str = "append", until: Callable[[], bool] | None = None) -> None:
+    """A batch every `every`, until `until` says so; without it until all that is there is done."""
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(each).start()
+    try:
+        query.processAllAvailable()
+        while until is not None and not until():
+            query.awaitTermination(1)
+    finally:
+        query.stop()
