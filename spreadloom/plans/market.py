@@ -137,10 +137,12 @@ class Catalog:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracles: dict[str, str] = {}
+        self.builds: dict[str, Build] = {}
 
     def add(self, name: str, text: str | None = None) -> Callable[[Build], Build]:
         def keep(build: Build) -> Build:
             self.queries[name] = lambda spark, sf_dir: build(Market(spark, sf_dir))
+            self.builds[name] = build
             if text:
                 self.oracles[name] = sql(text)
             return build

@@ -87,6 +87,25 @@ def daily_log(m: Market) -> DataFrame:
     return m.spark.read.schema("instr string, day date, closed string, close double").json(f"{folder}/log")
 
 
+@add("s10_market_feed", """SELECT instr, CAST(date_trunc('day', t) AS DATE) AS day, CASE WHEN instr IN ('click', 'error') THEN 'abroad' ELSE 'home' END AS market, count(*) AS n, max(px) AS high, min(px) AS low,
+ coalesce(sum(CASE WHEN instr NOT IN ('click', 'error') THEN qty END), 0) AS volume, max(CASE WHEN instr IN ('click', 'error') THEN event_id END)::DOUBLE AS counter FROM ticks GROUP BY ALL""")
+def market_feed(m: Market) -> DataFrame:
+    """Daily figures of the trades of two markets, read from one stream of messages in their two forms."""
+    folder = scratch(m.spark)
+    day, time = F.date_format("t", "yyyyMMdd"), F.date_format("t", "HHmmss").cast("int").cast("string")
+    text = lambda c: F.col(c).cast("string")
+    home = F.to_json(F.struct(F.rpad("instr", 8, " ").alias("futcode"), text("px").alias("price"), time.alias("chetime"), text("qty").alias("cvolume")))
+    abroad = F.to_json(F.struct(F.rpad("instr", 8, " ").alias("symbol"), text("px").alias("curpr"), day.alias("kordate"), time.alias("kortm"), text("event_id").alias("totq")))
+    broken = F.to_json(F.struct(F.lit("view").alias("futcode"), F.lit("n/a").alias("price"), time.alias("chetime")))
+    sent = F.when(F.col("instr").isin("click", "error"), F.array(abroad)).otherwise(F.array(home, broken))
+    messages = m.ticks.select(F.explode(sent).alias("value"), F.to_date("t").alias("day"))
+    messages.write.parquet(f"{folder}/in")
+    ticks = live.market_ticks(live.ticks_from(m.spark, f"{folder}/in", messages.schema, files=64))
+    live.run_available(ticks, f"{folder}/check", each=lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}"))
+    return m.spark.read.parquet(f"{folder}/out").groupBy("instr", F.to_date("t").alias("day")).agg(
+        F.max(F.when(F.col("totq").isNotNull(), "abroad").otherwise("home")).alias("market"), F.count("*").alias("n"), F.max("px").alias("high"), F.min("px").alias("low"), F.coalesce(F.sum("qty"), F.lit(0.0)).alias("volume"), F.max("totq").alias("counter"))
+
+
 @add("x10_timed_batches", "SELECT instr, count(*) AS n, max(px) AS high FROM ticks GROUP BY instr")
 def timed_batches(m: Market) -> DataFrame:
     """Counts that a batch every second brings up to date in a keyed store."""

@@ -237,9 +237,8 @@ def streamed(m: Market, build: Callable[[DataFrame], DataFrame], mode: str) -> D
 @add("x4_activity_sessions", """WITH g AS (SELECT instr, t, CASE WHEN t < lag(t) OVER w + INTERVAL '60 minutes' THEN 0 ELSE 1 END AS new FROM ticks WINDOW w AS (PARTITION BY instr ORDER BY t)), s AS (SELECT *, sum(new) OVER (PARTITION BY instr ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT instr, min(t) AS "first", max(t) + INTERVAL '60 minutes' AS "end", count(*) AS n FROM s GROUP BY instr, k""")
 def activity_sessions(m: Market) -> DataFrame:
-    """Sessions of activity by a session window on the stream."""
-    out = streamed(m, lambda ticks: live.activity(ticks, "60 minutes", "1 day"), "complete")
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "end")})
+    """Sessions of activity by a session window on a stream of late ticks, each as soon as the watermark closes it."""
+    return replayed(m, m.ticks.select("instr", "t"), "instr", lambda ticks: live.activity(ticks, "60 minutes", "240 minutes"))
 
 
 @add("x6_once_a_second", "SELECT DISTINCT instr, date_trunc('second', t) AS t FROM ticks")
@@ -278,7 +277,8 @@ def replayed(m: Market, rows: DataFrame, key: str, build: Callable[[DataFrame],
     beat.write.mode("append").parquet(f"{folder}/in")
     stream = live.ticks_from(m.spark, f"{folder}/in", own.drop("batch").schema, files=4)
     live.run_available(build(stream), f"{folder}/check", each=lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={k}"))
-    return m.spark.read.parquet(f"{folder}/out").drop("batch").where(F.col(key) != "").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    out = m.spark.read.parquet(f"{folder}/out").drop("batch").where(F.col(key) != "")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c, k in out.dtypes if k == "timestamp"})
 
 
 @add("x2_late_counter_bars", series.COUNTER_BARS)

@@ -29,6 +29,26 @@ def split_messages(messages: DataFrame, schema: str, value: str = "value") -> tu
     return rows.where(trade), rows.where(~trade & F.col("bidho2").isNotNull())
 
 
+#: Messages of both markets: trades at home come with their time of day and size, those abroad with a date and a counter.
+MARKETS = "futcode string, price string, chetime string, cvolume string, symbol string, curpr string, kordate string, kortm string, totq string"
+
+
+def market_ticks(messages: DataFrame, value: str = "value", day: str = "day") -> DataFrame:
+    """instr, t, px, qty, totq of the trades of two markets in one feed of JSON text; `day` is the day a message came on.
+
+    Numbers and times are text: times lack leading zeros, and what cannot be read, or has no price above 0, is left out.
+    Trades at home have qty, those abroad totq, the day's volume so far.
+    """
+    m = messages.select(F.from_json(value, MARKETS).alias("m"), day).select("m.*", day)
+    stamp = lambda d, t: F.try_to_timestamp(F.concat(d, F.lpad(F.trim(t), 6, "0")), F.lit("yyyyMMddHHmmss"))
+    number = lambda c: F.trim(c).try_cast("double")
+    home = m.where("futcode is not null").select(
+        F.trim("futcode").alias("instr"), stamp(F.date_format(day, "yyyyMMdd"), "chetime").alias("t"), number("price").alias("px"), number("cvolume").alias("qty"), F.lit(None).cast("double").alias("totq"))
+    abroad = m.where("futcode is null and symbol is not null").select(
+        F.trim("symbol").alias("instr"), stamp("kordate", "kortm").alias("t"), number("curpr").alias("px"), F.lit(None).cast("double").alias("qty"), number("totq").alias("totq"))
+    return home.unionByName(abroad).where("t is not null and px > 0")
+
+
 def bars(ticks: DataFrame, width: str, late: str) -> DataFrame:
     """Bars that close when the watermark passes them; later ticks are dropped rather than starting a bar anew."""
     return ticks.withWatermark("t", late).groupBy(F.window("t", width), "instr").agg(
