@@ -170,7 +170,7 @@ def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble
     """Ensemble from `stats` (doc_id, stats) and `labels` (doc_id, quality): `sample` labelled rows at most.
 
     Rows with a null id or label are left out; of several labels of one id the largest counts, and of several texts
-    of one id all do. The sample has a fixed bound, so its rows are sent to the driver.
+    of one id all do, up to twice `sample` texts in all. The sample has a fixed bound, so its rows are sent to the driver.
     """
     some = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     some = some.groupBy("doc_id").agg(F.max("quality").alias("quality"))
