@@ -30,6 +30,8 @@ from spreadloom.llm.common import documents, drop, prepare, save
 CAPACITY, END_ID = 2048, 0
 #: Shares of a sequence at which the classes of pieces end.
 CLASSES = (1 / 2, 1 / 3, 1 / 4, 1 / 6, 1 / 8, 1 / 16, 1 / 32, 1 / 128)
+#: Rows of a range of a sweep: fewer are one range, so small rounds are not cut into many tasks.
+RANGE_ROWS = 1 << 17
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 400_000
 #: Characters of a text that are split into words at once.
@@ -130,8 +132,9 @@ GAP, PIECE, MATCH = 0, 1, 2
 SWEPT = "part int, kind int, turn long, row long, length long, sequence_id long"
 
 
-def sweep(gaps: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """Matches and leftovers of each range of sizes. `gaps` has sequence_id, gap; `pieces` row, length up to `longest`.
+def sweep(gaps: DataFrame, pieces: DataFrame, longest: int, ranges: int) -> DataFrame:
+    """Matches and leftovers of each of `ranges` ranges of sizes. `gaps` has sequence_id, gap; `pieces` row, length up to
+    `longest`.
 
     turn numbers the leftovers of a range by kind, in the order of the sweep.
     """
@@ -160,11 +163,15 @@ def sweep(gaps: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
             yield rows(out)
         yield rows([(part, GAP, k, None, None, key) for k, key in enumerate(stack)])
 
-    return one.union(two).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, SWEPT)
+    both = one.union(two)
+    both = both.coalesce(1) if ranges == 1 else both.repartitionByRange(ranges, *order)
+    return both.sortWithinPartitions(*order).mapInArrow(run, SWEPT)
 
 
-def settled(swept: DataFrame) -> DataFrame:
+def settled(swept: DataFrame, ranges: int) -> DataFrame:
     """row, length, sequence_id of all pieces of a sweep; no sequence where no gap was left."""
+    if ranges == 1:
+        return swept.where(F.col("kind") != GAP).select("row", "length", "sequence_id")
     left = swept.where(F.col("kind") != MATCH)
     # two counts per range, whatever the size of the input: the gaps on the stack before and after a range's pieces
     sums = left.groupBy("part").agg(F.count_if(F.col("kind") == PIECE).alias("pops"), F.count_if(F.col("kind") == GAP).alias("pushes"))
@@ -210,10 +217,14 @@ def placed(pieces: DataFrame, capacity: int) -> DataFrame:
             if new:
                 fresh = spark.range(opened, opened + new).select((-1 - F.col("id")).alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
                 gaps, opened, room = gaps.union(fresh), opened + new, room + new * capacity
-            swept = save(sweep(gaps.where(F.col("gap") > shorter), rest, longest), "swept")
-            got = settled(swept)
+            # at most: pieces, gaps, and the slots of gaps beyond one each
+            rows = n + (sums[0]["n"] if 0 in sums else 0) + opened + room // longest
+            ranges = -(-rows // RANGE_ROWS)
+            swept = save(sweep(gaps.where(F.col("gap") > shorter), rest, longest, ranges), "swept")
+            got = settled(swept, ranges)
             both = gaps.select("sequence_id", "gap", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("length"))
             both = both.union(got.where("sequence_id is not null").select("sequence_id", F.lit(None).cast("long"), "row", "length"))
+            both = both.coalesce(1) if ranges == 1 else both
             of = Window.partitionBy("sequence_id")
             before = F.sum("length").over(of.orderBy(F.col("row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
             whole, took = F.max("gap").over(of), F.coalesce(F.sum("length").over(of), F.lit(0))

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -58,7 +59,10 @@ def best_fit(lengths, capacity):
     return len(gaps)
 
 
-def test_place_needs_as_few_sequences_as_best_fit(spark):
+@pytest.mark.parametrize("size", [packing.RANGE_ROWS, 40])
+def test_place_needs_as_few_sequences_as_best_fit(spark, monkeypatch, size):
+    # in one range, and in several
+    monkeypatch.setattr(packing, "RANGE_ROWS", size)
     rng = random.Random(2)
     for capacity, most in ((10, 10), (64, 40), (100, 100), (7, 1)):
         lengths = [rng.randint(1, most) for _ in range(300)]
@@ -88,8 +92,8 @@ def test_sweep_is_a_successor_matching_over_any_ranges(spark):
             free.remove(min(fit))
     for n in (1, 7):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
-        swept = packing.save(packing.sweep(spark.createDataFrame(list(enumerate(gaps)), "sequence_id long, gap long"), spark.createDataFrame(list(enumerate(lengths)), "row long, length long"), 50))
-        got = [(lengths[r.row], None if r.sequence_id is None else gaps[r.sequence_id]) for r in packing.settled(swept).collect()]
+        swept = packing.save(packing.sweep(spark.createDataFrame(list(enumerate(gaps)), "sequence_id long, gap long"), spark.createDataFrame(list(enumerate(lengths)), "row long, length long"), 50, n))
+        got = [(lengths[r.row], None if r.sequence_id is None else gaps[r.sequence_id]) for r in packing.settled(swept, n).collect()]
         assert sorted(got, key=str) == sorted(((lengths[r], g) for r, g in want.items()), key=str)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
