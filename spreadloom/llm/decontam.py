@@ -124,7 +124,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_size:
     """doc_id, item_id, distance, ends_at (in the normalised text) of each row of `docs` and each item within its budget.
 
     Null and empty texts and items match nothing, nor do items without an id; an item id given twice is searched by
-    each of its texts and reported once for each. Repeated rows of `docs` are reported each; no rows give no rows.
+    each of its texts and reported once for each. Of several places with the least distance the first end counts. Texts
+    of any length are searched whole, one in memory at a time. Repeated rows of `docs` are reported each; columns other
+    than doc_id and text are not looked at; no rows give no rows. The items pass the driver in blocks of at most
+    `block_size` characters, and `docs` is read once a block.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -21,7 +21,10 @@ BLOCK = 512
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and length (ids of the whole text, without special ones) of every row; null text has length 0."""
+    """doc_id and length (ids of the whole text, without special ones) of every row; null text has length 0.
+
+    Texts of any length are encoded whole; repeated rows count each; other columns are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
@@ -37,7 +40,7 @@ def histogram(lengths: DataFrame) -> DataFrame:
     """One row per length that occurs: length, docs, tokens, docs_over, tokens_over (both of longer documents),
     docs_at_most, tokens_at_most, truncated_tokens (what remains when every document is cut at this length).
 
-    No rows give no rows.
+    Documents of one length are one row; columns of `lengths` other than length are not looked at. No rows give no rows.
     """
     h = save(lengths.groupBy("length").agg(F.count("*").alias("docs")).withColumn("block", F.floor(F.col("length") / BLOCK)), "histogram")
     h = h.withColumn("tokens", F.col("docs") * F.col("length"))

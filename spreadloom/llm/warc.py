@@ -108,7 +108,8 @@ def put(archives: DataFrame, folder: str) -> None:
 def write(pages: DataFrame, folder: str, date: str = DATE, most: int = ARCHIVE_BYTES) -> None:
     """A response record per row of `pages` (page_id, url, html) in new archives in `folder`.
 
-    A null html is an empty payload; a null page_id or url has no header; repeated rows are written each.
+    A null html is an empty payload; a null page_id or url has no header; repeated rows are written each; pages of any
+    length are one record, which a task holds with its archive; other columns are not looked at; no rows give no records.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,3 +87,17 @@ def test_blocks_of_items_give_the_same_hits(spark):
     assert sorted(map(tuple, decontam.hits(docs, bench, block_size=900).collect())) == want
     clean = decontam.keep_clean(spark, docs, bench, block_size=900)
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in clean.collect()} == {w[0] for w in want}
+
+
+def test_long_texts_ties_and_clashing_columns(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs away from the angry farmer"
+    filler = "nothing to see here at all " * 80_000
+    near = item.replace("quick", "quack")
+    rows = [(1, filler + item + " " + filler), (2, near + " zzz " + near + " " + filler), (2, "short"), (3, filler)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("x").alias("item_id"), F.lit("x").alias("distance"), F.lit("x").alias("ends_at"))
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string").withColumn("doc_id", F.lit("y"))
+    got = sorted((r.doc_id, r.item_id, r.distance, r.ends_at) for r in decontam.hits(docs, bench).collect())
+    # of two places as near as each other the first counts; the other text of one id is a row of its own
+    assert got == [(1, 7, 0, len(filler) + len(item)), (2, 7, 1, len(item))]
+    assert sorted(r.text[:5] for r in decontam.keep_clean(spark, docs, bench).collect()) == ["nothi", "short"]
+    assert decontam.keep_clean(spark, docs, bench).columns == docs.columns

@@ -38,3 +38,13 @@ def test_query_matches_plain_counts_and_nulls_count_as_empty(spark):
     assert sorted(tuple(r[k] for k in KEYS) for r in lengths.op2_lengths(spark, sf).collect()) == want
     odd = spark.createDataFrame([(None, None), (1, ""), (1, "a b")], "doc_id long, text string").withColumn("length", F.lit("clash"))
     assert sorted(r.length for r in lengths.encoded_lengths(odd, packing.word_tokenizer()).collect()) == [0, 0, 2]
+
+
+def test_long_texts_repeats_and_clashing_columns(spark):
+    long = "word, " * 300_000
+    rows = [(1, long), (2, "a b"), (2, "a b"), (None, "a b"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(9).alias("docs"), F.lit(9).alias("block"), F.lit(9).alias("tokens"))
+    found = lengths.encoded_lengths(docs, packing.word_tokenizer())
+    assert sorted(r.length for r in found.collect()) == [0, 2, 2, 2, 600_000]
+    hist = lengths.histogram(found.select("*", F.lit(9).alias("docs"), F.lit(9).alias("block"), F.lit(9).alias("tokens")))
+    assert sorted(tuple(r[k] for k in KEYS) for r in hist.collect()) == slow([0, 2, 2, 2, 600_000])
