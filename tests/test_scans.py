@@ -64,7 +64,7 @@ def test_no_task_holds_a_whole_series(spark):
         out = scans.drawdown(scans.sessionize(df, ["k"], "t", 60), ["k"], "t", "x")
         sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
         # one series, 278 days: dealt over all partitions
-        assert len(sizes) == 4 and max(sizes) < 15_000
+        assert len(sizes) >= 4 and max(sizes) < 15_000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
