@@ -83,7 +83,7 @@ def daily_log(m: Market) -> DataFrame:
     folder = scratch(m.spark)
     rows = m.bars.select("instr", F.to_date("t").alias("day"), F.col("t").alias("asof"), F.date_format("t", "yyyy-MM-dd HH:mm").alias("closed"), "close")
     for part in (F.dayofmonth("day") < 12, F.dayofmonth("day") < 20, F.lit(True)):
-        files.append_daily(m.spark, rows.where(part), f"{folder}/log", ["instr", "day"])
+        files.append_daily(m.spark, rows.where(part), f"{folder}/log", ["instr", "day"], "asof")
     return m.spark.read.schema("instr string, day date, closed string, close double").json(f"{folder}/log")
 
 

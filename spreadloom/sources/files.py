@@ -45,10 +45,11 @@ def settings(spark: SparkSession, path: str, defaults: dict[str, str]) -> dict[s
     return defaults | found
 
 
-def append_daily(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], asof: str = "asof", hour: int = 15) -> None:
-    """Append JSON lines whose keys the log does not have yet, the first by `asof` of each key; rows before `hour` of their
-    day are no closing records and stay out."""
-    rows = rows.where(F.hour(asof) >= hour)
+def append_daily(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], asof: str | None = None, hour: int = 15) -> None:
+    """Append JSON lines whose keys the log does not have yet, one of each key. With `asof` it is the first by that time,
+    and rows before `hour` of their day are no closing records and stay out."""
+    if asof:
+        rows = rows.where(F.hour(asof) >= hour)
     try:
         known = spark.read.schema(rows.select(*keys).schema).json(path).distinct()
     except Exception as e:
@@ -56,7 +57,7 @@ def append_daily(spark: SparkSession, rows: DataFrame, path: str, keys: list[str
             raise
         known = None
     new = rows if known is None else rows.join(known, keys, "left_anti")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(asof, *[c for c in rows.columns if c not in (*keys, asof)]))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*([asof] if asof else []), *[c for c in rows.columns if c not in (*keys, asof)], F.lit(0)))
     new.withColumn("rn_", place).where("rn_ = 1").drop("rn_").write.mode("append").json(path)
 
 

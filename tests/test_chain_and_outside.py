@@ -83,8 +83,8 @@ def test_closing_records_are_logged_once_and_not_before_three(spark, tmp_path):
     at = lambda h: dt.datetime(2024, 1, 2, h)
     log = str(tmp_path / "log")
     early = spark.createDataFrame([("a", "d1", at(14), 1.0)], "k string, day string, asof timestamp_ntz, v double")
-    files.append_daily(spark, early, log, ["k", "day"])
+    files.append_daily(spark, early, log, ["k", "day"], "asof")
     late = spark.createDataFrame([("a", "d1", at(14), 1.0), ("a", "d1", at(16), 3.0), ("a", "d1", at(15), 2.0), ("b", "d1", at(23), 9.0)], early.schema)
     for rows in (late, late.where("v > 2")):
-        files.append_daily(spark, rows, log, ["k", "day"])
+        files.append_daily(spark, rows, log, ["k", "day"], "asof")
     assert sorted((r.k, r.v) for r in spark.read.json(log).collect()) == [("a", 2.0), ("b", 9.0)]
