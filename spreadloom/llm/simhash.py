@@ -14,8 +14,11 @@ Texts that share four fifths of their shingles differ in more bits than a ring c
 shingles has the first fifth of them and one more as keys, frequent ones last: two such texts share one for certain,
 and the places of the first shared one bound what they can have in common. The shingles of a text of 200 or more fall
 by hash into classes of two or three, as many as the text asks for; a class that no edit touched is equal on both
-sides, and of the first 40 one is, but for a chance of some 1 in 10^10. Texts that share a key are first compared with
-its first and last text. Where a key still holds texts that no link all of its pairs across such groups
+sides, and of the first 40 one is, but for a chance of some 1 in 10^10. Classes of frequent shingles alone are passed
+over, or every text with one common passage would meet every other; where half of a text is frequent, its first 40 of all
+classes are keys as well, so two such texts meet as before, and with any other text it shares enough of the rest (the
+chance to miss is then some 1 in 10^9). What is frequent is counted over all rows, in buckets of their hashes.
+Texts that share a key are first compared with its first and last text. Where a key still holds texts that no link all of its pairs across such groups
 are compared. What meets passes a filter on parities before anything wide is looked at: 512 bits of which each shingle
 flips one cannot differ in more places than the texts differ in shingles, so it loses no pair.
 """
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +54,13 @@ PARITIES = 512
 REMEMBERED = 256
 #: Least shingles of a text that is keyed by classes; one of up to 1 / `SIMILAR` as many is keyed by its rarest shingles.
 LONG = 200
-#: Bits of the hash by which shingles are counted, rows that are looked at, least count and number of frequent ones.
-COUNT_BITS, COUNTED, FREQUENT, MOST_FREQUENT = 22, 8192, 8, 1 << 16
+#: Bits of the hash by which shingles are counted; of these, bits of a part that is summed by itself; steps of a stored
+#: count per doubling.
+COUNT_BITS, PART_BITS, STEPS = 22, 16, 16
+#: Texts beyond a bucket's share of all shingles from which its shingles are frequent, and at least so many standard deviations.
+FREQUENT, DEVIATIONS = 24, 5
+#: Frequent part of a text from which classes of frequent shingles are keys too.
+COMMON = 0.5
 
 
 def shingle_hashes(data: bytes | None, words: int) -> Iterator[np.ndarray]:
@@ -167,21 +176,32 @@ def near_groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, segme
     return fps.join(named.join(least, "label").select("fp", "component_id"), "fp")
 
 
-def class_keys(distinct: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
-    """Keys of the first classes of sorted distinct shingle hashes, for each number of classes that a similar text may have."""
+def class_keys(distinct: np.ndarray, similar: float = SIMILAR, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Keys of the first classes of sorted distinct shingle hashes, for each number of classes that a similar text may have.
+    Classes of `frequent` shingles alone (a flag per bucket) are passed over, or added where most of the text is frequent."""
     n, out = len(distinct), []
     if n < LONG:
         return np.empty(0, np.uint64)
+    often = frequent[bucket_of(distinct)] if frequent is not None else np.zeros(n, bool)
+    common = often.mean() > COMMON
     low, high = (math.floor(2 * math.log2(x / CLASS) + e) for x, e in ((n, -1e-9), (n / similar, 1e-9)))
     for level in range(low, high + 1):
         c = int(2 ** (level / 2))
-        place = ((distinct >> np.uint64(32)) * np.uint64(c) >> np.uint64(32)).astype(np.int64)
-        place = place[: np.searchsorted(place, CLASSES)]
+        every = ((distinct >> np.uint64(32)) * np.uint64(c) >> np.uint64(32)).astype(np.int64)
+        reach = CLASSES
+        while True:
+            place = every[: np.searchsorted(every, reach)]
+            starts = np.flatnonzero(np.diff(place, prepend=-1))
+            passed = np.logical_and.reduceat(often[: len(place)], starts) if len(place) else np.empty(0, bool)
+            if reach >= c or reach - passed.sum() >= CLASSES:
+                break
+            reach = min(c, 2 * reach)
         if not len(place):
             continue
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+        at = place[starts]
+        kept = ~passed & (at - np.cumsum(passed) < CLASSES) | common & (at < CLASSES)
         sums = np.add.reduceat(distinct[: len(place)], starts)
-        out.append((sums ^ (np.uint64(c) << np.uint64(32) | place[starts].astype(np.uint64))) * np.uint64(0x9E3779B97F4A7C15))
+        out.append(((sums ^ (np.uint64(c) << np.uint64(32) | at.astype(np.uint64))) * np.uint64(0x9E3779B97F4A7C15))[kept])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -190,39 +210,81 @@ def prefix_size(n: int, similar: float = SIMILAR) -> int:
     return n - math.ceil(similar * n - 1e-9) + 1 if 0 < n <= LONG / similar else 0
 
 
-def prefix_keys(distinct: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similar: float = SIMILAR) -> np.ndarray:
-    """The first of sorted distinct shingle hashes, by count (of `frequent`: sorted buckets, counts) and then by hash."""
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def prefix_keys(distinct: np.ndarray, frequent: np.ndarray | tuple[np.ndarray, np.ndarray], similar: float = SIMILAR) -> np.ndarray:
+    """The first of sorted distinct shingle hashes, by count (`frequent`: of every bucket, or sorted buckets and their counts)
+    and then by hash."""
     size = prefix_size(len(distinct), similar)
+    bucket = bucket_of(distinct)
+    if isinstance(frequent, np.ndarray):
+        return distinct[np.argsort(frequent[bucket], kind="stable")[:size]]
     if not size or not len(frequent[0]):
         return distinct[:size]
-    bucket = (distinct >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
     at = np.minimum(np.searchsorted(frequent[0], bucket), len(frequent[0]) - 1)
     count = np.where(frequent[0][at] == bucket, frequent[1][at], 0)
     return distinct[np.argsort(count, kind="stable")[:size]]
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of frequent shingles, sorted, and their counts in a bounded part of the rows. They only order keys: any
-    order finds the same pairs, so a part does."""
-    rows = docs.count()
+def counted(docs: DataFrame, words: int, similar: float = SIMILAR) -> DataFrame:
+    """part, total, counts: of every part of the buckets the texts that hold each bucket's shingles, one byte a bucket in
+    steps of `STEPS` per doubling; first of the texts that are keyed by shingles, then of those keyed by classes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task counts its own rows, whatever it reads, and passes on one packed row per part.
+    """
+    size = 1 << PART_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((2, 1 << COUNT_BITS), np.uint32)
         for b in batches:
-            found = [distinct_hashes(t, words).astype(np.uint64) for t in b.column(0).cast(pa.binary()).to_pylist()]
-            buckets, n = np.unique(np.concatenate(found) >> np.uint64(64 - COUNT_BITS), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                distinct = distinct_hashes(t, words).astype(np.uint64)
+                held, n = np.unique(bucket_of(distinct), return_counts=True)
+                for kind, asked in enumerate((prefix_size(len(distinct), similar), len(distinct) >= LONG)):
+                    if asked:
+                        own[kind, held] += n.astype(np.uint32)
+        squeeze = zstandard.ZstdCompressor(level=1)
+        rows = own.reshape(-1, size)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([squeeze.compress(rows[k].tobytes()) for k in some], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        opened = zstandard.ZstdDecompressor()
+        for b in batches:
+            for part, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums.setdefault(part, np.zeros(size, np.int64))
+                sums[part] += np.frombuffer(opened.decompress(packed), np.uint32)
+        codes = [stepped(x).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([int(x.sum()) for x in sums.values()], pa.int64()), pa.array(codes, pa.binary())], names=["part", "total", "counts"])
+
+    each = docs.select(F.col("text").cast("string")).mapInArrow(count, "part long, counts binary")
+    return each.repartition("part").mapInArrow(add, "part long, total long, counts binary")
+
+
+def stepped(counts: np.ndarray | float) -> np.ndarray:
+    return np.minimum(255, STEPS * np.log2(np.asarray(counts) + 1.0)).astype(np.uint8)
+
 
-    part = docs.select(F.col("text").cast("string")).sample(min(1.0, COUNTED / max(1, rows)), SEED)
-    counts = part.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    got = sorted((r.bucket, r.n) for r in counts.orderBy(F.desc("n"), "bucket").limit(MOST_FREQUENT).collect())
-    return np.array([b for b, _ in got], np.int64), np.array([n for _, n in got], np.int64)
+def frequent_shingles(docs: DataFrame, words: int, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all buckets, in steps, over the texts that are keyed by shingles, and whether a bucket is frequent in those
+    keyed by classes. All rows count; what comes to the driver has one size for any input."""
+    codes, total = np.zeros((2, 1 << COUNT_BITS), np.uint8), 0
+    parts = codes.reshape(-1, 1 << PART_BITS)
+    for r in counted(docs, words, similar).collect():
+        parts[r.part] = np.frombuffer(r.counts, np.uint8)
+        total += r.total if r.part >= len(parts) // 2 else 0
+    mean = total / codes.shape[1]
+    return codes[0], codes[1] > stepped(mean + max(FREQUENT, DEVIATIONS * math.sqrt(mean)))
 
 
 def sketches(docs: DataFrame, words: int, similar: float = SIMILAR) -> DataFrame:
     """row (a number of its own), doc_id, fp, n (distinct shingles), keys (of shingles, then of classes), sample (smallest hashes), bits (parities
     of the shingles, in longs), data (the text) of every row."""
     prepare(docs.sparkSession)
-    frequent = frequent_shingles(docs, words)
+    counts, frequent = frequent_shingles(docs, words, similar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -231,7 +293,7 @@ def sketches(docs: DataFrame, words: int, similar: float = SIMILAR) -> DataFrame
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 parts = list(shingle_hashes(t, words))
                 distinct = np.unique(np.concatenate(parts).view(">u8").ravel()).astype(np.uint64) if parts else np.empty(0, np.uint64)
-                keys = np.concatenate([prefix_keys(distinct, frequent, similar), class_keys(distinct, similar)])
+                keys = np.concatenate([prefix_keys(distinct, counts, similar), class_keys(distinct, similar, frequent)])
                 for c, v in zip(cols, (row, majority(iter(parts)), len(distinct), keys.view(np.int64), distinct[:SAMPLE].tobytes(), parities(distinct)), strict=True):
                     c.append(v)
                 row += 1

@@ -198,3 +198,17 @@ def test_parities_lose_no_similar_pair_and_drop_far_ones(spark):
     pairs = spark.createDataFrame(sorted(want | far), "a long, b long")
     got = {(r.a, r.b) for r in simhash.possible(own, pairs).collect()}
     assert want <= got and len(got & far) < len(far) / 2
+
+
+def test_shingles_are_counted_over_all_rows(spark):
+    rng = random.Random(6)
+    texts = [f"one two three four five {i}" for i in range(9000)] + [" ".join(f"v{i}" for i in range(300))] * 40
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    counts, frequent = simhash.frequent_shingles(docs, 5)
+    short, long = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    for t in texts:
+        hashes = simhash.distinct_hashes(t.encode(), 5).astype(np.uint64)
+        np.add.at(long if len(hashes) >= simhash.LONG else short, simhash.bucket_of(hashes), 1)
+    assert short.max() >= 9000 and (counts == simhash.stepped(short)).all()
+    assert (frequent == (long >= 40)).all()
