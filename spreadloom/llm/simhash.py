@@ -18,7 +18,7 @@ sides, and of the first 40 one is, but for a chance of some 1 in 10^10. Classes
 over, or every text with one common passage would meet every other; where half of a text is frequent, its first 40 of all
 classes are keys as well, so two such texts meet as before, and with any other text it shares enough of the rest (the
 chance to miss is then some 1 in 10^9). What is frequent is counted over all rows, in buckets of their hashes.
-Texts that share a key are first compared with its first and last text. Where a key still holds texts that no link all of its pairs across such groups
+Texts that share a key are first compared with two of its texts, of which one has the fewest rarer shingles. Where a key still holds texts that no link all of its pairs across such groups
 are compared. What meets passes a filter on parities before anything wide is looked at: 512 bits of which each shingle
 flips one cannot differ in more places than the texts differ in shingles, so it loses no pair.
 """
@@ -339,16 +339,22 @@ def distinct_hashes(data: bytes | None, words: int) -> np.ndarray:
 
 
 def class_rows(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """row, n, key, place (of a shingle in the order of its text, 0 for a class) of every key of `own` (as `sketches`)."""
+    """row, n, key, shingle (or a class), place (of a shingle in the order of its text, 0 for a class) of every key of `own`
+    (as `sketches`)."""
     shingle = (F.col("n") <= LONG / similar) & (F.col("place") <= F.col("n") - F.ceil(similar * F.col("n") - 1e-9))
     keys = own.select("row", "n", F.posexplode("keys").alias("place", "key"))
-    return keys.select("row", "n", "key", F.when(shingle, F.col("place")).otherwise(0).alias("place"))
+    return keys.select("row", "n", "key", shingle.alias("shingle"), F.when(shingle, F.col("place")).otherwise(0).alias("place"))
 
 
 def end_pairs(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs (a, b) of each row with the first and last row of its keys, of fitting sizes."""
+    """Pairs (a, b) of each row with the first and last row of its keys, of fitting sizes.
+
+    First is the row with the fewest shingles that are rarer than the key: of the copies of one text it is the one with the
+    fewest edits, so all that are similar to another by that key are similar to it, or nearly.
+    """
     keys = class_rows(own, similar)
-    ends = keys.groupBy("key").agg(F.min(F.struct("row", "n")).alias("low"), F.max(F.struct("row", "n")).alias("high")).where("low.row < high.row")
+    ends = keys.groupBy("key").agg(F.min(F.struct("place", "row", "n")).alias("low"), F.max(F.struct("row", "n")).alias("high"), F.count("*").alias("rows")).where("rows > 1")
+    ends = ends.select("key", F.struct("low.row", "low.n").alias("low"), "high")
     met = keys.join(ends, "key").select("row", "n", F.explode(F.array("low", "high")).alias("other")).where("row <> other.row")
     met = met.where(F.least("n", "other.n") >= similar * F.greatest("n", "other.n") - 1e-9)
     return met.select(F.least("row", "other.row").alias("a"), F.greatest("row", "other.row").alias("b")).distinct()
@@ -364,7 +370,9 @@ def open_pairs(own: DataFrame, labels: DataFrame, similar: float = SIMILAR) -> D
     # what stands before the first shared shingle is not shared
     most = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     fits = most >= similar / (1 + similar) * (F.col("a.n") + F.col("b.n")) - 1e-6
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row")) & (F.col("a.label") != F.col("b.label")) & fits)
+    # texts that both have shingles for keys need no class to meet
+    asked = F.col("a.shingle") | (F.greatest("a.n", "b.n") > LONG / similar)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row")) & (F.col("a.label") != F.col("b.label")) & fits & asked)
     return pairs.select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct()
 
 

@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from spreadloom.llm import simhash
+from spreadloom.llm.common import save
 
 
 def slow_fingerprint(text, words):
@@ -212,3 +213,47 @@ def test_shingles_are_counted_over_all_rows(spark):
         np.add.at(long if len(hashes) >= simhash.LONG else short, simhash.bucket_of(hashes), 1)
     assert short.max() >= 9000 and (counts == simhash.stepped(short)).all()
     assert (frequent == (long >= 40)).all()
+
+
+def test_copies_with_many_edits_do_not_meet_all_others(spark):
+    rng = random.Random(12)
+    base, rows = [f"b{i}" for i in range(104)], []
+    for k in range(150):
+        words = list(base)
+        # neither the first nor the last row of a key is similar to most
+        for i in rng.sample(range(5, 99), 0 if k == 75 else 1 if 30 <= k < 120 else 2):
+            words[i] = f"e{k}x{i}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = save(simhash.sketches(docs, 5), "sketches")
+    labels = simhash.components(simhash.similar_links(own, simhash.end_pairs(own)))
+    assert simhash.open_pairs(own, labels).count() < 2 * len(rows)
+    group, got = list(range(150)), {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    for a in range(150):
+        for b in range(a):
+            near = (simhash.fingerprint(rows[a][1].encode()) ^ simhash.fingerprint(rows[b][1].encode())).bit_count() <= 2
+            if group[a] != group[b] and (near or jaccard(rows[a][1], rows[b][1]) >= 0.8):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    assert got == dict(enumerate(group))
+
+
+def test_common_passage_is_no_class_key_unless_it_is_most_of_the_text():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 1 << 64, 200, dtype=np.uint64)
+    frequent = np.zeros(1 << simhash.COUNT_BITS, bool)
+    frequent[simhash.bucket_of(passage)] = True
+    plain, own = 0, []
+    for _ in range(40):
+        text = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+        fresh = rng.integers(0, 1 << 64, 30, dtype=np.uint64)
+        both = [np.unique(np.concatenate([passage, x])) for x in (text, np.concatenate([text[30:], fresh]))]
+        x, y = (simhash.class_keys(b, frequent=frequent) for b in both)
+        assert len(np.intersect1d(x, y)) > 5
+        plain, own = plain + len(own and np.intersect1d(own[0], simhash.class_keys(both[0]))), [*own, simhash.class_keys(both[0])]
+        assert not own[1:] or not len(np.intersect1d(x, simhash.class_keys(first, frequent=frequent)))
+        first = both[0]
+    assert plain > 0
+    most = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 64, 20, dtype=np.uint64)])) for _ in range(2)]
+    x, y = (simhash.class_keys(b, frequent=frequent) for b in most)
+    assert len(np.intersect1d(x, y)) > 5
