@@ -15,6 +15,7 @@ a few totals of each.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -72,11 +73,16 @@ class Encoder(dict):
             self.clear()
         stem = word.rstrip(TRAILING)
         # a capital whose lower case ends in a mark, as of I with a dot, stands with the punctuation after it
-        if stem and len(stem) < len(word) and unicodedata.normalize("NFC", stem).lower()[-1].isalpha():
+        if stem and len(stem) < len(word) and (stem if stem.isascii() else unicodedata.normalize("NFC", stem)).lower()[-1].isalpha():
             ids = self[stem] + self[word[len(stem) :]]
+        elif word.isascii() and word.isalpha():
+            # letters of ASCII are their own normal form and symbols
+            found = [t.id for t in self.model.tokenize(word.lower())]
+            ids = struct.pack(f"<{len(found)}I", *found)
         elif word.isalpha() and not ("İ" in word or "Σ" in word):
-            low = unicodedata.normalize("NFC", word).lower().encode().decode("latin-1")
-            ids = np.array([t.id for t in self.model.tokenize("".join([self.symbols[ord(c)] for c in low]))], "<u4").tobytes()
+            low = unicodedata.normalize("NFC", word).lower().encode()
+            found = [t.id for t in self.model.tokenize("".join(map(self.symbols.__getitem__, low)))]
+            ids = struct.pack(f"<{len(found)}I", *found)
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids

@@ -136,3 +136,11 @@ def test_query_packs_every_token_of_the_small_table(spark):
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
     n = check(rows)
     assert n <= best_fit([w[1] for w in want.values()], 2048)
+
+
+def test_plain_words_are_encoded_without_normal_forms(monkeypatch):
+    own = packing.Encoder(packing.word_tokenizer())
+    text = "Plain words, ALL of them; Zyxquorble! aBc x"
+    want = np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    monkeypatch.setattr(packing, "unicodedata", None)
+    assert own.ids(text) == want
