@@ -18,8 +18,10 @@ sides, and of the first 40 one is, but for a chance of some 1 in 10^10. Classes
 over, or every text with one common passage would meet every other; where half of a text is frequent, its first 40 of all
 classes are keys as well, so two such texts meet as before, and with any other text it shares enough of the rest (the
 chance to miss is then some 1 in 10^9). What is frequent is counted over all rows, in buckets of their hashes.
-Texts that share a key are first compared with two of its texts, of which one has the fewest rarer shingles. Where a key still holds texts that no link all of its pairs across such groups
-are compared. What meets passes a filter on parities before anything wide is looked at: 512 bits of which each shingle
+Texts that share a key are first compared with two of its texts, of which one has the fewest rarer shingles. Where a key
+still holds texts that no link joins, all pairs of a small key are compared. In a crowded one the shingles are counted that no
+text of another group holds: of copies with many edits of their own these alone forbid any link. What is left meets the text
+with the fewest of them, and then all pairs across the groups are compared. What meets passes a filter on parities before anything wide is looked at: 512 bits of which each shingle
 flips one cannot differ in more places than the texts differ in shingles, so it loses no pair.
 """
 
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadloom.llm.common import blocks, components, documents, prepare, save
+from spreadloom.llm.common import blocks, components, documents, is_empty, prepare, save
 
 #: Words in a shingle, differing bits that still link, segments of the ring, fingerprints paired off on one key.
 WORDS, BUDGET, SEGMENTS, PAIRED = 5, 2, 5, 48
@@ -61,6 +63,8 @@ COUNT_BITS, PART_BITS, STEPS = 22, 16, 16
 FREQUENT, DEVIATIONS = 24, 5
 #: Frequent part of a text from which classes of frequent shingles are keys too.
 COMMON = 0.5
+#: Rows of an open key that are paired off at once.
+CROWD = 8
 
 
 def shingle_hashes(data: bytes | None, words: int) -> Iterator[np.ndarray]:
@@ -360,22 +364,84 @@ def end_pairs(own: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return met.select(F.least("row", "other.row").alias("a"), F.greatest("row", "other.row").alias("b")).distinct()
 
 
-def open_pairs(own: DataFrame, labels: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """All pairs (a, b) of rows that share a key, of fitting sizes, but for those that `labels` (node, label) joins already."""
-    keys = class_rows(own, similar).join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    keys = save(keys, "labelled")
+def open_rows(keys: DataFrame) -> DataFrame:
+    """Those of `keys` (key, label) whose key stands in rows of two labels."""
     left = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rows = save(keys.join(left, "key"), "open")
+    return keys.join(left, "key")
+
+
+def fitting(one: str, two: str, similar: float, *bounds: str) -> Column:
+    """Whether rows of the aliases `one` and `two` may be similar by the shingles that each may share at most (`bounds`)."""
+    most = F.least(*[F.expr(bound.format(side)) for side in (one, two) for bound in bounds])
+    return most >= similar / (1 + similar) * (F.col(f"{one}.n") + F.col(f"{two}.n")) - 1e-6
+
+
+def met_on_keys(rows: DataFrame, similar: float, *bounds: str) -> DataFrame:
+    """Pairs (a, b) of rows of two labels that share a key and fit by `bounds`."""
     a, b = rows.alias("a"), rows.alias("b")
-    # what stands before the first shared shingle is not shared
-    most = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    fits = most >= similar / (1 + similar) * (F.col("a.n") + F.col("b.n")) - 1e-6
     # texts that both have shingles for keys need no class to meet
     asked = F.col("a.shingle") | (F.greatest("a.n", "b.n") > LONG / similar)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row")) & (F.col("a.label") != F.col("b.label")) & fits & asked)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row")) & (F.col("a.label") != F.col("b.label")) & fitting("a", "b", similar, *bounds) & asked)
     return pairs.select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct()
 
 
+def shingles_of(own: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """row, shingle of all distinct shingles of the texts in `rows` (row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [distinct_hashes(t, words).astype(np.uint64).view(np.int64) for t in b.column(1).to_pylist()]
+            row = np.repeat(b.column(0).to_numpy(), [len(h) for h in hashes])
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(np.concatenate(hashes), pa.int64())], names=["row", "shingle"])
+
+    asked = save(rows.select("row").distinct(), "asked")
+    return own.select("row", "data").join(asked, "row", "left_semi").mapInArrow(run, "row long, shingle long")
+
+
+def with_common(rows: DataFrame, shingles: DataFrame, similar: float) -> DataFrame:
+    """Those of the open `rows` (as `class_rows`, with label) that may be similar to a row of another label, with `common`: the
+    shingles of the row that rows of other labels hold as well, of which it can share no more with any of them."""
+    each = shingles.join(rows.select("row", "label").distinct(), "row")
+    shared = each.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    common = each.join(shared, "shingle", "left_semi").groupBy("row").agg(F.count("*").alias("common"))
+    rows = rows.join(common, "row").where(F.col("common") >= similar * F.col("n") - 1e-9)
+    return save(open_rows(save(rows, "common")), "open")
+
+
+def open_pairs(own: DataFrame, labels: DataFrame, similar: float = SIMILAR, words: int = WORDS, crowd: int = CROWD) -> DataFrame:
+    """Pairs (a, b) of rows that share a key, of fitting sizes: all that may be similar, but for those that links of `labels` (node,
+    label) and of pairs returned here join already.
+
+    Keys of up to `crowd` rows are paired off. In crowded ones a row is left out if so many of its shingles stand in no row of
+    another label that it can be similar to none; each key's row with the fewest such shingles meets the others, which joins
+    most of what is similar, and what is left is paired off.
+    """
+    keys = class_rows(own, similar).join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    rows = save(open_rows(save(keys, "labelled")), "open")
+    counts = save(rows.groupBy("key").agg((F.count("*") > crowd).alias("many")), "counts")
+    rows = save(rows.join(counts, "key"), "open")
+    # what stands before the first shared shingle is not shared
+    place = "{0}.n - {0}.place"
+    few, many = met_on_keys(rows.where("not many"), similar, place), rows.where("many")
+    if is_empty(many):
+        return few
+    shingles = save(shingles_of(own, many, words), "shingles")
+    many = with_common(many, shingles, similar)
+    heads = many.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("common")).alias("alone"), "row", "label", "n", "common")).alias("h")).select("key", "h.*")
+    met = many.alias("a").join(heads.alias("b"), "key").where(F.col("a.label") != F.col("b.label")).where(fitting("a", "b", similar, "{0}.common"))
+    met = met.select(F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b")).distinct()
+    led = save(similar_links(own, met, words, similar), "led")
+    of = save(many.select("row", "label").distinct(), "labels")
+    for side in "ab":
+        of_side = of.select(F.col("row").alias(side), F.col("label").alias(f"{side}_"))
+        led_by = (led if side == "a" else led_by).join(of_side, side)
+    joined = components(led_by.select(F.col("a_").alias("a"), F.col("b_").alias("b")))
+    many = many.drop("common").join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
+    many = many.withColumn("label", F.coalesce("least", "label")).drop("least")
+    many = with_common(save(open_rows(save(many, "labelled")), "open"), shingles, similar)
+    return few.union(led).union(met_on_keys(many, similar, place, "{0}.common")).distinct()
+
+
 def possible(own: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Those of `pairs` (a, b) of rows of `own` (as `sketches`) whose parities allow the similarity."""
     x = own.select(F.col("row").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ax"))
@@ -432,7 +498,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, si
     for side in "ab":
         near = near.join(reps.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_")), side).drop(side).withColumnRenamed(f"{side}_", side)
     labels = components(alike.union(near.select("a", "b")).union(similar_links(own, end_pairs(own, similar), words, similar)))
-    more = similar_links(own, open_pairs(own, labels, similar), words, similar)
+    more = similar_links(own, open_pairs(own, labels, similar, words), words, similar)
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     named = save(own.select("row", "doc_id").join(labels.withColumnRenamed("node", "row"), "row", "left").select("doc_id", F.coalesce("label", "row").alias("label")), "named")
     least = save(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")

@@ -257,3 +257,39 @@ def test_common_passage_is_no_class_key_unless_it_is_most_of_the_text():
     most = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 64, 20, dtype=np.uint64)])) for _ in range(2)]
     x, y = (simhash.class_keys(b, frequent=frequent) for b in most)
     assert len(np.intersect1d(x, y)) > 5
+
+
+def test_long_copies_with_many_edits_of_their_own_do_not_meet(spark):
+    rng = random.Random(5)
+    base, rows = [f"b{i}" for i in range(400)], []
+    for k in range(120):
+        words = list(base)
+        # too far from all others, but for two rows that share their edits; a third is near the base
+        for i in rng.sample(range(400), 20 if k % 3 else 2):
+            words[i] = f"e{k}x{i}"
+        rows.append((2 * k, " ".join(words)))
+        if k % 10 == 1:
+            words[rng.randrange(400)] = "last"
+            rows.append((2 * k + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = save(simhash.sketches(docs, 5), "sketches")
+    labels = simhash.components(simhash.similar_links(own, simhash.end_pairs(own)))
+    assert simhash.open_pairs(own, labels).count() < 8 * len(rows)
+    # nothing is joined before: the head of the keys and the links of small groups come from crowded keys alone
+    none = spark.createDataFrame([], "node long, label long")
+    found = simhash.similar_links(own, simhash.open_pairs(own, none)).collect()
+    of = {r.row: r.doc_id for r in own.select("row", "doc_id").collect()}
+    text = dict(rows)
+    assert all(jaccard(text[of[r.a]], text[of[r.b]]) >= 0.8 for r in found)
+    group = {d: d for d in text}
+    for a in text:
+        for b in text:
+            if a < b and group[a] != group[b] and jaccard(text[a], text[b]) >= 0.8:
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    assert len(set(group.values())) == 81
+    linked = {of[r.node]: of[r.label] for r in simhash.components(spark.createDataFrame(found)).collect()}
+    same = lambda g: {(a, b) for a in text for b in text if g.get(a, a) == g.get(b, b)}
+    assert same(linked) == same(group)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == group
