@@ -9,7 +9,7 @@ on all words, and a line goes if it matches an earlier one.
 
 Where a word is too frequent for its prefix rows to be paired off at once, its rows are counted. Up to `crowd` classes
 are paired. Larger groups get a second word of the prefix, longer by one, into their keys: sets that are similar share
-two words of that. Groups that are crowded even so are compared with their first class, which settles what matches it, and
+two words of that, and the second rarest stands behind the rarest, which is their key. Groups that are crowded even so are compared with their first class, which settles what matches it, and
 what is left of them with all their classes.
 """
 
@@ -57,22 +57,31 @@ def rank_of(count: Column) -> Column:
     return F.least(F.lit(511), F.floor(STEP * F.log2(count + 1))).cast("long")
 
 
-def hashed(text: Column) -> Column:
-    """Hashes of the distinct words of a text, in order."""
-    return F.sort_array(F.array_distinct(F.array_remove(F.transform(words_of(text), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))))
-
-
-def rarity(sets: DataFrame) -> Column:
-    """The rank of each bucket of words, rarest lowest, by the lines in `sets` (words: hashes) that hold them: a literal of
-    `BUCKETS` small numbers."""
-    counts = sets.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
+def rarity(docs: DataFrame) -> Column:
+    """The rank of each bucket of words, rarest lowest, by their occurrences in `docs`: a literal of `BUCKETS` small numbers."""
+    words = docs.select(F.explode(words_of(F.col("text").cast("string"))).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     return table(counts, F.col("bucket"), rank_of(F.col("n")), BUCKETS)
 
 
-def coded(words: Column, ranks: Column) -> Column:
-    """Hashes of words as numbers in order of rarity: rank, then 53 bits of the hash."""
+def coded(text: Column, ranks: Column) -> Column:
+    """The distinct words of a text as numbers in order of rarity: rank, then 53 bits of the hash."""
     rank = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), BITS)
-    return F.sort_array(F.transform(words, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 64 - BITS))))
+    hashes = F.transform(F.array_remove(words_of(text), ""), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 64 - BITS)))))
+
+
+def with_sets(lines: DataFrame, ranks: Column) -> DataFrame:
+    """`lines` (as `lines_of`) with words (the set of each, coded) and k1, k2 (its hashes, null without words) for the line itself."""
+    some = F.size("words") > 0
+    sets = lines.select(*PLACE, coded(F.col("line"), ranks).alias("words"))
+    return sets.withColumns({"k1": F.when(some, F.xxhash64("words")), "k2": F.when(some, F.xxhash64(F.lit(2), "words"))})
+
+
+def parities(words: Column) -> Column:
+    """64 bits of which each word flips one."""
+    flip = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(flip(w)))
 
 
 def prefix(words: Column, threshold: float, shared: int = 1) -> Column:
@@ -93,87 +102,89 @@ def possible(threshold: float) -> Column:
 
 
 def met(one: DataFrame, two: DataFrame, threshold: float, order: Column) -> DataFrame:
-    """Pairs x1, x2, y1, y2 of sets of `one` and `two` (key, k1, k2, at, bits) on one key that pass the filters and `order`,
-    by which a pair stands one way round."""
+    """Pairs x1, y1 (of k1) of sets of `one` and `two` (key, k1, at, bits) on one key that pass the filters and `order`, by which
+    a pair stands one way round."""
     x = one.select("key", *[F.col(c).alias("x_" + c) for c in one.columns if c != "key"])
     y = two.select("key", *[F.col(c).alias("y_" + c) for c in two.columns if c != "key"])
     out = x.join(y, "key").where(order & possible(threshold))
-    return out.select(F.col("x_k1").alias("x1"), F.col("x_k2").alias("x2"), F.col("y_k1").alias("y1"), F.col("y_k2").alias("y2")).distinct()
+    return out.select(F.col("x_k1").alias("x1"), F.col("y_k1").alias("y1")).distinct()
 
 
-def asked_sets(lines: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
-    """k1, k2, words of the classes in `asked` (k1, k2), read from the first line of each."""
-    places = save(classes.join(asked, SET).select(*SET, "first.*"), "places")
-    bit = F.shiftrightunsigned("k1", 42).bitwiseAND(F.lit(63)).cast("int")
-    marks = places.groupBy(F.shiftrightunsigned("k1", 48).alias("p")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("v"))
+def asked_sets(docs: DataFrame, ranks: Column, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """k1, k2, words of the classes in `asked` (k1), read once more from the first line of each; a repeated row repeats them."""
+    places = save(classes.join(asked, "k1").select(*SET, "first.*"), "places")
+    slot = F.xxhash64("doc", "no")
+    bit = F.shiftrightunsigned(slot, 42).bitwiseAND(F.lit(63)).cast("int")
+    marks = places.groupBy(F.shiftrightunsigned(slot, 48).alias("p")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("v"))
     mask = table(marks, F.col("p"), F.col("v"), MASK)
-    hit = F.call_function("shiftright", F.get(mask, F.shiftrightunsigned("k1", 48).cast("int")), bit).bitwiseAND(F.lit(1)) == 1
-    sets = save(lines.where(hit).select(*SET, *PLACE, "words").join(places, [*SET, *PLACE]).select(*SET, "words"), "sets")
-    drop(places)
-    return sets
+    hit = F.call_function("shiftright", F.get(mask, F.shiftrightunsigned(slot, 48).cast("int")), bit).bitwiseAND(F.lit(1)) == 1
+    # not by row, as a second pass may number rows in another way
+    lines = with_sets(lines_of(docs).where(hit), ranks).where("k1 is not null").select(*SET, "doc", "no", "words")
+    return save(lines.join(places.select(*SET, "doc", "no"), [*SET, "doc", "no"]).select(*SET, "words"), "sets")
 
 
 def matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of `pairs` whose sets have the similarity."""
+    """x1, x2, y1, y2 of those of `pairs` whose sets have the similarity."""
     one = sets.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("words").alias("xw"))
     two = sets.select(F.col("k1").alias("y1"), F.col("k2").alias("y2"), F.col("words").alias("yw"))
     both = F.size(F.array_intersect("xw", "yw"))
     close = both + 1e-9 >= threshold * (F.size("xw") + F.size("yw") - both)
-    return pairs.join(one, ["x1", "x2"]).join(two, ["y1", "y2"]).where(close).select("x1", "x2", "y1", "y2")
+    return pairs.join(one, "x1").join(two, "y1").where(close).select("x1", "x2", "y1", "y2")
 
 
 def sides(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array(F.struct(F.col("x1").alias("k1"), F.col("x2").alias("k2")), F.struct(F.col("y1").alias("k1"), F.col("y2").alias("k2")))).alias("k")).select("k.*")
+    return pairs.select(F.explode(F.array("x1", "y1")).alias("k1"))
 
 
-def classes_of(lines: DataFrame) -> DataFrame:
-    """k1, k2, first (place of the first line), bits (of which each word flips one) of every class."""
-    each = lines.where("k1 is not null").select(*SET, *PLACE, F.explode("words").alias("w"))
-    flip = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("w").bitwiseAND(F.lit(63)).cast("int"))
-    each = each.groupBy(*SET, *PLACE).agg(F.bit_xor(flip).alias("bits"))
-    return save(each.groupBy(*SET).agg(F.min(F.struct(*PLACE)).alias("first"), F.max("bits").alias("bits")), "classes")
+def release(*saved: DataFrame) -> None:
+    """Delete what `save` has written, and have Spark delete the shuffle files of finished steps: it does so when the driver
+    collects garbage, which by itself may come after the query."""
+    drop(*saved)
+    saved[0].sparkSession._jvm.System.gc()
 
 
-def removed_classes(lines: DataFrame, classes: DataFrame, threshold: float, crowd: int) -> DataFrame:
-    """k1, k2 of the classes that match an earlier one."""
-    some = lines.where("k1 is not null").select(*SET, *PLACE, F.shiftleft(F.size("words").cast("long"), 32).alias("n"), prefix(F.col("words"), threshold).alias("rarest"))
-    some = some.join(classes.select(*SET, "first.*", "bits"), [*SET, *PLACE])
-    rows = some.select(*SET, "n", "bits", F.posexplode("rarest").alias("i", "key")).select("key", *SET, (F.col("n") + F.col("i")).alias("at"), "bits")
-    classes = classes.drop("bits")
+def removed_classes(docs: DataFrame, ranks: Column, firsts: DataFrame, classes: DataFrame, threshold: float, crowd: int) -> DataFrame:
+    """k1, k2 of the classes that match an earlier one; `firsts` (k1, n, bits, rarest of each class) is deleted on the way."""
+    rows = firsts.select("k1", "n", "bits", "rarest", F.posexplode("rarest").alias("i", "key")).where(F.col("i") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9))
+    tail = F.slice("rarest", F.col("i") + 2, F.size("rarest")).alias("tail")
+    rows = rows.select("key", "k1", (F.shiftleft("n", 32) + F.col("i")).alias("at"), "bits", tail)
     # a word's bucket counts its lines at least, so words of a low rank are never crowded
     rare = F.shiftright("key", BITS) <= F.floor(STEP * F.log2(F.lit(float(crowd + 1))))
-    way = F.struct("x_k1", "x_k2") < F.struct("y_k1", "y_k2")
-    few = rows.where(rare)
+    way = F.col("x_k1") < F.col("y_k1")
+    few = rows.where(rare).drop("tail")
     pairs = save(met(few, few, threshold, way), "pairs")
     rest = save(rows.where(~rare), "frequent")
+    release(firsts)
     counts = save(rest.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     rest = rest.join(counts, "key")
-    some = rest.where(F.col("c") <= crowd).drop("c")
+    some = rest.where(F.col("c") <= crowd).drop("c", "tail")
     made, settled = [pairs, save(met(some, some, threshold, way), "pairs")], None
     many = save(rest.where(F.col("c") > crowd).drop("c"), "many")
     if not is_empty(many):
-        sets = asked_sets(lines, classes, many.select(*SET).distinct())
-        two = F.posexplode(prefix(F.col("words"), threshold, 2)).alias("j", "other")
-        wide = many.join(sets, SET).select("key", *SET, "at", "bits", two).where("key <> other")
+        # of the words that two sets share the rarest is their key, and the next follows it in both
+        wide = many.select("key", "k1", "at", "bits", F.explode("tail").alias("other"))
         # the place of the key itself bounds the overlap as before
-        wide = save(wide.select(F.xxhash64("key", "other").alias("key"), *SET, "at", "bits"), "wide")
+        wide = save(wide.select(F.xxhash64("key", "other").alias("key"), "k1", "at", "bits"), "wide")
         counts2 = save(wide.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
         wide2 = wide.join(counts2, "key")
         some = wide2.where(F.col("c") <= crowd).drop("c")
         made.append(save(met(some, some, threshold, way), "pairs"))
-        still = save(wide2.where(F.col("c") > crowd).drop("c").join(classes, SET), "crowds")
-        heads = save(still.groupBy("key").agg(F.min(F.struct("first", *SET, "at", "bits")).alias("h")).select("key", "h.*"), "heads")
-        earlier = F.col("x_first") < F.col("y_first")
-        leads = save(met(heads, still, threshold, earlier), "leads")
-        settled = save(matching(leads, sets, threshold).select(F.col("y1").alias("k1"), F.col("y2").alias("k2")).distinct(), "settled")
-        made.append(save(met(still, still.join(settled, SET, "left_anti"), threshold, earlier), "pairs"))
+        still = save(wide2.where(F.col("c") > crowd).drop("c").join(classes, "k1"), "crowds")
+        if not is_empty(still):
+            heads = save(still.groupBy("key").agg(F.min(F.struct("first", *SET, "at", "bits")).alias("h")).select("key", "h.*"), "heads")
+            earlier = F.col("x_first") < F.col("y_first")
+            leads = save(met(heads, still, threshold, earlier), "leads")
+            sets = asked_sets(docs, ranks, classes, sides(leads).distinct())
+            settled = save(matching(leads, sets, threshold).select(F.col("y1").alias("k1"), F.col("y2").alias("k2")).distinct(), "settled")
+            made.append(save(met(still, still.join(settled, SET, "left_anti"), threshold, earlier), "pairs"))
     every = made[0]
     for more in made[1:]:
         every = every.union(more)
     every = save(every.distinct(), "pairs")
-    drop(*made)
-    sets = asked_sets(lines, classes, sides(every).distinct())
-    known = matching(every, sets, threshold)
+    release(*made)
+    sets = asked_sets(docs, ranks, classes, sides(every).distinct())
+    known = save(matching(every, sets, threshold), "known")
+    release(every, sets)
     for side in "xy":
         known = known.join(classes.select(F.col("k1").alias(side + "1"), F.col("k2").alias(side + "2"), F.col("first").alias(side + "f")), [side + "1", side + "2"])
     later = F.when(F.col("xf") < F.col("yf"), F.struct(F.col("y1").alias("k1"), F.col("y2").alias("k2"))).otherwise(F.struct(F.col("x1").alias("k1"), F.col("x2").alias("k2")))
@@ -188,13 +199,14 @@ def line_removals(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CR
     line. Rows without a doc_id come after all others, and rows that share a doc_id in any order, so of repeated
     rows one keeps its lines. No rows give no rows; columns other than doc_id and text are not looked at.
     """
-    sets = lines_of(docs).select(*PLACE, hashed(F.col("line")).alias("words"))
-    some = F.size("words") > 0
-    sets = save(sets.withColumns({"k1": F.when(some, F.xxhash64("words")), "k2": F.when(some, F.xxhash64(F.lit(2), "words"))}), "sets")
-    lines = save(sets.withColumn("words", coded(F.col("words"), rarity(sets))), "lines")
-    drop(sets)
-    classes, first = classes_of(lines), F.struct(*PLACE)
-    gone = removed_classes(lines, classes, threshold, crowd).withColumn("gone", F.lit(True))
+    ranks = rarity(docs)
+    sets = with_sets(lines_of(docs), ranks)
+    wide = save(sets.select(*PLACE, *SET, F.size("words").cast("long").alias("n"), parities(F.col("words")).alias("bits"), prefix(F.col("words"), threshold, 2).alias("rarest")), "wide")
+    lines, first = save(wide.select(*PLACE, *SET), "lines"), F.struct(*PLACE)
+    classes = save(lines.where("k1 is not null").groupBy(*SET).agg(F.min(first).alias("first")), "classes")
+    firsts = save(wide.join(classes.select(*SET, "first.*"), [*SET, *PLACE]).select("k1", "n", "bits", "rarest"), "firsts")
+    release(wide)
+    gone = removed_classes(docs, ranks, firsts, classes, threshold, crowd).withColumn("gone", F.lit(True))
     fate = save(classes.join(gone, SET, "left").select(*SET, "first", "gone"), "fate")
     out = lines.select("row", "doc", "no", *SET).join(fate, SET, "left")
     goes = F.coalesce((first != F.col("first")) | F.coalesce("gone", F.lit(False)), F.lit(False))

@@ -1,10 +1,12 @@
 import random
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from spreadloom.llm import lines
+from spreadloom.llm.common import shared_folder
 
 
 def slow(docs, threshold):
@@ -76,3 +78,23 @@ def test_query_matches_sql(spark):
     want = sorted(duckdb.sql(lines.OP5_SQL).fetchall())
     got = sorted((r.doc_id, r.n_lines, r.n_removed, r.removed) for r in lines.op5_lines(spark, sf).collect())
     assert got == want and sum(w[2] for w in want) > 20
+
+
+def test_disk_in_use_stays_below_the_words_of_all_lines(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(d, "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(20))) for d in range(300)], "doc_id long, text string")
+    folder, used, whole = Path(shared_folder(spark).removeprefix("file:")), [], lines.save
+
+    def stored():
+        return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+    def save(*a):
+        out = whole(*a)
+        used.append(stored())
+        return out
+
+    before = stored()
+    monkeypatch.setattr(lines, "save", save)
+    assert lines.line_removals(docs).count() == 300
+    # a word's hash is 8 bytes
+    assert max(used) - before < 300 * 20 * 50 * 8
