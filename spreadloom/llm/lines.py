@@ -153,23 +153,26 @@ def removed_classes(docs: DataFrame, ranks: Column, firsts: DataFrame, classes:
     way = F.col("x_k1") < F.col("y_k1")
     few = rows.where(rare).drop("tail")
     pairs = save(met(few, few, threshold, way), "pairs")
-    rest = save(rows.where(~rare), "frequent")
+    frequent = save(rows.where(~rare), "frequent")
     release(firsts)
-    counts = save(rest.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
-    rest = rest.join(counts, "key")
+    counts = save(frequent.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    rest = frequent.join(counts, "key")
     some = rest.where(F.col("c") <= crowd).drop("c", "tail")
     made, settled = [pairs, save(met(some, some, threshold, way), "pairs")], None
     many = save(rest.where(F.col("c") > crowd).drop("c"), "many")
+    release(frequent, counts)
     if not is_empty(many):
         # of the words that two sets share the rarest is their key, and the next follows it in both
         wide = many.select("key", "k1", "at", "bits", F.explode("tail").alias("other"))
         # the place of the key itself bounds the overlap as before
         wide = save(wide.select(F.xxhash64("key", "other").alias("key"), "k1", "at", "bits"), "wide")
+        release(many)
         counts2 = save(wide.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
         wide2 = wide.join(counts2, "key")
         some = wide2.where(F.col("c") <= crowd).drop("c")
         made.append(save(met(some, some, threshold, way), "pairs"))
         still = save(wide2.where(F.col("c") > crowd).drop("c").join(classes, "k1"), "crowds")
+        release(wide, counts2)
         if not is_empty(still):
             heads = save(still.groupBy("key").agg(F.min(F.struct("first", *SET, "at", "bits")).alias("h")).select("key", "h.*"), "heads")
             earlier = F.col("x_first") < F.col("y_first")
