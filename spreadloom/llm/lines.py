@@ -1,21 +1,26 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join, in DataFrame operations alone.
 
 A line is the set of its lower-cased words. Lines with the same set are one class, which its first line stands for
-(by doc_id, then place). The words of a set are ordered by rarity, counted over all lines. Two sets with a Jaccard
-similarity of `threshold` or more share a word among their rarest, the prefix, so these words are the join keys. What
-meets passes a filter on lengths, one on positions, which bound the overlap that is still possible, and one on parities:
-64 bits of which each word flips one cannot differ in more places than the sets differ in words. What is left is verified
-on all words, and a line goes if it matches an earlier one.
-
-Where a word is too frequent for its prefix rows to be paired off at once, its rows are counted. Up to `crowd` classes
-are paired. Larger groups get a second word of the prefix, longer by one, into their keys: sets that are similar share
-two words of that, and the second rarest stands behind the rarest, which is their key. Groups that are crowded even so are compared with their first class, which settles what matches it, and
+(by doc_id, then place). The words of a set are ordered by rarity, counted over all lines. A step is a word with the word
+before it in that order (none before the first). A word that only one of two sets has parts at most one step of those they
+share, so sets with a Jaccard similarity of `threshold` or more share a step among their rarest, the prefix, and these steps
+are the join keys. (A threshold of 0.5 or less may leave no shared step; then single words are the keys.) What meets passes a
+filter on lengths, one on positions, which bound the overlap that is still possible, and one on parities: 64 bits of which each
+word flips one cannot differ in more places than the sets differ in words. What is left is verified on all words, and a line
+goes if it matches an earlier one.
+
+Of each key the rows are counted, with their lengths and parities, which settles keys of one or two rows before anything is
+sorted. Up to `crowd` classes are paired. Larger groups are compared with their first class, which settles what matches it, and
 what is left of them with all their classes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import gc
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spreadloom.llm.common import documents, drop, is_empty, save
@@ -24,6 +29,10 @@ THRESHOLD, CROWD = 0.8, 256
 #: Hash buckets in which words are counted for their rarity; the bits of a word's hash that follow its rank; the finest
 #: step of a rank, as a part of a doubling.
 BUCKETS, BITS, STEP = 1 << 18, 53, 16
+#: Bits that are left off words in keys: what is left fits 31 bits. Equal words stay equal; others that get alike are verified.
+SHORT = 31
+#: Parts of the keys that are shuffled one after another, so that disk holds one of them.
+SHARES = 2
 #: Words of 64 bits in the filter that spares lines nobody asks for.
 MASK = 1 << 16
 #: Place of rows without a doc_id: after all others.
@@ -40,9 +49,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Lower-cased words of a text, with empty strings where white space repeats."""
-    for space in "\t\n\x0b\f\r":
-        text = F.replace(text, F.lit(space), F.lit(" "))
-    return F.split(F.lower(text), " ")
+    # a split at one plain character is the quickest, and few lines have other white space
+    odd = reduce(or_, [F.contains(text, F.lit(space)) for space in "\t\n\x0b\f\r"])
+    return F.split(F.lower(F.when(odd, F.regexp_replace(text, "[\t\n\x0b\f\r]", " ")).otherwise(text)), " ")
 
 
 def table(df: DataFrame, place: Column, value: Column, size: int) -> Column:
@@ -59,7 +68,7 @@ def rank_of(count: Column) -> Column:
 
 def rarity(docs: DataFrame) -> Column:
     """The rank of each bucket of words, rarest lowest, by their occurrences in `docs`: a literal of `BUCKETS` small numbers."""
-    words = docs.select(F.explode(words_of(F.col("text").cast("string"))).alias("w")).where("w <> ''")
+    words = lines_of(docs).select(F.explode(words_of(F.col("line"))).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     return table(counts, F.col("bucket"), rank_of(F.col("n")), BUCKETS)
 
@@ -84,10 +93,27 @@ def parities(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(flip(w)))
 
 
-def prefix(words: Column, threshold: float, shared: int = 1) -> Column:
-    """The rarest words, of which any similar set has at least `shared` in its own prefix."""
+def by_steps(threshold: float) -> bool:
+    """Whether similar sets always share a step."""
+    return threshold > 0.5
+
+
+def prefix(words: Column, threshold: float) -> Column:
+    """The rarest words, shortened, at which any similar set has a key of its own prefix too.
+
+    Sets of n and m words that share o have at least o - (n + m - 2 * o) steps in common, where o is at least
+    threshold / (1 + threshold) * (n + m) and m at least threshold * n.
+    """
     n = F.size(words)
-    return F.slice(words, F.lit(1), F.least(n, n - F.ceil(threshold * n - 1e-9).cast("int") + shared))
+    shared = F.ceil(threshold * n - 1e-9)
+    if by_steps(threshold):
+        shared = F.ceil((2 * threshold - 1) / (1 + threshold) * (n + shared) - 1e-6)
+    return F.transform(F.slice(words, F.lit(1), F.least(n, n - shared.cast("int") + 1)), lambda w: F.shiftright(w, SHORT).cast("int"))
+
+
+def similar_enough(n: Column, m: Column, apart: Column, threshold: float) -> Column:
+    """Filters by length and by differing parities for sets of n and m words."""
+    return (F.least(n, m) + 1e-9 >= threshold * F.greatest(n, m)) & (apart <= n + m - 2 * threshold / (1 + threshold) * (n + m) + 1e-6)
 
 
 def possible(threshold: float) -> Column:
@@ -95,10 +121,22 @@ def possible(threshold: float) -> Column:
     low = F.lit((1 << 32) - 1)
     n, m = F.shiftright("x_at", 32), F.shiftright("y_at", 32)
     i, j = F.col("x_at").bitwiseAND(low), F.col("y_at").bitwiseAND(low)
-    needed = threshold / (1 + threshold) * (n + m)
     overlap = F.least(i, j) + F.least(n - i, m - j)
-    apart = F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits")))
-    return (F.least(n, m) + 1e-9 >= threshold * F.greatest(n, m)) & (overlap + 1e-9 >= needed) & (apart <= n + m - 2 * needed + 1e-6)
+    return similar_enough(n, m, F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))), threshold) & (overlap + 1e-9 >= threshold / (1 + threshold) * (n + m))
+
+
+def shared_keys(firsts: DataFrame, threshold: float, share: int) -> DataFrame:
+    """key, k1, at, bits, c: the rows of keys that more than one class has, with their number, of one of `SHARES` of the keys.
+    Keys of two classes whose lengths or parities tell them apart are left out."""
+    rows = firsts.select("k1", "n", "bits", "rarest", F.posexplode("rarest").alias("i", "w"))
+    key = F.col("w").cast("long")
+    if by_steps(threshold):
+        key = key.bitwiseOR(F.shiftleft(F.coalesce(F.get("rarest", F.col("i") - 1), F.lit(0)).cast("long"), SHORT))
+    rows = rows.where(F.pmod("w", F.lit(SHARES)) == share).select(key.alias("key"), "k1", (F.shiftleft("n", 32) + F.col("i")).alias("at"), "bits")
+    all_of = Window.partitionBy("key")
+    rows = rows.withColumns({"c": F.count("*").over(all_of), "low": F.min("at").over(all_of), "high": F.max("at").over(all_of), "apart": F.bit_xor("bits").over(all_of)})
+    two = similar_enough(F.shiftright("low", 32), F.shiftright("high", 32), F.bit_count("apart"), threshold)
+    return rows.where((F.col("c") > 2) | ((F.col("c") == 2) & two)).drop("low", "high", "apart")
 
 
 def met(one: DataFrame, two: DataFrame, threshold: float, order: Column) -> DataFrame:
@@ -112,15 +150,14 @@ def met(one: DataFrame, two: DataFrame, threshold: float, order: Column) -> Data
 
 def asked_sets(docs: DataFrame, ranks: Column, classes: DataFrame, asked: DataFrame) -> DataFrame:
     """k1, k2, words of the classes in `asked` (k1), read once more from the first line of each; a repeated row repeats them."""
-    places = save(classes.join(asked, "k1").select(*SET, "first.*"), "places")
+    places = classes.join(asked, "k1").select("first.*")
     slot = F.xxhash64("doc", "no")
     bit = F.shiftrightunsigned(slot, 42).bitwiseAND(F.lit(63)).cast("int")
     marks = places.groupBy(F.shiftrightunsigned(slot, 48).alias("p")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("v"))
     mask = table(marks, F.col("p"), F.col("v"), MASK)
     hit = F.call_function("shiftright", F.get(mask, F.shiftrightunsigned(slot, 48).cast("int")), bit).bitwiseAND(F.lit(1)) == 1
-    # not by row, as a second pass may number rows in another way
-    lines = with_sets(lines_of(docs).where(hit), ranks).where("k1 is not null").select(*SET, "doc", "no", "words")
-    return save(lines.join(places.select(*SET, "doc", "no"), [*SET, "doc", "no"]).select(*SET, "words"), "sets")
+    # a few lines more than asked for may come; what joins the sets by k1 passes over them
+    return save(with_sets(lines_of(docs).where(hit), ranks).select(*SET, "words"), "sets")
 
 
 def matching(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -140,50 +177,29 @@ def release(*saved: DataFrame) -> None:
     """Delete what `save` has written, and have Spark delete the shuffle files of finished steps: it does so when the driver
     collects garbage, which by itself may come after the query."""
     drop(*saved)
-    saved[0].sparkSession._jvm.System.gc()
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
 
 
 def removed_classes(docs: DataFrame, ranks: Column, firsts: DataFrame, classes: DataFrame, threshold: float, crowd: int) -> DataFrame:
     """k1, k2 of the classes that match an earlier one; `firsts` (k1, n, bits, rarest of each class) is deleted on the way."""
-    rows = firsts.select("k1", "n", "bits", "rarest", F.posexplode("rarest").alias("i", "key")).where(F.col("i") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9))
-    tail = F.slice("rarest", F.col("i") + 2, F.size("rarest")).alias("tail")
-    rows = rows.select("key", "k1", (F.shiftleft("n", 32) + F.col("i")).alias("at"), "bits", tail)
-    # a word's bucket counts its lines at least, so words of a low rank are never crowded
-    rare = F.shiftright("key", BITS) <= F.floor(STEP * F.log2(F.lit(float(crowd + 1))))
-    way = F.col("x_k1") < F.col("y_k1")
-    few = rows.where(rare).drop("tail")
-    pairs = save(met(few, few, threshold, way), "pairs")
-    frequent = save(rows.where(~rare), "frequent")
+    made, crowds, settled = [], [], None
+    for share in range(SHARES):
+        rest = save(shared_keys(firsts, threshold, share), "keys")
+        few = rest.where(F.col("c") <= crowd).drop("c")
+        made.append(save(met(few, few, threshold, F.col("x_k1") < F.col("y_k1")), "pairs"))
+        crowds.append(save(rest.where(F.col("c") > crowd).drop("c").join(classes, "k1"), "crowds"))
+        release(rest)
     release(firsts)
-    counts = save(frequent.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
-    rest = frequent.join(counts, "key")
-    some = rest.where(F.col("c") <= crowd).drop("c", "tail")
-    made, settled = [pairs, save(met(some, some, threshold, way), "pairs")], None
-    many = save(rest.where(F.col("c") > crowd).drop("c"), "many")
-    release(frequent, counts)
-    if not is_empty(many):
-        # of the words that two sets share the rarest is their key, and the next follows it in both
-        wide = many.select("key", "k1", "at", "bits", F.explode("tail").alias("other"))
-        # the place of the key itself bounds the overlap as before
-        wide = save(wide.select(F.xxhash64("key", "other").alias("key"), "k1", "at", "bits"), "wide")
-        release(many)
-        counts2 = save(wide.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
-        wide2 = wide.join(counts2, "key")
-        some = wide2.where(F.col("c") <= crowd).drop("c")
-        made.append(save(met(some, some, threshold, way), "pairs"))
-        still = save(wide2.where(F.col("c") > crowd).drop("c").join(classes, "k1"), "crowds")
-        release(wide, counts2)
-        if not is_empty(still):
-            heads = save(still.groupBy("key").agg(F.min(F.struct("first", *SET, "at", "bits")).alias("h")).select("key", "h.*"), "heads")
-            earlier = F.col("x_first") < F.col("y_first")
-            leads = save(met(heads, still, threshold, earlier), "leads")
-            sets = asked_sets(docs, ranks, classes, sides(leads).distinct())
-            settled = save(matching(leads, sets, threshold).select(F.col("y1").alias("k1"), F.col("y2").alias("k2")).distinct(), "settled")
-            made.append(save(met(still, still.join(settled, SET, "left_anti"), threshold, earlier), "pairs"))
-    every = made[0]
-    for more in made[1:]:
-        every = every.union(more)
-    every = save(every.distinct(), "pairs")
+    still = reduce(DataFrame.union, crowds)
+    if not is_empty(still):
+        heads = save(still.groupBy("key").agg(F.min(F.struct("first", *SET, "at", "bits")).alias("h")).select("key", "h.*"), "heads")
+        earlier = F.col("x_first") < F.col("y_first")
+        leads = save(met(heads, still, threshold, earlier), "leads")
+        sets = asked_sets(docs, ranks, classes, sides(leads).distinct())
+        settled = save(matching(leads, sets, threshold).select(F.col("y1").alias("k1"), F.col("y2").alias("k2")).distinct(), "settled")
+        made.append(save(met(still, still.join(settled, SET, "left_anti"), threshold, earlier), "pairs"))
+    every = save(reduce(DataFrame.union, made).distinct(), "pairs")
     release(*made)
     sets = asked_sets(docs, ranks, classes, sides(every).distinct())
     known = save(matching(every, sets, threshold), "known")
@@ -204,7 +220,7 @@ def line_removals(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CR
     """
     ranks = rarity(docs)
     sets = with_sets(lines_of(docs), ranks)
-    wide = save(sets.select(*PLACE, *SET, F.size("words").cast("long").alias("n"), parities(F.col("words")).alias("bits"), prefix(F.col("words"), threshold, 2).alias("rarest")), "wide")
+    wide = save(sets.select(*PLACE, *SET, F.size("words").cast("long").alias("n"), parities(F.col("words")).alias("bits"), prefix(F.col("words"), threshold).alias("rarest")), "wide")
     lines, first = save(wide.select(*PLACE, *SET), "lines"), F.struct(*PLACE)
     classes = save(lines.where("k1 is not null").groupBy(*SET).agg(F.min(first).alias("first")), "classes")
     firsts = save(wide.join(classes.select(*SET, "first.*"), [*SET, *PLACE]).select("k1", "n", "bits", "rarest"), "firsts")

@@ -98,3 +98,44 @@ def test_disk_in_use_stays_below_the_words_of_all_lines(spark, monkeypatch):
     assert lines.line_removals(docs).count() == 300
     # a word's hash is 8 bytes
     assert max(used) - before < 300 * 20 * 50 * 8
+
+
+def stored_at_most(docs, monkeypatch, **kwargs):
+    """The removals, and the most bytes that stand in the shared folder meanwhile."""
+    folder, used, whole = Path(shared_folder(docs.sparkSession).removeprefix("file:")), [], lines.save
+    stored = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = stored()
+    monkeypatch.setattr(lines, "save", lambda *a: (whole(*a), used.append(stored()))[0])
+    got = {r.doc_id: list(r.removed) for r in lines.line_removals(docs, **kwargs).collect()}
+    return got, max(used) - before
+
+
+def test_lines_of_few_words_are_not_multiplied(spark, monkeypatch):
+    # every word is in some 300 lines, so each is crowded; hardly two lines are alike
+    rng = random.Random(4)
+    text = {d: "\n".join(" ".join(f"w{rng.randrange(600)}" for _ in range(30)) for _ in range(20)) for d in range(300)}
+    text[300] = "\n".join(" ".join(text[d].split("\n")[0].split()[:-1] + ["new"]) for d in range(5))
+    got, most = stored_at_most(spark.createDataFrame(list(text.items()), "doc_id long, text string"), monkeypatch, crowd=16)
+    assert got == {d: [0, 1, 2, 3, 4] if d == 300 else [] for d in text}
+    # 8 bytes a word, of every line
+    assert most < 300 * 20 * 30 * 8
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.51, 0.7, 0.8, 0.9, 1.0])
+def test_similar_sets_share_a_key(spark, threshold):
+    rng = random.Random(7)
+    sets = []
+    for _ in range(150):
+        one = {rng.randrange(1 << 20) for _ in range(rng.randint(1, 30))}
+        sets += [one, {w for w in one if rng.random() > 0.12} | {rng.randrange(1 << 20) for _ in range(rng.randint(0, 4))}]
+    sets = {k: s for k, s in enumerate(sets) if s}
+    # so that words differ after the bits that keys leave out
+    rows = [(k, sorted(w << lines.SHORT for w in s)) for k, s in sets.items()]
+    df = spark.createDataFrame(rows, "k1 long, words array<bigint>").select("k1", F.size("words").cast("long").alias("n"), lines.parities(F.col("words")).alias("bits"), lines.prefix(F.col("words"), threshold).alias("rarest"))
+    keys = {}
+    for share in range(lines.SHARES):
+        for r in lines.shared_keys(df, threshold, share).collect():
+            keys.setdefault(r.k1, set()).add(r.key)
+    alike = [(x, y) for x in sets for y in sets if x < y and len(sets[x] & sets[y]) + 1e-9 >= threshold * len(sets[x] | sets[y])]
+    assert alike or threshold == 1.0
+    assert all(keys.get(x, set()) & keys.get(y, set()) for x, y in alike)
