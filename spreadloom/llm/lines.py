@@ -32,7 +32,7 @@ BUCKETS, BITS, STEP = 1 << 18, 53, 16
 #: Bits that are left off words in keys: what is left fits 31 bits. Equal words stay equal; others that get alike are verified.
 SHORT = 31
 #: Parts of the keys that are shuffled one after another, so that disk holds one of them.
-SHARES = 2
+SHARES = 3
 #: Words of 64 bits in the filter that spares lines nobody asks for.
 MASK = 1 << 16
 #: Place of rows without a doc_id: after all others.
@@ -139,12 +139,12 @@ def shared_keys(firsts: DataFrame, threshold: float, share: int) -> DataFrame:
     return rows.where((F.col("c") > 2) | ((F.col("c") == 2) & two)).drop("low", "high", "apart")
 
 
-def met(one: DataFrame, two: DataFrame, threshold: float, order: Column) -> DataFrame:
+def met(one: DataFrame, two: DataFrame, threshold: float, order: Column, once: Column | None = None) -> DataFrame:
     """Pairs x1, y1 (of k1) of sets of `one` and `two` (key, k1, at, bits) on one key that pass the filters and `order`, by which
-    a pair stands one way round."""
+    a pair stands one way round. `once` holds at one of the keys that a pair shares."""
     x = one.select("key", *[F.col(c).alias("x_" + c) for c in one.columns if c != "key"])
     y = two.select("key", *[F.col(c).alias("y_" + c) for c in two.columns if c != "key"])
-    out = x.join(y, "key").where(order & possible(threshold))
+    out = x.join(y, "key").where(order & (possible(threshold) if once is None else possible(threshold) & once))
     return out.select(F.col("x_k1").alias("x1"), F.col("y_k1").alias("y1")).distinct()
 
 
@@ -198,7 +198,11 @@ def removed_classes(docs: DataFrame, ranks: Column, firsts: DataFrame, classes:
         leads = save(met(heads, still, threshold, earlier), "leads")
         sets = asked_sets(docs, ranks, classes, sides(leads).distinct())
         settled = save(matching(leads, sets, threshold).select(F.col("y1").alias("k1"), F.col("y2").alias("k2")).distinct(), "settled")
-        made.append(save(met(still, still.join(settled, SET, "left_anti"), threshold, earlier), "pairs"))
+        # two classes meet at the least of the crowded keys that both have, not at each
+        still = still.withColumn("keys", F.collect_set("key").over(Window.partitionBy("k1")))
+        still = save(still.withColumn("before", F.filter("keys", lambda k: k < F.col("key"))).drop("keys"), "crowds")
+        once = ~F.arrays_overlap("x_before", "y_before")
+        made.append(save(met(still, still.join(settled, SET, "left_anti"), threshold, earlier, once), "pairs"))
     every = save(reduce(DataFrame.union, made).distinct(), "pairs")
     release(*made)
     sets = asked_sets(docs, ranks, classes, sides(every).distinct())
