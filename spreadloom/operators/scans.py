@@ -111,16 +111,14 @@ def carried(left: DataFrame, right: DataFrame, keys: list[str], value: str, forw
     # at equal times: backward the right row comes first, forward last; strict turns that around
     mine_at = int(strict == forward)
     rows = mine.unionByName(theirs).withColumn("block_", block("t", minutes)).withColumn("seen_", F.when(~F.col("left_"), F.struct("v_", F.col("t").alias("t_"))))
-    w = Window.partitionBy(*keys, "block_").orderBy("t", F.when(F.col("left_"), mine_at).otherwise(1 - mine_at))
+    # forward is backward in falling order: a frame that runs on to the end is gone through anew for each row
+    turn = F.desc if forward else F.asc
+    w = Window.partitionBy(*keys, "block_").orderBy(turn("t"), turn(F.when(F.col("left_"), mine_at).otherwise(1 - mine_at)))
     pick = F.min_by if forward else F.max_by
     found = F.when(F.col("seen_").isNotNull(), F.col("t"))
     sums = rows.groupBy(*keys, "block_").agg(pick("seen_", found).alias("own_"))
-    if forward:
-        near = F.first("seen_", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        far = F.first("own_", ignorenulls=True).over(along(keys).rowsBetween(1, Window.unboundedFollowing))
-    else:
-        near = F.last("seen_", ignorenulls=True).over(upto(w))
-        far = F.last("own_", ignorenulls=True).over(upto(along(keys), -1))
+    near = F.last("seen_", ignorenulls=True).over(upto(w))
+    far = F.last("own_", ignorenulls=True).over(upto(Window.partitionBy(*keys).orderBy(turn("block_")), -1))
     sums = sums.select(*keys, "block_", far.alias("far_"))
     out = rows.withColumn("near_", near).where("left_").join(sums, [*keys, "block_"], "left")
     got = F.coalesce("near_", "far_")

@@ -83,3 +83,14 @@ def test_long_frames_of_quartiles(spark, series):
         v = sorted(values[i - frame : i]) if i >= frame else None
         assert found == ((v[frame // 2], v[3 * frame // 4] - v[frame // 4]) if v else (None, None))
     assert len(got) == 22
+
+
+def test_forward_join_goes_through_a_crowded_block_once(spark):
+    """A frame that runs on to its end is summed up anew for each row: work grew with the square of a block."""
+    n = 40_000
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 1000).cast("timestamp_ntz").alias("t")
+    left = spark.range(n).select(F.lit("a").alias("k"), at, "id")
+    right = spark.range(0, n, 2).select(F.lit("a").alias("k"), at, F.col("id").alias("v"))
+    got = scans.carried(left, right, ["k"], "v", forward=True)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    assert got.where(F.col("v") == F.col("id") + F.col("id") % 2).count() == n - 1 and got.where("v is null").count() == 1
