@@ -329,22 +329,26 @@ def paged_source(m: Market) -> DataFrame:
 @add("x7_demultiplexed", "SELECT 'trade' AS kind, instr, t, px FROM ticks UNION ALL SELECT 'quote', instr, t, bids[2].px FROM quotes")
 def demultiplexed(m: Market) -> DataFrame:
     """Trades and quotes of one feed in two keyed stores. The feed is read up to its middle, then by a restarted query, and
-    a third one has lost its checkpoint and reads it all again: everything lands once."""
-    folder, keys = scratch(m.spark), ["instr", "t"]
+    a third one has lost its checkpoint and reads it all again: everything lands once. The key of a message is its place in
+    the feed, as an instrument may have any number of messages at one time, alike or not."""
+    folder, keys = scratch(m.spark), ("segment", "line")
     stamp = F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     trades = m.ticks.select(F.to_json(F.struct("instr", F.col("px").alias("price"), stamp.alias("chetime"))).alias("value"))
     quotes = m.quotes.select(F.to_json(F.struct("instr", F.col("bids")[1]["px"].alias("bidho2"), stamp.alias("hotime"))).alias("value"))
-    rows = trades.unionByName(quotes).withColumn("segment", F.pmod(F.xxhash64("value"), F.lit(4)))
+    segments = 4 * (1 + m.table("events").count() // 1_000_000)
+    # an empty line in every segment: later ones wait for one that is not there
+    heads = m.spark.range(segments).select(F.lit("").alias("value"), F.col("id").alias("segment"))
+    rows = trades.unionByName(quotes).withColumn("segment", F.pmod(F.xxhash64("value"), F.lit(segments))).unionByName(heads)
     m.spark.dataSource.register(feeds.Feed)
 
     def run(number: int) -> None:
         stream = m.spark.readStream.format("feed").option("path", f"{folder}/in").load()
-        own = lambda t, px: lambda batch, k: store(t).write(batch.select("instr", F.to_timestamp_ntz(t).alias("t"), F.col(px).cast("double").alias("px")), k, f"run{number // 2}")
+        own = lambda t, px: lambda batch, k: store(t).write(batch.select(*keys, "instr", F.to_timestamp_ntz(t).alias("t"), F.col(px).cast("double").alias("px")), k, f"run{number // 2}")
         schema = "instr string, price double, chetime string, bidho2 double, hotime string"
-        live.run_available(stream, f"{folder}/check{number // 2}", each=live.demultiplexed(schema, own("chetime", "price"), own("hotime", "bidho2")))
+        live.run_available(stream, f"{folder}/check{number // 2}", each=live.demultiplexed(schema, own("chetime", "price"), own("hotime", "bidho2"), keys))
 
-    store = lambda t: KeyedStore(m.spark, f"{folder}/{t}", keys, 8)
-    for number, part in enumerate(("segment < 2", "segment >= 2", "false")):
+    store = lambda t: KeyedStore(m.spark, f"{folder}/{t}", list(keys), 2 * segments)
+    for number, part in enumerate((f"segment < {segments // 2}", f"segment >= {segments // 2}", "false")):
         rows.where(part).repartition("segment").write.mode("append").partitionBy("segment").text(f"{folder}/in")
         run(number)
     kinds = [store(t).read().select(F.lit(kind).alias("kind"), "instr", "t", "px") for t, kind in (("chetime", "trade"), ("hotime", "quote"))]

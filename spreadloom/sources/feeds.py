@@ -10,6 +10,7 @@ import datetime as dt
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -31,6 +32,22 @@ def text_of(path: str) -> str:
     return "".join(store.open_input_stream(f"{where}/{name}").read().decode() for name in entries(path))
 
 
+def lines_of(path: str, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Lines of the files in a folder, those of about `size` bytes at a time; a line ends at a line feed or with its file."""
+    store, where = opened(path)
+    for name in entries(path):
+        with store.open_input_stream(f"{where}/{name}") as stream:
+            rest = b""
+            while part := stream.read(size):
+                first, *more = part.split(b"\n")
+                rest += first
+                if more:
+                    yield [rest, *more[:-1]]
+                    rest = more[-1]
+            if rest:
+                yield [rest]
+
+
 class Instrument(InputPartition):
     def __init__(self, name: str):
         self.name = name
@@ -104,24 +121,29 @@ class FeedReader(DataSourceStreamReader):
     def partitions(self, start: dict[str, int], end: dict[str, int]) -> list[Segment]:
         return [Segment(k) for k in range(start["segments"], end["segments"])]
 
-    def read(self, partition: Segment) -> Iterator[tuple]:
-        for line in text_of(f"{self.path}/segment={partition.number}").splitlines():
-            if line:
-                yield partition.number, line
+    def read(self, partition: Segment) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for lines in lines_of(f"{self.path}/segment={partition.number}"):
+            said = [(k, v) for k, v in enumerate(lines, n) if v]
+            n += len(lines)
+            yield pa.RecordBatch.from_pydict({
+                "segment": pa.array([partition.number] * len(said), pa.int64()), "line": pa.array([k for k, _ in said], pa.int64()), "value": pa.array([v for _, v in said], pa.string())})
 
     def commit(self, end: dict[str, int]) -> None:
         pass
 
 
 class Feed(DataSource):
-    """A stream of messages (segment, value) from folders segment=0, segment=1 ... of JSON lines. Option: path."""
+    """A stream of messages (segment, line, value) from folders segment=0, segment=1 ... of JSON lines. Option: path.
+
+    Segment and line (from 0, empty ones count) are the place of a message, the same whenever it is read."""
 
     @classmethod
     def name(cls) -> str:
         return "feed"
 
     def schema(self) -> str:
-        return "segment long, value string"
+        return "segment long, line long, value string"
 
     def streamReader(self, schema: object) -> FeedReader:  # noqa: N802
         return FeedReader(dict(self.options))

@@ -61,7 +61,9 @@ class KeyedStore:
     def read(self, version: int | None = None) -> DataFrame | None:
         """All rows of one version; None before the first."""
         told = self.manifest(version)
-        return None if told is None else self._rows(told)
+        if told is None:
+            return None
+        return self._rows(told) if told["paths"] else self.spark.createDataFrame([], told["schema"])
 
     def folded(self, batch: DataFrame) -> DataFrame:
         """One row per key of a batch."""

@@ -22,13 +22,22 @@ def ticks_from(spark: SparkSession, folder: str, schema: str | StructType, files
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def split_messages(messages: DataFrame, schema: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Trades (with price and time) and quotes (with a second bid level) of one stream of JSON text."""
-    rows = messages.select(F.from_json(F.col(value), schema).alias("m")).select("m.*")
+def spoken(messages: DataFrame, schema: str, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """What messages of JSON text say, behind the columns of `keep` that came with them."""
+    return messages.select(*keep, F.from_json(F.col(value), schema).alias("m_")).select(*keep, "m_.*")
+
+
+def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trades (with price and time) and quotes (with a second bid level)."""
     trade = F.col("price").isNotNull() & F.col("chetime").isNotNull()
     return rows.where(trade), rows.where(~trade & F.col("bidho2").isNotNull())
 
 
+def split_messages(messages: DataFrame, schema: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Trades and quotes of one stream of JSON text."""
+    return sides(spoken(messages, schema, value))
+
+
 #: Messages of both markets: trades at home come with their time of day and size, those abroad with a date and a counter.
 MARKETS = "futcode string, price string, chetime string, cvolume string, symbol string, curpr string, kordate string, kortm string, totq string"
 
@@ -221,14 +230,16 @@ def keyed_sink(folder: str, keys: list[str], buckets: int = 64, writer: str = "s
     return write
 
 
-def demultiplexed(messages: str, trades: Callable[[DataFrame, int], None], quotes: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """Batch writer that splits a feed of JSON text of this schema and hands trades and quotes to a writer each. With
-    keyed sinks a batch that broke off between the two is written again and lands once."""
+def demultiplexed(
+    messages: str, trades: Callable[[DataFrame, int], None], quotes: Callable[[DataFrame, int], None], keep: tuple[str, ...] = ()
+) -> Callable[[DataFrame, int], None]:
+    """Batch writer that splits a feed of JSON text of this schema and hands trades and quotes to a writer each, with the
+    columns of `keep`. With keyed sinks a batch that broke off between the two is written again and lands once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        batch = spoken(batch, messages, keep=keep).persist()
         try:
-            for rows, each in zip(split_messages(batch, messages), (trades, quotes), strict=True):
+            for rows, each in zip(sides(batch), (trades, quotes), strict=True):
                 each(rows, number)
         finally:
             batch.unpersist()

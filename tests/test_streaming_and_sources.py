@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spreadloom.operators import bars as batch_bars
+from spreadloom.plans import catalog
 from spreadloom.plans.market import Market
 from spreadloom.sources import feeds, files
 from spreadloom.sources.store import KeyedStore
@@ -227,3 +228,31 @@ def test_a_feed_is_split_once_over_restarts(spark, tmp_path):
     run()
     assert rows(stores[0].read()) == [(1,), (3,), (51,), (91,), (93,)] and stores[0].versions() == [1, 2]
     assert stores[1].read().count() == 6
+
+
+@pytest.mark.parametrize("values", [(5.0, 5.0, 7.0, 0.5), (0.5,)])
+def test_messages_of_one_time_all_land_once(spark, tmp_path, values):
+    """Events of one type and time, two of them alike but for their number: each is a trade and a quote of its own. Few
+    messages leave segments of the feed empty, and a lone event of 0.5 is no quote."""
+    at = dt.datetime(2024, 1, 2, 9)
+    events = [(k, at, 1, "click", value, '{"k": 3}') for k, value in enumerate(values)]
+    kinds = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, kinds).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["x7_demultiplexed"](spark, str(tmp_path)).select("kind", "instr", "t", F.round("px", 2))
+    want = [("trade", "click", at, v) for v in values] + [("quote", "click", at, v - 0.02) for v in values if v > 1]
+    assert rows(got) == sorted(want, key=str)
+
+
+def test_a_place_in_the_feed_is_a_segment_and_a_line(spark, tmp_path):
+    said = [b"{}", b"", '{"a": "one line, é"}'.encode(), b"x" * 50]
+    where = tmp_path / "segment=0"
+    where.mkdir()
+    # the first file's last line ends with the file
+    (where / "part-0").write_bytes(b"\n".join(said))
+    (where / "part-1").write_bytes(b"last\n\n")
+    for size in (1, 7, 50, 1 << 20):
+        assert [v for block in feeds.lines_of(str(where), size) for v in block] == [*said, b"last", b""]
+    spark.dataSource.register(feeds.Feed)
+    stream = spark.readStream.format("feed").option("path", str(tmp_path)).load()
+    live.run_available(stream, str(tmp_path / "check"), name="places")
+    assert rows(spark.table("places")) == [(0, k, v.decode()) for k, v in enumerate([*said, b"last"]) if v]
