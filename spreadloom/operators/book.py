@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from spreadloom.functions import columns as c
 from spreadloom.functions.columns import correlation
-from spreadloom.operators import align
+from spreadloom.operators import align, scans
 from spreadloom.operators.sessions import after
 
 
-def features(quotes: DataFrame, keys: list[str], size: float = 10) -> DataFrame:
-    """Per book (t, bids, asks): mid, spread_bps, obi, obi_levels, wmid, tilt, depth, cost (of `size`), voi, mlofi.
+def features(quotes: DataFrame, keys: list[str], size: float = 10, flows: bool = True) -> DataFrame:
+    """Per book (t, bids, asks): mid, spread_bps, obi, obi_levels, wmid, tilt, depth, cost (of `size`), and with `flows` voi, mlofi.
 
-    voi and mlofi compare with the book before; they are null on the first book and after one without a price.
+    voi and mlofi compare with the book before, of books of one time with the next lower by bids and asks, so that every run
+    gives the same; they are null on the first book and after one without a price.
     """
     bid, ask = F.col("bids")[0], F.col("asks")[0]
-    valid = bid["px"].isNotNull() & ask["px"].isNotNull() & (ask["px"] > 0)
-    w = Window.partitionBy(*keys).orderBy("t")
-    rows = quotes.withColumn("valid_", F.coalesce(valid, F.lit(False)))
-    rows = rows.withColumn("old_", F.lag(F.when(F.col("valid_"), F.struct("bids", "asks"))).over(w)).where("valid_")
+
+    def valid(bids: str, asks: str) -> Column:
+        b, a = F.col(bids)[0]["px"], F.col(asks)[0]["px"]
+        return F.coalesce(b.isNotNull() & a.isNotNull() & (a > 0), F.lit(False))
+
+    rows = scans.before(quotes.select(*keys, "t", "bids", "asks"), keys, "t", ["bids", "asks"], "old_") if flows else quotes
+    rows = rows.where(valid("bids", "asks"))
     mid = c.mid(bid["px"], ask["px"])
     wmid = c.weighted_mid(bid["px"], ask["px"], bid["qty"], ask["qty"])
 
@@ -29,13 +33,13 @@ def features(quotes: DataFrame, keys: list[str], size: float = 10) -> DataFrame:
         return c.flow(now["px"], now["qty"], old["px"], old["qty"], side == "bids")
 
     def net(levels: int) -> Column:
-        return F.when(F.col("old_").isNotNull(), c.total([F.coalesce(flow(i, "bids"), F.lit(0.0)) - F.coalesce(flow(i, "asks"), F.lit(0.0)) for i in range(levels)]))
+        return F.when(valid("old_.bids", "old_.asks"), c.total([F.coalesce(flow(i, "bids"), F.lit(0.0)) - F.coalesce(flow(i, "asks"), F.lit(0.0)) for i in range(levels)]))
 
     return rows.select(
         *keys, "t", mid.alias("mid"), ((ask["px"] - bid["px"]) / mid * 1e4).alias("spread_bps"), c.imbalance(bid["qty"], ask["qty"]).alias("obi"),
         c.weighted_imbalance(F.col("bids"), F.col("asks")).alias("obi_levels"), wmid.alias("wmid"), (wmid - mid).alias("tilt"),
         c.depth_within(F.col("bids"), F.col("asks"), mid, 0.01).alias("depth"), c.liquidity_cost(F.col("bids"), F.col("asks"), size).alias("cost"),
-        net(1).alias("voi"), net(5).alias("mlofi"))
+        *([net(1).alias("voi"), net(5).alias("mlofi")] if flows else []))
 
 
 def predictive(rows: DataFrame, key: str, names: list[str], minutes: float, least: int = 10) -> DataFrame:

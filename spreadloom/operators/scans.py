@@ -46,6 +46,17 @@ def numbered(df: DataFrame, keys: list[str], t: str, name: str, minutes: int = D
     return rows.join(base.select(*keys, "block_", "base_"), [*keys, "block_"]).withColumn(name, F.col(name) + F.col("base_") - 1).select(*df.columns, name)
 
 
+def before(df: DataFrame, keys: list[str], t: str, fields: list[str], name: str, minutes: int = DAY) -> DataFrame:
+    """`df` with the row before as a struct of t and `fields`, null in the first; rows of one time come in the order of
+    `fields`. A summary is the last row of a block, which is put before the rows of the next."""
+    one = F.struct(t, *fields)
+    rows = df.withColumn("block_", block(t, minutes)).withColumn("own_", F.lit(True))
+    sums = rows.groupBy(*keys, "block_").agg(F.max(one).alias("last_")).withColumn("last_", F.lag("last_").over(along(keys))).where("last_ is not null")
+    both = rows.unionByName(sums.select(*keys, "block_", "last_.*", F.lit(False).alias("own_")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "block_").orderBy(t, *fields)
+    return both.withColumn(name, F.lag(one).over(w)).where("own_").select(*df.columns, name)
+
+
 def sessionize(df: DataFrame, keys: list[str], t: str, gap: float, name: str = "sid", minutes: int = DAY) -> DataFrame:
     """`sessions.sessionize` by blocks: a summary is the first and last time of a block and how often a session starts in it."""
     from spreadloom.operators.sessions import after
@@ -114,9 +125,10 @@ def carried(left: DataFrame, right: DataFrame, keys: list[str], value: str, forw
     # forward is backward in falling order: a frame that runs on to the end is gone through anew for each row
     turn = F.desc if forward else F.asc
     w = Window.partitionBy(*keys, "block_").orderBy(turn("t"), turn(F.when(F.col("left_"), mine_at).otherwise(1 - mine_at)))
-    pick = F.min_by if forward else F.max_by
+    pick, most = (F.min_by, F.min) if forward else (F.max_by, F.max)
     found = F.when(F.col("seen_").isNotNull(), F.col("t"))
-    sums = rows.groupBy(*keys, "block_").agg(pick("seen_", found).alias("own_"))
+    # two plain values are aggregated by hash, a struct would be sorted for
+    sums = rows.groupBy(*keys, "block_").agg(pick("v_", found).alias("v_"), most(found).alias("t_")).withColumn("own_", F.when(F.col("t_").isNotNull(), F.struct("v_", "t_")))
     near = F.last("seen_", ignorenulls=True).over(upto(w))
     far = F.last("own_", ignorenulls=True).over(upto(Window.partitionBy(*keys).orderBy(turn("block_")), -1))
     sums = sums.select(*keys, "block_", far.alias("far_"))

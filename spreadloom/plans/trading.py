@@ -25,18 +25,18 @@ def rounded(df: DataFrame, names: tuple[str, ...], digits: int = 5) -> DataFrame
 @add("f19_book_features", f"""WITH {LEVEL} SELECT instr, t, round(mid, 5) AS mid, round((ap - bp) / mid * 1e4, 5) AS spread_bps, round(CASE WHEN bq + aq = 0 THEN 0 ELSE (bq - aq) / (bq + aq) END, 5) AS obi,
  round(CASE WHEN bq + aq = 0 THEN 0 ELSE (bq * ap + aq * bp) / (bq + aq) - mid END, 5) AS tilt FROM lv""")
 def book_features(m: Market) -> DataFrame:
-    return rounded(book.features(m.quotes, ["instr"]), ("mid", "spread_bps", "obi", "tilt"))
+    return rounded(book.features(m.quotes, ["instr"], flows=False), ("mid", "spread_bps", "obi", "tilt"))
 
 
 @add("f20_level_imbalance", """WITH w AS (SELECT instr, t, list_sum([bids[i].qty / i FOR i IN [1, 2, 3, 4, 5]]) AS b, list_sum([asks[i].qty / i FOR i IN [1, 2, 3, 4, 5]]) AS a FROM quotes)
 SELECT instr, t, round(CASE WHEN a + b = 0 THEN 0 ELSE (b - a) / (b + a) END, 8) AS obi_levels FROM w""")
 def level_imbalance(m: Market) -> DataFrame:
-    return rounded(book.features(m.quotes, ["instr"]), ("obi_levels",), 8)
+    return rounded(book.features(m.quotes, ["instr"], flows=False), ("obi_levels",), 8)
 
 
 @add("f21_depth", f"""WITH {LEVEL} SELECT instr, t, round(coalesce(list_sum([x.qty FOR x IN bids IF x.px >= mid * 0.99]), 0) + coalesce(list_sum([x.qty FOR x IN asks IF x.px <= mid * 1.01]), 0), 5) AS depth FROM lv""")
 def depth(m: Market) -> DataFrame:
-    return rounded(book.features(m.quotes, ["instr"]), ("depth",))
+    return rounded(book.features(m.quotes, ["instr"], flows=False), ("depth",))
 
 
 def walk_sql(side: str) -> str:
@@ -45,7 +45,7 @@ def walk_sql(side: str) -> str:
 
 @add("f22_liquidity_cost", f"""WITH {LEVEL}, w AS (SELECT instr, t, mid, {walk_sql('asks')} AS buy, {walk_sql('bids')} AS sell FROM lv) SELECT instr, t, round(((buy - mid) + (mid - sell)) / 2 / mid * 1e4, 4) AS cost FROM w""")
 def liquidity(m: Market) -> DataFrame:
-    return rounded(book.features(m.quotes, ["instr"]), ("cost",), 4)
+    return rounded(book.features(m.quotes, ["instr"], flows=False), ("cost",), 4)
 
 
 def flow_sql(i: int) -> str:

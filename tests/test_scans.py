@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spreadloom.operators import scans, sessions, signals, stats
+from spreadloom.operators import book, scans, sessions, signals, stats
 
 
 def rows_of(df, *names):
@@ -94,3 +94,30 @@ def test_forward_join_goes_through_a_crowded_block_once(spark):
     got = scans.carried(left, right, ["k"], "v", forward=True)
     assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
     assert got.where(F.col("v") == F.col("id") + F.col("id") % 2).count() == n - 1 and got.where("v is null").count() == 1
+
+
+def test_book_before_by_blocks_with_books_of_one_time(spark):
+    """The book before is found over blocks of time, in one order whatever order books come in."""
+    rng, kind = random.Random(8), "k string, t timestamp_ntz, bids array<struct<px:double,qty:double>>, asks array<struct<px:double,qty:double>>"
+    start, rows = dt.datetime(2024, 1, 1, 20), []
+    for k in ("a", None):
+        for _ in range(120):
+            t = start + dt.timedelta(hours=rng.randrange(0, 200, 8))
+            px = rng.choice([None, 5.0, 6.0, 7.0, 8.0])
+            level = lambda up: [(px and px + up * i, float(rng.randrange(9))) for i in range(1, 6)]
+            rows.append((k, t, level(-0.1), level(0.1)))
+    got = [rows_of(book.features(spark.createDataFrame(part, kind).repartition(3), ["k"]), "k", "t", "mid", "voi") for part in (rows, rows[::-1])]
+    assert got[0] == got[1]
+    want = []
+    for k in ("a", None):
+        low = lambda r: (r[1], *[[(px is not None, px or 0.0, q) for px, q in side] for side in r[2:]])
+        own = sorted((r for r in rows if r[0] == k), key=low)
+        for old, now in zip([None, *own], own, strict=False):
+            if now[2][0][0] is None:
+                continue
+            voi = None
+            if old and old[2][0][0] is not None:
+                gain = lambda s, better: (now[s][0][1] if better * (now[s][0][0] - old[s][0][0]) > 0 else 0.0 if now[s][0][0] != old[s][0][0] else now[s][0][1] - old[s][0][1])
+                voi = gain(2, 1) - gain(3, -1)
+            want.append((k, now[1], round((now[2][0][0] + now[3][0][0]) / 2, 9), voi))
+    assert got[0] == sorted(want, key=repr)
